@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, secret_scan
+from . import fingerprint, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, toxicity, warc
 from .common import read_table
 
 
@@ -45,8 +45,49 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    archive = warc.write_pages(pages)
+    return warc.read_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(read_table(spark, sf_dir, "documents"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), carry=("ids_crc32",)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fingerprint.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+    near = lambda other: fingerprint.resemblance(F.col("sketch"), F.col(other))
+    return df.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.to_text(F.col("sketch")).alias("fingerprint"),
+        fingerprint.to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        near("edited_sketch").alias("near_edited"),
+        near("next_sketch").alias("near_next"),
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs.where(~held), labels.where(~held))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op4_quality_rules, op6_secret_scan)}
+    named = (op1_license_scan, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join)
+    return {f.__name__: f for f in named}
 
 
 _OP4 = r"""
