@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import zipfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    name = os.path.join(tempfile.mkdtemp(prefix="verbarium-"), "verbarium.zip")
+    with zipfile.ZipFile(name, "w") as out:
+        for folder, _, files in os.walk(os.path.join(top, "verbarium")):
+            for f in files:
+                if f.endswith(".py"):
+                    out.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), top))
+    sc.addPyFile(name)
+    _shipped.add(sc.applicationId)
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage; they go when the driver's JVM ends, or by drop()."""
 

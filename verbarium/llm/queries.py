@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, toxicity, warc
-from .common import read_table
+from . import fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, toxicity, warc
+from .common import read_table, ship
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), F.array_join("deleted_lines", ",").alias("deleted"), "text")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     archive = warc.write_pages(pages)
@@ -85,9 +92,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def _with_package(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    named = (op1_license_scan, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join)
-    return {f.__name__: f for f in named}
+    named = (op1_license_scan, op2_line_dedup, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join)
+    return {f.__name__: _with_package(f) for f in named}
 
 
 _OP4 = r"""
