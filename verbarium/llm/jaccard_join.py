@@ -44,10 +44,14 @@ from .components import components
 SHINGLE = 5
 #: Similarity 4/5: an overlap of at least 4/9 of both sizes.
 #: Shingles at the end of the order, and so in a broadcast table: at most so many.
-HOT = 200_000
+HOT = 500_000
 #: Frequent shingles are looked for in stretches of so many shingles; seen so often, they are counted.
-STRETCH, OFTEN = 2_000_000, 6
+STRETCH, OFTEN = 3_000_000, 2
 LIST_ROWS = 400_000
+#: Hubs with which a set is searched in a round.
+HUBS = 3
+#: Rounds of hubs at most; what they leave is searched pair by pair.
+ROUNDS = 3
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -271,26 +275,54 @@ class JaccardJoin:
 
         return self.scratch.save(dealt.mapInArrow(run, kind).select("h", "set_id", "n", "pos"), "lists")
 
-    def sets(self, members: DataFrame, lists: DataFrame) -> DataFrame:
-        """(set_id, members) of every set in the lists, made from one row each."""
-        reps = members.groupBy("set_id").agg(F.min("k").alias("k")).join(lists.select("set_id").distinct(), "set_id", "left_semi").select("k")
-        reps = self.scratch.save(reps, "reps")
-        some = self.docs.join(small_side(reps, 24), "k", "left_semi").select("text")
-        return self.scratch.save(some.mapInArrow(_sets, "set_id long, members binary").dropDuplicates(["set_id"]), "sets")
-
-    def search(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The linked ones of pairs (a, b)."""
+    def reps(self, members: DataFrame) -> DataFrame:
+        """(set_id, k): one row's key for every set."""
+        self.repeated = bool(members.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+        return self.scratch.save(members.where("n > 0").groupBy("set_id").agg(F.min("k").alias("k")), "reps")
+
+    def search(self, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
+        """The linked ones of pairs (a, b). Only sets that pairs name are made, each from one row."""
+        named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        keys = self.scratch.save(reps.join(named, "set_id", "left_semi").select("k"), f"{name}_keys")
+        some = self.docs.join(small_side(keys, 24), "k", "left_semi")
+        some = some.dropDuplicates(["k"]) if self.repeated else some
+        sets = self.scratch.save(some.select("text").mapInArrow(_sets, "set_id long, members binary"), f"{name}_sets")
         a, b = sets.select(F.col("set_id").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("set_id").alias("b"), F.col("members").alias("of_b"))
-        return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(_search, "a long, b long")
+        found = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(_search, "a long, b long")
+        found = self.scratch.save(found, f"{name}_links")
+        self.scratch.drop(f"{name}_keys", f"{name}_sets")
+        return found
+
+    def plausible(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those whose count of shared lists lets them link.
+
+        Of two sets, all that the one whose last first member comes earlier shares among its
+        first members is in lists of both; so they share at most as many members as
+        lists, and what lies behind the first members of either.
+        """
+        met = pairs.join(lists.select(F.col("set_id").alias("a"), "h", "n"), "a").join(lists.select(F.col("set_id").alias("b"), "h", F.col("n").alias("m")), ["b", "h"])
+        return self._enough(met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")))
+
+    @staticmethod
+    def _enough(counted: DataFrame) -> DataFrame:
+        """Of (a, b, n, m, c) those of sizes and a count c of shared lists that let them link."""
+        behind = lambda n: F.ceil(F.col(n) * 4 / 5) - 1
+        sizes = (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4)
+        return counted.where(sizes & (F.col("c") + F.greatest(behind("n"), behind("m")) >= F.ceil((F.col("n") + F.col("m")) * 4 / 9))).select("a", "b")
 
     def hub_pairs(self, lists: DataFrame, draw: int, name: str) -> DataFrame:
-        """For each set of the lists (h, set_id, n, root) a hub of another component: the one with which it shares most lists."""
+        """For each set of the lists (h, set_id, n, root) hubs of other components: the HUBS with which it shares most lists.
+
+        A list's hub is the set in which it comes earliest: what comes before are rarer
+        members, so among near copies that is the one with the least of its own.
+        """
         lists = lists.withColumn("class", F.floor(F.log(F.col("n").cast("double")) * 4.0))
-        chance = F.xxhash64(F.lit(draw), "set_id")
-        hubs = lists.groupBy("h", "class").agg(F.min(F.struct(chance.alias("c"), "set_id", "root")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("h", "class", F.col("hub.set_id").alias("b"), F.col("hub.root").alias("hub_root"))
+        chance = F.xxhash64(F.lit(draw), "set_id", F.pmod("h", F.lit(2 * HUBS)))
+        hubs = lists.groupBy("h", "class").agg(F.min(F.struct("pos", chance.alias("c"), "set_id", "root")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("h", "class", F.col("hub.set_id").alias("b"), F.col("hub.root").alias("hub_root"))
         hubs = self.scratch.save(hubs, f"{name}_hubs")
         met = lists.join(hubs, ["h", "class"]).where("root <> hub_root").groupBy(F.col("set_id").alias("a"), "b").agg(F.count("*").alias("n"))
-        return met.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, HUBS).alias("x"))
+        return best.select("a", F.explode("x.b").alias("b"))
 
     def open_lists(self, lists: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
         """The rows, with their roots, of lists whose sets are not all in one component."""
@@ -308,41 +340,47 @@ class JaccardJoin:
         a = lists.select("h", F.col("set_id").alias("a"), F.col("n").alias("n"), F.col("pos").alias("i"), F.col("root").alias("ra"))
         b = lists.select("h", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("root").alias("rb"))
         fits = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4)
+        # Linked sets share one of the first n - T + 1 members of a, which is one of the first m - T + 1 of b. Before a
+        # common member lie at most min(i, j) others, behind it at most min(n - i, m - j) - 1.
         need = F.ceil((F.col("n") + F.col("m")) * 4 / 9)
-        # Before a common member lie at most min(i, j) others, behind it at most min(n - i, m - j) - 1.
+        fits &= (F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need)
         fits &= F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need
-        met = a.join(b, "h").where(fits).groupBy("a", "b").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.first("n").alias("n"), F.first("m").alias("m"))
-        return met.where(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need).select("a", "b")
+        return self.plausible(self.scratch.save(a.join(b, "h").where(fits).select("a", "b").distinct(), "met"), lists)
 
-    def roots(self, lists: DataFrame, sets: DataFrame) -> DataFrame | None:
+    def roots(self, lists: DataFrame, reps: DataFrame) -> DataFrame | None:
         """(id, root) of all sets that link with another; None if there are none."""
-        scratch, links, roots = self.scratch, None, None
+        scratch, roots = self.scratch, None
         todo, draw = self.open_lists(lists, None, "r0"), 0
         while True:
-            pairs = scratch.save(self.hub_pairs(todo, draw, f"r{draw}"), f"r{draw}_pairs")
-            new = scratch.save(self.search(pairs, sets), f"r{draw}_links")
+            pairs = scratch.save(self.plausible(self.hub_pairs(todo, draw, f"r{draw}"), todo), f"r{draw}_pairs")
+            new = self.search(pairs, reps, f"r{draw}")
             fresh = new.count()
             if fresh:
-                links = new if links is None else links.union(new)
-                roots = components(links, scratch, f"r{draw}_roots")
-            asked = pairs.count()
+                roots = self.joined(roots, new, f"r{draw}_roots")
             if fresh or not draw:
                 todo = self.open_lists(todo, roots, f"r{draw}t") if roots is not None else todo
             draw += 1
-            if fresh < 0.02 * asked or not fresh:
+            if not fresh or draw == ROUNDS:
                 break
-        rest = scratch.save(self.search(self.all_pairs(todo), sets), "rest")
-        if rest.limit(1).count():
-            links = rest if links is None else links.union(rest)
-            roots = components(links, scratch, "rest_roots")
-        return roots
+        rest = self.search(scratch.save(self.all_pairs(todo), "rest_pairs"), reps, "rest")
+        return self.joined(roots, rest, "rest_roots") if rest.limit(1).count() else roots
+
+    def joined(self, roots: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+        """The roots after more links: components of the old components that links join."""
+        if roots is None:
+            return components(links, self.scratch, name)
+        at = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"r{end}"))
+        ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        tops = components(ends, self.scratch, name).select(F.col("id").alias("root"), F.col("root").alias("top"))
+        old = roots.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        new = tops.select(F.col("root").alias("id"), F.col("top").alias("root")).join(roots, "id", "left_anti")
+        return self.scratch.save(old.union(new), f"{name}_all")
 
     def components(self) -> DataFrame:
         """Per row: id, k, ``n_shingles``, ``component_id`` (the smallest id that links lead to) and ``keeper`` (the k of the row to keep)."""
         members = self.members()
         lists = self.lists(members)
-        sets = self.sets(members, lists)
-        roots = self.roots(lists, sets)
+        roots = self.roots(lists, self.reps(members))
         own = F.struct(F.when(F.col("n") == 0, F.col("k")).alias("lone"), F.when(F.col("n") > 0, F.col("set_id")).alias("root"))
         if roots is None:
             rooted = members.withColumn("root", own)
