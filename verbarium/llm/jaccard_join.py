@@ -44,14 +44,14 @@ from .components import components
 SHINGLE = 5
 #: Similarity 4/5: an overlap of at least 4/9 of both sizes.
 #: Shingles at the end of the order, and so in a broadcast table: at most so many.
-HOT = 500_000
+HOT = 1_000_000
 #: Frequent shingles are looked for in stretches of so many shingles; seen so often, they are counted.
 STRETCH, OFTEN = 3_000_000, 2
 LIST_ROWS = 400_000
-#: Hubs with which a set is searched in a round.
+#: Hubs with which a set is searched in a round after the first.
 HUBS = 3
 #: Rounds of hubs at most; what they leave is searched pair by pair.
-ROUNDS = 3
+ROUNDS = 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -250,8 +250,10 @@ class JaccardJoin:
         kind = self.id_type.simpleString()
         made = self.scratch.save(self.docs.mapInArrow(_members(to_arrow_type(self.id_type)), f"id {kind}, k long, n long, set_id long, hot array<long>, times array<long>"), "made")
         hot = made.where("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy(F.col("x.hot").alias("h")).agg(F.sum("x.times").alias("times"))
-        rows = hot.orderBy(F.desc("times"), "h").limit(HOT).toPandas().sort_values("h")
-        self.hot = self.spark.sparkContext.broadcast((rows["h"].to_numpy(np.int64), rows["times"].to_numpy(np.int64)))
+        rows = hot.orderBy(F.desc("times"), "h").limit(HOT).toArrow()
+        h, times = (rows.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+        order = np.argsort(h)
+        self.hot = self.spark.sparkContext.broadcast((h[order], times[order]))
         return made.where("hot IS NULL").select("id", "k", "n", "set_id")
 
     def lists(self, members: DataFrame) -> DataFrame:
@@ -300,8 +302,10 @@ class JaccardJoin:
         first members is in lists of both; so they share at most as many members as
         lists, and what lies behind the first members of either.
         """
-        met = pairs.join(lists.select(F.col("set_id").alias("a"), "h", "n"), "a").join(lists.select(F.col("set_id").alias("b"), "h", F.col("n").alias("m")), ["b", "h"])
-        return self._enough(met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")))
+        of = lists.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_set("h").alias("hs"))  # at most the first members of one set
+        met = pairs.join(of.select(F.col("set_id").alias("a"), "n", F.col("hs").alias("of_a")), "a")
+        met = met.join(of.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("hs").alias("of_b")), "b")
+        return self._enough(met.select("a", "b", "n", "m", F.size(F.array_intersect("of_a", "of_b")).alias("c")))
 
     @staticmethod
     def _enough(counted: DataFrame) -> DataFrame:
@@ -321,7 +325,7 @@ class JaccardJoin:
         hubs = lists.groupBy("h", "class").agg(F.min(F.struct("pos", chance.alias("c"), "set_id", "root")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("h", "class", F.col("hub.set_id").alias("b"), F.col("hub.root").alias("hub_root"))
         hubs = self.scratch.save(hubs, f"{name}_hubs")
         met = lists.join(hubs, ["h", "class"]).where("root <> hub_root").groupBy(F.col("set_id").alias("a"), "b").agg(F.count("*").alias("n"))
-        best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, HUBS).alias("x"))
+        best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, HUBS if draw else 1).alias("x"))
         return best.select("a", F.explode("x.b").alias("b"))
 
     def open_lists(self, lists: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
