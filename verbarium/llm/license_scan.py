@@ -75,7 +75,11 @@ def prefix_max(values: Column) -> Column:
 def _resolved(spans: Column) -> Column:
     """The spans that none of the same or a prior tier contains; spans come sorted."""
     tiers = range(len(TIER_SCORE))
-    before = [prefix_max(F.transform(spans, lambda s, t=t: F.when(s["tier"] <= t, s["end"]))) for t in tiers]
+
+    def ends(t: int) -> Column:
+        return F.transform(spans, lambda s: F.when(s["tier"] <= t, s["end"]))
+
+    before = [prefix_max(ends(t)) for t in tiers]
     with_max = F.arrays_zip(spans.alias("s"), *(b.alias(f"m{t}") for t, b in zip(tiers, before)))
 
     def stays(x: Column) -> Column:
