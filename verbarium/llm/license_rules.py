@@ -130,21 +130,21 @@ mpl-2.0 | source code form | this source code form is subject to the terms of th
 mpl-1.1 | subject to the | the contents of this file are subject to the mozilla public license
 epl | accompanying materials | this program and the accompanying materials are made available under the terms of the eclipse public license
 cddl | subject to the | the contents of this file are subject to the terms of the common development and distribution license
-bsl-1.0 | executable object | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+bsl-1.0 | free of charge | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
 zlib | altered source | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 zlib | as is | this software is provided as is without any express or implied warranty
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
 cc0-1.0 | related or neighboring | waived all copyright and related or neighboring rights
 cc | to share | you are free to share copy and redistribute the material
 ofl-1.1 | font software | this font software is licensed under the sil open font license
-postgresql | paragraph appear | provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies
-openssl | openssl toolkit | this product includes software developed by the openssl project
+postgresql | paragraph | provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies
+openssl | openssl project | this product includes software developed by the openssl project
 json | good not evil | the software shall be used for good not evil
 beerware | beer | you can buy me a beer in return
 proprietary | all rights reserved | all rights reserved
 proprietary | confidential | confidential and proprietary information of
 noncommercial | non commercial | for non commercial (?:use|purposes) only
-warranty-disclaimer | merchantability | the software is provided as is without warranty of any kind express or implied
+warranty-disclaimer | warranty of any | the software is provided as is without warranty of any kind express or implied
 """
 
 #: label | keyword | words of an address
@@ -177,7 +177,7 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 TAG = "spdx license identifier (?:{})(?: or later| only)?"
 NOTICE = "(?:(?:dual )?licen[cs]ed|released|distributed|available|published|provided|redistributed|covered|governed)(?: (?:only|as|to|you|freely|for))* (?:under|by|with|according to)(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)? (?:{})"
 #: Every text that a rule matches has one of these, whatever its punctuation.
-STEMS = ("licen", "spdx", "gpl", "domain", "cc0", "commons", "mulan", "cecill", "rail", "beer", "granted", "permitted", "redistributions", "restriction", "endorse", "advertising", "compliance", "basis", "warranty", "free software", "merchantability", "mozilla", "eclipse", "materials", "plainly", "unencumbered", "neighboring", "redistribute", "paragraph", "openssl", "evil", "reserved", "confidential", "commercial", "scripts", "perl", "wtfpl", "clause", "historical", "later version", "public")
+STEMS = ("licen", "spdx", "gpl", "domain", "cc0", "commons", "mulan", "cecill", "rail", "beer", "granted", "permitted", "redistributions", "restriction", "endorse", "advertising", "compliance", "basis", "warranty", "free software", "merchantability", "mozilla", "eclipse", "materials", "plainly", "unencumbered", "neighboring", "redistribute", "paragraph", "openssl", "evil", "reserved", "confidential", "commercial", "scripts", "perl", "wtfpl", "clause", "historical", "later version", "public", "attribution")
 
 
 @dataclass(frozen=True)
