@@ -30,60 +30,78 @@ from .common import Scratch
 MAX_LEN = 4096
 END_ID = 2
 #: Words whose ids a worker remembers before it begins anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 _KEY_BITS = 48
 
 
 class WordEncoder:
     """Ids of whole texts as little-endian bytes.
 
-    The vocabulary splits at blanks before anything else, and letters from marks,
-    so that a text's ids are those of its blank-separated words in turn, and those of
-    a word of letters before marks are the letters' and then the marks'. Words repeat,
-    and what was found is remembered. All other words go to the tokenizer as they are.
+    The vocabulary splits at blanks, and letters from marks, before anything else, so
+    that a text's ids are those of its words and runs of marks in turn. Those repeat, and
+    what was found is remembered. A plain text (composed letters, digits, blanks and
+    ASCII marks other than ' and _) is lower-cased and blanks are set around its marks
+    first; words of letters or marks only then go to the BPE model as they are. All
+    others pass through the whole tokenizer, split at blanks alone.
     """
 
+    MARKS = re.compile(r"([!-&(-/:-@\[-^`{-~]+)")
+    ODD = re.compile(r"[^\w \t\n\r\x0b\x0c!-&(-/:-@\[-^`{-~]|_|[\u0130\u03a3]|<\|")
+
+    EASY = bytes(b for b in range(128) if (b > 31 or 9 <= b <= 13) and b != 127 and chr(b) not in "'_")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.marks = re.compile(r"[^\W\d_]+([.,;:!?%$&*#|]*)")
+        self.plain: dict[bytes, bytes] = {}
+        self.other: dict[bytes, bytes] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.bytes = {b: 256 + i for i, b in enumerate(hidden)}
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _whole(self, words: list[bytes]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        split: list[tuple[bytes, str, str]] = []
-        parts, known = self.parts, self.known
-        other = []
+        bpe, known, ids, digits = self.tokenizer.model.tokenize, self.plain, self.ids, []
         for word in words:
             text = word.decode()
-            m = self.marks.fullmatch(text)
-            if m and (text.isascii() or (is_normalized("NFC", text) and "\u0130" not in text and "\u03a3" not in text)):
-                tail = m[1]
-                split.append((word, (text[: len(text) - len(tail)] if tail else text).lower(), tail))
+            if text.isascii():  # letters, or a run of marks: shown as themselves
+                if not text.isalpha() and any(map(str.isalnum, text)):
+                    digits.append(word)
+                    continue
+            elif text.isalpha():
+                text = word.decode("latin-1").translate(self.bytes)
             else:
-                other.append(word)
-        fresh = list({x for _, core, tail in split for x in (core, tail) if x and x not in parts})
-        parts.update(zip(fresh, self._whole(fresh)))
-        for word, core, tail in split:
-            known[word] = parts[core] + parts[tail] if tail else parts[core]
-        known.update(zip(other, self._whole([w.decode() for w in other])))
+                digits.append(word)
+                continue
+            known[word] = b"".join([ids[t.id] for t in bpe(text)])
+        known.update(zip(digits, self._whole(digits)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = {w for words in split for w in words}
-        if len(self.parts) > CACHE_WORDS // 2:
-            self.parts.clear()
-        self._learn(list(new))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        split, plain = [], []
+        for text in texts:
+            text = text or ""
+            if text.isascii():
+                easy = not text.encode().translate(None, self.EASY) and "<|" not in text
+            else:
+                easy = not self.ODD.search(text) and is_normalized("NFC", text)
+            if easy:
+                text = self.MARKS.sub(r" \1 ", text.lower())
+            plain.append(easy)
+            split.append(text.encode("utf-8", "replace").split())
+        for known, kind, learn in ((self.plain, True, self._learn), (self.other, False, lambda ws: self.other.update(zip(ws, self._whole(ws))))):
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            new: set[bytes] = set()
+            for words, easy in zip(split, plain):
+                if easy is kind:
+                    new.update(words)
+            learn([w for w in new if w not in known])
+        return [b"".join(map((self.plain if easy else self.other).__getitem__, words)) for words, easy in zip(split, plain)]
 
 
 def default_vocabulary() -> str:
