@@ -46,10 +46,10 @@ class WordEncoder:
     """
 
     MARKS = re.compile(r"([!-&(-/:-@\[-^`{-~]+)")
-    ODD = re.compile(r"[^\w \t\n\r\x0b\x0c!-&(-/:-@\[-^`{-~]|_|[\u0130\u03a3]|<\|")
-
     EASY = bytes(b for b in range(128) if (b > 31 or 9 <= b <= 13) and b != 127 and chr(b) not in "'_")
 
+    HIGH = bytes(range(128, 256))
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -61,6 +61,14 @@ class WordEncoder:
         self.bytes = {b: 256 + i for i, b in enumerate(hidden)}
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
+    def _easy(self, text: str) -> bool:
+        """Whether a text is plain: what is left of it without easy ASCII is composed letters and digits."""
+        left = text.encode("utf-8", "replace").translate(None, self.EASY)
+        if "<|" in text or left.translate(None, self.HIGH):
+            return False
+        rest = left.decode()
+        return not left or (rest.isalnum() and "\u0130" not in rest and "\u03a3" not in rest and is_normalized("NFC", text))
+
     def _whole(self, words: list[bytes]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
             yield np.array(e.ids, "<u4").tobytes()
@@ -85,10 +93,7 @@ class WordEncoder:
         split, plain = [], []
         for text in texts:
             text = text or ""
-            if text.isascii():
-                easy = not text.encode().translate(None, self.EASY) and "<|" not in text
-            else:
-                easy = not self.ODD.search(text) and is_normalized("NFC", text)
+            easy = self._easy(text)
             if easy:
                 text = self.MARKS.sub(r" \1 ", text.lower())
             plain.append(easy)
