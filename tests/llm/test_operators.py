@@ -477,7 +477,7 @@ def test_pipeline(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == len(pieces)
 
 
-@pytest.mark.parametrize("name", ["op4_quality_rules"])
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op10_jaccard_join"])
 def test_sql(spark, name):
     import duckdb
 
