@@ -61,7 +61,8 @@ def _replaced(s: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def loose_generic(s: Column) -> Column:
-    return _drop(fold_standalone(strip_marks(s)))
+    """Marks stripped, lone letters folded; ASCII, which has neither, skips the tables."""
+    return _drop(F.when(s.rlike(r"[^\x00-\x7F]"), fold_standalone(strip_marks(s))).otherwise(s))
 
 
 #: Loose folding by language, of an exact key; other languages fold generically.
