@@ -56,6 +56,19 @@ def _write(df: DataFrame, path: str, key: str | None = None) -> None:
     (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.mode("overwrite").parquet(path)
 
 
+def number_rows(entries: DataFrame) -> DataFrame:
+    """entries with ``entry_rowid`` for ``line_no``: 1, 2, ... in that order.
+
+    Line numbers hold the reading partition in their upper bits; rows are numbered
+    within each and set off by the counts before it, a row for each partition.
+    """
+    rows = entries.withColumn("_part", F.shiftright("line_no", 33))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rn = F.row_number().over(Window.partitionBy("_part").orderBy("line_no"))
+    return rows.withColumn("_rn", rn).join(F.broadcast(before), "_part").withColumn("entry_rowid", F.col("_before") + F.col("_rn")).drop("line_no", "_part", "_rn", "_before")
+
+
 @dataclass
 class BuildStats:
     lines: int = 0
@@ -71,7 +84,7 @@ def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = Fa
     spark = entries.sparkSession
     if manifest["schema_version"] > SCHEMA_VERSION:
         raise ValueError(f"pack format {manifest['schema_version']} is newer than {SCHEMA_VERSION}")
-    rows = entries.withColumn("entry_rowid", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line_no")).cast("long")).drop("line_no")
+    rows = number_rows(entries)
     _write(rows, f"{out}/entries", "entry_rowid")
     stored = spark.read.parquet(f"{out}/entries")
     _write(search_terms(stored, composed), f"{out}/terms", "term")
