@@ -129,7 +129,7 @@ def test_line_dedup(spark):
         rows.append((i, ("\n" if i % 3 else "\n\n").join(lines)))
     rows.append((60, rows[7][1]))
     rows.append((61, "\n".join([pool[3], pool[3], pool[3]])))
-    extra = docs_of(spark, rows).withColumn("k", F.lit(1)).withColumn("deleted_lines", F.lit("x")).repartition(5)
+    extra = docs_of(spark, rows).withColumn("k", F.lit(1)).withColumn("_k", F.lit(2)).withColumn("gone", F.lit(3)).withColumn("deleted_lines", F.lit("x")).repartition(5)
     got = {r.doc_id: r for r in line_dedup.dedup_lines(extra).collect()}
     want = brute_lines(rows)
     assert len(got) == len(rows)
@@ -314,7 +314,7 @@ def test_mixing(spark):
     rng = random.Random(9)
     sources = [rng.choice(["a", "a", "a", "a", "a", "b", "c", None, "é"]) for _ in range(1500)]
     texts = [(i if i % 50 else None, prose(rng, rng.randrange(0, 40)) if i % 70 else None) for i in range(1500)]
-    df = docs_of(spark, texts, sources).withColumn("target", F.lit(1)).withColumn("size", F.lit(2))
+    df = docs_of(spark, texts, sources).withColumn("target", F.lit(1)).withColumn("size", F.lit(2)).withColumn("_size", F.lit("mine"))
     rows, again = (mixing.mix(df, with_text=False).collect() for _ in range(2))
     key = lambda r: (r.doc_id or -1, r.source or "", r.size, r.taken)
     assert sorted(map(key, rows)) == sorted(map(key, again)) and len(rows) == 1500
@@ -339,6 +339,7 @@ def test_mixing(spark):
         open_ -= over
     for s in names:
         assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 25
+    assert {r._size for r in mixing.mix(df).select("_size").distinct().collect()} == {"mine"}
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 

@@ -406,7 +406,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one row of each component: that with the smallest id."""
     join = JaccardJoin(docs, id_col, text_col)
     found = join.scratch.save(join.components(), "found")
-    losers = join.scratch.save(found.where("k <> keeper").select(F.col("k").alias("_k")).distinct(), "losers")
-    kept = docs.withColumn("_k", row_key(id_col, text_col)).join(small_side(losers, 24), "_k", "left_anti")
+    losers = join.scratch.save(found.where("k <> keeper").select(F.col("k").alias("__vb_k")).distinct(), "losers")
+    kept = docs.withColumn("__vb_k", row_key(id_col, text_col)).join(small_side(losers, 24), "__vb_k", "left_anti")
     repeated = found.where("k = keeper").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return (kept.dropDuplicates(["_k"]) if repeated else kept).drop("_k").select(*docs.columns)
+    return (kept.dropDuplicates(["__vb_k"]) if repeated else kept).drop("__vb_k").select(*docs.columns)

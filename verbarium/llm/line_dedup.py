@@ -130,9 +130,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = repeated_lines(docs, scratch, id_col, text_col)
     size = gone.agg(F.count("*").alias("n"), F.sum(F.size("gone")).alias("lines")).first()
     fits = size.n * 64 + (size.lines or 0) * 4 <= BROADCAST_BYTES
-    side = gone.select(F.col("k").alias("_k"), F.col("gone").alias("_gone"))
-    out = docs.withColumn("_k", row_key(id_col, text_col)).join(F.broadcast(side) if fits else side, "_k", "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    side = gone.select(F.col("k").alias("__vb_k"), F.col("gone").alias("__vb_gone"))
+    out = docs.withColumn("__vb_k", row_key(id_col, text_col)).join(F.broadcast(side) if fits else side, "__vb_k", "left")
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(F.col("__vb_gone"), i))
+    text = F.when(F.col("__vb_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     none = F.array().cast("array<int>")
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce("_gone", none).alias("deleted_lines"))
+    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce("__vb_gone", none).alias("deleted_lines"))

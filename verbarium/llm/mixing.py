@@ -42,59 +42,59 @@ def quality_weight(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, resolution: int, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with ``_source``, ``_size``, ``_hash``, ``_key`` and ``_bucket``."""
+    """docs with ``__vb_source``, ``__vb_size``, ``__vb_hash``, ``__vb_key`` and ``__vb_bucket``."""
     text = F.col(text_col)
     weight = quality_weight(text) if weight is None else weight
-    df = docs.withColumn("_source", F.col(source_col)).withColumn("_size", n_words(text)).withColumn("_hash", F.xxhash64(F.lit(SEED), F.col(id_col), text))
-    u = (F.shiftrightunsigned("_hash", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    df = df.withColumn("_key", -F.ln(u) / F.greatest(weight, F.lit(1e-6)))
-    return df.withColumn("_bucket", F.least(F.col("_key") * resolution, F.lit(1e15)).cast("long"))
+    df = docs.withColumn("__vb_source", F.col(source_col)).withColumn("__vb_size", n_words(text)).withColumn("__vb_hash", F.xxhash64(F.lit(SEED), F.col(id_col), text))
+    u = (F.shiftrightunsigned("__vb_hash", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    df = df.withColumn("__vb_key", -F.ln(u) / F.greatest(weight, F.lit(1e-6)))
+    return df.withColumn("__vb_bucket", F.least(F.col("__vb_key") * resolution, F.lit(1e15)).cast("long"))
 
 
 def mix_targets(sizes: DataFrame) -> DataFrame:
-    """(_source, source_size) with ``target``: weighted shares of the whole, none above MAX_EPOCHS times its source.
+    """(__vb_source, source_size) with ``target``: weighted shares of the whole, none above MAX_EPOCHS times its source.
 
     Sources sorted by cap over weight: the first one whose share is within its cap
     fixes the share of all that follow; those before it stop at their caps.
     """
-    order = Window.orderBy(F.col("_source").asc_nulls_last())
+    order = Window.orderBy(F.col("__vb_source").asc_nulls_last())
     place = (F.row_number().over(order) - 1) % len(WEIGHTS)
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), place + 1)
-    caps = sizes.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * float(MAX_EPOCHS)).withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    rising = Window.orderBy("_ratio", F.col("_source").asc_nulls_last())
+    caps = sizes.withColumn("__vb_w", weight).withColumn("__vb_cap", F.col("source_size") * float(MAX_EPOCHS)).withColumn("__vb_ratio", F.col("__vb_cap") / F.col("__vb_w"))
+    rising = Window.orderBy("__vb_ratio", F.col("__vb_source").asc_nulls_last())
     before, after = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy()
-    share = (F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    level = F.min(F.when(F.col("_share") <= F.col("_ratio"), F.struct("_ratio", "_share"))).over(whole)["_share"]
-    return caps.withColumn("_share", share).withColumn("_level", level).select("_source", "source_size", F.coalesce(F.least(F.col("_level") * F.col("_w"), F.col("_cap")), F.col("_cap")).alias("target"))
+    share = (F.sum("source_size").over(whole) - F.coalesce(F.sum("__vb_cap").over(before), F.lit(0.0))) / F.sum("__vb_w").over(after)
+    level = F.min(F.when(F.col("__vb_share") <= F.col("__vb_ratio"), F.struct("__vb_ratio", "__vb_share"))).over(whole)["__vb_share"]
+    return caps.withColumn("__vb_share", share).withColumn("__vb_level", level).select("__vb_source", "source_size", F.coalesce(F.least(F.col("__vb_level") * F.col("__vb_w"), F.col("__vb_cap")), F.col("__vb_cap")).alias("target"))
 
 
 def mix_plan(slim: DataFrame, scratch: Scratch, name: str = "plan") -> DataFrame:
-    """One row for each source of a keyed table: source_size, target, _epochs and where its last pass ends."""
-    sizes = slim.groupBy("_source").agg(F.sum("_size").alias("source_size"))
+    """One row for each source of a keyed table: source_size, target, __vb_epochs and where its last pass ends."""
+    sizes = slim.groupBy("__vb_source").agg(F.sum("__vb_size").alias("source_size"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = scratch.save(mix_targets(sizes).withColumn("_epochs", full).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size")), f"{name}_targets")
+    plan = scratch.save(mix_targets(sizes).withColumn("__vb_epochs", full).withColumn("__vb_rest", F.col("target") - F.col("__vb_epochs") * F.col("source_size")), f"{name}_targets")
     n = plan.count()
-    sums = slim.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
-    cum = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_sum")
-    sums = sums.withColumn("_before", cum)
-    ends = sums.join(small_side(plan.select(F.col("_source").alias("_s2"), "_rest"), 64, n), F.col("_source").eqNullSafe(F.col("_s2")))
-    ends = scratch.save(ends.where("_rest > 0 AND _before < _rest AND _before + _sum >= _rest").select(F.col("_source").alias("_s2"), F.col("_bucket").alias("_end"), "_before", "_rest"), f"{name}_ends")
-    last = slim.join(small_side(ends, 64, n), F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_bucket") == F.col("_end")))
-    run = F.sum("_size").over(Window.partitionBy("_s2").orderBy("_key", "_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")
-    last = last.withColumn("_run", run + F.col("_before")).where(F.col("_run") + F.col("_size") / 2 < F.col("_rest"))
-    cuts = last.groupBy("_s2").agg(F.max(F.struct("_key", "_hash")).alias("_cut"))
-    out = plan.join(ends.select("_s2", "_end"), F.col("_source").eqNullSafe(F.col("_s2")), "left").drop("_s2")
-    out = out.join(cuts, F.col("_source").eqNullSafe(F.col("_s2")), "left")
-    return scratch.save(out.select("_source", "source_size", "target", "_epochs", F.coalesce("_end", F.lit(-1)).alias("_end"), "_cut"), name)
+    sums = slim.groupBy("__vb_source", "__vb_bucket").agg(F.sum("__vb_size").alias("__vb_sum"))
+    cum = F.sum("__vb_sum").over(Window.partitionBy("__vb_source").orderBy("__vb_bucket")) - F.col("__vb_sum")
+    sums = sums.withColumn("__vb_before", cum)
+    ends = sums.join(small_side(plan.select(F.col("__vb_source").alias("__vb_s2"), "__vb_rest"), 64, n), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")))
+    ends = scratch.save(ends.where("__vb_rest > 0 AND __vb_before < __vb_rest AND __vb_before + __vb_sum >= __vb_rest").select(F.col("__vb_source").alias("__vb_s2"), F.col("__vb_bucket").alias("__vb_end"), "__vb_before", "__vb_rest"), f"{name}_ends")
+    last = slim.join(small_side(ends, 64, n), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")) & (F.col("__vb_bucket") == F.col("__vb_end")))
+    run = F.sum("__vb_size").over(Window.partitionBy("__vb_s2").orderBy("__vb_key", "__vb_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__vb_size")
+    last = last.withColumn("__vb_run", run + F.col("__vb_before")).where(F.col("__vb_run") + F.col("__vb_size") / 2 < F.col("__vb_rest"))
+    cuts = last.groupBy("__vb_s2").agg(F.max(F.struct("__vb_key", "__vb_hash")).alias("__vb_cut"))
+    out = plan.join(ends.select("__vb_s2", "__vb_end"), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")), "left").drop("__vb_s2")
+    out = out.join(cuts, F.col("__vb_source").eqNullSafe(F.col("__vb_s2")), "left")
+    return scratch.save(out.select("__vb_source", "source_size", "target", "__vb_epochs", F.coalesce("__vb_end", F.lit(-1)).alias("__vb_end"), "__vb_cut"), name)
 
 
 def copies(df: DataFrame, plan: DataFrame) -> DataFrame:
     """A keyed table with source_size, target and ``copies``: how often the mix takes each row."""
-    p = plan.select(F.col("_source").alias("_s2"), "source_size", "target", "_epochs", "_end", "_cut")
-    out = df.join(small_side(p, 128), F.col("_source").eqNullSafe(F.col("_s2")), "left")
-    within = (F.col("_bucket") < F.col("_end")) | ((F.col("_bucket") == F.col("_end")) & F.coalesce(F.struct("_key", "_hash") <= F.col("_cut"), F.lit(False)))
-    return out.withColumn("copies", F.col("_epochs") + within.cast("long")).drop("_s2", "_epochs", "_end", "_cut")
+    p = plan.select(F.col("__vb_source").alias("__vb_s2"), "source_size", "target", "__vb_epochs", "__vb_end", "__vb_cut")
+    out = df.join(small_side(p, 128), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")), "left")
+    within = (F.col("__vb_bucket") < F.col("__vb_end")) | ((F.col("__vb_bucket") == F.col("__vb_end")) & F.coalesce(F.struct("__vb_key", "__vb_hash") <= F.col("__vb_cut"), F.lit(False)))
+    return out.withColumn("copies", F.col("__vb_epochs") + within.cast("long")).drop("__vb_s2", "__vb_epochs", "__vb_end", "__vb_cut")
 
 
 def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_text: bool = True) -> DataFrame:
@@ -109,6 +109,6 @@ def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", t
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     own = docs.columns if with_text else [id_col, source_col]
     table = keyed(docs, resolution, weight, id_col, text_col, source_col)
-    slim = scratch.save(table.select(*([] if with_text else own), "_source", "_size", "_hash", "_key", "_bucket"), "slim")
+    slim = scratch.save(table.select(*([] if with_text else own), "__vb_source", "__vb_size", "__vb_hash", "__vb_key", "__vb_bucket"), "slim")
     made = copies(table if with_text else slim, mix_plan(slim, scratch))
-    return made.select(*own, F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))
+    return made.select(*own, F.col("__vb_size").alias("size"), "source_size", "target", "copies", (F.col("__vb_size") * F.col("copies")).alias("taken"))
