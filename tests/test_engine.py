@@ -1,12 +1,15 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from verbarium.functions import normalize, text
-from verbarium.operators import packs
+from verbarium.__main__ import main
+from verbarium.operators import measure, packaging, packs
 from verbarium.operators.search import SearchEngine, Settings
 from verbarium.plans import lookup
+from verbarium.sources import files, readers
 
 SOURCES = [{"id": "t", "name": "Test", "url": "", "license": "CC0", "attribution": ""}]
 
@@ -133,12 +136,18 @@ def test_newer_format_and_bad_lines(spark, build, tmp_path):
 
 
 def test_batch_agrees_with_single(spark, engine):
-    e = engine(("a", [made("l", "en", "light", [("lights", "plural")]), made("g", "en", "lightning"), made("x", "en", "Li")]))
-    asked = spark.createDataFrame([(1, "light"), (2, "li"), (3, "l"), (4, "")], "query_id INT, raw STRING")
-    got = {}
-    for r in e.suggest_batch(asked).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.entry_id)
-    assert got == {k: ids(e.suggest(q)) for k, q in ((1, "light"), (2, "li"), (3, "l"))}
+    e = engine(
+        ("a", [made("l", "en", "light", [("lights", "plural")]), made("g", "en", "lightning"), made("x", "en", "Li"), made("d", "en", "dawn", definition="the first appearance of light", example="at the crack of dawn"), made("c", "en", "c_de"), made("f", "en", "fiancée")]),
+        ("b", [made("s", "de", "Straße", definition="appearance of light in a street"), made("o", "de", "light")], ("de",)),
+    )
+    texts = ["light", "li", "l", "", "l?ght", "*ight", "l*t", "*", "?i*", "*n*", "c_*", "fiancee", "STRASSE", "appearance of light", "crack of dawn", "of of", "* *", "- -", "%", "x y"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id INT, raw STRING")
+    for limit in (10, 1):
+        got = {}
+        for r in e.suggest_batch(asked, limit).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.entry_id, r.matched_term, r.match_type))
+        want = {i: [(r.entry_id, r.matched_term, r.match_type) for r in e.suggest(q, limit).collect()] for i, q in enumerate(texts)}
+        assert got == {i: x for i, x in want.items() if x}
 
 
 def test_pack_invariants_and_coverage(spark, build):
@@ -191,21 +200,91 @@ def test_sentence_merge(spark, build, tmp_path):
 def test_text_functions(spark):
     f = lambda c: spark.range(1).select(c).first()[0]
     assert f(text.edge_strip(F.lit("  “Hello,  world!” "))) == "Hello, world" and f(text.edge_strip(F.lit("-a"))) == "-a"
-    assert f(text.lookup_label(F.lit("a" * 41))) == "a" * 39 + "…"
+    assert f(text.lookup_label(F.lit("a" * 41))) == "Look up “" + "a" * 39 + "…”"
     assert f(text.word_at(F.lit("una col·lecció d'art"), F.lit(6))) == "col·lecció"
     assert f(text.tokenize(F.lit("Don't 'x' a-b I —"))) == ["don't", "x", "a-b"]
 
 
-def test_install_checks_sums(spark, build, tmp_path):
-    pack = build("a", [made("l", "en", "light")])
-    rows = [(r.digest, r["name"]) for r in packs.sums(spark, pack).collect()]
-    sums = tmp_path / "SUMS"
-    sums.write_text("".join(f"{d}  {n}\n" for d, n in rows))
-    packs.install(spark, pack, str(sums), str(tmp_path / "to"))
-    assert spark.read.parquet(str(tmp_path / "to" / "entries")).count() == 1
-    sums.write_text("".join(f"{'0' * 64}  {n}\n" for _, n in rows))
-    with pytest.raises(ValueError):
-        packs.install(spark, pack, str(sums), str(tmp_path / "to"))
+def test_package_and_install(spark, build, tmp_path):
+    pack, out = build("a", [made("l", "en", "light")]), str(tmp_path / "release")
+    row = packaging.package(spark, [pack], out).first()
+    assert (row.pack_id, row.languages, row.entries) == ("a", "en", 1) and row.raw_bytes > 0
+    listed = {r["name"] for r in packaging.read_sums(spark, f"{out}/SHA256SUMS").collect()}
+    assert listed and all(n.startswith("a/") and n.endswith(".gz.parquet") for n in listed)
+    to = str(tmp_path / "to")
+    assert packaging.install(spark, f"{out}/a", to, f"{out}/SHA256SUMS") and not packaging.install(spark, f"{out}/a", to)
+    assert spark.read.parquet(f"{to}/entries").count() == 1
+    bad = tmp_path / "bad"
+    bad.write_text("".join(f"{'0' * 64}  {n}\n" for n in listed) + "not a sum line\n")
+    with pytest.raises(ValueError, match="checksum"):
+        packaging.install(spark, f"{out}/a", to, str(bad))
+    with pytest.raises(ValueError, match="not a valid"):
+        packaging.install(spark, build("e", []), to)
+    assert spark.read.parquet(f"{to}/entries").count() == 1
+
+
+def test_manifest_warnings_and_command_line(spark, build, tmp_path, capsys):
+    dump = tmp_path / "dump"
+    dump.write_bytes(b"x" * (1 << 20) + b"rest")
+    assert files.sha256(str(dump), 1) == hashlib.sha256(b"x" * (1 << 20)).hexdigest() and files.sha256(str(dump)) != files.sha256(str(dump), 1)
+    made_ = packaging.make_manifest("de", "Deutsch", "Edition", "", str(dump), "CC0", "src", "today")
+    assert made_["id"] == "src-de" and "today" in made_["sources"][0]["attribution"]
+    pack = build("zh", [made("n", "zh", "nihao")], ("zh", "en"))
+    assert packs.coverage_warnings(spark, pack).count() == 3
+    assert main(["unknown"]) == 2 and main(["lookup"]) == 2
+    assert main(["inspect", pack]) == 0 and "lemma: 1" in capsys.readouterr().out
+    assert main(["lookup", "nih", "5", str(tmp_path / "packs")]) == 0 and "nihao" in capsys.readouterr().out
+    assert main(["coverage", pack]) == 0 and "warning" in capsys.readouterr().out
+    found = SearchEngine(spark).load_directories([str(tmp_path / "none"), str(tmp_path / "packs")])
+    assert found["loaded"] == 1 and found["errors"] == []
+
+
+def test_numbers_and_percentiles(spark):
+    rows = [("a", float(i % 7)) for i in range(50)] + [("b", 3.0)] * 9 + [("c", float(i)) for i in range(1000)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
+    got = {r.k: (round(r["mean"], 6), r.p50, r.p95) for r in measure.nearest_rank(df, "k", "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    want = {}
+    for k in "abc":
+        vs = sorted(v for x, v in rows if x == k)
+        want[k] = (round(sum(vs) / len(vs), 6), *(vs[int((len(vs) - 1) * p + 0.5)] for p in (0.5, 0.95)))
+    assert got == want
+    keyed = spark.createDataFrame([(None if i % 3 == 0 else i % 3, i) for i in range(40)], "k INT, at LONG")
+    numbered = measure.number_within(keyed, ["k"], "at", F.shiftright("at", 3), "n").collect()
+    assert {r.at: r.n for r in numbered} == {i: i // 3 + (i % 3 == 0) + (i % 3 != 0) for i in range(40)}
+
+
+def test_sentence_records(spark, tmp_path):
+    p = tmp_path / "s.json"
+    p.write_text(json.dumps([{"id": 1, "text": "hola", "lang": "spa", "translations": [[{"id": 2, "text": "salut", "lang": "fra", "license": "X"}], [{"id": 3, "text": "hi", "lang": "eng"}]]}, {"id": 4, "text": "solo", "lang": "spa", "translations": []}]))
+    records = readers.read_sentence_json(spark, str(p))
+    pairs = {r.target_id: (r.license, r.attribution) for r in readers.sentence_pairs(records).collect()}
+    assert pairs[2][0] == "X" and pairs[3][0] == readers.SENTENCE_LICENSE and pairs[3][1].endswith("#1 -> #3")
+    of = lambda lang: {r.source_id: r.translation for r in readers.sentence_examples(records, lang).collect()}
+    assert of("eng") == {"tatoeba:1": "hi", "tatoeba:4": None} and of(None)["tatoeba:1"] == "salut" and of("deu")["tatoeba:1"] is None
+
+
+def test_entry_view_and_speech(spark):
+    f = lambda c: spark.range(1).select(c).first()[0]
+    forms = F.from_json(F.lit(json.dumps([{"form": "a", "type": "plural"}, {"form": "b", "type": ""}, {"form": "c", "type": "Canonical"}, {"form": "d", "type": "plural"}, {"form": "d", "type": "dual"}])), "array<struct<form:string,type:string>>")
+    assert [(x.form, x.type) for x in f(text.display_forms(forms, F.lit("a")))] == [("d", "plural")]
+    said = F.from_json(F.lit('[{"ipa": "x", "audio": null}, {"ipa": "", "audio": "m.mp3"}]'), "array<struct<ipa:string,audio:string>>")
+    assert [x.ipa for x in f(text.spoken(said))] == ["x"] and [x.audio for x in f(text.recordings(said))] == ["m.mp3"]
+    assert f(text.voice_for(F.lit("ary"))) == "ar-MA-MounaNeural" and f(text.voice_for(F.lit("xx"))) is None
+    assert f(text.speech_time(F.lit(1789324820))) == "Sun Sep 13 2026 18:40:20 GMT+0000 (Coordinated Universal Time)"
+    ticks = (1789324820 + 11_644_473_600) // 300 * 300 * 10_000_000
+    assert f(text.speech_token(F.lit(1789324820), "k")) == hashlib.sha256(f"{ticks}k".encode()).hexdigest().upper()
+    assert f(text.speech_text(F.lit("<" * 601))) == "&lt;" * 600
+
+
+def test_packs_without_an_index_search_inside_terms(spark, engine):
+    e = engine(("a", [made("m", "en", "early morning light")]))
+    assert [r.match_type for r in e.suggest("morning light").collect()] == ["content"]
+    files.delete(e.packs[0].path + "/postings")
+    again = SearchEngine(spark)
+    again.add_pack(e.packs[0].path)
+    assert [r.matched_term for r in again.suggest("morning light").collect()] == ["early morning light"]
+    asked = spark.createDataFrame([(1, "morning light")], "query_id INT, raw STRING")
+    assert [r.entry_id for r in again.suggest_batch(asked).collect()] == ["m"]
 
 
 def test_lookups_push_down(spark, build):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import trim
 from ..functions.text import relation_word
+from .measure import number_within
 
 
 def _or_empty(c: Column, kind: str = "array<string>") -> Column:
@@ -93,8 +94,9 @@ def disambiguate(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Entries with ``id``: the base id, then ``~2``, ``~3`` in input order; at most ``limit`` entries in that order."""
     if limit is not None:
         rows = rows.orderBy("line_no").limit(limit)
-    n = F.row_number().over(Window.partitionBy("base_id").orderBy("line_no"))
-    return rows.withColumn("copy", n).withColumn("id", F.when(n > 1, F.concat("base_id", F.lit("~"), n.cast("string"))).otherwise(F.col("base_id")))
+    n = F.col("copy")
+    rows = number_within(rows, ["base_id"], "line_no", F.shiftright("line_no", 33), "copy")
+    return rows.withColumn("id", F.when(n > 1, F.concat("base_id", F.lit("~"), n.cast("string"))).otherwise(F.col("base_id")))
 
 
 def with_defaults(entries: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import normalize
 from ..functions.schemas import SCHEMA_VERSION
 from ..functions.text import fts_tokens, has_han, tokenize
-from ..sources import readers
+from ..sources import files, readers
 from . import importing
+from .measure import number_within
 
 TABLES = ("entries", "terms", "postings", "sources", "pack")
+WEIGHTS = (20.0, 10.0, 3.0, 1.0)
 FIELDS = ("headwords", "definitions", "examples", "relations")
 
 
@@ -57,16 +58,8 @@ def _write(df: DataFrame, path: str, key: str | None = None) -> None:
 
 
 def number_rows(entries: DataFrame) -> DataFrame:
-    """entries with ``entry_rowid`` for ``line_no``: 1, 2, ... in that order.
-
-    Line numbers hold the reading partition in their upper bits; rows are numbered
-    within each and set off by the counts before it, a row for each partition.
-    """
-    rows = entries.withColumn("_part", F.shiftright("line_no", 33))
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    rn = F.row_number().over(Window.partitionBy("_part").orderBy("line_no"))
-    return rows.withColumn("_rn", rn).join(F.broadcast(before), "_part").withColumn("entry_rowid", F.col("_before") + F.col("_rn")).drop("line_no", "_part", "_rn", "_before")
+    """entries with ``entry_rowid`` for ``line_no``: 1, 2, ... in that order; line numbers hold the reading partition in their upper bits."""
+    return number_within(entries, [], "line_no", F.shiftright("line_no", 33), "entry_rowid").drop("line_no")
 
 
 @dataclass
@@ -98,8 +91,7 @@ def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = Fa
 
 
 def load_manifest(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+    found = json.loads(files.read_text(path))
     missing = [k for k in ("id", "schema_version", "languages") if k not in found]
     if missing or not found["languages"]:
         raise ValueError(f"manifest lacks {missing or 'languages'}")
@@ -165,7 +157,9 @@ def merge_sentences(spark: SparkSession, pack: str, sentences_path: str, links_p
     credit = spark.createDataFrame([("tatoeba", "Sentence corpus", "https://tatoeba.org", "CC BY 2.0 FR", None)], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
     old = spark.read.parquet(f"{pack}/sources").join(credit.select("id"), "id", "left_anti")
     _write(old.unionByName(credit), f"{out}/sources")
-    return int(stored.agg(F.coalesce(F.sum(F.size("added")), F.lit(0))).first()[0])
+    total = int(stored.agg(F.coalesce(F.sum(F.size("added")), F.lit(0))).first()[0])
+    files.delete(f"{out}/entries_added")
+    return total
 
 
 def validate_pack(spark: SparkSession, pack: str) -> DataFrame:
@@ -194,38 +188,47 @@ def coverage(entries: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term_type").agg(F.count("*").alias("n"))
+def coverage_warnings(spark: SparkSession, pack: str) -> DataFrame:
+    """(warning): what a pack of its languages should have and lacks. Warnings never fail a build; a pack without entries does."""
+    entries, terms = spark.read.parquet(f"{pack}/entries"), spark.read.parquet(f"{pack}/terms")
+    row = coverage(entries).first()
+    if not row.entries:
+        raise ValueError(f"{pack} has no entries")
+    languages, found = spark.read.parquet(f"{pack}/pack").first().languages, []
+    if "en" in languages and not row.translations:
+        found.append("no entry has a translation")
+    if "zh" in languages and row.han_share < 0.5:
+        found.append("fewer than half of the lemmas are Han")
+    if "zh" in languages and not terms.where("term_type = 'transcription'").limit(1).count():
+        found.append("no transcriptions")
+    return spark.createDataFrame([(x,) for x in found], "warning STRING")
 
 
-def install(spark: SparkSession, archive: str, sums: str, out: str) -> None:
-    """Copy a pack's files whose SHA-256 agrees with a sums table (digest, name); a missing or other digest fails."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(archive)
-    got = files.select(F.regexp_replace("path", r".*/(\w+/[^/]+)$", "$1").alias("name"), F.sha2("content", 256).alias("got"))
-    want = spark.read.text(sums).select(F.split("value", r"\s+", 2).alias("x")).where(F.size("x") == 2).select(F.col("x")[0].alias("digest"), F.trim(F.col("x")[1]).alias("name"))
-    bad = got.join(want, "name", "left").where(~F.coalesce(F.col("digest") == F.col("got"), F.lit(False))).limit(1).collect()
-    if bad:
-        raise ValueError(f"checksum differs: {bad[0]['name']}")
-    for t in TABLES:
-        spark.read.parquet(os.path.join(archive, t)).write.mode("overwrite").parquet(os.path.join(out, t))
+def inspect(spark: SparkSession, pack: str) -> tuple[int, dict, dict[str, int]]:
+    """Entries, manifest and terms of each type of a pack."""
+    meta = spark.read.parquet(f"{pack}/pack").first()
+    kinds = {r.term_type: r.n for r in term_counts(spark.read.parquet(f"{pack}/terms")).orderBy("term_type").collect()}
+    return spark.read.parquet(f"{pack}/entries").count(), json.loads(meta.manifest), kinds
+
+
+def term_counts(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("term_type").agg(F.count("*").alias("n"))
 
 
-def sums(spark: SparkSession, pack: str) -> DataFrame:
-    """(digest, name) of a pack's Parquet files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(pack)
-    return files.select(F.sha2("content", 256).alias("digest"), F.regexp_replace("path", r".*/(\w+/[^/]+)$", "$1").alias("name"))
+def bm25_gain(tf: Column, df: Column, length: Column, n: Column, mean: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    idf = F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
 def bm25(post: DataFrame, tokens: list[str], weights: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(entry_rowid, score): Okapi BM25 with column weights over postings, for entries that have every token."""
-    w = F.element_at(F.create_map(*(x for f, v in zip(FIELDS, (20.0, 10.0, 3.0, 1.0)) for x in (F.lit(f), F.lit(v)))), F.col("col")) if weights is None else weights
+    w = F.element_at(F.create_map(*(x for f, v in zip(FIELDS, WEIGHTS) for x in (F.lit(f), F.lit(v)))), F.col("col")) if weights is None else weights
     lengths = post.groupBy("entry_rowid").agg(F.sum(F.size("positions")).alias("len"))
     total = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     tf = post.where(F.col("token").isin(*tokens)).groupBy("token", "entry_rowid").agg(F.sum(w * F.size("positions")).alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     x = tf.join(F.broadcast(df), "token").join(lengths, "entry_rowid").crossJoin(F.broadcast(total))
-    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    gain = bm25_gain(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("mean"), k1, b)
     scored = x.groupBy("entry_rowid").agg(F.sum(gain).alias("score"), F.count("*").alias("found"))
     return scored.where(F.col("found") == len(set(tokens))).select("entry_rowid", "score")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 from dataclasses import dataclass, field
@@ -15,8 +14,11 @@ from ..functions import normalize
 from ..functions.schemas import SCHEMA_VERSION
 from ..functions.text import fts_tokens
 from ..plans import lookup as plan
+from ..sources import files
 from . import importing, packs
 
+#: Patterns without a literal end that one pass over the terms evaluates.
+PATTERNS = 64
 RESULT = ("entry_id", "lemma", "language", "pos", "matched_term", "match_type")
 
 
@@ -27,6 +29,7 @@ class Pack:
     languages: list[str]
     entry_count: int
     default_source: str
+    indexed: bool = True
     priority: int = 0
     enabled: bool = True
 
@@ -65,7 +68,7 @@ class SearchEngine:
         self.spark, self.packs, self.load_errors = spark, [], []
 
     def add_pack(self, path: str, enabled: bool = True) -> None:
-        path = os.path.realpath(path)
+        path = files.canonical(path)
         if any(p.path == path for p in self.packs):
             return
         meta = self.spark.read.parquet(f"{path}/pack").first()
@@ -73,21 +76,29 @@ class SearchEngine:
             raise ValueError(f"{meta.pack_id}: format {meta.schema_version} is newer than this engine reads ({SCHEMA_VERSION})")
         manifest = json.loads(meta.manifest)
         default = manifest.get("default_source_id") or next((s["id"] for s in manifest.get("sources", [])), "")
-        self.packs.append(Pack(meta.pack_id, path, list(meta.languages), meta.entry_count, default, len(self.packs), enabled))
+        self.packs.append(Pack(meta.pack_id, path, list(meta.languages), meta.entry_count, default, files.is_dir(f"{path}/postings"), len(self.packs), enabled))
         self._sort()
 
     def load_directory(self, folder: str) -> int:
-        if not os.path.isdir(folder):
+        if not files.is_dir(folder):
             self.load_errors.append((folder, "pack directory not found"))
             return 0
         before = len(self.packs)
-        for path in sorted(glob.glob(f"{folder}/*/pack")):
+        for path in (f"{folder}/{name}" for name in files.folders(folder)):
+            if not files.is_dir(f"{path}/pack"):
+                continue
             try:
-                self.add_pack(os.path.dirname(path))
+                self.add_pack(path)
             except Exception as e:  # noqa: BLE001  a bad pack is reported, and the others load
-                self.load_errors.append((os.path.dirname(path), str(e)))
+                self.load_errors.append((path, str(e)))
         return len(self.packs) - before
 
+    def load_directories(self, folders: list[str]) -> dict:
+        """Packs of every folder that exists, most specific first; what was searched, how many loaded, and what failed."""
+        there = [f for f in folders if files.is_dir(f)]
+        loaded = sum(self.load_directory(f) for f in there)
+        return {"searched": list(folders), "loaded": loaded, "errors": [e for e in self.load_errors if e[1] != "pack directory not found"]}
+
     def _sort(self) -> None:
         self.packs.sort(key=lambda p: (p.priority, p.pack_id))
 
@@ -140,6 +151,8 @@ class SearchEngine:
             hits = [probe(F.col("term") == p.q, plan.EXACT, "term"), probe(F.col("term").startswith(p.q), plan.PREFIX, "term")]
         for key in self.loose_patterns(p.q):
             hits += [probe(F.col("loose_key") == key, plan.LOOSE_EXACT, "loose_key"), probe(F.col("loose_key").startswith(key), plan.LOOSE_PREFIX, "loose_key")]
+        if p.has_space and (plain := [i for i, x in enumerate(self.packs) if x.enabled and not x.indexed]):
+            hits.append(probe(F.col("pack_idx").isin(plain) & F.col("term").contains(p.q), plan.TERM_CONTAINS, "term"))
         found = reduce(DataFrame.unionByName, hits)
         if p.has_space and (tokens := self.spark.range(1).select(fts_tokens(F.lit(query.strip()))).first()[0]):
             found = self._with_content(found.persist(), tokens, over, limit)
@@ -149,7 +162,7 @@ class SearchEngine:
         """Phrase hits of packs in order, as long as the hits before them are under the limit."""
         count = found.count()
         for i, p in enumerate(self.packs):
-            if not p.enabled or count >= limit:
+            if not p.enabled or not p.indexed or count >= limit:
                 continue
             post = self.spark.read.parquet(f"{p.path}/postings")
             entries = self.spark.read.parquet(f"{p.path}/entries").select("entry_rowid", "lemma")
@@ -174,26 +187,101 @@ class SearchEngine:
         return None
 
     def suggest_batch(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        """Plain queries (query_id, raw) at once: equi-joins on the term, and on up to three leading characters for prefixes."""
+        """``suggest`` for many queries (query_id, raw) at once: (query_id, rank, result columns).
+
+        Every probe is an equi-join: on the term or loose key, or on up to three leading
+        characters of it for prefixes and for patterns with a literal end. Patterns without
+        one are evaluated together, PATTERNS at a time, in one pass over the terms. Phrases
+        join the postings of their tokens.
+        """
         over = max(4 * limit, 20)
-        asked = queries.select("query_id", normalize.trim(F.col("raw")).alias("raw")).where("raw <> ''").withColumn("q", F.lower("raw"))
+        asked = queries.select("query_id", normalize.trim(F.col("raw")).alias("raw")).where("raw <> ''").withColumn("q", F.lower("raw")).withColumn("wild", F.col("q").rlike("[?*]"))
+        if not any(p.enabled for p in self.packs):
+            return self.spark.createDataFrame([], "rank INT, " + ", ".join(f"{c} STRING" for c in RESULT)).select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "*")
         terms = self._table("terms")
+        plain, wild = asked.where("NOT wild").drop("wild"), asked.where("wild").drop("wild")
 
-        def probe(hit: DataFrame, base: int) -> DataFrame:
-            order = Window.partitionBy("query_id", "pack_idx").orderBy("term", "term_type", "entry_rowid")
+        def probe(hit: DataFrame, base: int, key: str | Column, *within: str) -> DataFrame:
+            order = Window.partitionBy("query_id", "pack_idx", *within).orderBy(key, "term_type", "entry_rowid")
             return hit.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= over).select("query_id", "raw", "q", "pack_idx", "entry_rowid", "term", "term_type", F.lit(base).alias("base"))
 
-        hits = [probe(terms.join(asked, terms.term == asked.q), plan.EXACT)]
-        for k in (1, 2, 3):
-            some = asked.where(F.char_length("q") == k if k < 3 else F.char_length("q") >= 3).withColumn("head", F.substring("q", 1, k))
-            hits.append(probe(terms.withColumn("head", F.substring("term", 1, k)).join(some, "head").where(F.col("term").startswith(F.col("q"))), plan.PREFIX))
+        def starting(some: DataFrame, column: str, head: str) -> DataFrame:
+            """Terms whose column starts with the string that a query has in head."""
+            parts = []
+            for k in (1, 2, 3):
+                of = some.where(F.char_length(head) == k if k < 3 else F.char_length(head) >= 3).withColumn("_head", F.substring(head, 1, k))
+                parts.append(terms.withColumn("_head", F.substring(column, 1, k)).join(of, "_head").where(F.col(column).startswith(F.col(head))).drop("_head"))
+            return reduce(DataFrame.unionByName, parts)
+
+        hits = [probe(terms.join(plain, terms.term == plain.q), plan.EXACT, "term"), probe(starting(plain.withColumn("_p", F.col("q")), "term", "_p"), plan.PREFIX, "term", "_p")]
+        langs = list(dict.fromkeys(x for p in self.packs if p.enabled for x in p.languages)) or ["generic"]
+        keys = F.array_distinct(F.array(*(normalize.loose_key(F.col("q"), x) for x in langs)))
+        loose = asked.drop("wild").withColumn("lp", F.explode(keys)).where("lp <> ''")
+        hits += [probe(terms.join(loose, terms.loose_key == loose.lp), plan.LOOSE_EXACT, "loose_key", "lp"), probe(starting(loose, "loose_key", "lp"), plan.LOOSE_PREFIX, "loose_key", "lp")]
+        hits += self._batch_globs(wild, starting, probe, terms)
+        if unindexed := [i for i, p in enumerate(self.packs) if p.enabled and not p.indexed]:
+            some = [r.asDict() for r in plain.where("q LIKE '% %'").union(wild.where("q LIKE '% %'")).collect()]
+            hits += [probe(self._matching(terms.where(F.col("pack_idx").isin(unindexed)), part, lambda x: F.contains("term", x["q"]), queries), plan.TERM_CONTAINS, "term") for part in _blocks(some)]
         found = reduce(DataFrame.unionByName, hits)
+        found = found.unionByName(self._batch_content(asked, found, over, limit))
         rows = found.join(self._table("entries").select("pack_idx", "entry_rowid", "id", "lemma", "language", "pos"), ["pack_idx", "entry_rowid"])
         keys = rank_keys(F.col("raw"), F.col("q"))
         rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(*keys))).where("_rn = 1")
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys))).where(F.col("rank") <= limit)
         return rows.select("query_id", "rank", F.col("id").alias("entry_id"), "lemma", "language", "pos", F.col("term").alias("matched_term"), F.col("term_type").alias("match_type"))
 
+    def _batch_globs(self, wild: DataFrame, starting, probe, terms: DataFrame) -> list[DataFrame]:
+        like = F.replace(F.replace(F.regexp_replace("q", r"([%_\\])", r"\\$1"), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
+        tail = F.when(F.col("q").rlike("^[?*]"), F.regexp_extract("q", "([^?*]*)$", 1)).otherwise("")
+        shaped = wild.withColumns({"_like": like, "_tail": F.when(F.char_length(tail) >= 2, F.reverse(tail)).otherwise(""), "_lead": F.regexp_extract("q", "^([^?*]*)", 1)})
+        fits = F.like(F.col("term"), F.col("_like"))
+        out = [
+            probe(starting(shaped.where("_tail <> ''"), "term_rev", "_tail").where(fits), plan.WILDCARD, "term_rev"),
+            probe(starting(shaped.where("_lead <> ''"), "term", "_lead").where(fits), plan.WILDCARD, "term"),
+        ]
+        bare = [r.asDict() for r in shaped.where("_lead = '' AND _tail = ''").select("query_id", "raw", "q", "_like").collect()]
+        return out + [probe(self._matching(terms, part, lambda x: F.like(F.col("term"), x["_like"]), wild), plan.WILDCARD, "term") for part in _blocks(bare)]
+
+    def _matching(self, terms: DataFrame, rows: list[dict], test, like: DataFrame) -> DataFrame:
+        """Terms with each of a block of queries that they match, in one pass."""
+        kind = like.schema["query_id"].dataType
+        block = F.array(*(F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), *(F.lit(r[c]).alias(c) for c in ("raw", "q", "_like") if c in r)) for r in rows))
+        return terms.withColumn("_x", F.explode(F.filter(block, test))).select(*terms.columns, "_x.query_id", "_x.raw", "_x.q")
+
+    def _batch_content(self, asked: DataFrame, found: DataFrame, over: int, limit: int) -> DataFrame:
+        """Phrase hits of all queries with a blank, of the packs that ``suggest`` would visit."""
+        tokens = asked.where("q LIKE '% %'").select("query_id", "raw", "q", fts_tokens(F.col("raw")).alias("ts")).where(F.size("ts") > 0)
+        words = tokens.select("query_id", F.size("ts").alias("len"), F.posexplode("ts").alias("i", "token"))
+        live = [(i, p) for i, p in enumerate(self.packs) if p.enabled and p.indexed]
+        shape = found.select("query_id", "raw", "q", "pack_idx", "entry_rowid", "term", "term_type", "base")
+        if not live:
+            return shape.limit(0)
+        post = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{p.path}/postings").withColumn("pack_idx", F.lit(i)) for i, p in live])
+        at = post.join(words, "token").select("query_id", "pack_idx", "entry_rowid", "col", "len", "i", F.transform("positions", lambda p: p - F.col("i")).alias("at"))
+        one = at.groupBy("query_id", "pack_idx", "entry_rowid", "col", "len").agg(F.collect_list("at").alias("ats"))  # of one entry's column: a list for each token
+        common = F.aggregate("ats", F.get("ats", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+        phrase = one.where((F.size("ats") == F.col("len")) & (F.size(common) > 0)).select("query_id", "pack_idx", "entry_rowid").distinct()
+        lengths = post.groupBy("pack_idx", "entry_rowid").agg(F.sum(F.size("positions")).alias("dl"))
+        total = lengths.groupBy("pack_idx").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+        weight = F.element_at(F.create_map(*(x for f, v in zip(packs.FIELDS, packs.WEIGHTS) for x in (F.lit(f), F.lit(v)))), F.col("col"))
+        used = post.join(words.select("token").distinct(), "token").groupBy("pack_idx", "token", "entry_rowid").agg(F.sum(weight * F.size("positions")).alias("tf"))
+        df = used.groupBy("pack_idx", "token").agg(F.count("*").alias("df"))
+        scored = phrase.join(words.select("query_id", "token").distinct(), "query_id").join(used, ["pack_idx", "token", "entry_rowid"]).join(df, ["pack_idx", "token"]).join(lengths, ["pack_idx", "entry_rowid"]).join(F.broadcast(total), "pack_idx")
+        scored = scored.groupBy("query_id", "pack_idx", "entry_rowid").agg(F.sum(packs.bm25_gain(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("mean"))).alias("score"))
+        best = Window.partitionBy("query_id", "pack_idx").orderBy(F.desc("score"), "entry_rowid")
+        scored = scored.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= over).select("query_id", "pack_idx", "entry_rowid")
+        # A pack is visited while the hits before it, repeated ones too, are fewer than the limit.
+        counts = scored.groupBy("query_id", "pack_idx").agg(F.count("*").alias("c")).join(found.groupBy("query_id").agg(F.count("*").alias("h")), "query_id", "left")
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("query_id").orderBy("pack_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        visited = counts.withColumn("_b", before + F.coalesce("h", F.lit(0))).where(F.col("_b") < limit)
+        kept = scored.join(visited.select("query_id", "pack_idx"), ["query_id", "pack_idx"], "left_semi").join(tokens.select("query_id", "raw", "q"), "query_id")
+        lemmas = self._table("entries").select("pack_idx", "entry_rowid", F.col("lemma").alias("term"))
+        return kept.join(lemmas, ["pack_idx", "entry_rowid"]).select("query_id", "raw", "q", "pack_idx", "entry_rowid", "term", F.lit("content").alias("term_type"), F.lit(plan.CONTENT).alias("base"))
+
+
+def _blocks(rows: list[dict]) -> list[list[dict]]:
+    return [rows[i : i + PATTERNS] for i in range(0, len(rows), PATTERNS)]
+
 
 def rank_keys(raw: Column, q: Column) -> list[Column]:
     """Tier, case, part of speech, length, pack, lemma; then id and term, so that the order is total."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import normalize, text
-from .operators import packs
+from .operators import measure, packs
 from .plans import lookup
 
 LETTERS = r"\p{L}\p{N}"
@@ -202,8 +202,8 @@ def first_link(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN rn > 1 THEN b || '~' || rn ELSE b END AS id FROM (SELECT doc_id, lang || ':' || source AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents)")
 def id_disambiguation(spark, sf):
-    n = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))
-    rows = table(spark, sf, "documents").withColumn("n", n).withColumn("b", F.concat_ws(":", "lang", "source"))
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    rows = measure.number_within(rows, ["lang", "source"], "doc_id", F.shiftright("doc_id", 16), "n").withColumn("b", F.concat_ws(":", "lang", "source"))
     return rows.select("doc_id", F.when(F.col("n") > 1, F.concat("b", F.lit("~"), F.col("n").cast("string"))).otherwise(F.col("b")).alias("id"))
 
 
@@ -233,10 +233,8 @@ def lang_subset(spark, sf):
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value), 6) AS mean, max(CASE WHEN rn = CAST(floor((n - 1) * 0.5 + 0.5) AS BIGINT) + 1 THEN value END) AS p50, max(CASE WHEN rn = CAST(floor((n - 1) * 0.95 + 0.5) AS BIGINT) + 1 THEN value END) AS p95 FROM r GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    w = Window.partitionBy("event_type")
-    r = table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("rn"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("rn") == F.floor((F.col("n") - 1) * p + 0.5) + 1, F.col("value")))
-    return r.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    found = measure.nearest_rank(table(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return found.withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_valid(props) AS good FROM events")
@@ -253,7 +251,7 @@ def nested_entry_build(spark, sf):
     return nested.select("o_orderkey", F.size("senses").cast("long").alias("senses"), F.array_join(F.transform("senses", lambda s: F.concat_ws(":", s["l_linenumber"].cast("string"), s["l_returnflag"])), ",").alias("body"))
 
 
-@query(r"SELECT item_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^[!-,./:-@\[-`{-~\s]+', ''), '[!-,./:-@\[-`{-~\s]+$', ''), 1, 200) AS stripped FROM benchmark")
+@query(r"SELECT item_id, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^[!-,./:-@\[-`{-~\s]+', ''), '[!-,./:-@\[-`{-~\s]+$', ''), 1, 200), '\s+$', '') AS stripped FROM benchmark")
 def edge_strip(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", text.edge_strip(F.col("text")).alias("stripped"))
 
@@ -274,6 +272,21 @@ def default_source_roundtrip(spark, sf):
     return table(spark, sf, "documents").select("doc_id", stored.alias("stored")).withColumn("shown", F.when(F.col("stored") == "", "src0").otherwise(F.col("stored")))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS label, replace(text, '&', '&&') AS menu FROM conversations")
+@query("SELECT conv_id, turn, 'Look up “' || CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END || '”' AS label, replace(text, '&', '&&') AS menu FROM conversations")
 def lookup_labels(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.lookup_label(F.col("text")).alias("label"), text.escape_menu_label(F.col("text")).alias("menu"))
+
+
+@query("""SELECT conv_id, turn, replace(replace(replace(replace(replace(substr(text, 1, 600), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS spoken FROM conversations""")
+def speech_text(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.speech_text(F.col("text")).alias("spoken"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'en-US-JennyNeural' WHEN 'de' THEN 'de-DE-KatjaNeural' WHEN 'es' THEN 'es-ES-AlvaroNeural' WHEN 'fr' THEN 'fr-FR-DeniseNeural' END AS voice FROM documents")
+def voices(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.voice_for(F.col("lang")).alias("voice"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'l r')")
+def term_contains(spark, sf):
+    return table(spark, sf, "part").where(F.lower("p_name").contains("l r")).select("p_partkey", "p_name")

@@ -59,10 +59,20 @@ def read_sentence_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sentence_pairs(records: DataFrame) -> DataFrame:
-    """One row for each translation of each sentence."""
+    """One row for each translation of each sentence; a translation without a licence has the sentence's."""
     flat = records.select("id", "text", "lang", "license", F.explode(F.flatten("translations")).alias("t"))
-    return flat.select(F.col("id").alias("source_id"), F.col("text").alias("source_text"), F.col("lang").alias("source_lang"), F.col("t.id").alias("target_id"), F.col("t.text").alias("target_text"), F.col("t.lang").alias("target_lang"), F.coalesce("t.license", "license").alias("license"))
+    return flat.select(F.col("id").alias("source_id"), F.col("text").alias("source_text"), F.col("lang").alias("source_lang"), F.col("t.id").alias("target_id"), F.col("t.text").alias("target_text"), F.col("t.lang").alias("target_lang"), F.coalesce("t.license", "license", F.lit(SENTENCE_LICENSE)).alias("license"), F.concat(F.lit("Tatoeba.org #"), F.col("id").cast("string"), F.lit(" -> #"), F.col("t.id").cast("string")).alias("attribution"))
 
 
+def sentence_examples(records: DataFrame, target_lang: str | None = None) -> DataFrame:
+    """(text, translation, roman, source_id) of each sentence, with its first translation into a language, or its first."""
+    told = F.flatten("translations")
+    if target_lang is not None:
+        told = F.filter(told, lambda t: t["lang"] == target_lang)
+    return records.select("text", F.get(told, F.lit(0))["text"].alias("translation"), F.lit(None).cast("string").alias("roman"), F.concat(F.lit("tatoeba:"), F.col("id").cast("string")).alias("source_id"))
+
+
+#: The licence of sentences that name none.
+SENTENCE_LICENSE = "CC BY 2.0 FR"
 #: Language codes of sentence corpora; others are used as they are.
 SENTENCE_LANGS = {"en": "eng", "ca": "cat", "es": "spa", "fr": "fra", "de": "deu", "zh": "cmn", "cmn": "cmn", "ary": "ary"}
