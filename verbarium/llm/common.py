@@ -17,6 +17,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table is broadcast only if its counted rows times its row width stay under this.
 BROADCAST_BYTES = 24 << 20
 
+#: Bytes of a batch of texts on its way to Python, where the session sets no bound.
+ARROW_BYTES = 4 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -37,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes too, unless the session does: ten thousand long texts are too much for a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 _shipped: set[str] = set()
 
 
@@ -61,6 +71,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/verbarium/{name}-{uuid.uuid4().hex}"
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())

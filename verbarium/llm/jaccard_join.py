@@ -155,8 +155,10 @@ def _lists(hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = hot.value
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > 200_000:  # copies farther apart meet in the list
+                seen.clear()
             hs, ids, ns, ps, hots, size = [], [], [], [], [], 0
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -124,6 +126,7 @@ def rule_ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructField, StructType
 
+    bound_batches(docs.sparkSession)
     own = text_col in keep
     slim = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), *([] if own else [F.col(text_col).alias("_text")]))
     out = StructType([*slim.schema.fields[: len(keep)], *(StructField(m, LongType()) for m in MEASURES)])
