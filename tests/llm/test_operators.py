@@ -142,6 +142,36 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def long_repeats(rows, least):
+    """Of each of rows, in order, the places of lines in runs of so many words or more that any earlier place holds."""
+    seqs, gone = [(i, *line_dedup.line_hashes(t)) for i, t in rows], {i: set() for i, _ in rows}
+    for x, (i, places, a, n) in enumerate(seqs):
+        for _, _, b, _ in seqs[: x + 1]:
+            for p, q in product(range(len(a)), range(len(b))):
+                if (b is a and q >= p) or (p and q and a[p - 1] == b[q - 1]):
+                    continue  # not earlier, or inside a run
+                m = 0
+                while p + m < len(a) and q + m < len(b) and a[p + m] == b[q + m]:
+                    m += 1
+                if n[p : p + m].sum() >= least:
+                    gone[i].update(places[p : p + m])
+    return gone
+
+
+def test_line_dedup_finds_runs_past_the_first_partner(spark):
+    rng = random.Random(6)
+    a, b, short = prose(rng, 30), prose(rng, 22), prose(rng, 19)
+    rows = [(1, a), (2, "\n".join([a, b, prose(rng, 9)])), (3, "\n\n".join([a, b, prose(rng, 7)])), (4, "\n".join([prose(rng, 5), short, a])), (5, "\n".join([prose(rng, 6), short, a]))]
+    got = {r.doc_id: r.deleted_lines for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {1: [], 2: [0], 3: [0, 2], 4: [2], 5: [1, 2]}
+    pool = [prose(rng, n) for n in (3, 9, 14, 20, 23, 27, 30, 52)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.9 else prose(rng, 8) for _ in range(rng.randrange(1, 9)))) for i in range(140)]
+    got = {r.doc_id: set(r.deleted_lines) for r in line_dedup.dedup_lines(docs_of(spark, rows).repartition(5)).collect()}
+    must, may = long_repeats(rows, 2 * line_dedup.K - 1), long_repeats(rows, line_dedup.K)
+    assert sum(map(len, must.values())) > 100
+    assert all(must[i] <= got[i] <= may[i] for i, _ in rows)
+
+
 # --- op3
 
 

@@ -10,6 +10,12 @@ A fingerprint's later positions are joined with its first one, by ascending id,
 and each match is extended line by line in both directions. Lines of extended
 matches are deleted from the later place; the first occurrence of a run stays.
 
+The first position of a fingerprint need not be where the longest match is. So runs of
+2 * K - 1 words are also looked up whole: the shortest such run from each line on and the
+shortest up to each line, if a repeated fingerprint starts in it. Each run of so many
+words is made up of these, so its lines go from every place but the first that holds it,
+whatever other texts share its fingerprints. A run is known by its hash, without pairs.
+
 Null and empty texts have no lines and stay as they are. Null ids come last in order; rows
 that share an id are ordered by a hash of their text. Rows that agree in id and text are
 one document here: they lose the same lines. A document may lose all lines. An empty table
@@ -78,19 +84,33 @@ def extend(a: np.ndarray, b: np.ndarray, matches: list[tuple[int, int]]) -> set[
     return gone
 
 
+def long_runs(hashes: np.ndarray, words: np.ndarray, marks: list[int], k: int = K) -> list[tuple[int, int, int]]:
+    """(first line, last line, hash) of the shortest runs of 2 * k - 1 words from and up to each line, of those that hold a line of marks."""
+    least, n = 2 * k - 1, len(words)
+    total = np.cumsum(words)
+    before = total - words
+    ends = np.searchsorted(total, before + least)
+    starts = np.searchsorted(before, total - least, side="right") - 1
+    spans = np.concatenate([np.stack([np.arange(n), ends], 1)[ends < n], np.stack([starts, np.arange(n)], 1)[starts >= 0]])
+    marks = np.append(np.sort(np.array(marks, np.int64)), n)
+    spans = spans[marks[np.searchsorted(marks, spans[:, 0])] <= spans[:, 1]]
+    return [(i, j, int(np.uint64(xxhash.xxh3_64_intdigest(hashes[i : j + 1].tobytes())).view(np.int64))) for i, j in sorted(set(map(tuple, spans.tolist())))]
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            hashed, places, starts, grams = [], [], [], []
+            hashed, counts, places, starts, grams = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 where, h, w = line_hashes(text)
                 found = fingerprints(h, w)
                 hashed.append(h.tobytes())
+                counts.append(w.astype(np.int32).tobytes())
                 places.append(np.array(where, np.int32).tobytes())
                 starts.append([i for i, _ in found])
                 grams.append([g for _, g in found])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashed, pa.binary()), pa.array(places, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["k", "hashes", "places", "line", "gram"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashed, pa.binary()), pa.array(counts, pa.binary()), pa.array(places, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["k", "hashes", "words", "places", "line", "gram"])
 
 
 def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +123,53 @@ def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["k", "gone"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        starts, ends, runs = [], [], []
+        for h, w, marks in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
+            found = long_runs(np.frombuffer(h, np.uint64), np.frombuffer(w, np.int32).astype(np.int64), marks)
+            starts.append([i for i, _, _ in found])
+            ends.append([j for _, j, _ in found])
+            runs.append([r for _, _, r in found])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)), pa.array(runs, pa.list_(pa.int64()))], names=["k", "id", "line", "last", "run"])
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for places, starts, ends in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
+            where = np.frombuffer(places, np.int32)
+            out.append(where[sorted({x for i, j in zip(starts, ends) for x in range(i, j + 1)})].tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["k", "gone"])
+
+
+def _firsts(at: DataFrame, key: str) -> DataFrame:
+    """The first position (k0, line0) of each key that has another."""
+    first = at.groupBy(key).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")).alias("first"), F.count("*").alias("n"))
+    return first.where("n > 1").select(key, F.col("first.k").alias("k0"), F.col("first.line").alias("line0"))
+
+
+def _long_repeats(lines: DataFrame, at: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, gone): the places of lines in runs of 2 * K - 1 words or more that an earlier place holds."""
+    marks = at.join(first.select("gram"), "gram", "left_semi").groupBy("k").agg(F.first("id").alias("id"), F.collect_list("line").alias("marks"))
+    marked = marks.join(lines.select("k", "hashes", "words"), "k").select("k", "id", "hashes", "words", "marks")
+    found = marked.mapInArrow(_runs, f"k long, id {at.schema['id'].dataType.simpleString()}, line array<int>, last array<int>, run array<long>")
+    runs = found.select("k", "id", F.explode(F.arrays_zip("line", "last", "run")).alias("x")).select("k", "id", "x.line", "x.last", "x.run")
+    runs = scratch.save(runs, "runs")
+    later = runs.join(scratch.save(_firsts(runs, "run"), "first_runs"), "run").where("k <> k0 OR line <> line0")
+    spans = later.groupBy("k").agg(F.collect_list(F.struct("line", "last")).alias("x"))
+    spans = spans.join(lines.select("k", "places"), "k").select("k", "places", "x.line", "x.last")
+    return spans.mapInArrow(_covered, "k long, gone array<int>")
+
+
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, gone): the places of lines to delete, for each row key that loses lines."""
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    lines = scratch.save(keyed.select("k", "text").mapInArrow(_lines, "k long, hashes binary, places binary, line array<int>, gram array<long>").dropDuplicates(["k"]), "lines")
+    lines = scratch.save(keyed.select("k", "text").mapInArrow(_lines, "k long, hashes binary, words binary, places binary, line array<int>, gram array<long>").dropDuplicates(["k"]), "lines")
     ids = keyed.select("k", "id").distinct()
     at = lines.select("k", F.explode(F.arrays_zip("line", "gram")).alias("x")).select("k", "x.line", "x.gram").join(ids, "k")
     at = scratch.save(at, "positions")
-    first = at.groupBy("gram").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")).alias("first"), F.count("*").alias("n"))
-    first = scratch.save(first.where("n > 1").select("gram", F.col("first.k").alias("k0"), F.col("first.line").alias("line0")), "first")
+    first = scratch.save(_firsts(at, "gram"), "first")
     later = at.join(first, "gram").where("k <> k0 OR line <> line0")
     met = later.groupBy("k", "k0").agg(F.collect_list(F.struct("line", "line0")).alias("m"))
     met = met.select("k", "k0", F.col("m.line").alias("line"), F.col("m.line0").alias("line0"))
@@ -119,6 +177,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     b = lines.select(F.col("k").alias("k0"), F.col("hashes").alias("hashes0"))
     pairs = met.join(a, "k").join(b, "k0").select("k", "hashes", "places", "hashes0", "line", "line0")
     gone = pairs.mapInArrow(_gone, "k long, gone array<int>")
+    gone = gone.unionByName(_long_repeats(lines, at, first, scratch))
     gone = gone.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return scratch.save(gone, "gone")
 
