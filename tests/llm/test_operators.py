@@ -402,6 +402,19 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(df.limit(3), none).collect()} <= {0.0, float(1 / (1 + np.exp(500.0)))}
 
 
+def test_toxicity_counts_features_over_every_text(spark):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 30, 300) + (" scum" if i < 40 else "")) for i in range(600)]
+    df, lab = docs_of(spark, rows).repartition(7), spark.createDataFrame([(i, int(i < 40)) for i in range(0, 600, 2)], "doc_id LONG, toxic INT")
+    model = toxicity.fit(df, lab, max_toxic=3, max_unlabelled=8)
+    have = [{f for w in toxicity.words_of(t) for f in toxicity.features_of(w)} for _, t in rows]
+    share = lambda some, f: (sum(f in h for h in some) + 0.5) / (len(some) + 1.0)
+    many = [f for f, n in Counter(f for h in have for f in h).items() if n + sum(f in have[i] for i in range(0, 40, 2)) >= toxicity.MIN_TEXTS]
+    lift = {f: share(have[:40:2], f) / share(have, f) for f in many}
+    assert sorted(model.places.tolist()) == sorted(f for f, x in lift.items() if x >= toxicity.LIFT or x <= 1 / toxicity.LIFT)
+    assert zlib.crc32(b"wscum") % toxicity.WIDTH in model.places.tolist()
+
+
 # --- op10
 
 

@@ -6,8 +6,9 @@ from texts without a label. The risk is that of Kiryo et al. (2017): with the
 class prior p, p R+(toxic) + max(0, R-(unlabelled) - p R-(toxic)); where the
 part in the maximum is negative, a step climbs it instead.
 
-The classifier is fitted on at most MAX_TOXIC and MAX_UNLABELLED texts, chosen by a
-hash of the id; every text is scored whole. The prior is the share of toxic
+Features are chosen by their counts over all texts given, and over all confirmed ones
+among them. The gradient steps are taken on at most MAX_TOXIC and MAX_UNLABELLED texts, chosen
+by a hash of the id without regard to labels; every text is scored whole. The prior is the share of toxic
 texts among those labelled, unless it is given.
 
 Null and empty texts score by the bias alone. Without any toxic label every score
@@ -26,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_side
 
 MAX_TOXIC = 4_000
 MAX_UNLABELLED = 12_000
 #: Features are hashed into so many places.
 WIDTH = 1 << 18
-#: A feature is used if so many sampled texts have it and its share among toxic texts is LIFT times its share among the others, or the reverse.
+#: A feature is used if so many texts have it and its share among toxic texts is LIFT times its share among the others, or the reverse.
 MIN_TEXTS = 6
 LIFT = 3.0
 CACHE_WORDS = 400_000
+#: Tasks that add up the counts of the tasks that read texts.
+ADDERS = 6
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -94,18 +97,39 @@ def train_nnpu(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxic: np
     return w, b
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, n = np.zeros((2, WIDTH), np.int32), [0, 0]
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = np.unique(np.array([f for w in words_of(text) for f in features_of(w)], np.int64))
-            counts[toxic, found] += 1
-            n[toxic] += 1
+def _partial(counts: np.ndarray, n: list[int]) -> Iterator[pa.RecordBatch]:
     for toxic in (0, 1):
         if n[toxic]:
             yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([n[toxic]], pa.int64()), pa.array([zlib.compress(counts[toxic].tobytes(), 1)], pa.binary())], names=["toxic", "n", "counts"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts have each feature: of all texts (0) and of the toxic ones (1)."""
+    counts, n, known = np.zeros((2, WIDTH), np.int64), [0, 0], {}
+    for batch in batches:
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words_of(text)
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = features_of(w)
+            found = np.array(list({f for w in words for f in known[w]}), np.int64)
+            for side in range(toxic + 1):
+                counts[side, found] += 1
+                n[side] += 1
+    yield from _partial(counts, n)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, n = np.zeros((2, WIDTH), np.int64), [0, 0]
+    for batch in batches:
+        for toxic, texts, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            counts[toxic] += np.frombuffer(zlib.decompress(packed), np.int64)
+            n[toxic] += texts
+    yield from _partial(counts, n)
+
+
 def _matrix(chosen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: i for i, f in enumerate(chosen.value.tolist())}
@@ -131,14 +155,18 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_toxi
     prior = min(0.99, max(0.001, prior or known))
     ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
     toxic = marks.where("y = 1").select("id").distinct()
-    some = toxic.join(ids, "id", "left_semi").orderBy(*order).limit(max_toxic).select("id", F.lit(1).alias("toxic"))
+    toxic = scratch.save(toxic.join(ids, "id", "left_semi"), "toxic")
+    some = toxic.orderBy(*order).limit(max_toxic).select("id", F.lit(1).alias("toxic"))
     rest = ids.orderBy(*order).limit(max_unlabelled).select("id", F.lit(0).alias("toxic"))
     sample = F.broadcast(scratch.save(some.unionByName(rest), "ids"))  # at most max_toxic + max_unlabelled ids
     texts = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "toxic").repartition(12), "texts")
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    every = every.join(small_side(toxic.withColumn("toxic", F.lit(1)), 64), "id", "left").select("text", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    kind = "toxic int, n long, counts binary"
     n, counts = np.zeros(2), np.zeros((2, WIDTH))
-    for r in texts.mapInArrow(_counts, "toxic int, n long, counts binary").toLocalIterator():
+    for r in every.mapInArrow(_counts, kind).repartition(ADDERS).mapInArrow(_added, kind).collect():  # 2 rows a task at most
         n[r.toxic] += r.n
-        counts[r.toxic] += np.frombuffer(zlib.decompress(r.counts), np.int32)
+        counts[r.toxic] += np.frombuffer(zlib.decompress(r.counts), np.int64)
     if not n.all():
         return Model(-np.inf, np.zeros(0, np.int64), np.zeros(0))
     share = (counts + 0.5) / (n[:, None] + 1.0)
@@ -152,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_toxi
         cols.append(np.array(r.features, np.int64))
     rows, cols = np.concatenate(rows), np.concatenate(cols)
     w, b = train_nnpu(rows, cols, np.ones(len(rows)), np.array(y, bool), max(1, len(chosen)), prior)
-    scratch.drop("texts", "ids")
+    scratch.drop("texts", "ids", "toxic")
     return Model(b, chosen, w[: len(chosen)])
 
 
