@@ -8,7 +8,7 @@ Only DataFrame functions run here, row by row, without a shuffle:
    show, in the split text, where they start and end;
 4. spans are sorted by start, longer first; one that lies within a span of
    the same or a prior tier is suppressed, which a running maximum of ends
-   for each tier shows in n * sqrt(n) steps; spans that only overlap both stay.
+   for each tier shows in n * log(n) steps; spans that only overlap both stay.
 
 A null or empty text has no words and no spans. Repeated rows each get their
 result; ids of any type and null ids pass through.
@@ -48,28 +48,31 @@ def _rule_table() -> Column:
     return F.from_json(F.lit(table), "array<struct<keyword:string,rules:array<struct<rule:int,tier:int,label:string,base:boolean,pattern:string>>>>")
 
 
-def _spans(norm: Column, rule: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(norm, rule["pattern"], F.lit("\x01$0\x02"))), " ", -1)
-    at = lambda mark, where, plus: F.filter(F.transform(words, lambda w, i: F.when(where(w, F.lit(mark)), i + plus)), lambda x: x.isNotNull())
-    pairs = F.arrays_zip(at("\x01", F.startswith, 0).alias("s"), at("\x02", F.endswith, 1).alias("e"))
-    return F.transform(pairs, lambda p: F.struct(p["s"].cast("long").alias("start"), p["e"].cast("long").alias("end"), rule["tier"].alias("tier"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["base"].alias("base")))
-
-
 def _let(value: Column, use) -> Column:
     """use(value), with value evaluated once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _spans(norm: Column, rule: Column) -> Column:
+    marked = F.split(F.trim(F.regexp_replace(norm, rule["pattern"], F.lit("\x01$0\x02"))), " ", -1)
+
+    def of(words: Column) -> Column:
+        at = lambda mark, where, plus: F.filter(F.transform(words, lambda w, i: F.when(where(w, F.lit(mark)), i + plus)), lambda x: x.isNotNull())
+        pairs = F.arrays_zip(at("\x01", F.startswith, 0).alias("s"), at("\x02", F.endswith, 1).alias("e"))
+        return F.transform(pairs, lambda p: F.struct(p["s"].cast("long").alias("start"), p["e"].cast("long").alias("end"), rule["tier"].alias("tier"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["base"].alias("base")))
+
+    return _let(marked, of)
+
+
 def prefix_max(values: Column) -> Column:
-    """For each place of an array the maximum before it (null at the first), through maxima of blocks."""
-    n = F.size(values)
+    """For each place of an array the maximum before it (null at the first): reach doubles with each step, n * log(n) in all."""
 
-    def blocks(width: Column) -> Column:
-        maxima = F.transform(F.sequence(F.lit(0), (n / width).cast("int")), lambda b: F.array_max(F.slice(values, b * width + 1, width)))
-        one = lambda m: F.transform(values, lambda _, i: F.greatest(F.array_max(F.slice(m, F.lit(1), (i / width).cast("int"))), F.array_max(F.slice(values, (i / width).cast("int") * width + 1, i % width))))
-        return _let(maxima, one)
+    def of(v: Column) -> Column:
+        reaches = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v) + 1)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+        before = F.transform(v, lambda _, i: F.get(v, i - 1))
+        return F.aggregate(reaches, before, lambda found, reach: F.transform(found, lambda x, i: F.greatest(x, F.get(found, i - reach))))
 
-    return F.when(n == 0, values).otherwise(_let(F.ceil(F.sqrt(n)).cast("int"), blocks))
+    return _let(values, of)
 
 
 def _resolved(spans: Column) -> Column:
