@@ -3,16 +3,19 @@ r"""Secret scans with structural confirmation.
 Base detectors are patterns (``assign``, ``access``, ``hex``). The others report
 a candidate only when what it encodes has the structure of a secret:
 
-* ``der_key``: base64 or hex that decodes to a DER private key (PKCS#1, PKCS#8 or
-  SEC1) whose nested lengths fit together to the last byte;
-* ``openssh_key``: base64 of an ``openssh-key-v1`` container, its length-prefixed
-  fields walked to the end;
+* ``der_key``: base64 or hex that decodes to a DER private key (PKCS#1, PKCS#8 plain or
+  encrypted, SEC1, or DSA) whose nested lengths fit together to the last byte;
+* ``openssh_key``: base64 of an ``openssh-key-v1`` container whose length-prefixed
+  fields end with its last byte;
 * ``jwt``: three base64url parts of which the header is a JSON object with ``alg``
   and the body a JSON object;
-* ``pem_key``: the lines between private-key markers, if what they hold decodes so.
+* ``pem_key``: the lines from a private-key marker to the next one, if that ends it and what they
+  hold decodes so, or is whole cipher blocks under a DEK-Info header.
 
 A null text is empty: no spans. Spans are code points, the end exclusive; a
-repeated row gets its own result; spans of several kinds may overlap.
+repeated row gets its own result; spans of several kinds may overlap. Null and repeated ids,
+and columns of any name, pass through; an empty table gives an empty one. Each detector
+passes over a text once, so that time grows with its length, whatever stands in it.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem_key", "der_key", "openssh_key", "jwt")
 
@@ -36,8 +41,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _BIG_HEX = re.compile(r"[0-9A-Fa-f]{80,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1PRIVATE KEY-----")
+_URL_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)PRIVATE KEY-----")
+_DEK_INFO = re.compile(r"^DEK-Info: ?([A-Z0-9-]+),([0-9A-Fa-f]+)\s*$", re.M)
 
 
 def _tlv(data: bytes, at: int) -> tuple[int, int, int]:
@@ -55,30 +61,50 @@ def _tlv(data: bytes, at: int) -> tuple[int, int, int]:
     return tag, at, at + n
 
 
+def _members(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """Tag, start and end of the values that fill a place; ValueError if they do not fit."""
+    found = []
+    while at < end:
+        tag, start, at = _tlv(data, at)
+        if at > end:
+            raise ValueError("overrun")
+        found.append((tag, start, at))
+    return found
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE over the whole, led by a small version INTEGER, with the members of a private key."""
+    """A SEQUENCE over the whole with the members of a private key, plain or encrypted."""
     try:
         tag, at, end = _tlv(data, 0)
         if tag != 0x30 or end != len(data):
             return False
-        members = []
-        while at < end:
-            tag, start, at = _tlv(data[:end], at)
-            members.append((tag, data[start:at]))
-        if len(members) < 2 or members[0][0] != 0x02 or len(members[0][1]) != 1 or members[0][1][0] > 2:
+        members = _members(data, at, end)
+        tags = [t for t, _, _ in members]
+        if tags == [0x30, 0x04]:  # PKCS#8, encrypted: the scheme's OID and parameters, then octets
+            scheme = _members(data, *members[0][1:])
+            return [t for t, _, _ in scheme] == [0x06, 0x30] and data[scheme[0][1] : scheme[0][2]].startswith(_PKCS) and members[1][2] - members[1][1] >= 16
+        if len(tags) < 2 or tags[0] != 0x02:
             return False
-        tags = [t for t, _ in members[1:]]
-        if tags[0] == 0x30:  # PKCS#8: algorithm, then the key as octets
-            return len(tags) > 1 and tags[1] == 0x04 and _tlv(members[1][1], 0)[0] == 0x06
-        if tags[0] == 0x04:  # SEC1: the scalar, then tagged parameters
-            return 16 <= len(members[1][1]) <= 66 and all(t & 0xA0 == 0xA0 for t in tags[1:])
-        return len(tags) >= 8 and all(t == 0x02 for t in tags[:8])  # PKCS#1
-    except ValueError:
+        _, at, end = members[0]
+        if end - at != 1 or data[at] > 2:  # the version
+            return False
+        if tags[1] == 0x30:  # PKCS#8: algorithm, the key as octets, tagged attributes
+            return len(tags) > 2 and tags[2] == 0x04 and _members(data, *members[1][1:])[0][0] == 0x06 and all(t & 0xA0 == 0xA0 for t in tags[3:])
+        if tags[1] == 0x04:  # SEC1: the scalar, then tagged parameters
+            return 16 <= members[1][2] - members[1][1] <= 66 and all(t & 0xA0 == 0xA0 for t in tags[2:])
+        if set(tags[:9]) != {0x02}:
+            return False
+        return len(tags) == 6 or len(tags) == 9 or tags[9:] == [0x30]  # DSA: p, q, g, y, x; PKCS#1: eight numbers, then other primes
+    except (ValueError, IndexError):
         return False
 
 
+#: Fixed value: the arc of the password-based schemes, 1.2.840.113549.1, of PKCS#5 and PKCS#12.
+_PKCS = bytes.fromhex("2a864886f70d01")
+
+
 def is_openssh_key(data: bytes) -> bool:
-    """The magic, three strings, a count of keys, then that many public blobs and one private blob."""
+    """The magic, names of cipher and key derivation, its options, a count of keys, that many public blobs and one private blob, which ends it."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
         return False
@@ -93,16 +119,19 @@ def is_openssh_key(data: bytes) -> bool:
         return data[at - n : at]
 
     try:
-        for _ in range(3):
-            field()
+        names = field(), field()
+        field()
+        if not all(n.isascii() and n for n in names):
+            return False
         count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
         if not 1 <= count <= 16:
             return False
-        for _ in range(count + 1):
+        for _ in range(count):
             field()
+        private = field()
     except ValueError:
         return False
-    return True
+    return at == len(data) and len(private) >= 8
 
 
 def _b64(text: str, urlsafe: bool = False) -> bytes:
@@ -126,6 +155,42 @@ def is_jwt(token: str) -> bool:
         return False
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed tokens: three runs with dots between, the first from where it says ``eyJ``."""
+    runs = [m.span() for m in _URL_RUN.finditer(text)]
+    i = 0
+    while i + 1 < len(runs):
+        (a, b), (c, d) = runs[i], runs[i + 1]
+        i += 1
+        if c != b + 1 or text[b] != "." or text[d : d + 1] != "." or (start := text.find("eyJ", a, b)) < 0:
+            continue
+        third = runs[i + 1] if i + 1 < len(runs) and runs[i + 1][0] == d + 1 else (d + 1, d + 1)
+        if is_jwt(text[start : third[1]]):
+            yield start, third[1]
+            i += 2
+
+
+def _pem(text: str) -> Iterator[tuple[int, int]]:
+    """Spans from a BEGIN marker to the next one, if that is its END and a key stands between."""
+    before = None
+    for m in _PEM_MARK.finditer(text):
+        if m[1] == "END" and before and before[2] == m[2] and _holds_key(text[before.end() : m.start()]):
+            yield before.start(), m.end()
+        before = m if m[1] == "BEGIN" else None
+
+
+def _holds_key(body: str) -> bool:
+    cipher = _DEK_INFO.search(body)
+    try:
+        data = _b64(re.sub(r"\s", "", "".join(x for x in body.split("\n") if ":" not in x)))
+    except (ValueError, binascii.Error):
+        return False
+    if cipher:
+        block = 16 if cipher[1].startswith("AES") else 8
+        return len(cipher[2]) == 2 * block and len(data) >= 2 * block and len(data) % block == 0
+    return _key_kind(data) is not None
+
+
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     """Start, end and kind of every secret of one whole text, by start, then kind as in KINDS."""
     if not text:
@@ -146,15 +211,9 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
             found.append((*m.span(), kind))
     if "eyJ" in text:
-        found += [(*m.span(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[0])]
+        found += [(a, b, "jwt") for a, b in _tokens(text)]
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            body = "".join(x for x in m[2].split("\n") if ":" not in x)
-            try:
-                if _key_kind(_b64(re.sub(r"\s", "", body))) or "ENCRYPTED" in m[1] + m[2]:
-                    found.append((*m.span(), "pem_key"))
-            except (ValueError, binascii.Error):
-                pass
+        found += [(a, b, "pem_key") for a, b in _pem(text)]
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda x: (x[0], rank[x[2]], x[1]))
 
@@ -164,6 +223,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_text"))
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
     out = StructType([*slim.schema.fields[:-1], StructField("secrets", ArrayType(span))])
