@@ -1,95 +1,42 @@
-"""Helpers shared by the training-data operators: scratch tables and row keys."""
+"""Helpers shared by the training-data operators: scratch tables, row keys, joins on keys that repeat."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import zipfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.scratch import ship
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table is broadcast only if its counted rows times its row width stay under this.
 BROADCAST_BYTES = 24 << 20
 
+#: Rows of one key that a join leaves together.
+KEY_ROWS = 4_000
 #: Bytes of a batch of texts on its way to Python, where the session sets no bound.
 ARROW_BYTES = 4 << 20
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+def bound_batches(spark: SparkSession) -> None:
+    """Have Python find this package, and bound Arrow batches by bytes too, unless the session does.
 
-    Only where that is unset and the master is a single local JVM (tests) a
-    temporary folder is made.
+    Ten thousand long texts are too much for a task. The bound stays set in the session: a plan
+    takes it when it runs, which is after an operator has returned it.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not re.match(r"local(\[|$)", sc.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if sc.applicationId not in _own_dirs:
-        _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="verbarium-")
-    return _own_dirs[sc.applicationId]
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes too, unless the session does: ten thousand long texts are too much for a task."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if name not in spark.conf.getAll:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that Python workers find it wherever they start."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    name = os.path.join(tempfile.mkdtemp(prefix="verbarium-"), "verbarium.zip")
-    with zipfile.ZipFile(name, "w") as out:
-        for folder, _, files in os.walk(os.path.join(top, "verbarium")):
-            for f in files:
-                if f.endswith(".py"):
-                    out.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), top))
-    sc.addPyFile(name)
-    _shipped.add(sc.applicationId)
-
-
-class Scratch:
-    """Tables in the shared folder that cut lineage; they go when the driver's JVM ends, or by drop()."""
+class Scratch(scratch.Scratch):
+    """Scratch tables of operators that send texts to Python."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        super().__init__(spark, name)
         bound_batches(spark)
-        self.root = f"{shared_dir(spark)}/verbarium/{name}-{uuid.uuid4().hex}"
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self._path(self.root))
-        self.fs.deleteOnExit(self._path(self.root))
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and return a DataFrame that reads it."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later plan reads."""
-        for name in names:
-            self.fs.delete(self._path(self.path(name)), True)
 
 
 def small_side(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -101,14 +48,34 @@ def small_side(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFr
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], tables: scratch.Scratch, name: str, counts: DataFrame | None = None) -> DataFrame:
+    """The inner join of rows, a scratch table, with side, in which a key ``on`` stands once; no task gets all rows of a frequent key.
+
+    ``counts`` (the keys and ``n``) tells how many rows a key has; without it they are counted.
+    Keys with more than KEY_ROWS rows get salts, over which their rows are dealt by a hash, and side's row is
+    copied for each. The table of these keys is broadcast: as each stands for so many rows, it stays
+    under BROADCAST_BYTES.
+    """
+    least = max(KEY_ROWS, rows.count() * 64 // BROADCAST_BYTES)
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = tables.save(counts.where(F.col("n") > least).select(*on, F.ceil(F.col("n") / least).cast("int").alias("_salts")), name)
+    if not hot.limit(1).count():
+        return rows.join(side, on)
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copied = side.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copied, [*on, "_salt"]).drop("_salt")
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(col, UPPER, LOWER)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A 64-bit key of a row's id and text; rows that agree in both share it."""
-    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    """A 128-bit key of a row's id and text; rows that agree in both share it."""
+    of = (F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *of)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, row_key
+from .common import BROADCAST_BYTES, Scratch, row_key, spread_join
 
 #: Words of a gram; repeated runs of 2 * K - 1 words are always found.
 K = 25
@@ -84,8 +84,8 @@ def extend(a: np.ndarray, b: np.ndarray, matches: list[tuple[int, int]]) -> set[
     return gone
 
 
-def long_runs(hashes: np.ndarray, words: np.ndarray, marks: list[int], k: int = K) -> list[tuple[int, int, int]]:
-    """(first line, last line, hash) of the shortest runs of 2 * k - 1 words from and up to each line, of those that hold a line of marks."""
+def long_runs(hashes: np.ndarray, words: np.ndarray, marks: list[int], k: int = K) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, 128-bit hash) of the shortest runs of 2 * k - 1 words from and up to each line, of those that hold a line of marks."""
     least, n = 2 * k - 1, len(words)
     total = np.cumsum(words)
     before = total - words
@@ -94,7 +94,7 @@ def long_runs(hashes: np.ndarray, words: np.ndarray, marks: list[int], k: int =
     spans = np.concatenate([np.stack([np.arange(n), ends], 1)[ends < n], np.stack([starts, np.arange(n)], 1)[starts >= 0]])
     marks = np.append(np.sort(np.array(marks, np.int64)), n)
     spans = spans[marks[np.searchsorted(marks, spans[:, 0])] <= spans[:, 1]]
-    return [(i, j, int(np.uint64(xxhash.xxh3_64_intdigest(hashes[i : j + 1].tobytes())).view(np.int64))) for i, j in sorted(set(map(tuple, spans.tolist())))]
+    return [(i, j, xxhash.xxh3_128_digest(hashes[i : j + 1].tobytes())) for i, j in sorted(set(map(tuple, spans.tolist())))]
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts.append([i for i, _, _ in found])
             ends.append([j for _, j, _ in found])
             runs.append([r for _, _, r in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)), pa.array(runs, pa.list_(pa.int64()))], names=["k", "id", "line", "last", "run"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)), pa.array(runs, pa.list_(pa.binary()))], names=["k", "id", "line", "last", "run"])
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,37 +146,43 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _firsts(at: DataFrame, key: str) -> DataFrame:
     """The first position (k0, line0) of each key that has another."""
     first = at.groupBy(key).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k", "line")).alias("first"), F.count("*").alias("n"))
-    return first.where("n > 1").select(key, F.col("first.k").alias("k0"), F.col("first.line").alias("line0"))
+    return first.where("n > 1").select(key, F.col("first.k").alias("k0"), F.col("first.line").alias("line0"), "n")
+
+
+def _met(at: DataFrame, first: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """The positions of a key with its first one."""
+    return spread_join(at, first.drop("n"), [key], scratch, f"hot_{key}", first.select(key, "n"))
 
 
 def _long_repeats(lines: DataFrame, at: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     """(k, gone): the places of lines in runs of 2 * K - 1 words or more that an earlier place holds."""
-    marks = at.join(first.select("gram"), "gram", "left_semi").groupBy("k").agg(F.first("id").alias("id"), F.collect_list("line").alias("marks"))
+    marks = _met(at, first, "gram", scratch).groupBy("k").agg(F.first("id").alias("id"), F.collect_list("line").alias("marks"))
     marked = marks.join(lines.select("k", "hashes", "words"), "k").select("k", "id", "hashes", "words", "marks")
-    found = marked.mapInArrow(_runs, f"k long, id {at.schema['id'].dataType.simpleString()}, line array<int>, last array<int>, run array<long>")
+    found = marked.mapInArrow(_runs, f"k binary, id {at.schema['id'].dataType.simpleString()}, line array<int>, last array<int>, run array<binary>")
     runs = found.select("k", "id", F.explode(F.arrays_zip("line", "last", "run")).alias("x")).select("k", "id", "x.line", "x.last", "x.run")
     runs = scratch.save(runs, "runs")
-    later = runs.join(scratch.save(_firsts(runs, "run"), "first_runs"), "run").where("k <> k0 OR line <> line0")
+    later = _met(runs, scratch.save(_firsts(runs, "run"), "first_runs"), "run", scratch).where("k <> k0 OR line <> line0")
     spans = later.groupBy("k").agg(F.collect_list(F.struct("line", "last")).alias("x"))
     spans = spans.join(lines.select("k", "places"), "k").select("k", "places", "x.line", "x.last")
-    return spans.mapInArrow(_covered, "k long, gone array<int>")
+    return spans.mapInArrow(_covered, "k binary, gone array<int>")
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, gone): the places of lines to delete, for each row key that loses lines."""
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    lines = scratch.save(keyed.select("k", "text").mapInArrow(_lines, "k long, hashes binary, words binary, places binary, line array<int>, gram array<long>").dropDuplicates(["k"]), "lines")
+    lines = scratch.save(keyed.select("k", "text").mapInArrow(_lines, "k binary, hashes binary, words binary, places binary, line array<int>, gram array<long>").dropDuplicates(["k"]), "lines")
     ids = keyed.select("k", "id").distinct()
     at = lines.select("k", F.explode(F.arrays_zip("line", "gram")).alias("x")).select("k", "x.line", "x.gram").join(ids, "k")
     at = scratch.save(at, "positions")
     first = scratch.save(_firsts(at, "gram"), "first")
-    later = at.join(first, "gram").where("k <> k0 OR line <> line0")
+    later = _met(at, first, "gram", scratch).where("k <> k0 OR line <> line0")
     met = later.groupBy("k", "k0").agg(F.collect_list(F.struct("line", "line0")).alias("m"))
-    met = met.select("k", "k0", F.col("m.line").alias("line"), F.col("m.line0").alias("line0"))
+    met = scratch.save(met.select("k", "k0", F.col("m.line").alias("line"), F.col("m.line0").alias("line0")), "met")
     a = lines.select("k", "hashes", "places")
     b = lines.select(F.col("k").alias("k0"), F.col("hashes").alias("hashes0"))
-    pairs = met.join(a, "k").join(b, "k0").select("k", "hashes", "places", "hashes0", "line", "line0")
-    gone = pairs.mapInArrow(_gone, "k long, gone array<int>")
+    per_first = met.groupBy("k0").agg(F.count("*").alias("n"))  # a text that many copy
+    pairs = spread_join(met, b, ["k0"], scratch, "hot_first", per_first).join(a, "k").select("k", "hashes", "places", "hashes0", "line", "line0")
+    gone = pairs.mapInArrow(_gone, "k binary, gone array<int>")
     gone = gone.unionByName(_long_repeats(lines, at, first, scratch))
     gone = gone.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return scratch.save(gone, "gone")
