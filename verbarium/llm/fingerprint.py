@@ -20,6 +20,8 @@ from .common import WORD_SPLIT
 K = 128
 SHINGLE = 5
 BITS = 48
+#: Buckets of neighbouring ids, at most; cuts between them in a group; characters that split rows of one id.
+BUCKETS, GROUP, PREFIX = 1 << 17, 256, 64
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -71,35 +73,44 @@ def to_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), BITS // 4, "0")), "")
 
 
-def _place(cuts: list[int], at: Column) -> Column:
-    """How many of the sorted cuts are at most ``at``: by blocks of the square root's width."""
-    width = max(1, int(len(cuts) ** 0.5))
-    table = F.lit(cuts)
-    block = F.size(F.filter(F.lit(cuts[::width]), lambda c: c <= at))
-    inner = F.size(F.filter(F.slice(table, F.greatest(block - 1, F.lit(0)) * width + 1, F.lit(width)), lambda c: c <= at))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inner)
+def _place(cuts: Column, at: Column) -> Column:
+    """How many of the cuts are at most ``at``."""
+    return F.size(F.filter(cuts, lambda c: c <= at))
 
 
 def with_next(docs: DataFrame, derive: dict[str, Column], id_col: str, carry: list[str], rows_per_bucket: int = 1000) -> DataFrame:
     """docs with the columns ``derive`` and ``next``: a struct of all of them in the next row by ascending id, after the last the first.
 
-    Ids are cut into buckets at quantiles that are ids themselves. The row at which
-    a bucket begins is also dealt to the bucket before it, so that each bucket, a
-    group of bounded size, knows its successor; rows move once. Null ids come
-    first; rows that share an id are ordered by the values carried.
+    Ids, of any type that has an order, are cut into buckets at ids drawn by a hash, so that rows move
+    once. The row at which a bucket begins is also dealt to the bucket before it; so each
+    bucket knows its successor. Where an id (or null) has more rows than a bucket should, cuts take
+    the start of the first carried column along, so that these rows are split as well; only rows that agree
+    in both stay together. Up to BUCKETS * rows_per_bucket rows a bucket has about rows_per_bucket of them, beyond in
+    proportion; buckets are sorted, and spill, as any sort does. Null ids come first; rows that share an id are ordered by
+    the values carried.
     """
-    facts = docs.agg(F.count("*").alias("n"), F.min(id_col).alias("low"), (F.count("*") - F.count(id_col)).alias("nulls")).first()
-    n_buckets = max(1, min(10_000, facts.n // rows_per_bucket))
-    cuts: list[int] = []
-    if n_buckets > 1 and facts.low is not None:
-        found = docs.agg(F.percentile_approx(id_col, [i / n_buckets for i in range(1, n_buckets)], 10 * n_buckets).alias("cuts")).first().cuts
-        cuts = sorted({x for x in found if x > facts.low or facts.nulls})
     at = F.col(id_col)
-    bucket = F.when(at.isNull(), F.lit(0)).otherwise(_place(cuts, at)) if cuts else F.lit(0)
-    begins = F.coalesce(F.array_position(F.lit(cuts), at) > 0, F.lit(False)) if cuts else F.lit(False)
-    head = at.isNull() if facts.nulls else at.eqNullSafe(F.lit(facts.low))
-    homes = [F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail")), F.when(begins, F.struct((F.col("_b") - 1).alias("b"), F.lit(1).alias("tail"))), F.when(head, F.struct(F.lit(len(cuts)).alias("b"), F.lit(2).alias("tail")))]
-    dealt = docs.withColumn("_b", bucket).select(at, *carry, F.explode(F.array_compact(F.array(*homes))).alias("_home"))
+    facts = docs.groupBy(at).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("top")).first()
+    tie = F.substring(F.col(carry[0]), 1, PREFIX) if (facts.top or 0) > rows_per_bucket else F.lit("")
+    keyed = docs.withColumn("_key", F.struct(at.isNotNull().alias("has"), at.alias("id"), tie.alias("tie")))
+    low = keyed.agg(F.min("_key").alias("low")).first().low
+    rows = facts.n or 0
+    step = max(1, rows // max(1, min(BUCKETS, rows // rows_per_bucket)))
+    cuts = keyed.select("_key").where(F.pmod(F.xxhash64("_key"), F.lit(step)) == 0).distinct()
+    kind = docs.schema[id_col].dataType
+    literal = lambda k: F.struct(F.lit(k.has).alias("has"), F.lit(k.id).cast(kind).alias("id"), F.lit(k.tie).alias("tie"))
+    heads = [literal(r["_key"]) for r in cuts.where(F.pmod(F.xxhash64(F.lit(1), "_key"), F.lit(GROUP)) == 0).orderBy("_key").collect()]  # about BUCKETS / GROUP
+    group = _place(F.array(*heads), F.col("_key")) if heads else F.lit(0)
+    groups = cuts.groupBy(group.alias("_group")).agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))
+    sizes = {r["_group"]: r["n"] for r in groups.select("_group", F.size("_cuts").alias("n")).collect()}
+    before = F.array(*(F.lit(sum(sizes.get(g, 0) for g in range(i))) for i in range(len(heads) + 1)))
+    placed = keyed.withColumn("_group", group).join(F.broadcast(groups), "_group", "left")  # about BUCKETS keys
+    placed = placed.withColumn("_cuts", F.coalesce("_cuts", F.array().cast(groups.schema["_cuts"].dataType)))
+    bucket = F.element_at(before, F.col("_group") + 1) + _place(F.col("_cuts"), F.col("_key"))
+    begins = F.array_contains("_cuts", F.col("_key"))
+    head = F.col("_key") == literal(low) if low else F.lit(False)
+    homes = [F.struct(bucket.alias("b"), F.lit(0).alias("tail")), F.when(begins, F.struct((bucket - 1).alias("b"), F.lit(1).alias("tail"))), F.when(head, F.struct(F.lit(sum(sizes.values())).alias("b"), F.lit(2).alias("tail")))]
+    dealt = placed.select(at, *carry, F.explode(F.array_compact(F.array(*homes))).alias("_home"))
     dealt = dealt.select(at, *carry, F.col("_home.b").alias("_b"), F.col("_home.tail").alias("_tail")).repartition("_b")
     dealt = dealt.withColumns(derive)
     order = Window.partitionBy("_b").orderBy("_tail", at.asc_nulls_first(), *carry)
