@@ -3,16 +3,20 @@
 Every document gets an exponential key ``-ln(u) / weight`` from a hash of its id
 and text, so that reruns agree. A source whose target is above its size is
 taken in complete epochs first; the rest of its target is filled along the order
-of the keys, until the document that crosses the budget, which is taken if at
-least half of it fits. Keys fall into buckets; only the bucket in which a
-source's budget ends is sorted, so that no source is gathered in one task.
+of the keys up to the first document that does not fit. What is left of the budget, if
+more than NEAR of the target, goes to the largest documents that fit, one after the other, and at
+last to the smallest one, if that brings the source closer to its target.
 
-The plan of a mix is one row for each source: target, epochs and the last key
-taken. Applying it is a join on the source and a comparison; no text moves.
+No source is gathered in one task: sums over parts of a range of keys tell in
+which part a budget ends, that part is divided again, and only when it holds at most ROWS rows
+(or one key only) are they put in order.
+
+The plan of a mix is one row for each source: target, epochs, the last key
+taken and the keys of the documents that fill up. Applying it is a join on the source and a comparison; no text moves.
 
 Null sources are one source, the last in order. Null texts have size 0 and are
 taken only in epochs. Rows that agree in id and text share a key and are
-taken alike, as are such rows with null ids. An empty table gives an empty mix.
+taken alike, as are such rows with null ids: all of them, if they fit together. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ MAX_EPOCHS = 3
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
 SEED = 8
+#: Parts into which a range of keys is divided; rows that one task puts in order.
+PARTS, ROWS = 1024, 4096
+#: A source this close to its target, as a share of it, needs no filling up; documents that fill up, at most.
+NEAR, FILLS = 0.002, 6
 SYMBOLS = r"[#*$%&|<>]+"
 
 
@@ -41,14 +49,13 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, 1.0 / (1.0 + 100.0 * symbols / n)).otherwise(F.lit(1.0))
 
 
-def keyed(docs: DataFrame, resolution: int, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with ``__vb_source``, ``__vb_size``, ``__vb_hash``, ``__vb_key`` and ``__vb_bucket``."""
+def keyed(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with ``__vb_source``, ``__vb_size``, ``__vb_hash`` and ``__vb_key``."""
     text = F.col(text_col)
     weight = quality_weight(text) if weight is None else weight
     df = docs.withColumn("__vb_source", F.col(source_col)).withColumn("__vb_size", n_words(text)).withColumn("__vb_hash", F.xxhash64(F.lit(SEED), F.col(id_col), text))
     u = (F.shiftrightunsigned("__vb_hash", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    df = df.withColumn("__vb_key", -F.ln(u) / F.greatest(weight, F.lit(1e-6)))
-    return df.withColumn("__vb_bucket", F.least(F.col("__vb_key") * resolution, F.lit(1e15)).cast("long"))
+    return df.withColumn("__vb_key", -F.ln(u) / F.greatest(weight, F.lit(1e-6)))
 
 
 def mix_targets(sizes: DataFrame) -> DataFrame:
@@ -66,35 +73,75 @@ def mix_targets(sizes: DataFrame) -> DataFrame:
     whole = Window.partitionBy()
     share = (F.sum("source_size").over(whole) - F.coalesce(F.sum("__vb_cap").over(before), F.lit(0.0))) / F.sum("__vb_w").over(after)
     level = F.min(F.when(F.col("__vb_share") <= F.col("__vb_ratio"), F.struct("__vb_ratio", "__vb_share"))).over(whole)["__vb_share"]
-    return caps.withColumn("__vb_share", share).withColumn("__vb_level", level).select("__vb_source", "source_size", F.coalesce(F.least(F.col("__vb_level") * F.col("__vb_w"), F.col("__vb_cap")), F.col("__vb_cap")).alias("target"))
+    return caps.withColumn("__vb_share", share).withColumn("__vb_level", level).select(*sizes.columns, F.coalesce(F.least(F.col("__vb_level") * F.col("__vb_w"), F.col("__vb_cap")), F.col("__vb_cap")).alias("target"))
+
+
+def _of(slim: DataFrame, side: DataFrame, n: int) -> DataFrame:
+    """The rows of the sources of side, which has a row for each (``__vb_s2``)."""
+    return slim.join(small_side(side, 256, n), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")))
+
+
+def _ends(slim: DataFrame, ends: DataFrame, scratch: Scratch, name: str, n: int) -> DataFrame:
+    """ends (__vb_s2, rest, before, low, high, rows) with the range of keys narrowed to few rows around the place where rest ends."""
+    step = 0
+    while ends.where(f"rows > {ROWS} AND low < high").limit(1).count():
+        share = F.expm1(F.col("low") - F.col("__vb_key")) / F.expm1(F.col("low") - F.col("high"))  # keys are exponential: about even parts
+        part = F.when(F.col("low") < F.col("high"), F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
+        parts = _of(slim, ends, n).where("__vb_key BETWEEN low AND high").groupBy("__vb_s2", "rest", "before", part.alias("part"))
+        parts = parts.agg(F.sum("__vb_size").alias("words"), F.min("__vb_key").alias("low"), F.max("__vb_key").alias("high"), F.count("*").alias("rows"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("__vb_s2").orderBy("part"))
+        hit = parts.withColumn("upto", upto).where("upto >= rest AND upto - words < rest")
+        ends = scratch.save(hit.select("__vb_s2", "rest", (F.col("upto") - F.col("words")).alias("before"), "low", "high", "rows"), f"{name}_ends{step}")
+        step += 1
+    return ends
+
+
+def _taken(row_key: Column, row_hash: Column) -> Column:
+    """Whether a row is taken in the last pass of its source."""
+    at = F.struct(row_key.alias("__vb_key"), row_hash.alias("__vb_hash"))
+    return F.coalesce((row_key < F.col("low")) | (at <= F.col("cut")), F.lit(False)) | F.coalesce(F.array_contains("fills", at), F.lit(False))
 
 
 def mix_plan(slim: DataFrame, scratch: Scratch, name: str = "plan") -> DataFrame:
-    """One row for each source of a keyed table: source_size, target, __vb_epochs and where its last pass ends."""
-    sizes = slim.groupBy("__vb_source").agg(F.sum("__vb_size").alias("source_size"))
+    """One row for each source of a keyed table: source_size, target, epochs, and low, cut and fills, which tell what its last pass takes."""
+    key = F.struct("__vb_key", "__vb_hash")
+    sizes = slim.groupBy("__vb_source").agg(F.sum("__vb_size").alias("source_size"), F.min("__vb_key").alias("low"), F.max("__vb_key").alias("high"), F.count("*").alias("rows"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = scratch.save(mix_targets(sizes).withColumn("__vb_epochs", full).withColumn("__vb_rest", F.col("target") - F.col("__vb_epochs") * F.col("source_size")), f"{name}_targets")
+    plan = mix_targets(sizes).withColumn("epochs", full).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = scratch.save(plan.withColumnRenamed("__vb_source", "__vb_s2"), f"{name}_targets")
     n = plan.count()
-    sums = slim.groupBy("__vb_source", "__vb_bucket").agg(F.sum("__vb_size").alias("__vb_sum"))
-    cum = F.sum("__vb_sum").over(Window.partitionBy("__vb_source").orderBy("__vb_bucket")) - F.col("__vb_sum")
-    sums = sums.withColumn("__vb_before", cum)
-    ends = sums.join(small_side(plan.select(F.col("__vb_source").alias("__vb_s2"), "__vb_rest"), 64, n), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")))
-    ends = scratch.save(ends.where("__vb_rest > 0 AND __vb_before < __vb_rest AND __vb_before + __vb_sum >= __vb_rest").select(F.col("__vb_source").alias("__vb_s2"), F.col("__vb_bucket").alias("__vb_end"), "__vb_before", "__vb_rest"), f"{name}_ends")
-    last = slim.join(small_side(ends, 64, n), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")) & (F.col("__vb_bucket") == F.col("__vb_end")))
-    run = F.sum("__vb_size").over(Window.partitionBy("__vb_s2").orderBy("__vb_key", "__vb_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__vb_size")
-    last = last.withColumn("__vb_run", run + F.col("__vb_before")).where(F.col("__vb_run") + F.col("__vb_size") / 2 < F.col("__vb_rest"))
-    cuts = last.groupBy("__vb_s2").agg(F.max(F.struct("__vb_key", "__vb_hash")).alias("__vb_cut"))
-    out = plan.join(ends.select("__vb_s2", "__vb_end"), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")), "left").drop("__vb_s2")
-    out = out.join(cuts, F.col("__vb_source").eqNullSafe(F.col("__vb_s2")), "left")
-    return scratch.save(out.select("__vb_source", "source_size", "target", "__vb_epochs", F.coalesce("__vb_end", F.lit(-1)).alias("__vb_end"), "__vb_cut"), name)
+    ends = _ends(slim, plan.where("rest > 0").select("__vb_s2", "rest", F.lit(0).cast("long").alias("before"), "low", "high", "rows"), scratch, name, n)
+    last = _of(slim, ends, n).where("__vb_key BETWEEN low AND high").groupBy("__vb_s2", "rest", "before", "low", "__vb_key", "__vb_hash").agg(F.sum("__vb_size").alias("size"))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("__vb_s2").orderBy("__vb_key", "__vb_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = F.col("upto") <= F.col("rest")
+    cuts = last.withColumn("upto", upto).groupBy("__vb_s2", "low").agg(F.max(F.when(fits, key)).alias("cut"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before")).alias("words"))
+    state = plan.drop("low", "high", "rows").join(cuts.withColumnRenamed("__vb_s2", "_s"), F.col("__vb_s2").eqNullSafe(F.col("_s")), "left").drop("_s")
+    state = state.withColumn("left", F.when(F.col("low").isNotNull(), F.col("rest") - F.col("words"))).withColumn("fills", F.array().cast("array<struct<__vb_key:double,__vb_hash:bigint>>"))
+    state = scratch.save(state.drop("rest", "words"), f"{name}_0")
+    wide = F.col("left") > NEAR * F.col("target")
+    largest = F.max(F.when(F.col("size") <= F.col("left"), F.struct("size", (-F.col("__vb_key")).alias("back"), "__vb_hash", "__vb_key")))
+    smallest = F.min(F.when(F.col("size") < 2 * F.col("left"), F.struct("size", "__vb_key", "__vb_hash")))
+    last_step, step = False, 1
+    while not last_step and state.where(wide).limit(1).count():
+        free = _of(slim, state.where(wide), n).where(~_taken(F.col("__vb_key"), F.col("__vb_hash")) & (F.col("__vb_size") > 0))
+        free = free.groupBy("__vb_s2", "left", "__vb_key", "__vb_hash").agg(F.sum("__vb_size").alias("size"))
+        last_step = step > FILLS
+        found = free.groupBy(F.col("__vb_s2").alias("_s")).agg((smallest if last_step else largest).alias("best")).where("best IS NOT NULL")
+        found = scratch.save(found, f"{name}_fill{step}")
+        if found.limit(1).count():
+            new = state.join(found, F.col("__vb_s2").eqNullSafe(F.col("_s")), "left").drop("_s")
+            more = F.when(F.col("best").isNotNull(), F.array_append("fills", F.struct(F.col("best.__vb_key").alias("__vb_key"), F.col("best.__vb_hash").alias("__vb_hash")))).otherwise(F.col("fills"))
+            state = scratch.save(new.withColumn("fills", more).withColumn("left", F.col("left") - F.coalesce("best.size", F.lit(0))).drop("best"), f"{name}_{step}")
+        else:
+            step = FILLS
+        step += 1
+    return state.select("__vb_s2", "source_size", "target", "epochs", "low", "cut", "fills")
 
 
 def copies(df: DataFrame, plan: DataFrame) -> DataFrame:
     """A keyed table with source_size, target and ``copies``: how often the mix takes each row."""
-    p = plan.select(F.col("__vb_source").alias("__vb_s2"), "source_size", "target", "__vb_epochs", "__vb_end", "__vb_cut")
-    out = df.join(small_side(p, 128), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")), "left")
-    within = (F.col("__vb_bucket") < F.col("__vb_end")) | ((F.col("__vb_bucket") == F.col("__vb_end")) & F.coalesce(F.struct("__vb_key", "__vb_hash") <= F.col("__vb_cut"), F.lit(False)))
-    return out.withColumn("copies", F.col("__vb_epochs") + within.cast("long")).drop("__vb_s2", "__vb_epochs", "__vb_end", "__vb_cut")
+    out = df.join(small_side(plan, 256), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")), "left")
+    return out.withColumn("copies", F.col("epochs") + _taken(F.col("__vb_key"), F.col("__vb_hash")).cast("long")).drop("__vb_s2", "epochs", "low", "cut", "fills")
 
 
 def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_text: bool = True) -> DataFrame:
@@ -105,10 +152,11 @@ def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    resolution = 1024
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     own = docs.columns if with_text else [id_col, source_col]
-    table = keyed(docs, resolution, weight, id_col, text_col, source_col)
-    slim = scratch.save(table.select(*([] if with_text else own), "__vb_source", "__vb_size", "__vb_hash", "__vb_key", "__vb_bucket"), "slim")
-    made = copies(table if with_text else slim, mix_plan(slim, scratch))
-    return made.select(*own, F.col("__vb_size").alias("size"), "source_size", "target", "copies", (F.col("__vb_size") * F.col("copies")).alias("taken"))
+    names = [f"__vb_own{i}" for i in range(len(own))]  # names of docs cannot clash with those of the plan
+    plain = docs.select(*(F.col(c).alias(x) for c, x in zip(own, names)), F.col(id_col).alias("__vb_id"), F.col(text_col).alias("__vb_text"), F.col(source_col).alias("__vb_from"))
+    table = keyed(plain, weight, "__vb_id", "__vb_text", "__vb_from")
+    slim = scratch.save(table.select(*([] if with_text else names), "__vb_source", "__vb_size", "__vb_hash", "__vb_key"), "slim")
+    made = copies(table if with_text else slim, mix_plan(slim.select("__vb_source", "__vb_size", "__vb_hash", "__vb_key"), scratch))
+    return made.select(*(F.col(x).alias(c) for c, x in zip(own, names)), F.col("__vb_size").alias("size"), "source_size", "target", "copies", (F.col("__vb_size") * F.col("copies")).alias("taken"))
