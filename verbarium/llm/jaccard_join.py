@@ -9,15 +9,17 @@ members of each in any order common to all. Orders put frequent shingles last.
    texts are counted; at most HOT of them, the most frequent, form the end of the order.
 2. The first members of each set make inverted lists; a member that only one set
    has is dropped where it arrives.
-3. Each set is searched with the hub of the lists it shares most, then hubs are drawn
-   anew while that joins components; a list whose sets are all in one component is
-   done. What is left between components is searched pair by pair, bounded by the
-   place of the first common member. No link between components is lost, and a group of
-   near copies is joined without its pairs.
+3. Each set is searched with the hub of the lists it shares most; a list whose sets are
+   all in one component then is done, so that a group of near copies is joined without its
+   pairs. What is left between components is searched pair by pair, bounded by the
+   place of the first common member. No link between components is lost.
 4. A search is T-occurrence with DivideSkip (Li, Lu, Lu 2008): the query's inverted
    lists over a batch of records are split; short ones are merged on a heap, candidates
    that can still reach T are probed in the long ones by binary search.
 
+A list, a hub or a set that very many meet is dealt over many tasks. Sets have 64-bit names; a
+second hash shows which names two different sets share, and such sets are named by it.
+
 Null texts and texts without words have empty sets, link with nothing and are
 components of their own. Rows with a null id take part; a component of such rows only
 has a null id. Repeated rows are equal sets. An empty table gives an empty result.
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, small_side
+from .common import BROADCAST_BYTES, Scratch, row_key, small_side, spread_join
 from .components import components
 
 SHINGLE = 5
@@ -48,10 +50,10 @@ HOT = 1_000_000
 #: Frequent shingles are looked for in stretches of so many shingles; seen so often, they are counted.
 STRETCH, OFTEN = 3_000_000, 2
 LIST_ROWS = 400_000
-#: Hubs with which a set is searched in a round after the first.
-HUBS = 3
-#: Rounds of hubs at most; what they leave is searched pair by pair.
-ROUNDS = 1
+#: Sets of one list that are paired in one task.
+BLOCK = 2_000
+#: Sets whose 64-bit names clash with another one's, at most; of 2 ** 35 sets about 32 do.
+CLASHES = 100_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -78,6 +80,16 @@ def set_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), len(s) & 0xFFFF)).view(np.int64))
 
 
+def second_id(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), 0xA5A5A5)).view(np.int64))
+
+
+def name_of(s: np.ndarray, clashing: frozenset) -> int:
+    """The name of a set: its first hash, unless another set has the same one."""
+    me = set_id(s)
+    return second_id(s) if me in clashing else me
+
+
 def required(n: int, m: int) -> int:
     """The least overlap of linked sets of these sizes."""
     return -(-4 * (n + m) // 9)
@@ -117,25 +129,26 @@ def divide_skip(query: np.ndarray, records: list[np.ndarray], needs: list[int])
 
 
 def _members(id_type: pa.DataType):
-    schema = pa.schema([("id", id_type), ("k", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("hot", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", id_type), ("k", pa.binary()), ("n", pa.int64()), ("set_id", pa.int64()), ("second", pa.int64()), ("hot", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
     def frequent(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         s = np.sort(np.concatenate([*sets.values(), np.zeros(0, np.int64)]))
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         times = np.diff(np.append(starts, len(s)))
         often = times >= OFTEN
-        row = {"id": None, "k": None, "n": None, "set_id": None, "hot": s[starts[often]].tolist(), "times": times[often].tolist()}
+        row = {"id": None, "k": None, "n": None, "set_id": None, "second": None, "hot": s[starts[often]].tolist(), "times": times[often].tolist()}
         return pa.RecordBatch.from_pylist([row], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         total = 0
         for batch in batches:
-            ns, ids = [], []
+            ns, ids, seconds = [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text)
                 ns.append(len(s))
                 ids.append(set_id(s))
+                seconds.append(second_id(s))
                 if ids[-1] not in held:
                     held[ids[-1]] = s
                     total += len(s)
@@ -143,13 +156,13 @@ def _members(id_type: pa.DataType):
                     yield frequent(held)
                     held, total = {}, 0
             empty = pa.nulls(len(ns), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), batch.column(1), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), empty, empty], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), batch.column(1), *(pa.array(x, pa.int64()) for x in (ns, ids, seconds)), empty, empty], schema=schema)
         yield frequent(held)
 
     return run
 
 
-def _lists(hot):
+def _lists(hot, clashing):
     """Rows (h, set_id, n, pos, hot) of the first members of each set."""
     schema = pa.schema([("h", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hot", pa.bool_())])
 
@@ -162,7 +175,7 @@ def _lists(hot):
             hs, ids, ns, ps, hots, size = [], [], [], [], [], 0
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text)
-                me = set_id(s)
+                me = name_of(s, clashing)
                 if not len(s) or me in seen:
                     continue
                 seen.add(me)
@@ -211,11 +224,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.to_batches(max_chunksize=200_000)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            made = [shingle_set(t) for t in batch.slice(at, 1000).column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["set_id", "members"])
+def _sets(clashing):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                made = [shingle_set(t) for t in batch.slice(at, 1000).column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(s, clashing) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["set_id", "members"])
+
+    return run
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,19 +266,26 @@ class JaccardJoin:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = self.id_type.simpleString()
-        made = self.scratch.save(self.docs.mapInArrow(_members(to_arrow_type(self.id_type)), f"id {kind}, k long, n long, set_id long, hot array<long>, times array<long>"), "made")
+        made = self.scratch.save(self.docs.mapInArrow(_members(to_arrow_type(self.id_type)), f"id {kind}, k binary, n long, set_id long, second long, hot array<long>, times array<long>"), "made")
         hot = made.where("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy(F.col("x.hot").alias("h")).agg(F.sum("x.times").alias("times"))
         rows = hot.orderBy(F.desc("times"), "h").limit(HOT).toArrow()
         h, times = (rows.column(i).to_numpy().astype(np.int64) for i in (0, 1))
         order = np.argsort(h)
         self.hot = self.spark.sparkContext.broadcast((h[order], times[order]))
-        return made.where("hot IS NULL").select("id", "k", "n", "set_id")
+        members = made.where("hot IS NULL").select("id", "k", "n", "set_id", "second")
+        same = members.groupBy("set_id").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high")
+        self.clashing = frozenset(r.set_id for r in same.select("set_id").limit(CLASHES + 1).collect())
+        if len(self.clashing) > CLASHES:
+            raise ValueError("too many sets for 64-bit names")
+        if self.clashing:
+            members = members.withColumn("set_id", F.when(F.col("set_id").isin(*self.clashing), F.col("second")).otherwise(F.col("set_id")))
+        return members.drop("second")
 
     def lists(self, members: DataFrame) -> DataFrame:
         """The inverted lists of first members that two sets or more share: (h, set_id, n, pos)."""
         total = members.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.8) + 1)).first()[0] or 0
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total) // LIST_ROWS)
-        rows = self.docs.select("text").mapInArrow(_lists(self.hot), "h long, set_id long, n int, pos int, hot boolean")
+        rows = self.docs.select("text").mapInArrow(_lists(self.hot, self.clashing), "h long, set_id long, n int, pos int, hot boolean")
         # A frequent list is known to be shared and is dealt by set too, so that no task gets one whole.
         salt = F.when(F.col("hot"), F.pmod("set_id", F.lit(64))).otherwise(F.lit(-1))
         dealt = rows.select("h", "set_id", "n", "pos", "hot").repartition(parts, "h", salt)
@@ -290,23 +313,25 @@ class JaccardJoin:
         keys = self.scratch.save(reps.join(named, "set_id", "left_semi").select("k"), f"{name}_keys")
         some = self.docs.join(small_side(keys, 24), "k", "left_semi")
         some = some.dropDuplicates(["k"]) if self.repeated else some
-        sets = self.scratch.save(some.select("text").mapInArrow(_sets, "set_id long, members binary"), f"{name}_sets")
+        sets = self.scratch.save(some.select("text").mapInArrow(_sets(self.clashing), "set_id long, members binary"), f"{name}_sets")
         a, b = sets.select(F.col("set_id").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("set_id").alias("b"), F.col("members").alias("of_b"))
-        found = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(_search, "a long, b long")
+        met = spread_join(spread_join(pairs, a, ["a"], self.scratch, f"{name}_hot_a"), b, ["b"], self.scratch, f"{name}_hot_b", pairs.groupBy("b").agg(F.count("*").alias("n")))
+        found = met.select("a", "b", "of_a", "of_b").mapInArrow(_search, "a long, b long")
         found = self.scratch.save(found, f"{name}_links")
         self.scratch.drop(f"{name}_keys", f"{name}_sets")
         return found
 
-    def plausible(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    def plausible(self, pairs: DataFrame, lists: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b) those whose count of shared lists lets them link.
 
         Of two sets, all that the one whose last first member comes earlier shares among its
         first members is in lists of both; so they share at most as many members as
         lists, and what lies behind the first members of either.
         """
-        of = lists.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_set("h").alias("hs"))  # at most the first members of one set
-        met = pairs.join(of.select(F.col("set_id").alias("a"), "n", F.col("hs").alias("of_a")), "a")
-        met = met.join(of.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("hs").alias("of_b")), "b")
+        pairs = self.scratch.save(pairs, f"{name}_met")
+        of = self.scratch.save(lists.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_set("h").alias("hs")), f"{name}_of")  # at most the first members of one set
+        of_a, of_b = of.select(F.col("set_id").alias("a"), "n", F.col("hs").alias("of_a")), of.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("hs").alias("of_b"))
+        met = spread_join(spread_join(pairs, of_a, ["a"], self.scratch, f"{name}_many_a"), of_b, ["b"], self.scratch, f"{name}_many_b", pairs.groupBy("b").agg(F.count("*").alias("n")))
         return self._enough(met.select("a", "b", "n", "m", F.size(F.array_intersect("of_a", "of_b")).alias("c")))
 
     @staticmethod
@@ -316,59 +341,58 @@ class JaccardJoin:
         sizes = (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4)
         return counted.where(sizes & (F.col("c") + F.greatest(behind("n"), behind("m")) >= F.ceil((F.col("n") + F.col("m")) * 4 / 9))).select("a", "b")
 
-    def hub_pairs(self, lists: DataFrame, draw: int, name: str) -> DataFrame:
-        """For each set of the lists (h, set_id, n, root) hubs of other components: the HUBS with which it shares most lists.
+    def hub_pairs(self, lists: DataFrame) -> DataFrame:
+        """For each set of the lists (h, set_id, n, root, class) the hub with which it shares most lists.
 
-        A list's hub is the set in which it comes earliest: what comes before are rarer
+        A list's hub, one for each class of sizes, is the set in which it comes earliest: what comes before are rarer
         members, so among near copies that is the one with the least of its own.
         """
-        lists = lists.withColumn("class", F.floor(F.log(F.col("n").cast("double")) * 4.0))
-        chance = F.xxhash64(F.lit(draw), "set_id", F.pmod("h", F.lit(2 * HUBS)))
-        hubs = lists.groupBy("h", "class").agg(F.min(F.struct("pos", chance.alias("c"), "set_id", "root")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("h", "class", F.col("hub.set_id").alias("b"), F.col("hub.root").alias("hub_root"))
-        hubs = self.scratch.save(hubs, f"{name}_hubs")
-        met = lists.join(hubs, ["h", "class"]).where("root <> hub_root").groupBy(F.col("set_id").alias("a"), "b").agg(F.count("*").alias("n"))
-        best = met.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, HUBS if draw else 1).alias("x"))
-        return best.select("a", F.explode("x.b").alias("b"))
-
-    def open_lists(self, lists: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+        hubs = lists.groupBy("h", "class").agg(F.min(F.struct("pos", F.xxhash64("set_id").alias("c"), "set_id")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("h", "class", F.col("hub.set_id").alias("b"), "n")
+        hubs = self.scratch.save(hubs, "hubs")
+        met = spread_join(lists, hubs.drop("n"), ["h", "class"], self.scratch, "hot_lists", hubs.select("h", "class", "n")).where("set_id <> b")
+        return met.groupBy(F.col("set_id").alias("a"), "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
+
+    def open_lists(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
         """The rows, with their roots, of lists whose sets are not all in one component."""
-        if roots is None:
-            return lists.withColumn("root", F.col("set_id"))
         named = lists.drop("root").join(roots.select(F.col("id").alias("set_id"), F.col("root").alias("r")), "set_id", "left").withColumn("root", F.coalesce("r", "set_id")).drop("r")
-        named = self.scratch.save(named, f"{name}_named")
-        split = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-        out = self.scratch.save(named.join(self.scratch.save(split, f"{name}_split"), "h", "left_semi"), f"{name}_open")
-        self.scratch.drop(f"{name}_named", f"{name}_split")
+        named = self.scratch.save(named, "named")
+        split = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("h", "n")
+        split = self.scratch.save(split, "split")
+        out = self.scratch.save(spread_join(named, split.select("h"), ["h"], self.scratch, "hot_split", split), "open")
+        self.scratch.drop("named")
         return out
 
     def all_pairs(self, lists: DataFrame) -> DataFrame:
-        """Pairs of sets of different components that share a list, as far as sizes and places let them link."""
-        a = lists.select("h", F.col("set_id").alias("a"), F.col("n").alias("n"), F.col("pos").alias("i"), F.col("root").alias("ra"))
-        b = lists.select("h", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("root").alias("rb"))
+        """Pairs of sets of different components that share a list, as far as sizes and places let them link.
+
+        A list of more than BLOCK sets is dealt into blocks, and every two of them meet in a task of their own.
+        """
+        counts = lists.groupBy("h").agg(F.count("*").alias("many"))
+        least = max(BLOCK, lists.count() * 64 // BROADCAST_BYTES)  # so that the table of long lists can be broadcast
+        long = self.scratch.save(counts.where(F.col("many") > least).select("h", F.ceil(F.col("many") / least).cast("int").alias("blocks")), "long")
+        dealt = lists.join(F.broadcast(long), "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        a = dealt.select("h", F.col("mine").alias("x"), F.col("other").alias("y"), F.col("set_id").alias("a"), F.col("n").alias("n"), F.col("pos").alias("i"), F.col("root").alias("ra"))
+        b = dealt.select("h", F.col("other").alias("x"), F.col("mine").alias("y"), F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("root").alias("rb"))
         fits = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4)
         # Linked sets share one of the first n - T + 1 members of a, which is one of the first m - T + 1 of b. Before a
         # common member lie at most min(i, j) others, behind it at most min(n - i, m - j) - 1.
         need = F.ceil((F.col("n") + F.col("m")) * 4 / 9)
         fits &= (F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need)
         fits &= F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need
-        return self.plausible(self.scratch.save(a.join(b, "h").where(fits).select("a", "b").distinct(), "met"), lists)
+        return self.plausible(a.join(b, ["h", "x", "y"]).where(fits).select("a", "b").distinct(), lists, "rest")
 
     def roots(self, lists: DataFrame, reps: DataFrame) -> DataFrame | None:
         """(id, root) of all sets that link with another; None if there are none."""
-        scratch, roots = self.scratch, None
-        todo, draw = self.open_lists(lists, None, "r0"), 0
-        while True:
-            pairs = scratch.save(self.plausible(self.hub_pairs(todo, draw, f"r{draw}"), todo), f"r{draw}_pairs")
-            new = self.search(pairs, reps, f"r{draw}")
-            fresh = new.count()
-            if fresh:
-                roots = self.joined(roots, new, f"r{draw}_roots")
-            if fresh or not draw:
-                todo = self.open_lists(todo, roots, f"r{draw}t") if roots is not None else todo
-            draw += 1
-            if not fresh or draw == ROUNDS:
-                break
-        rest = self.search(scratch.save(self.all_pairs(todo), "rest_pairs"), reps, "rest")
+        lists = lists.withColumn("root", F.col("set_id")).withColumn("class", F.floor(F.log(F.col("n").cast("double")) * 4.0))
+        pairs = self.scratch.save(self.plausible(self.hub_pairs(lists), lists, "hub"), "hub_pairs")
+        links = self.search(pairs, reps, "hub")
+        if not links.limit(1).count():
+            roots, todo = None, lists
+        else:
+            roots = components(links, self.scratch, "hub_roots")
+            todo = self.open_lists(lists, roots)
+        rest = self.search(self.scratch.save(self.all_pairs(todo), "rest_pairs"), reps, "rest")
         return self.joined(roots, rest, "rest_roots") if rest.limit(1).count() else roots
 
     def joined(self, roots: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
