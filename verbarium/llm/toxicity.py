@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side
+from .common import Scratch, bound_batches, small_side
 
 MAX_TOXIC = 4_000
 MAX_UNLABELLED = 12_000
@@ -186,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_toxi
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of docs with ``score``, 0 to 1."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import Scratch, small_side
+from .common import Scratch, small_side, spread_join
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 32 << 20
@@ -240,7 +240,9 @@ def write_pages(pages: DataFrame, path: str | None = None, min_payload: int = 0,
     page = page.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
     seen = scratch.save(page.select("id", "digest", F.octet_length("html").alias("bytes")), "digests")
     first = seen.where(F.col("bytes") >= min_payload).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    again = scratch.save(seen.join(first, "digest").where("id <> first").select("id", "digest", "first").distinct(), "revisits")
+    first = scratch.save(first, "firsts")
+    again = spread_join(seen, first.drop("n"), ["digest"], scratch, "hot", first.select("digest", "n"))
+    again = scratch.save(again.where("id <> first").select("id", "digest", "first").distinct(), "revisits")
     joined = page.join(small_side(again, 64), ["id", "digest"], "left")
     joined.select("id", "url", F.col("html").cast("binary").alias("html"), "digest", "first").write.format("verbarium_warc").mode("append").save(path)
     return path
