@@ -27,14 +27,22 @@ BENCH = ("h", "lig", "light", "l?ght", "l*t", "*ight", "morning light")
 
 
 def bench(spark: SparkSession, engine: SearchEngine, runs: int):
-    """(query, mean, p50, p95) in milliseconds over repeated lookups of ten results."""
+    """(packs and query, mean, p50, p95) in milliseconds over repeated lookups of ten results: in each pack, then in all."""
     took = []
+    for p in engine.packs:
+        alone = SearchEngine(spark)
+        alone.add_pack(p.path)
+        took += [(f"{p.pack_id}: {q}", ms) for q, ms in _timed(alone, runs)]
+    took += [(f"all {len(engine.packs)} packs, {engine.entry_total()} entries: {q}", ms) for q, ms in _timed(engine, runs)]
+    return measure.nearest_rank(spark.createDataFrame(took, "query STRING, ms DOUBLE"), "query", "ms", {"p50": 0.5, "p95": 0.95})
+
+
+def _timed(engine: SearchEngine, runs: int):
     for query in BENCH:
         for _ in range(runs):
             began = time.perf_counter()
             engine.suggest(query, 10).collect()
-            took.append((query, (time.perf_counter() - began) * 1000))
-    return measure.nearest_rank(spark.createDataFrame(took, "query STRING, ms DOUBLE"), "query", "ms", {"p50": 0.5, "p95": 0.95})
+            yield query, (time.perf_counter() - began) * 1000
 
 
 def _engine(spark: SparkSession, folder: str) -> SearchEngine:

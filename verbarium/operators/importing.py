@@ -47,7 +47,7 @@ def pronunciations(sounds: Column, language: Column, source_id: str) -> Column:
         return F.array_compact(rows)
 
     all_rows = _or_empty(F.flatten(F.transform(sounds, of)), "array<struct<ipa:string,type:string,tags:array<string>,audio:string,source_id:string>>")
-    american = lambda p: F.exists(p["tags"], lambda t: F.lower(t).rlike("us|american|ga"))
+    american = lambda p: F.coalesce(F.exists(p["tags"], lambda t: F.lower(t).rlike("us|american|ga")), F.lit(False))
     return F.when(language == "en", F.concat(F.filter(all_rows, american), F.filter(all_rows, lambda p: ~american(p)))).otherwise(all_rows)
 
 
@@ -84,8 +84,8 @@ def dump_to_entries(records: DataFrame, source_id: str) -> DataFrame:
         return F.when(F.coalesce(trim(text), F.lit("")) != "", made)
 
     senses = F.array_compact(F.transform("senses", sense))
-    form = lambda x: F.struct(trim(x["form"]).alias("form"), F.coalesce(F.array_join(x["tags"], ", "), F.lit("form")).alias("type"), F.lit(source_id).alias("source_id"))
-    forms = F.transform(F.filter("forms", lambda x: F.coalesce(trim(x["form"]), F.lit("")) != ""), form)
+    form = lambda x: F.struct(x["form"].alias("form"), F.coalesce(F.array_join(x["tags"], ", "), F.lit("form")).alias("type"), F.lit(source_id).alias("source_id"))
+    forms = F.transform(F.filter("forms", lambda x: x["form"].isNotNull()), form)
     out = df.select("line_no", "base_id", "language", "lemma", "pos", pronunciations(F.col("sounds"), F.col("language"), source_id).alias("pronunciations"), senses.alias("senses"), _or_empty(forms, "array<struct<form:string,type:string,source_id:string>>").alias("forms"))
     return out.where(F.size("senses") > 0)
 

@@ -36,7 +36,7 @@ def package(spark: SparkSession, paths: list[str], out: str) -> DataFrame:
     for path in paths:
         n, manifest, _ = packs.inspect(spark, path)
         to = f"{out}/{manifest['id']}"
-        for t in packs.TABLES:
+        for t in packs.tables_of(path):
             spark.read.parquet(f"{path}/{t}").write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{to}/{t}")
         rows.append((manifest["id"], ",".join(manifest["languages"]), n, files.size(path), files.size(to)))
     if not rows:
@@ -67,19 +67,20 @@ def install(spark: SparkSession, archive: str, out: str, checksums: str | None =
             raise ValueError(f"checksum differs: {tally.bad}")
         verified = bool(tally.known)
     part = f"{out}.part"
-    for t in packs.TABLES:
-        spark.read.parquet(f"{archive}/{t}").write.mode("overwrite").parquet(f"{part}/{t}")
-    bad = packs.validate_pack(spark, part).where("NOT ok").orderBy("check").first()
-    if bad:
+    files.delete(part)
+    try:
+        for t in packs.tables_of(archive):
+            spark.read.parquet(f"{archive}/{t}").write.mode("overwrite").parquet(f"{part}/{t}")
+        packs.check_pack(spark, part)
+        files.replace(part, out)
+    finally:
         files.delete(part)
-        raise ValueError(f"not a valid pack: {bad.check}")
-    files.replace(part, out)
     return verified
 
 
 def make_manifest(language: str, name: str, edition: str, url: str, dump: str, license: str, source_id: str, retrieved: str | None = None) -> dict:
     """The manifest of a pack built from a dump, with the digest of the dump's first 64 MB."""
     now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
-    note = f"{edition} contributors. Retrieved {retrieved or now}. Source SHA-256 (first 64 MB): {files.sha256(dump, 64)}"
+    note = f"By those who wrote {edition}; taken {retrieved or now} from a dump whose first 64 MB have the SHA-256 digest {files.sha256(dump, 64)}"
     source = {"id": source_id, "name": f"{name} ({edition})", "url": url, "license": license, "attribution": note}
     return {"id": f"{source_id}-{language}", "name": f"{edition}: {name}", "version": now[:10].replace("-", "."), "schema_version": packs.SCHEMA_VERSION, "languages": [language], "created_at": now, "license": license, "sources": [source]}

@@ -1,4 +1,8 @@
-"""Packs: directories of Parquet tables (entries, terms, postings, lengths, sources, pack) built by DataFrame ETL."""
+"""Packs: directories of Parquet tables built by DataFrame ETL.
+
+``entries``, ``terms``, ``sources`` and ``pack`` (one row); the text index is ``postings``, ``lengths`` (tokens of
+an entry), ``frequencies`` (entries with a token) and ``totals`` (one row: entries with tokens, their mean length).
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,12 @@ from ..sources import files, readers
 from . import importing
 from .measure import number_within
 
-TABLES = ("entries", "terms", "postings", "sources", "pack")
+INDEX = ("postings", "lengths", "frequencies", "totals")
+TABLES = ("entries", "terms", *INDEX, "sources", "pack")
+#: The column by which a table's files are ranges.
+SORTED = {"entries": "entry_rowid", "terms": "term", "postings": "token", "lengths": "entry_rowid", "frequencies": "token"}
+#: What must hold of a pack before it takes its place.
+INTEGRITY = ("count", "lemmas", "orphans", "indexed", "unique_ids")
 WEIGHTS = (20.0, 10.0, 3.0, 1.0)
 FIELDS = ("headwords", "definitions", "examples", "relations")
 
@@ -53,8 +62,14 @@ def postings(entries: DataFrame) -> DataFrame:
     return rows.groupBy("token", "entry_rowid", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def _write(df: DataFrame, path: str, key: str | None = None) -> None:
-    (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.mode("overwrite").parquet(path)
+def _write(df: DataFrame, folder: str, table: str) -> None:
+    key = SORTED.get(table)
+    (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.mode("overwrite").parquet(f"{folder}/{table}")
+
+
+def tables_of(folder: str) -> list[str]:
+    """The tables that a pack has: one may lack the text index."""
+    return [t for t in TABLES if t not in INDEX or files.is_dir(f"{folder}/{t}")]
 
 
 def number_rows(entries: DataFrame) -> DataFrame:
@@ -72,22 +87,62 @@ class BuildStats:
     id_collisions: int = 0
 
 
-def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = False) -> BuildStats:
-    """Write the tables of a pack over what is there; entries come with id and line_no."""
+def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = False, indexed: bool = True) -> BuildStats:
+    """Write the tables of a pack and put them in place of what is there; entries come with id and line_no.
+
+    All is written and checked beside its place first: a build that fails leaves an old pack as it was.
+    """
     spark = entries.sparkSession
     if manifest["schema_version"] > SCHEMA_VERSION:
         raise ValueError(f"pack format {manifest['schema_version']} is newer than {SCHEMA_VERSION}")
-    rows = number_rows(entries)
-    _write(rows, f"{out}/entries", "entry_rowid")
-    stored = spark.read.parquet(f"{out}/entries")
-    _write(search_terms(stored, composed), f"{out}/terms", "term")
-    _write(postings(stored), f"{out}/postings", "token")
-    sources = spark.createDataFrame([(s["id"], s.get("name"), s.get("url"), s.get("license"), s.get("attribution")) for s in {s["id"]: s for s in manifest["sources"]}.values()], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
-    _write(sources, f"{out}/sources")
-    n = stored.count()
-    pack = spark.createDataFrame([(manifest["id"], manifest.get("name"), manifest.get("version"), manifest["schema_version"], manifest["languages"], n, json.dumps(manifest))], "pack_id STRING, name STRING, version STRING, schema_version INT, languages ARRAY<STRING>, entry_count LONG, manifest STRING")
-    _write(pack.coalesce(1), f"{out}/pack")
-    return BuildStats(entries=n, terms=spark.read.parquet(f"{out}/terms").count())
+    part = f"{out}.part"
+    files.delete(part)
+    try:
+        _write(number_rows(entries), part, "entries")
+        stored = spark.read.parquet(f"{part}/entries")
+        _write(search_terms(stored, composed), part, "terms")
+        if indexed:
+            _write(postings(stored), part, "postings")
+            _write_counts(spark, part)
+        sources = spark.createDataFrame([(s["id"], s.get("name"), s.get("url"), s.get("license"), s.get("attribution")) for s in {s["id"]: s for s in manifest["sources"]}.values()], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
+        _write(sources, part, "sources")
+        n = entries.count()
+        pack = spark.createDataFrame([(manifest["id"], manifest.get("name"), manifest.get("version"), manifest["schema_version"], manifest["languages"], n, json.dumps(manifest))], "pack_id STRING, name STRING, version STRING, schema_version INT, languages ARRAY<STRING>, entry_count LONG, manifest STRING")
+        _write(pack.coalesce(1), part, "pack")
+        if n:
+            check_pack(spark, part, INTEGRITY)
+        terms = spark.read.parquet(f"{part}/terms").count()
+        files.replace(part, out)
+    finally:
+        files.delete(part)
+    return BuildStats(entries=n, terms=terms)
+
+
+def _write_counts(spark: SparkSession, folder: str) -> None:
+    post = spark.read.parquet(f"{folder}/postings")
+    _write(post.groupBy("entry_rowid").agg(F.sum(F.size("positions")).alias("len")), folder, "lengths")
+    _write(post.groupBy("token").agg(F.count_distinct("entry_rowid").alias("df")), folder, "frequencies")
+    _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals")
+
+
+def check_pack(spark: SparkSession, folder: str, checks: tuple[str, ...] | None = None) -> None:
+    """ValueError if the pack fails one of the checks, or any."""
+    bad = validate_pack(spark, folder).where("NOT ok")
+    bad = (bad if checks is None else bad.where(F.col("check").isin(*checks))).orderBy("check").first()
+    if bad:
+        raise ValueError(f"not a valid pack: {bad.check}")
+
+
+def compact(spark: SparkSession, folder: str, file_mb: int = 128) -> None:
+    """Rewrite a pack's tables in files of about so many megabytes, ranges of the same keys as before."""
+    part = f"{folder}.part"
+    files.delete(part)
+    for t in tables_of(folder):
+        n = max(1, files.size(f"{folder}/{t}") // (file_mb << 20))
+        df, key = spark.read.parquet(f"{folder}/{t}"), SORTED.get(t)
+        df = df.repartitionByRange(n, key).sortWithinPartitions(key) if key else df.coalesce(n)
+        df.write.mode("overwrite").parquet(f"{part}/{t}")
+    files.replace(part, folder)
 
 
 def load_manifest(path: str) -> dict:
@@ -114,6 +169,8 @@ def build_from_entries(spark: SparkSession, manifest_path: str, entries_path: st
 def build_from_dump(spark: SparkSession, manifest_path: str, dump_path: str, out: str, source_id: str, max_entries: int | None = None) -> BuildStats:
     """Lenient: bad lines are counted, repeated ids told apart."""
     manifest = load_manifest(manifest_path)
+    if len({x["id"] for x in manifest["sources"]}) < len(manifest["sources"]):
+        raise ValueError("repeated source id")
     records, bad = readers.read_dump(spark, dump_path)
     made = importing.disambiguate(importing.dump_to_entries(records, source_id), max_entries)
     collisions = made.agg(F.coalesce(F.sum(F.col("copy") - 1), F.lit(0)).alias("n")).first().n
@@ -133,12 +190,9 @@ def merge_sentences(spark: SparkSession, pack: str, sentences_path: str, links_p
     links = readers.read_links(spark, links_path).join(target.select(F.col("id").alias("a")), "a", "left_semi")
     if prefer_english:
         links = links.join(english.select("b"), "b", "left_semi")
-    first = links.groupBy("a").agg(F.min_by("b", "line_no").alias("b"))
-    told = target.join(first, target.id == first.a, "left").join(english, "b", "left").select("id", "text", "translation")
-    entries, terms = spark.read.parquet(f"{pack}/entries"), spark.read.parquet(f"{pack}/terms").where("term_type IN ('lemma', 'form')")
-    words = told.select("id", "text", "translation", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    hits = words.join(terms.select("term", "entry_rowid"), "term").select("entry_rowid", "id", "text", "translation").distinct()
-    ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy("entry_rowid").orderBy("id"))).where(F.col("rn") <= max_per_entry)
+    told = target.join(first_links(links), target.id == F.col("a"), "left").join(english, "b", "left").select("id", "text", "translation")
+    entries, terms = spark.read.parquet(f"{pack}/entries"), spark.read.parquet(f"{pack}/terms")
+    ranked = sentence_hits(told.select("id", "text"), terms, max_per_entry).join(told, "id")
     example = F.struct("text", "translation", F.lit(None).cast("string").alias("roman"), F.concat(F.lit("tatoeba:"), F.col("id").cast("string")).alias("source_id"))
     new = ranked.groupBy("entry_rowid").agg(F.sort_array(F.collect_list(F.struct("id", example.alias("e")))).alias("new")).select("entry_rowid", F.transform("new", lambda x: x["e"]).alias("new"))
     joined = entries.join(new, "entry_rowid", "left")
@@ -148,31 +202,62 @@ def merge_sentences(spark: SparkSession, pack: str, sentences_path: str, links_p
     added = F.when(F.col("new").isNull() | (F.size("senses") == 0), F.array().cast("array<struct<text:string,translation:string,roman:string,source_id:string>>")).otherwise(fresh)
     senses = F.transform("senses", lambda s, i: F.when(i == 0, s.withField("examples", F.concat(s["examples"], F.col("added")))).otherwise(s))
     made = joined.withColumn("added", added).withColumn("senses", senses)
-    for t in TABLES:
-        if t != "entries":
-            spark.read.parquet(f"{pack}/{t}").write.mode("overwrite").parquet(f"{out}/{t}")
-    _write(made.drop("new"), f"{out}/entries_added", "entry_rowid")
-    stored = spark.read.parquet(f"{out}/entries_added")
-    _write(stored.drop("added"), f"{out}/entries", "entry_rowid")
+    part = f"{out}.part"
+    files.delete(part)
+    for t in tables_of(pack):
+        if t not in ("entries", "sources"):
+            spark.read.parquet(f"{pack}/{t}").write.mode("overwrite").parquet(f"{part}/{t}")
+    made.drop("new").write.mode("overwrite").parquet(f"{part}/entries_added")
+    stored = spark.read.parquet(f"{part}/entries_added")
+    _write(stored.drop("added"), part, "entries")
     credit = spark.createDataFrame([("tatoeba", "Sentence corpus", "https://tatoeba.org", "CC BY 2.0 FR", None)], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
     old = spark.read.parquet(f"{pack}/sources").join(credit.select("id"), "id", "left_anti")
-    _write(old.unionByName(credit), f"{out}/sources")
+    _write(old.unionByName(credit), part, "sources")
     total = int(stored.agg(F.coalesce(F.sum(F.size("added")), F.lit(0))).first()[0])
-    files.delete(f"{out}/entries_added")
+    files.delete(f"{part}/entries_added")
+    files.replace(part, out)
     return total
 
 
+def first_links(links: DataFrame) -> DataFrame:
+    """(a, b): of each sentence's links (a, b, line_no) the first one."""
+    return links.groupBy("a").agg(F.min_by("b", "line_no").alias("b"))
+
+
+def sentence_hits(sentences: DataFrame, terms: DataFrame, most: int, letters: str | None = None) -> DataFrame:
+    """(entry_rowid, id): for each entry the first sentences (id, text) that hold its lemma or one of its forms, at most so many.
+
+    The first of a word's sentences are enough: an entry's first ones are among those of its terms.
+    """
+    words = sentences.select("id", F.explode(F.array_distinct(tokenize(F.col("text"), letters) if letters else tokenize(F.col("text")))).alias("term"))
+    first = F.row_number().over(Window.partitionBy("term").orderBy("id"))
+    words = words.withColumn("rn", first).where(F.col("rn") <= most).drop("rn")  # ranked and cut before the shuffle too
+    heads = terms.where("term_type IN ('lemma', 'form')").select("term", "entry_rowid").distinct()
+    hits = words.join(heads, "term").select("entry_rowid", "id").distinct()
+    return hits.withColumn("rn", F.row_number().over(Window.partitionBy("entry_rowid").orderBy("id"))).where(F.col("rn") <= most).drop("rn")
+
+
+def orphans(terms: DataFrame, entries: DataFrame) -> DataFrame:
+    """Terms whose entry is missing."""
+    return terms.join(entries.select("entry_rowid").distinct(), "entry_rowid", "left_anti")
+
+
+def undeclared(entries: DataFrame, languages: list[str]) -> DataFrame:
+    """(language): languages of entries that a pack does not declare."""
+    return entries.select("language").distinct().where(~F.col("language").isin(*languages))
+
+
 def validate_pack(spark: SparkSession, pack: str) -> DataFrame:
     """(check, ok): the invariants that every built pack keeps."""
-    entries, terms, post, meta = (spark.read.parquet(f"{pack}/{t}") for t in ("entries", "terms", "postings", "pack"))
+    entries, terms, meta = (spark.read.parquet(f"{pack}/{t}") for t in ("entries", "terms", "pack"))
     n, m = entries.count(), meta.first()
     lemmas = terms.where("term_type = 'lemma'").agg(F.count_distinct("entry_rowid")).first()[0]
-    orphans = terms.join(entries, "entry_rowid", "left_anti").limit(1).count()
-    strange = entries.select("language").distinct().where(~F.col("language").isin(*m.languages)).limit(1).count()
-    indexed = post.agg(F.count_distinct("entry_rowid")).first()[0]
+    orphan = orphans(terms, entries).limit(1).count()
+    strange = undeclared(entries, m.languages).limit(1).count()
+    indexed = spark.read.parquet(f"{pack}/lengths").count() if "lengths" in tables_of(pack) else None
     spoken = "zh" not in m.languages or terms.where("term_type = 'transcription'").limit(1).count() > 0
     repeated = entries.groupBy("id").count().where("count > 1").limit(1).count()
-    checks = {"entries": n > 0, "count": n == m.entry_count, "lemmas": lemmas == n, "orphans": not orphans, "languages": not strange, "indexed": 0 < indexed <= n, "transcriptions": bool(spoken), "unique_ids": not repeated}
+    checks = {"entries": n > 0, "count": n == m.entry_count, "lemmas": lemmas == n, "orphans": not orphan, "languages": not strange, "indexed": indexed is None or 0 < indexed <= n, "transcriptions": bool(spoken), "unique_ids": not repeated}
     return spark.createDataFrame([(k, bool(v)) for k, v in checks.items()], "check STRING, ok BOOLEAN")
 
 
@@ -220,17 +305,27 @@ def bm25_gain(tf: Column, df: Column, length: Column, n: Column, mean: Column, k
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
-def bm25(post: DataFrame, tokens: list[str], weights: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(entry_rowid, score): Okapi BM25 with column weights over postings, for entries that have every token."""
-    w = F.element_at(F.create_map(*(x for f, v in zip(FIELDS, WEIGHTS) for x in (F.lit(f), F.lit(v)))), F.col("col")) if weights is None else weights
-    lengths = post.groupBy("entry_rowid").agg(F.sum(F.size("positions")).alias("len"))
-    total = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = post.where(F.col("token").isin(*tokens)).groupBy("token", "entry_rowid").agg(F.sum(w * F.size("positions")).alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    x = tf.join(F.broadcast(df), "token").join(lengths, "entry_rowid").crossJoin(F.broadcast(total))
+def weighted_tf(post: DataFrame, *keys: str) -> DataFrame:
+    """(keys, token, entry_rowid, tf): how often an entry has a token, columns weighted."""
+    w = F.element_at(F.create_map(*(x for f, v in zip(FIELDS, WEIGHTS) for x in (F.lit(f), F.lit(v)))), F.col("col"))
+    return post.groupBy(*keys, "token", "entry_rowid").agg(F.sum(w * F.size("positions")).alias("tf"))
+
+
+def bm25(spark: SparkSession, pack: str, tokens: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(entry_rowid, score): Okapi BM25 with column weights over a pack's index, for entries that have every token.
+
+    Reads the rows of the tokens alone; the lengths of the entries found, and two tables of a row or a few, which
+    are broadcast: ``totals`` has one row, ``frequencies`` one for each token asked.
+    """
+    of = {t: spark.read.parquet(f"{pack}/{t}") for t in INDEX}
+    tokens = sorted(set(tokens))
+    wanted = F.col("token").isin(*tokens)
+    tf = weighted_tf(of["postings"].where(wanted))
+    x = tf.join(F.broadcast(of["frequencies"].where(wanted)), "token").join(of["lengths"], "entry_rowid").withColumn("_one", F.lit(1))
+    x = x.join(F.broadcast(of["totals"].withColumn("_one", F.lit(1))), "_one")
     gain = bm25_gain(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("mean"), k1, b)
     scored = x.groupBy("entry_rowid").agg(F.sum(gain).alias("score"), F.count("*").alias("found"))
-    return scored.where(F.col("found") == len(set(tokens))).select("entry_rowid", "score")
+    return scored.where(F.col("found") == len(tokens)).select("entry_rowid", "score")
 
 
 def phrase(post: DataFrame, tokens: list[str]) -> DataFrame:

@@ -19,6 +19,8 @@ from . import importing, packs
 
 #: Patterns without a literal end that one pass over the terms evaluates.
 PATTERNS = 64
+#: Beginnings of terms up to this length are join keys of a batch.
+LENGTHS = 12
 RESULT = ("entry_id", "lemma", "language", "pos", "matched_term", "match_type")
 
 
@@ -120,12 +122,34 @@ class SearchEngine:
             p.enabled = enabled
         return bool(hit)
 
+    def save_preferences(self, path: str) -> None:
+        """Write the order and toggles of all packs; nothing without a path."""
+        Settings({p.pack_id: {"priority": i, "enabled": p.enabled} for i, p in enumerate(self.packs)}).save(path)
+
+    def entry_total(self) -> int:
+        return sum(p.entry_count for p in self.packs)
+
     def list_packs(self) -> list[tuple[str, int, bool]]:
         return [(p.pack_id, p.priority, p.enabled) for p in self.packs]
 
     def _table(self, name: str) -> DataFrame:
         live = [(i, p) for i, p in enumerate(self.packs) if p.enabled]
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{p.path}/{name}").withColumn("pack_idx", F.lit(i)) for i, p in live])
+        return reduce(DataFrame.unionByName, [self._one_table(p, name).withColumn("pack_idx", F.lit(i)) for i, p in live])
+
+    def _one_table(self, pack: Pack, name: str) -> DataFrame:
+        found = self.spark.read.parquet(f"{pack.path}/{name}")
+        if name == "terms" and "entry_rowid" not in found.columns:  # an old layout names entries by id
+            entries = self.spark.read.parquet(f"{pack.path}/entries").select("entry_rowid", F.col("id").alias("entry_id"))
+            found = found.join(entries, "entry_id").drop("entry_id")
+        return found
+
+    def terms(self) -> DataFrame:
+        """The terms of the enabled packs, with pack_idx."""
+        return self._table("terms")
+
+    def entries(self) -> DataFrame:
+        """The entries of the enabled packs, with pack_idx."""
+        return self._table("entries")
 
     def loose_patterns(self, q: str) -> list[str]:
         langs = list(dict.fromkeys(x for p in self.packs if p.enabled for x in p.languages)) or ["generic"]
@@ -155,20 +179,20 @@ class SearchEngine:
             hits.append(probe(F.col("pack_idx").isin(plain) & F.col("term").contains(p.q), plan.TERM_CONTAINS, "term"))
         found = reduce(DataFrame.unionByName, hits)
         if p.has_space and (tokens := self.spark.range(1).select(fts_tokens(F.lit(query.strip()))).first()[0]):
-            found = self._with_content(found.persist(), tokens, over, limit)
+            found = self._with_content(found, tokens, over, limit)
         return self._ranked(found, query.strip(), p.q, limit)
 
     def _with_content(self, found: DataFrame, tokens: list[str], over: int, limit: int) -> DataFrame:
         """Phrase hits of packs in order, as long as the hits before them are under the limit."""
-        count = found.count()
+        count = found.limit(limit).count()
         for i, p in enumerate(self.packs):
             if not p.enabled or not p.indexed or count >= limit:
                 continue
             post = self.spark.read.parquet(f"{p.path}/postings")
             entries = self.spark.read.parquet(f"{p.path}/entries").select("entry_rowid", "lemma")
-            rows = packs.phrase(post, tokens).join(packs.bm25(post, tokens), "entry_rowid").orderBy(F.desc("score"), "entry_rowid").limit(over)
-            rows = rows.join(entries, "entry_rowid").select(F.lit(i).alias("pack_idx"), "entry_rowid", F.col("lemma").alias("term"), F.lit("content").alias("term_type"), F.lit(plan.CONTENT).alias("base")).persist()
-            count += rows.count()
+            rows = packs.phrase(post, tokens).join(packs.bm25(self.spark, p.path, tokens), "entry_rowid").orderBy(F.desc("score"), "entry_rowid").limit(over)
+            rows = rows.join(entries, "entry_rowid").select(F.lit(i).alias("pack_idx"), "entry_rowid", F.col("lemma").alias("term"), F.lit("content").alias("term_type"), F.lit(plan.CONTENT).alias("base"))
+            count += rows.limit(limit).count()
             found = found.unionByName(rows)
         return found
 
@@ -189,10 +213,10 @@ class SearchEngine:
     def suggest_batch(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """``suggest`` for many queries (query_id, raw) at once: (query_id, rank, result columns).
 
-        Every probe is an equi-join: on the term or loose key, or on up to three leading
-        characters of it for prefixes and for patterns with a literal end. Patterns without
-        one are evaluated together, PATTERNS at a time, in one pass over the terms. Phrases
-        join the postings of their tokens.
+        Every probe is an equi-join: on the term or loose key, or for prefixes and patterns with a
+        literal end on its beginning, of each of the lengths that the queries ask for (at most LENGTHS, longer ones
+        by that many characters and then in full). Patterns without a literal end are evaluated together, PATTERNS at a time, in
+        one pass over the terms. Phrases join the postings of their tokens.
         """
         over = max(4 * limit, 20)
         asked = queries.select("query_id", normalize.trim(F.col("raw")).alias("raw")).where("raw <> ''").withColumn("q", F.lower("raw")).withColumn("wild", F.col("q").rlike("[?*]"))
@@ -207,11 +231,13 @@ class SearchEngine:
 
         def starting(some: DataFrame, column: str, head: str) -> DataFrame:
             """Terms whose column starts with the string that a query has in head."""
-            parts = []
-            for k in (1, 2, 3):
-                of = some.where(F.char_length(head) == k if k < 3 else F.char_length(head) >= 3).withColumn("_head", F.substring(head, 1, k))
-                parts.append(terms.withColumn("_head", F.substring(column, 1, k)).join(of, "_head").where(F.col(column).startswith(F.col(head))).drop("_head"))
-            return reduce(DataFrame.unionByName, parts)
+            some = some.withColumn("_k", F.least(F.char_length(head), F.lit(LENGTHS))).withColumn("_head", F.substring(head, 1, LENGTHS))
+            lengths = sorted(r["_k"] for r in some.select("_k").distinct().collect())  # at most LENGTHS numbers
+            if not lengths:
+                return terms.join(some.drop("_k", "_head"), F.lit(False))
+            cut = F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.char_length(column))
+            starts = terms.withColumn("_k", F.explode(cut)).withColumn("_head", F.substr(F.col(column), F.lit(1), F.col("_k")))
+            return starts.join(some, ["_k", "_head"]).where(F.col(column).startswith(F.col(head))).drop("_k", "_head")
 
         hits = [probe(terms.join(plain, terms.term == plain.q), plan.EXACT, "term"), probe(starting(plain.withColumn("_p", F.col("q")), "term", "_p"), plan.PREFIX, "term", "_p")]
         langs = list(dict.fromkeys(x for p in self.packs if p.enabled for x in p.languages)) or ["generic"]
@@ -261,13 +287,11 @@ class SearchEngine:
         one = at.groupBy("query_id", "pack_idx", "entry_rowid", "col", "len").agg(F.collect_list("at").alias("ats"))  # of one entry's column: a list for each token
         common = F.aggregate("ats", F.get("ats", F.lit(0)), lambda a, b: F.array_intersect(a, b))
         phrase = one.where((F.size("ats") == F.col("len")) & (F.size(common) > 0)).select("query_id", "pack_idx", "entry_rowid").distinct()
-        lengths = post.groupBy("pack_idx", "entry_rowid").agg(F.sum(F.size("positions")).alias("dl"))
-        total = lengths.groupBy("pack_idx").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-        weight = F.element_at(F.create_map(*(x for f, v in zip(packs.FIELDS, packs.WEIGHTS) for x in (F.lit(f), F.lit(v)))), F.col("col"))
-        used = post.join(words.select("token").distinct(), "token").groupBy("pack_idx", "token", "entry_rowid").agg(F.sum(weight * F.size("positions")).alias("tf"))
-        df = used.groupBy("pack_idx", "token").agg(F.count("*").alias("df"))
-        scored = phrase.join(words.select("query_id", "token").distinct(), "query_id").join(used, ["pack_idx", "token", "entry_rowid"]).join(df, ["pack_idx", "token"]).join(lengths, ["pack_idx", "entry_rowid"]).join(F.broadcast(total), "pack_idx")
-        scored = scored.groupBy("query_id", "pack_idx", "entry_rowid").agg(F.sum(packs.bm25_gain(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("mean"))).alias("score"))
+        index = {t: reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{p.path}/{t}").withColumn("pack_idx", F.lit(i)) for i, p in live]) for t in packs.INDEX[1:]}
+        used = packs.weighted_tf(post.join(words.select("token").distinct(), "token"), "pack_idx")
+        df, lengths = index["frequencies"], index["lengths"]
+        scored = phrase.join(words.select("query_id", "token").distinct(), "query_id").join(used, ["pack_idx", "token", "entry_rowid"]).join(df, ["pack_idx", "token"]).join(lengths, ["pack_idx", "entry_rowid"]).join(F.broadcast(index["totals"]), "pack_idx")  # a row for each pack
+        scored = scored.groupBy("query_id", "pack_idx", "entry_rowid").agg(F.sum(packs.bm25_gain(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("mean"))).alias("score"))
         best = Window.partitionBy("query_id", "pack_idx").orderBy(F.desc("score"), "entry_rowid")
         scored = scored.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= over).select("query_id", "pack_idx", "entry_rowid")
         # A pack is visited while the hits before it, repeated ones too, are fewer than the limit.
@@ -292,6 +316,12 @@ def rank_keys(raw: Column, q: Column) -> list[Column]:
     return [tier, case, affix, F.char_length("term"), F.col("pack_idx"), F.col("lemma"), F.col("id"), F.col("term")]
 
 
+def opens(hits: DataFrame, raw: Column | str) -> DataFrame:
+    """hits with ``opens``: whether the first one is a lemma that a query matches as a whole, so that it opens by itself."""
+    raw = F.lit(raw) if isinstance(raw, str) else raw
+    return hits.withColumn("opens", (F.col("rank") == 1) & (F.col("match_type") == "lemma") & (F.col("matched_term") == F.lower(raw)))
+
+
 def preferred_hit(hits: DataFrame, language: str, order: str = "rank") -> DataFrame:
     """The first hit in a language among the leading hits that tie with the first in match type and term; else the first."""
     w = Window.partitionBy(F.lit(0)).orderBy(order)
