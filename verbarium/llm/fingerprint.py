@@ -20,8 +20,8 @@ from .common import WORD_SPLIT
 K = 128
 SHINGLE = 5
 BITS = 48
-#: Buckets of neighbouring ids, at most; cuts between them in a group; characters that split rows of one id.
-BUCKETS, GROUP, PREFIX = 1 << 17, 256, 64
+#: Buckets of neighbouring ids, at most; cuts between them in a group; ids drawn for a cut; characters that split rows of one id.
+BUCKETS, GROUP, DRAWN, PREFIX = 1 << 17, 256, 8, 64
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -81,7 +81,7 @@ def _place(cuts: Column, at: Column) -> Column:
 def with_next(docs: DataFrame, derive: dict[str, Column], id_col: str, carry: list[str], rows_per_bucket: int = 1000) -> DataFrame:
     """docs with the columns ``derive`` and ``next``: a struct of all of them in the next row by ascending id, after the last the first.
 
-    Ids, of any type that has an order, are cut into buckets at ids drawn by a hash, so that rows move
+    Ids, of any type that has an order, are cut into buckets at every DRAWN-th of the ids that a hash draws, so that rows move
     once. The row at which a bucket begins is also dealt to the bucket before it; so each
     bucket knows its successor. Where an id (or null) has more rows than a bucket should, cuts take
     the start of the first carried column along, so that these rows are split as well; only rows that agree
@@ -95,13 +95,13 @@ def with_next(docs: DataFrame, derive: dict[str, Column], id_col: str, carry: li
     keyed = docs.withColumn("_key", F.struct(at.isNotNull().alias("has"), at.alias("id"), tie.alias("tie")))
     low = keyed.agg(F.min("_key").alias("low")).first().low
     rows = facts.n or 0
-    step = max(1, rows // max(1, min(BUCKETS, rows // rows_per_bucket)))
-    cuts = keyed.select("_key").where(F.pmod(F.xxhash64("_key"), F.lit(step)) == 0).distinct()
+    step = max(1, rows // max(1, min(BUCKETS, rows // rows_per_bucket)) // DRAWN)
+    drawn = keyed.select("_key").where(F.pmod(F.xxhash64("_key"), F.lit(step)) == 0).distinct()
     kind = docs.schema[id_col].dataType
     literal = lambda k: F.struct(F.lit(k.has).alias("has"), F.lit(k.id).cast(kind).alias("id"), F.lit(k.tie).alias("tie"))
-    heads = [literal(r["_key"]) for r in cuts.where(F.pmod(F.xxhash64(F.lit(1), "_key"), F.lit(GROUP)) == 0).orderBy("_key").collect()]  # about BUCKETS / GROUP
+    heads = [literal(r["_key"]) for r in drawn.where(F.pmod(F.xxhash64(F.lit(1), "_key"), F.lit(GROUP * DRAWN)) == 0).orderBy("_key").collect()]  # about BUCKETS / GROUP
     group = _place(F.array(*heads), F.col("_key")) if heads else F.lit(0)
-    groups = cuts.groupBy(group.alias("_group")).agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))
+    groups = drawn.groupBy(group.alias("_group")).agg(F.filter(F.sort_array(F.collect_list("_key")), lambda _, i: i % DRAWN == 0).alias("_cuts"))
     sizes = {r["_group"]: r["n"] for r in groups.select("_group", F.size("_cuts").alias("n")).collect()}
     before = F.array(*(F.lit(sum(sizes.get(g, 0) for g in range(i))) for i in range(len(heads) + 1)))
     placed = keyed.withColumn("_group", group).join(F.broadcast(groups), "_group", "left")  # about BUCKETS keys
