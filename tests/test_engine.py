@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verbarium.functions import normalize, text
 from verbarium.__main__ import main
-from verbarium.operators import measure, packaging, packs
+from verbarium.operators import importing, measure, packaging, packs, search
 from verbarium.operators.search import SearchEngine, Settings
 from verbarium.plans import lookup
 from verbarium.sources import files, readers
@@ -293,3 +293,67 @@ def test_lookups_push_down(spark, build):
     assert "StringStartsWith(term,l)" in plan(lookup.glob("l*t"))
     assert "StringStartsWith(term_rev,thgi)" in plan(lookup.glob("*ight"))
     assert "EqualTo(term,light)" in plan(F.col("term") == "light")
+
+
+def test_forms_are_kept_as_they_stand(spark, tmp_path):
+    d = tmp_path / "d.jsonl"
+    d.write_text(json.dumps({"word": "x", "senses": [{"glosses": ["a"]}], "forms": [{"form": " f "}, {"form": ""}, {"form": None}], "sounds": [{"ipa": "/i/", "tags": [None]}], "lang_code": "en"}))
+    records, _ = readers.read_dump(spark, str(d))
+    row = importing.dump_to_entries(records, "s").first()
+    assert [f.form for f in row.forms] == [" f ", ""] and [p.ipa for p in row.pronunciations] == ["/i/"]
+
+
+def test_a_build_that_fails_leaves_the_old_pack(spark, build, monkeypatch):
+    out = build("a", [made("l", "en", "light")])
+    tables = packs.tables_of(out)
+    assert set(tables) == set(packs.TABLES) and spark.read.parquet(f"{out}/totals").count() == 1
+    monkeypatch.setattr(packs, "postings", lambda entries: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        build("a", [made("n", "en", "night")])
+    assert [r.id for r in spark.read.parquet(f"{out}/entries").collect()] == ["l"] and not files.is_dir(f"{out}.part")
+    monkeypatch.undo()
+    monkeypatch.setattr(packs, "search_terms", lambda entries, composed: entries.select((F.col("entry_rowid") + 7).alias("entry_rowid"), F.lit("x").alias("term"), F.lit("lemma").alias("term_type"), F.lit("x").alias("loose_key"), F.lit("x").alias("term_rev")))
+    with pytest.raises(ValueError, match="orphans"):
+        build("a", [made("n", "en", "night")])
+    assert [r.id for r in spark.read.parquet(f"{out}/entries").collect()] == ["l"]
+
+
+def test_repeated_sources(spark, tmp_path):
+    m, d = tmp_path / "m.json", tmp_path / "d.jsonl"
+    m.write_text(json.dumps({"id": "en", "schema_version": 2, "languages": ["en"], "sources": SOURCES * 2}))
+    d.write_text(json.dumps({"word": "x", "senses": [{"glosses": ["a"]}]}))
+    with pytest.raises(ValueError, match="source"):
+        packs.build_from_dump(spark, str(m), str(d), str(tmp_path / "p"), "t")
+
+
+def test_compaction_old_layout_and_preferences(spark, build, engine, tmp_path):
+    e = engine(("a", [made(f"w{i}", "en", f"word{i}") for i in range(30)]), ("b", [made("l", "en", "light")]))
+    path = e.packs[0].path
+    before = sorted(map(tuple, spark.read.parquet(f"{path}/terms").collect()))
+    packs.compact(spark, path)
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/terms").collect())) == before and packs.validate_pack(spark, path).where("NOT ok").count() == 0
+    ids_ = spark.read.parquet(f"{path}/entries").select("entry_rowid", F.col("id").alias("entry_id"))
+    spark.read.parquet(f"{path}/terms").join(ids_, "entry_rowid").drop("entry_rowid").write.parquet(str(tmp_path / "old_terms"))
+    files.replace(str(tmp_path / "old_terms"), f"{path}/terms")
+    assert ids(e.suggest("word7")) == ["w7"] and e.entry_total() == 31
+    e.set_pack_order(["b"])
+    e.set_pack_enabled("a", False)
+    e.save_preferences("")
+    e.save_preferences(str(tmp_path / "s.json"))
+    assert Settings.load(str(tmp_path / "s.json")).packs == {"b": {"priority": 0, "enabled": True}, "a": {"priority": 1, "enabled": False}}
+
+
+def test_top_hit_opens_itself(spark, engine):
+    e = engine(("a", [made("l", "en", "Light", [("lights", "plural")])]))
+    asked = spark.createDataFrame([(1, "LIGHT"), (2, "lights"), (3, "ligh")], "query_id INT, raw STRING")
+    found = search.opens(e.suggest_batch(asked).join(asked, "query_id"), F.col("raw"))
+    assert {r.query_id: r.opens for r in found.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_long_prefixes_in_a_batch(spark, engine):
+    e = engine(("a", [made("l", "en", "incomprehensibility"), made("m", "en", "incomprehensible")]))
+    asked = spark.createDataFrame([(1, "incomprehensib"), (2, "incomprehensibi"), (3, "*hensibility"), (4, "i")], "query_id INT, raw STRING")
+    got = {}
+    for r in e.suggest_batch(asked).collect():
+        got.setdefault(r.query_id, set()).add(r.entry_id)
+    assert got == {1: {"l", "m"}, 2: {"l"}, 3: {"l"}, 4: {"l", "m"}}
