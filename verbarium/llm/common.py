@@ -48,15 +48,15 @@ def small_side(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFr
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def spread_join(rows: DataFrame, side: DataFrame, on: list[str], tables: scratch.Scratch, name: str, counts: DataFrame | None = None) -> DataFrame:
-    """The inner join of rows, a scratch table, with side, in which a key ``on`` stands once; no task gets all rows of a frequent key.
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], tables: scratch.Scratch, name: str, counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """The inner join of rows with side, in which a key ``on`` stands once; no task gets all rows of a frequent key.
 
-    ``counts`` (the keys and ``n``) tells how many rows a key has; without it they are counted.
+    ``counts`` (the keys and ``n``) tells how many rows a key has, ``total`` how many there are; without them rows, a scratch table, is counted.
     Keys with more than KEY_ROWS rows get salts, over which their rows are dealt by a hash, and side's row is
     copied for each. The table of these keys is broadcast: as each stands for so many rows, it stays
     under BROADCAST_BYTES.
     """
-    least = max(KEY_ROWS, rows.count() * 64 // BROADCAST_BYTES)
+    least = max(KEY_ROWS, (rows.count() if total is None else total) * 64 // BROADCAST_BYTES)
     counts = rows.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
     hot = tables.save(counts.where(F.col("n") > least).select(*on, F.ceil(F.col("n") / least).cast("int").alias("_salts")), name)
     if not hot.limit(1).count():

@@ -315,12 +315,17 @@ class JaccardJoin:
         some = some.dropDuplicates(["k"]) if self.repeated else some
         sets = self.scratch.save(some.select("text").mapInArrow(_sets(self.clashing), "set_id long, members binary"), f"{name}_sets")
         a, b = sets.select(F.col("set_id").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("set_id").alias("b"), F.col("members").alias("of_b"))
-        met = spread_join(spread_join(pairs, a, ["a"], self.scratch, f"{name}_hot_a"), b, ["b"], self.scratch, f"{name}_hot_b", pairs.groupBy("b").agg(F.count("*").alias("n")))
-        found = met.select("a", "b", "of_a", "of_b").mapInArrow(_search, "a long, b long")
+        found = self.ends(pairs, a, b, f"{name}_hot").select("a", "b", "of_a", "of_b").mapInArrow(_search, "a long, b long")
         found = self.scratch.save(found, f"{name}_links")
         self.scratch.drop(f"{name}_keys", f"{name}_sets")
         return found
 
+    def ends(self, pairs: DataFrame, of_a: DataFrame, of_b: DataFrame, name: str) -> DataFrame:
+        """pairs, a scratch table, with what of_a and of_b tell of their ends; a set that is in many pairs is dealt over tasks."""
+        counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        one = pairs.join(of_a, "a") if name.startswith("hub") else spread_join(pairs, of_a, ["a"], self.scratch, f"{name}_a")  # a set has one hub
+        return spread_join(one, of_b, ["b"], self.scratch, f"{name}_b", counts, pairs.count())
+
     def plausible(self, pairs: DataFrame, lists: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b) those whose count of shared lists lets them link.
 
@@ -331,7 +336,7 @@ class JaccardJoin:
         pairs = self.scratch.save(pairs, f"{name}_met")
         of = self.scratch.save(lists.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_set("h").alias("hs")), f"{name}_of")  # at most the first members of one set
         of_a, of_b = of.select(F.col("set_id").alias("a"), "n", F.col("hs").alias("of_a")), of.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("hs").alias("of_b"))
-        met = spread_join(spread_join(pairs, of_a, ["a"], self.scratch, f"{name}_many_a"), of_b, ["b"], self.scratch, f"{name}_many_b", pairs.groupBy("b").agg(F.count("*").alias("n")))
+        met = self.ends(pairs, of_a, of_b, f"{name}_many")
         return self._enough(met.select("a", "b", "n", "m", F.size(F.array_intersect("of_a", "of_b")).alias("c")))
 
     @staticmethod
