@@ -1,7 +1,7 @@
 """Packs and files made of the driver's tables, once for a session and folder of tables.
 
 ``lex-<language>``: the words of documents, with capitalized ones as names; ``parts``: names of parts, of
-several words; ``texts-en`` and ``texts-rest``: documents as entries; ``orders``: built from a raw dump, a record for each order
+several words; ``texts-en`` and ``texts-rest``: documents as entries (these texts are in NFC); ``orders``: built from a raw dump, a record for each order
 with its line items as senses. All lie in the shared scratch folder and go with the session.
 """
 
@@ -119,19 +119,19 @@ class Samples:
         rows = measure.number_within(rows, [], "lemma", F.ascii("lemma"), "line_no")
         forms = _rows(_FORM, F.when(n % 5 == 0, _form(F.concat(term, F.lit("s")), "plural")), F.when(n % 7 == 0, _form(F.reverse(term), "romanization")))
         said = F.struct(F.concat(F.lit("/"), term, F.lit("/")).alias("ipa"), F.lit("transcription").alias("type"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("audio"), F.lit("").alias("source_id"))
-        return packs.write_pack(_entries(rows, forms=forms, sounds=_rows(_SOUND, F.when(n % 11 == 0, said))), self._manifest(name, [lang]), path)
+        return packs.write_pack(_entries(rows, forms=forms, sounds=_rows(_SOUND, F.when(n % 11 == 0, said))), self._manifest(name, [lang]), path, composed=True)
 
     def _parts(self, path: str, name: str, rest: str) -> packs.BuildStats:
         rows = self.table("part").select(F.col("p_partkey").alias("line_no"), F.concat(F.lit("part:"), "p_partkey").alias("id"), F.lit("en").alias("language"), F.col("p_name").alias("lemma"), F.lit("phrase").alias("pos"), F.concat_ws(" ", "p_brand", "p_type").alias("definition"))
         forms = F.transform(F.split("lemma", " "), lambda w: _form(w, "word"))
-        return packs.write_pack(_entries(rows, forms=forms), self._manifest(name, ["en"]), path, indexed=rest != "plain")
+        return packs.write_pack(_entries(rows, forms=forms), self._manifest(name, ["en"]), path, composed=True, indexed=rest != "plain")
 
     def _texts(self, path: str, name: str, rest: str) -> packs.BuildStats:
         docs = self.table("documents").where("lang = 'en'" if rest == "en" else "lang <> 'en'")
         rows = docs.select(F.col("doc_id").alias("line_no"), F.concat(F.lit("doc:"), "doc_id").alias("id"), F.col("lang").alias("language"), F.concat(F.lit("text "), "doc_id").alias("lemma"), F.lit("text").alias("pos"), F.col("text").alias("definition"), "source")
         example = F.struct(F.substring("definition", 1, 60).alias("text"), *(F.lit(None).cast("string").alias(c) for c in ("translation", "roman")), F.lit("").alias("source_id"))
         made = _entries(rows.withColumn("definition", F.coalesce("definition", F.lit(""))), examples=F.array(example), synonyms=F.array("source", "language"))
-        return packs.write_pack(made, self._manifest(name, [x for x in LANGUAGES if (x == "en") == (rest == "en")]), path)
+        return packs.write_pack(made, self._manifest(name, [x for x in LANGUAGES if (x == "en") == (rest == "en")]), path, composed=True)
 
     def _orders(self, path: str, name: str, rest: str) -> packs.BuildStats:
         return packs.build_from_dump(self.spark, self.manifest(name, ["en", "zh", "und"]), self.dump(), path, "dump")
