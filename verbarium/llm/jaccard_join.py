@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, row_key, small_side, spread_join
+from .common import BROADCAST_BYTES, Scratch, releasing, row_key, small_side, spread_join
 from .components import components
 
 SHINGLE = 5
@@ -266,7 +266,7 @@ class JaccardJoin:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = self.id_type.simpleString()
-        made = self.scratch.save(self.docs.mapInArrow(_members(to_arrow_type(self.id_type)), f"id {kind}, k binary, n long, set_id long, second long, hot array<long>, times array<long>"), "made")
+        made = self.scratch.save(self.docs.mapInArrow(releasing(_members(to_arrow_type(self.id_type))), f"id {kind}, k binary, n long, set_id long, second long, hot array<long>, times array<long>"), "made")
         hot = made.where("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "times")).alias("x")).groupBy(F.col("x.hot").alias("h")).agg(F.sum("x.times").alias("times"))
         rows = hot.orderBy(F.desc("times"), "h").limit(HOT).toArrow()
         h, times = (rows.column(i).to_numpy().astype(np.int64) for i in (0, 1))
@@ -285,7 +285,7 @@ class JaccardJoin:
         """The inverted lists of first members that two sets or more share: (h, set_id, n, pos)."""
         total = members.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.8) + 1)).first()[0] or 0
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total) // LIST_ROWS)
-        rows = self.docs.select("text").mapInArrow(_lists(self.hot, self.clashing), "h long, set_id long, n int, pos int, hot boolean")
+        rows = self.docs.select("text").mapInArrow(releasing(_lists(self.hot, self.clashing)), "h long, set_id long, n int, pos int, hot boolean")
         # A frequent list is known to be shared and is dealt by set too, so that no task gets one whole.
         salt = F.when(F.col("hot"), F.pmod("set_id", F.lit(64))).otherwise(F.lit(-1))
         dealt = rows.select("h", "set_id", "n", "pos", "hot").repartition(parts, "h", salt)
@@ -300,7 +300,7 @@ class JaccardJoin:
                     yield often
             yield from _shared(iter(rare))
 
-        return self.scratch.save(dealt.mapInArrow(run, kind).select("h", "set_id", "n", "pos"), "lists")
+        return self.scratch.save(dealt.mapInArrow(releasing(run), kind).select("h", "set_id", "n", "pos"), "lists")
 
     def reps(self, members: DataFrame) -> DataFrame:
         """(set_id, k): one row's key for every set."""
@@ -313,9 +313,9 @@ class JaccardJoin:
         keys = self.scratch.save(reps.join(named, "set_id", "left_semi").select("k"), f"{name}_keys")
         some = self.docs.join(small_side(keys, 24), "k", "left_semi")
         some = some.dropDuplicates(["k"]) if self.repeated else some
-        sets = self.scratch.save(some.select("text").mapInArrow(_sets(self.clashing), "set_id long, members binary"), f"{name}_sets")
+        sets = self.scratch.save(some.select("text").mapInArrow(releasing(_sets(self.clashing)), "set_id long, members binary"), f"{name}_sets")
         a, b = sets.select(F.col("set_id").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("set_id").alias("b"), F.col("members").alias("of_b"))
-        found = self.ends(pairs, a, b, f"{name}_hot").select("a", "b", "of_a", "of_b").mapInArrow(_search, "a long, b long")
+        found = self.ends(pairs, a, b, f"{name}_hot").select("a", "b", "of_a", "of_b").mapInArrow(releasing(_search), "a long, b long")
         found = self.scratch.save(found, f"{name}_links")
         self.scratch.drop(f"{name}_keys", f"{name}_sets")
         return found

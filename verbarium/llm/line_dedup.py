@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, row_key, spread_join
+from .common import BROADCAST_BYTES, Scratch, releasing, row_key, spread_join
 
 #: Words of a gram; repeated runs of 2 * K - 1 words are always found.
 K = 25
@@ -158,19 +158,19 @@ def _long_repeats(lines: DataFrame, at: DataFrame, first: DataFrame, scratch: Sc
     """(k, gone): the places of lines in runs of 2 * K - 1 words or more that an earlier place holds."""
     marks = _met(at, first, "gram", scratch).groupBy("k").agg(F.first("id").alias("id"), F.collect_list("line").alias("marks"))
     marked = marks.join(lines.select("k", "hashes", "words"), "k").select("k", "id", "hashes", "words", "marks")
-    found = marked.mapInArrow(_runs, f"k binary, id {at.schema['id'].dataType.simpleString()}, line array<int>, last array<int>, run array<binary>")
+    found = marked.mapInArrow(releasing(_runs), f"k binary, id {at.schema['id'].dataType.simpleString()}, line array<int>, last array<int>, run array<binary>")
     runs = found.select("k", "id", F.explode(F.arrays_zip("line", "last", "run")).alias("x")).select("k", "id", "x.line", "x.last", "x.run")
     runs = scratch.save(runs, "runs")
     later = _met(runs, scratch.save(_firsts(runs, "run"), "first_runs"), "run", scratch).where("k <> k0 OR line <> line0")
     spans = later.groupBy("k").agg(F.collect_list(F.struct("line", "last")).alias("x"))
     spans = spans.join(lines.select("k", "places"), "k").select("k", "places", "x.line", "x.last")
-    return spans.mapInArrow(_covered, "k binary, gone array<int>")
+    return spans.mapInArrow(releasing(_covered), "k binary, gone array<int>")
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, gone): the places of lines to delete, for each row key that loses lines."""
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    lines = scratch.save(keyed.select("k", "text").mapInArrow(_lines, "k binary, hashes binary, words binary, places binary, line array<int>, gram array<long>").dropDuplicates(["k"]), "lines")
+    lines = scratch.save(keyed.select("k", "text").mapInArrow(releasing(_lines), "k binary, hashes binary, words binary, places binary, line array<int>, gram array<long>").dropDuplicates(["k"]), "lines")
     ids = keyed.select("k", "id").distinct()
     at = lines.select("k", F.explode(F.arrays_zip("line", "gram")).alias("x")).select("k", "x.line", "x.gram").join(ids, "k")
     at = scratch.save(at, "positions")
@@ -182,7 +182,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     b = lines.select(F.col("k").alias("k0"), F.col("hashes").alias("hashes0"))
     per_first = met.groupBy("k0").agg(F.count("*").alias("n"))  # a text that many copy
     pairs = spread_join(met, b, ["k0"], scratch, "hot_first", per_first).join(a, "k").select("k", "hashes", "places", "hashes0", "line", "line0")
-    gone = pairs.mapInArrow(_gone, "k binary, gone array<int>")
+    gone = pairs.mapInArrow(releasing(_gone), "k binary, gone array<int>")
     gone = gone.unionByName(_long_repeats(lines, at, first, scratch))
     gone = gone.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return scratch.save(gone, "gone")

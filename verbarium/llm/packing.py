@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, releasing
 
 MAX_LEN = 4096
 END_ID = 2
@@ -141,7 +141,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, max_len: int =
                         ids.append(raw[4 * a : 4 * (a + max_len)])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "start", "length", "doc_tokens", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, start long, length long, doc_tokens long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {id_type}, start long, length long, doc_tokens long, ids binary")
 
 
 def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[tuple[int, ...], int]]:
@@ -222,4 +222,4 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN, carry: tuple[str, ...] = ("i
             yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(len(names))), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(releasing(run), f"{kinds}, sequence_id long, offset long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, releasing
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
 SYMBOLS = "#*$%&|<>"
@@ -131,7 +131,7 @@ def rule_ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     slim = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), *([] if own else [F.col(text_col).alias("_text")]))
     out = StructType([*slim.schema.fields[: len(keep)], *(StructField(m, LongType()) for m in MEASURES)])
     at = keep.index(text_col) if own else len(keep)
-    made = slim.mapInArrow(_measured(at, len(keep), to_arrow_schema(out)), out)
+    made = slim.mapInArrow(releasing(_measured(at, len(keep), to_arrow_schema(out))), out)
     made = made.withColumn("fail_bits", _bits())
     return made.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *MEASURES, "fail_bits")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, releasing
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem_key", "der_key", "openssh_key", "jwt")
@@ -234,4 +234,4 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in scan(t)] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(spans, schema.field("secrets").type)], schema=schema)
 
-    return slim.mapInArrow(run, out).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "secrets")
+    return slim.mapInArrow(releasing(run), out).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "secrets")

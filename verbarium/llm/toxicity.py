@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, small_side
+from .common import Scratch, bound_batches, releasing, small_side
 
 MAX_TOXIC = 4_000
 MAX_UNLABELLED = 12_000
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_toxi
     every = every.join(small_side(toxic.withColumn("toxic", F.lit(1)), 64), "id", "left").select("text", F.coalesce("toxic", F.lit(0)).alias("toxic"))
     kind = "toxic int, n long, counts binary"
     n, counts = np.zeros(2), np.zeros((2, WIDTH))
-    for r in every.mapInArrow(_counts, kind).repartition(ADDERS).mapInArrow(_added, kind).collect():  # 2 rows a task at most
+    for r in every.mapInArrow(releasing(_counts), kind).repartition(ADDERS).mapInArrow(releasing(_added), kind).collect():  # 2 rows a task at most
         n[r.toxic] += r.n
         counts[r.toxic] += np.frombuffer(zlib.decompress(r.counts), np.int64)
     if not n.all():
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_toxi
     chosen = np.flatnonzero((counts.sum(0) >= MIN_TEXTS) & ((lift >= LIFT) | (lift <= 1 / LIFT)))
     sent = spark.sparkContext.broadcast(chosen)
     y, rows, cols = [], [], []
-    for i, r in enumerate(texts.mapInArrow(_matrix(sent), "toxic int, features array<int>").toLocalIterator()):
+    for i, r in enumerate(texts.mapInArrow(releasing(_matrix(sent)), "toxic int, features array<int>").toLocalIterator()):
         y.append(r.toxic)
         rows.append(np.full(len(r.features), i, np.int64))
         cols.append(np.array(r.features, np.int64))
@@ -205,4 +205,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double")
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {id_type}, score double")
