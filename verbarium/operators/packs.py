@@ -240,6 +240,11 @@ def sentence_hits(sentences: DataFrame, terms: DataFrame, most: int, letters: st
     return hits.withColumn("rn", F.row_number().over(Window.partitionBy("entry_rowid").orderBy("id"))).where(F.col("rn") <= most).drop("rn")
 
 
+def payload(entries: DataFrame) -> Column:
+    """An entry's record as JSON, names of fields included."""
+    return F.to_json(F.struct(*(c for c in entries.columns if c != "entry_rowid")))
+
+
 def orphans(terms: DataFrame, entries: DataFrame) -> DataFrame:
     """Terms whose entry is missing."""
     return terms.join(entries.select("entry_rowid").distinct(), "entry_rowid", "left_anti")

@@ -66,8 +66,10 @@ class Settings:
 
 
 class SearchEngine:
-    def __init__(self, spark: SparkSession):
-        self.spark, self.packs, self.load_errors = spark, [], []
+    """Ranked lookup over packs. With ``scan_payloads`` single lookups also read whole entries, as JSON, of packs that have no text index."""
+
+    def __init__(self, spark: SparkSession, scan_payloads: bool = False):
+        self.spark, self.packs, self.load_errors, self.scan_payloads = spark, [], [], scan_payloads
 
     def add_pack(self, path: str, enabled: bool = True) -> None:
         path = files.canonical(path)
@@ -179,19 +181,23 @@ class SearchEngine:
             hits.append(probe(F.col("pack_idx").isin(plain) & F.col("term").contains(p.q), plan.TERM_CONTAINS, "term"))
         found = reduce(DataFrame.unionByName, hits)
         if p.has_space and (tokens := self.spark.range(1).select(fts_tokens(F.lit(query.strip()))).first()[0]):
-            found = self._with_content(found, tokens, over, limit)
+            found = self._with_content(found, tokens, p.q, over, limit)
         return self._ranked(found, query.strip(), p.q, limit)
 
-    def _with_content(self, found: DataFrame, tokens: list[str], over: int, limit: int) -> DataFrame:
+    def _with_content(self, found: DataFrame, tokens: list[str], q: str, over: int, limit: int) -> DataFrame:
         """Phrase hits of packs in order, as long as the hits before them are under the limit."""
         count = found.limit(limit).count()
         for i, p in enumerate(self.packs):
-            if not p.enabled or not p.indexed or count >= limit:
+            if not p.enabled or not (p.indexed or self.scan_payloads) or count >= limit:
                 continue
-            post = self.spark.read.parquet(f"{p.path}/postings")
-            entries = self.spark.read.parquet(f"{p.path}/entries").select("entry_rowid", "lemma")
-            rows = packs.phrase(post, tokens).join(packs.bm25(self.spark, p.path, tokens), "entry_rowid").orderBy(F.desc("score"), "entry_rowid").limit(over)
-            rows = rows.join(entries, "entry_rowid").select(F.lit(i).alias("pack_idx"), "entry_rowid", F.col("lemma").alias("term"), F.lit("content").alias("term_type"), F.lit(plan.CONTENT).alias("base"))
+            entries = self.spark.read.parquet(f"{p.path}/entries")
+            if p.indexed:
+                post = self.spark.read.parquet(f"{p.path}/postings")
+                rows = packs.phrase(post, tokens).join(packs.bm25(self.spark, p.path, tokens), "entry_rowid").orderBy(F.desc("score"), "entry_rowid").limit(over)
+                rows = rows.join(entries.select("entry_rowid", "lemma"), "entry_rowid")
+            else:
+                rows = entries.where(packs.payload(entries).contains(q)).orderBy("entry_rowid").limit(over)
+            rows = rows.select(F.lit(i).alias("pack_idx"), "entry_rowid", F.col("lemma").alias("term"), F.lit("content").alias("term_type"), F.lit(plan.CONTENT).alias("base"))
             count += rows.limit(limit).count()
             found = found.unionByName(rows)
         return found

@@ -241,6 +241,12 @@ def term_contains(spark, sf):
     return _ordered(samples.of(spark, sf).engine("parts-plain").suggest("l r", 10))
 
 
+@query(_lex_pack(("fr",)) + """ SELECT 1 AS query_id, row_number() OVER (ORDER BY pos = 'name', length(lemma), lemma) AS rank, id AS entry_id, lemma, language, pos, lemma AS matched_term, 'content' AS match_type
+FROM (SELECT * FROM entries WHERE contains('seen ' || n, 'seen 2') ORDER BY entry_rowid LIMIT 40) ORDER BY rank LIMIT 10""")
+def payload_scan(spark, sf):
+    return _ordered(samples.of(spark, sf).engine("lex-fr-plain", scan_payloads=True).suggest("seen 2", 10))
+
+
 @query(_suggest(_PARTS, "SELECT 1 AS query_id, 'small' AS raw", ("en",), 10))
 def old_layout(spark, sf):
     engine = SearchEngine(spark)

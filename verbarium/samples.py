@@ -1,6 +1,6 @@
 """Packs and files made of the driver's tables, once for a session and folder of tables.
 
-``lex-<language>``: the words of documents, with capitalized ones as names; ``parts``: names of parts, of
+``lex-<language>``: the words of documents, with capitalized ones as names (``-plain``: without a text index); ``parts``: names of parts, of
 several words; ``texts-en`` and ``texts-rest``: documents as entries (these texts are in NFC); ``orders``: built from a raw dump, a record for each order
 with its line items as senses. All lie in the shared scratch folder and go with the session.
 """
@@ -96,8 +96,8 @@ class Samples:
         kind, _, rest = name.partition("-")
         return self._once(f"packs/{name}", lambda path: getattr(self, f"_{kind}")(path, name, rest))
 
-    def engine(self, *names: str) -> SearchEngine:
-        found = SearchEngine(self.spark)
+    def engine(self, *names: str, scan_payloads: bool = False) -> SearchEngine:
+        found = SearchEngine(self.spark, scan_payloads)
         for name in names:
             found.add_pack(self.pack(name))
         return found
@@ -108,7 +108,8 @@ class Samples:
     def _manifest(self, name: str, languages: list[str]) -> dict:
         return {"id": name, "name": name, "version": "1", "schema_version": 2, "languages": languages, "sources": [SOURCE]}
 
-    def _lex(self, path: str, name: str, lang: str) -> packs.BuildStats:
+    def _lex(self, path: str, name: str, rest: str) -> packs.BuildStats:
+        lang, _, plain = rest.partition("-")
         lex = self._once("lexicon", lambda p: lexicon(self.spark, self.sf).write.parquet(p))
         rows = self.spark.read.parquet(lex).where(F.col("lang") == lang)
         term, n = F.col("term"), F.char_length("term")
@@ -119,7 +120,7 @@ class Samples:
         rows = measure.number_within(rows, [], "lemma", F.ascii("lemma"), "line_no")
         forms = _rows(_FORM, F.when(n % 5 == 0, _form(F.concat(term, F.lit("s")), "plural")), F.when(n % 7 == 0, _form(F.reverse(term), "romanization")))
         said = F.struct(F.concat(F.lit("/"), term, F.lit("/")).alias("ipa"), F.lit("transcription").alias("type"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("audio"), F.lit("").alias("source_id"))
-        return packs.write_pack(_entries(rows, forms=forms, sounds=_rows(_SOUND, F.when(n % 11 == 0, said))), self._manifest(name, [lang]), path, composed=True)
+        return packs.write_pack(_entries(rows, forms=forms, sounds=_rows(_SOUND, F.when(n % 11 == 0, said))), self._manifest(name, [lang]), path, composed=True, indexed=not plain)
 
     def _parts(self, path: str, name: str, rest: str) -> packs.BuildStats:
         rows = self.table("part").select(F.col("p_partkey").alias("line_no"), F.concat(F.lit("part:"), "p_partkey").alias("id"), F.lit("en").alias("language"), F.col("p_name").alias("lemma"), F.lit("phrase").alias("pos"), F.concat_ws(" ", "p_brand", "p_type").alias("definition"))
@@ -216,7 +217,7 @@ class Samples:
 
     def everything(self) -> None:
         """All packs that queries read, made before they are timed."""
-        for name in (*(f"lex-{x}" for x in LANGUAGES), "parts", "parts-plain", "texts-en", "texts-rest", "orders"):
+        for name in (*(f"lex-{x}" for x in LANGUAGES), "lex-fr-plain", "parts", "parts-plain", "texts-en", "texts-rest", "orders"):
             self.pack(name)
         self.merged()
 
