@@ -14,9 +14,13 @@ from pyspark.sql.types import StringType
 DROPPED = r"(?U)[!-/:-@\[-`{-~]|\s"
 
 
+#: Characters with the property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(s: Column) -> Column:
     """Without white space of any script at the ends."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.trim(s, F.lit(BLANKS))
 
 
 @F.pandas_udf(StringType())

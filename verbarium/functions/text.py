@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .normalize import BLANKS
+
 
 def tokenize(s: Column, letters: str = r"\p{IsAlphabetic}\p{N}") -> Column:
     """Words of letters, digits, ' and -; longer than one character before those are trimmed."""
@@ -35,7 +37,7 @@ def escape_menu_label(s: Column) -> Column:
 
 
 def relation_word(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)[(（,\s]+$", "")
+    return F.rtrim(s, F.lit("(（," + BLANKS))
 
 
 def word_at(text: Column, offset: Column) -> Column:

@@ -17,11 +17,12 @@ def _or_empty(c: Column, kind: str = "array<string>") -> Column:
 def related(items: Column) -> Column:
     """The words of relations, each with its romanization where that says more."""
     def one(x: Column) -> Column:
-        word, roman = relation_word(trim(x["word"])), trim(x["roman"])
-        return F.when((roman.isNotNull()) & (roman != "") & (roman != word), F.concat(word, F.lit(" ("), roman, F.lit(")"))).otherwise(word)
+        word, roman = x["word"], x["roman"]
+        return F.when(roman.isNotNull() & (roman != "") & (roman != word), F.concat(word, F.lit(" ("), roman, F.lit(")"))).otherwise(word)
 
     kept = F.filter(items, lambda x: x["word"].isNotNull() & (trim(x["word"]) != ""))
-    return _or_empty(F.transform(kept, one))
+    told = F.transform(kept, lambda x: F.struct(relation_word(trim(x["word"])).alias("word"), trim(x["roman"]).alias("roman")))
+    return _or_empty(F.transform(told, one))
 
 
 def translations(items: Column, source_id: str) -> Column:
@@ -61,6 +62,7 @@ def dump_to_entries(records: DataFrame, source_id: str) -> DataFrame:
     suffix = F.when(number.isNotNull(), F.concat(F.lit(":e"), number)).otherwise("")
     df = df.withColumn("base_id", F.concat("language", F.when(F.col("pos").isNull(), ":").otherwise(F.concat(F.lit(":"), F.col("pos"), F.lit(":"))), "lemma", suffix))
     above = F.array_distinct(F.concat(*(related(F.col(c)) for c in ("related", "derived", "coordinate_terms"))))
+    df = df.where(F.exists("senses", lambda s: F.coalesce(trim(F.array_join(s["glosses"], "; ")), F.lit("")) != ""))  # before the costly part, which a filter on its result would double
     df = df.withColumns({"_coll": above, "_syn": related(F.col("synonyms")), "_trans": translations(F.col("translations"), source_id)})
 
     def sense(s: Column, i: Column) -> Column:
@@ -87,7 +89,7 @@ def dump_to_entries(records: DataFrame, source_id: str) -> DataFrame:
     form = lambda x: F.struct(x["form"].alias("form"), F.coalesce(F.array_join(x["tags"], ", "), F.lit("form")).alias("type"), F.lit(source_id).alias("source_id"))
     forms = F.transform(F.filter("forms", lambda x: x["form"].isNotNull()), form)
     out = df.select("line_no", "base_id", "language", "lemma", "pos", pronunciations(F.col("sounds"), F.col("language"), source_id).alias("pronunciations"), senses.alias("senses"), _or_empty(forms, "array<struct<form:string,type:string,source_id:string>>").alias("forms"))
-    return out.where(F.size("senses") > 0)
+    return out
 
 
 def disambiguate(rows: DataFrame, limit: int | None = None) -> DataFrame:

@@ -70,6 +70,7 @@ class SearchEngine:
 
     def __init__(self, spark: SparkSession, scan_payloads: bool = False):
         self.spark, self.packs, self.load_errors, self.scan_payloads = spark, [], [], scan_payloads
+        self._opened: dict[tuple[str, str], DataFrame] = {}  # tables of packs, listed once
 
     def add_pack(self, path: str, enabled: bool = True) -> None:
         path = files.canonical(path)
@@ -138,10 +139,16 @@ class SearchEngine:
         live = [(i, p) for i, p in enumerate(self.packs) if p.enabled]
         return reduce(DataFrame.unionByName, [self._one_table(p, name).withColumn("pack_idx", F.lit(i)) for i, p in live])
 
+    def _read(self, pack: Pack, name: str) -> DataFrame:
+        key = (pack.path, name)
+        if key not in self._opened:
+            self._opened[key] = self.spark.read.parquet(f"{pack.path}/{name}")
+        return self._opened[key]
+
     def _one_table(self, pack: Pack, name: str) -> DataFrame:
-        found = self.spark.read.parquet(f"{pack.path}/{name}")
+        found = self._read(pack, name)
         if name == "terms" and "entry_rowid" not in found.columns:  # an old layout names entries by id
-            entries = self.spark.read.parquet(f"{pack.path}/entries").select("entry_rowid", F.col("id").alias("entry_id"))
+            entries = self._read(pack, "entries").select("entry_rowid", F.col("id").alias("entry_id"))
             found = found.join(entries, "entry_id").drop("entry_id")
         return found
 
@@ -165,21 +172,20 @@ class SearchEngine:
         if not p.q or not any(x.enabled for x in self.packs):
             return empty
         over = max(4 * limit, 20)
-        terms = self._table("terms")
-
-        def probe(where: Column, base: int, key: str) -> DataFrame:
-            order = Window.partitionBy("pack_idx").orderBy(key, "term_type", "entry_rowid")
-            return terms.where(where).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= over).select("pack_idx", "entry_rowid", "term", "term_type", F.lit(base).alias("base"))
-
+        probes: list[tuple[Column, int, str]] = []
         if p.has_wildcard:
-            hits = [probe(plan.glob(p.q), plan.WILDCARD, "term_rev" if plan.literal_suffix(p.q) else "term")]
+            probes.append((plan.glob(p.q), plan.WILDCARD, "term_rev" if plan.literal_suffix(p.q) else "term"))
         else:
-            hits = [probe(F.col("term") == p.q, plan.EXACT, "term"), probe(F.col("term").startswith(p.q), plan.PREFIX, "term")]
+            probes += [(F.col("term") == p.q, plan.EXACT, "term"), (F.col("term").startswith(p.q), plan.PREFIX, "term")]
         for key in self.loose_patterns(p.q):
-            hits += [probe(F.col("loose_key") == key, plan.LOOSE_EXACT, "loose_key"), probe(F.col("loose_key").startswith(key), plan.LOOSE_PREFIX, "loose_key")]
+            probes += [(F.col("loose_key") == key, plan.LOOSE_EXACT, "loose_key"), (F.col("loose_key").startswith(key), plan.LOOSE_PREFIX, "loose_key")]
         if p.has_space and (plain := [i for i, x in enumerate(self.packs) if x.enabled and not x.indexed]):
-            hits.append(probe(F.col("pack_idx").isin(plain) & F.col("term").contains(p.q), plan.TERM_CONTAINS, "term"))
-        found = reduce(DataFrame.unionByName, hits)
+            probes.append((F.col("pack_idx").isin(plain) & F.col("term").contains(p.q), plan.TERM_CONTAINS, "term"))
+        # One pass over the terms finds what any probe asks for; each probe then cuts its own.
+        hits = F.array_compact(F.array(*(F.when(where, F.struct(F.lit(i).alias("probe"), F.lit(base).alias("base"), F.col(key).alias("key"))) for i, (where, base, key) in enumerate(probes))))
+        rows = self._table("terms").where(reduce(Column.__or__, (where for where, _, _ in probes))).select("pack_idx", "entry_rowid", "term", "term_type", F.explode(hits).alias("x"))
+        order = Window.partitionBy("pack_idx", "x.probe").orderBy("x.key", "term_type", "entry_rowid")
+        found = rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= over).select("pack_idx", "entry_rowid", "term", "term_type", F.col("x.base").alias("base"))
         if p.has_space and (tokens := self.spark.range(1).select(fts_tokens(F.lit(query.strip()))).first()[0]):
             found = self._with_content(found, tokens, p.q, over, limit)
         return self._ranked(found, query.strip(), p.q, limit)
@@ -190,9 +196,9 @@ class SearchEngine:
         for i, p in enumerate(self.packs):
             if not p.enabled or not (p.indexed or self.scan_payloads) or count >= limit:
                 continue
-            entries = self.spark.read.parquet(f"{p.path}/entries")
+            entries = self._read(p, "entries")
             if p.indexed:
-                post = self.spark.read.parquet(f"{p.path}/postings")
+                post = self._read(p, "postings")
                 rows = packs.phrase(post, tokens).join(packs.bm25(self.spark, p.path, tokens), "entry_rowid").orderBy(F.desc("score"), "entry_rowid").limit(over)
                 rows = rows.join(entries.select("entry_rowid", "lemma"), "entry_rowid")
             else:
@@ -212,7 +218,7 @@ class SearchEngine:
     def get_entry(self, entry_id: str) -> dict | None:
         """The record of the first enabled pack that has the id, its default source filled in."""
         for p in self.packs:
-            if p.enabled and (row := importing.fill_default_source(self.spark.read.parquet(f"{p.path}/entries").where(F.col("id") == entry_id), p.default_source).first()):
+            if p.enabled and (row := importing.fill_default_source(self._read(p, "entries").where(F.col("id") == entry_id), p.default_source).first()):
                 return row.asDict(recursive=True)
         return None
 
@@ -288,12 +294,12 @@ class SearchEngine:
         shape = found.select("query_id", "raw", "q", "pack_idx", "entry_rowid", "term", "term_type", "base")
         if not live:
             return shape.limit(0)
-        post = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{p.path}/postings").withColumn("pack_idx", F.lit(i)) for i, p in live])
+        post = reduce(DataFrame.unionByName, [self._read(p, "postings").withColumn("pack_idx", F.lit(i)) for i, p in live])
         at = post.join(words, "token").select("query_id", "pack_idx", "entry_rowid", "col", "len", "i", F.transform("positions", lambda p: p - F.col("i")).alias("at"))
         one = at.groupBy("query_id", "pack_idx", "entry_rowid", "col", "len").agg(F.collect_list("at").alias("ats"))  # of one entry's column: a list for each token
         common = F.aggregate("ats", F.get("ats", F.lit(0)), lambda a, b: F.array_intersect(a, b))
         phrase = one.where((F.size("ats") == F.col("len")) & (F.size(common) > 0)).select("query_id", "pack_idx", "entry_rowid").distinct()
-        index = {t: reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{p.path}/{t}").withColumn("pack_idx", F.lit(i)) for i, p in live]) for t in packs.INDEX[1:]}
+        index = {t: reduce(DataFrame.unionByName, [self._read(p, t).withColumn("pack_idx", F.lit(i)) for i, p in live]) for t in packs.INDEX[1:]}
         used = packs.weighted_tf(post.join(words.select("token").distinct(), "token"), "pack_idx")
         df, lengths = index["frequencies"], index["lengths"]
         scored = phrase.join(words.select("query_id", "token").distinct(), "query_id").join(used, ["pack_idx", "token", "entry_rowid"]).join(df, ["pack_idx", "token"]).join(lengths, ["pack_idx", "entry_rowid"]).join(F.broadcast(index["totals"]), "pack_idx")  # a row for each pack

@@ -206,12 +206,13 @@ def preferred_hit(spark, sf):
 def _preferred(spark, sf):
     """An engine whose order and toggles went through a file of settings."""
     s = samples.of(spark, sf)
-    engine = s.every_lexicon()
+    names = [f"lex-{x}" for x in LANGUAGES]
+    engine = s.engine(*names)
     engine.set_pack_order(["lex-fr", "none", "lex-es"])
     engine.set_pack_enabled("lex-en", False)
     path = s.scratch.path("settings.json")
     engine.save_preferences(path)
-    again = s.every_lexicon()
+    again = s.engine(*names)
     again.apply_preferences(Settings.load(path))
     return again
 

@@ -103,7 +103,10 @@ class Samples:
         return found
 
     def every_lexicon(self) -> SearchEngine:
-        return self.engine(*(f"lex-{x}" for x in LANGUAGES))
+        """An engine over the lexicons, opened once: callers leave its order and toggles alone."""
+        if "engine" not in self.known:
+            self.known["engine"] = self.engine(*(f"lex-{x}" for x in LANGUAGES))
+        return self.known["engine"]
 
     def _manifest(self, name: str, languages: list[str]) -> dict:
         return {"id": name, "name": name, "version": "1", "schema_version": 2, "languages": languages, "sources": [SOURCE]}

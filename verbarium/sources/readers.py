@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.normalize import trim
 from ..functions.schemas import DUMP, ENTRY, MANIFEST, SENTENCES_JSON
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of lines that are not blank; numbers rise with the place in the file."""
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
-    return lines.where(F.regexp_replace("value", r"(?U)\s+", "") != "")
+    return lines.where(trim(F.col("value")) != "")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
