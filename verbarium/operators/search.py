@@ -223,13 +223,19 @@ class SearchEngine:
         return None
 
     def suggest_batch(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        """``suggest`` for many queries (query_id, raw) at once: (query_id, rank, result columns).
+        """``suggest`` for many queries (query_id, raw) at once: (query_id, rank, result columns). Texts that repeat are looked up once.
 
         Every probe is an equi-join: on the term or loose key, or for prefixes and patterns with a
         literal end on its beginning, of each of the lengths that the queries ask for (at most LENGTHS, longer ones
         by that many characters and then in full). Patterns without a literal end are evaluated together, PATTERNS at a time, in
         one pass over the terms. Phrases join the postings of their tokens.
         """
+        asked = queries.select("query_id", normalize.trim(F.col("raw")).alias("_raw"))
+        texts = asked.select(F.col("_raw").alias("query_id"), F.col("_raw").alias("raw")).distinct()
+        found = self._suggest_texts(texts, limit)
+        return asked.join(found.withColumnRenamed("query_id", "_raw"), "_raw").select("query_id", *found.columns[1:])
+
+    def _suggest_texts(self, queries: DataFrame, limit: int) -> DataFrame:
         over = max(4 * limit, 20)
         asked = queries.select("query_id", normalize.trim(F.col("raw")).alias("raw")).where("raw <> ''").withColumn("q", F.lower("raw")).withColumn("wild", F.col("q").rlike("[?*]"))
         if not any(p.enabled for p in self.packs):
