@@ -412,20 +412,28 @@ class JaccardJoin:
         return self.scratch.save(old.union(new), f"{name}_all")
 
     def components(self) -> DataFrame:
-        """Per row: id, k, ``n_shingles``, ``component_id`` (the smallest id that links lead to) and ``keeper`` (the k of the row to keep)."""
+        """Per row: id, k, ``n_shingles``, ``component_id`` (the smallest id that links lead to) and ``keeper`` (the k of the row to keep).
+
+        A set is named by 8 bytes, a row without words by the 16 of its key. Rows meet what their set tells once; sets with
+        many rows and components with many sets are dealt over tasks.
+        """
         members = self.members()
         lists = self.lists(members)
+        self.hot.destroy()
         roots = self.roots(lists, self.reps(members))
-        own = F.struct(F.when(F.col("n") == 0, F.col("k")).alias("lone"), F.when(F.col("n") > 0, F.col("set_id")).alias("root"))
-        if roots is None:
-            rooted = members.withColumn("root", own)
-        else:
-            rooted = members.join(roots.select(F.col("id").alias("set_id"), F.col("root").alias("r")), "set_id", "left")
-            rooted = rooted.withColumn("root", F.struct(F.when(F.col("n") == 0, F.col("k")).alias("lone"), F.when(F.col("n") > 0, F.coalesce("r", "set_id")).alias("root"))).drop("r")
-        rooted = self.scratch.save(rooted.select("id", "k", "n", F.xxhash64("root").alias("root")), "rooted")
-        firsts = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col("k"))).alias("first"))
-        firsts = self.scratch.save(firsts.select("root", F.col("first.id").alias("component_id"), F.col("first.k").alias("keeper")), "firsts")
-        return rooted.join(firsts, "root").select(F.col("id").alias(self.id_col), "k", F.col("n").alias("n_shingles"), "component_id", "keeper")
+        named = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+        members = members.withColumn("s", F.when(F.col("n") == 0, F.col("k")).otherwise(named("set_id"))).select("id", "k", "n", "s")
+        sets = members.groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col("k"))).alias("first"), F.count("*").alias("rows"))
+        if roots is not None:
+            sets = sets.join(roots.select(named("id").alias("s"), named("root").alias("r")), "s", "left")
+        sets = self.scratch.save(sets.select("s", F.coalesce("r", "s").alias("root") if roots is not None else F.col("s").alias("root"), "first", "rows"), "sets")
+        firsts = self.scratch.save(sets.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n")), "firsts")
+        tops = firsts.select("root", F.col("first.id").alias("component_id"), F.col("first.k").alias("keeper"))
+        told = spread_join(sets.select("s", "root"), tops, ["root"], self.scratch, "hot_roots", firsts.select("root", "n"))
+        told = self.scratch.save(told.select("s", "component_id", "keeper"), "told")
+        total = sets.agg(F.sum("rows")).first()[0] or 0
+        out = spread_join(members, told, ["s"], self.scratch, "hot_sets", sets.select("s", F.col("rows").alias("n")), total)
+        return out.select(F.col("id").alias(self.id_col), "k", F.col("n").alias("n_shingles"), "component_id", "keeper")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
