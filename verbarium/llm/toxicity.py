@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ WIDTH = 1 << 18
 MIN_TEXTS = 6
 LIFT = 3.0
 CACHE_WORDS = 400_000
-#: Tasks that add up the counts of the tasks that read texts.
-ADDERS = 6
+#: Counts of so many tasks that read texts are added up in one; what that leaves, in ADDERS tasks.
+TOGETHER, ADDERS = 64, 6
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -97,10 +98,10 @@ def train_nnpu(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, toxic: np
     return w, b
 
 
-def _partial(counts: np.ndarray, n: list[int]) -> Iterator[pa.RecordBatch]:
+def _partial(counts: np.ndarray, n: list[int], together: int) -> Iterator[pa.RecordBatch]:
     for toxic in (0, 1):
         if n[toxic]:
-            yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([n[toxic]], pa.int64()), pa.array([zlib.compress(counts[toxic].tobytes(), 1)], pa.binary())], names=["toxic", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([together], pa.int32()), pa.array([toxic], pa.int32()), pa.array([n[toxic]], pa.int64()), pa.array([zlib.compress(counts[toxic].tobytes(), 1)], pa.binary())], names=["together", "toxic", "n", "counts"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,16 +119,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for side in range(toxic + 1):
                 counts[side, found] += 1
                 n[side] += 1
-    yield from _partial(counts, n)
+    yield from _partial(counts, n, TaskContext.get().partitionId() // TOGETHER)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, n = np.zeros((2, WIDTH), np.int64), [0, 0]
     for batch in batches:
-        for toxic, texts, packed in zip(*(c.to_pylist() for c in batch.columns)):
+        for toxic, texts, packed in zip(*(c.to_pylist() for c in batch.columns[1:])):
             counts[toxic] += np.frombuffer(zlib.decompress(packed), np.int64)
             n[toxic] += texts
-    yield from _partial(counts, n)
+    yield from _partial(counts, n, 0)
 
 
 def _matrix(chosen):
@@ -162,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_toxi
     texts = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "toxic").repartition(12), "texts")
     every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     every = every.join(small_side(toxic.withColumn("toxic", F.lit(1)), 64), "id", "left").select("text", F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    kind = "toxic int, n long, counts binary"
+    kind = "together int, toxic int, n long, counts binary"
     n, counts = np.zeros(2), np.zeros((2, WIDTH))
-    for r in every.mapInArrow(releasing(_counts), kind).repartition(ADDERS).mapInArrow(releasing(_added), kind).collect():  # 2 rows a task at most
+    parts = every.mapInArrow(releasing(_counts), kind).repartition("together").mapInArrow(releasing(_added), kind)
+    for r in parts.repartition(ADDERS).mapInArrow(releasing(_added), kind).collect():  # 2 rows a task at most
         n[r.toxic] += r.n
         counts[r.toxic] += np.frombuffer(zlib.decompress(r.counts), np.int64)
     if not n.all():
