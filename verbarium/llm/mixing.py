@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.measure import number_within
 from .common import WORD_SPLIT, Scratch, small_side
 
 #: A target is at most so many times its source's size.
@@ -58,22 +59,34 @@ def keyed(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id",
     return df.withColumn("__vb_key", -F.ln(u) / F.greatest(weight, F.lit(1e-6)))
 
 
-def mix_targets(sizes: DataFrame) -> DataFrame:
-    """(__vb_source, source_size) with ``target``: weighted shares of the whole, none above MAX_EPOCHS times its source.
+def _ranged(df: DataFrame, scratch: Scratch, name: str, *order: Column) -> DataFrame:
+    """df in ranges of an order, written, with ``__vb_part``: the range's place."""
+    return scratch.save(df.orderBy(*order).withColumn("__vb_part", F.spark_partition_id()), name)
+
+
+def mix_targets(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__vb_source, source_size, ...) with ``target``: weighted shares of the whole, none above MAX_EPOCHS times its source.
 
     Sources sorted by cap over weight: the first one whose share is within its cap
-    fixes the share of all that follow; those before it stop at their caps.
+    fixes the share of all that follow; those before it stop at their caps. Places and sums along an order
+    are counted in ranges of it, which the sums of the ranges before set off, so that no task sorts all sources.
     """
-    order = Window.orderBy(F.col("__vb_source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), place + 1)
-    caps = sizes.withColumn("__vb_w", weight).withColumn("__vb_cap", F.col("source_size") * float(MAX_EPOCHS)).withColumn("__vb_ratio", F.col("__vb_cap") / F.col("__vb_w"))
-    rising = Window.orderBy("__vb_ratio", F.col("__vb_source").asc_nulls_last())
-    before, after = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    share = (F.sum("source_size").over(whole) - F.coalesce(F.sum("__vb_cap").over(before), F.lit(0.0))) / F.sum("__vb_w").over(after)
-    level = F.min(F.when(F.col("__vb_share") <= F.col("__vb_ratio"), F.struct("__vb_ratio", "__vb_share"))).over(whole)["__vb_share"]
-    return caps.withColumn("__vb_share", share).withColumn("__vb_level", level).select(*sizes.columns, F.coalesce(F.least(F.col("__vb_level") * F.col("__vb_w"), F.col("__vb_cap")), F.col("__vb_cap")).alias("target"))
+    by_name = F.col("__vb_source").asc_nulls_last()
+    named = number_within(_ranged(sizes, scratch, "by_name", by_name), [], by_name, F.col("__vb_part"), "__vb_place").drop("__vb_part")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("__vb_place") - 1) % len(WEIGHTS) + 1).cast("int"))
+    caps = named.withColumn("__vb_w", weight).drop("__vb_place").withColumn("__vb_cap", F.col("source_size") * float(MAX_EPOCHS)).withColumn("__vb_ratio", F.col("__vb_cap") / F.col("__vb_w"))
+    rising = (F.col("__vb_ratio"), by_name)
+    caps = _ranged(caps, scratch, "by_ratio", *rising)
+    parts = caps.groupBy("__vb_part").agg(F.sum("__vb_cap").alias("c"), F.sum("__vb_w").alias("w"))
+    upto = Window.orderBy("__vb_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.select("__vb_part", F.coalesce(F.sum("c").over(upto), F.lit(0.0)).alias("__vb_c0"), F.coalesce(F.sum("w").over(upto), F.lit(0.0)).alias("__vb_w0"))
+    whole = caps.agg(F.sum("source_size").alias("words"), F.sum("__vb_w").alias("weights")).first()
+    inside = Window.partitionBy("__vb_part").orderBy(*rising).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0.0))
+    share = (F.lit(float(whole.words or 0)) - F.col("__vb_c0") - before("__vb_cap")) / (F.lit(float(whole.weights or 0)) - F.col("__vb_w0") - before("__vb_w"))
+    fits = caps.join(parts, "__vb_part").select("__vb_ratio", share.alias("__vb_share")).where("__vb_share <= __vb_ratio")
+    level = F.lit(fits.agg(F.min(F.struct("__vb_ratio", "__vb_share"))["__vb_share"]).first()[0]).cast("double")
+    return caps.select(*sizes.columns, F.coalesce(F.least(level * F.col("__vb_w"), F.col("__vb_cap")), F.col("__vb_cap")).alias("target"))
 
 
 def _of(slim: DataFrame, side: DataFrame, n: int) -> DataFrame:
@@ -107,7 +120,7 @@ def mix_plan(slim: DataFrame, scratch: Scratch, name: str = "plan") -> DataFrame
     key = F.struct("__vb_key", "__vb_hash")
     sizes = slim.groupBy("__vb_source").agg(F.sum("__vb_size").alias("source_size"), F.min("__vb_key").alias("low"), F.max("__vb_key").alias("high"), F.count("*").alias("rows"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = mix_targets(sizes).withColumn("epochs", full).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = mix_targets(sizes, scratch).withColumn("epochs", full).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = scratch.save(plan.withColumnRenamed("__vb_source", "__vb_s2"), f"{name}_targets")
     n = plan.count()
     ends = _ends(slim, plan.where("rest > 0").select("__vb_s2", "rest", F.lit(0).cast("long").alias("before"), "low", "high", "rows"), scratch, name, n)
