@@ -106,6 +106,17 @@ def queries() -> dict:
     return {f.__name__: _with_package(f) for f in named}
 
 
+#: Base32 takes five bits of the digest at a time: twenty, five hexadecimal digits, give four characters.
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, strlen(t) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -142,4 +153,4 @@ def oracle_sql() -> dict[str, str]:
     by = {r.name: r.fails for r in quality_rules.RULES}
     either = lambda policy: " OR ".join(f"({by[n]})" for n in quality_rules.POLICIES[policy])
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(quality_rules.RULES))
-    return {"op4_quality_rules": _OP4.replace("{base}", either("base")).replace("{all}", either("v2")).replace("{bits}", bits), "op10_jaccard_join": _OP10}
+    return {"op3_warc": _OP3, "op4_quality_rules": _OP4.replace("{base}", either("base")).replace("{all}", either("v2")).replace("{bits}", bits), "op10_jaccard_join": _OP10}
