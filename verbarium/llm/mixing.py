@@ -85,7 +85,7 @@ def mix_targets(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     before = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0.0))
     share = (F.lit(float(whole.words or 0)) - F.col("__vb_c0") - before("__vb_cap")) / (F.lit(float(whole.weights or 0)) - F.col("__vb_w0") - before("__vb_w"))
     fits = caps.join(parts, "__vb_part").select("__vb_ratio", share.alias("__vb_share")).where("__vb_share <= __vb_ratio")
-    level = F.lit(fits.agg(F.min(F.struct("__vb_ratio", "__vb_share"))["__vb_share"]).first()[0]).cast("double")
+    level = F.lit(fits.agg(F.max("__vb_share")).first()[0]).cast("double")  # shares fall from the first that fits on, also among equal ratios
     return caps.select(*sizes.columns, F.coalesce(F.least(level * F.col("__vb_w"), F.col("__vb_cap")), F.col("__vb_cap")).alias("target"))
 
 
