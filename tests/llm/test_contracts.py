@@ -143,6 +143,19 @@ def test_op10_large_group_nearly_similar(spark):
     assert got == sorted(brute_components(rows)) and len({r[2] for r in got}) > 10
 
 
+def test_op3_and_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    html = ["<p>é</p>", "", None, "x" * 70_000, "<p>é</p>\r\n\r\n", "a\0b"]
+    rows = [(i * 7 % 41, f"http://h/{i}", html[i % 6]) for i in range(41)] + [(50, None, "alone"), (3, "http://again", html[3])]
+    spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.sql(queries.oracle_sql()["op3_warc"])
+    got = queries.queries()["op3_warc"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+    assert {r.record_type for r in got} == {"response", "revisit"}
+
+
 def test_op5(spark, tables):
     from tokenizers import Tokenizer
 
@@ -320,6 +333,33 @@ def test_op8_targets_are_met(spark, sf):
     assert got and all(abs(r.n - r.target) <= 0.02 * r.target for r in got)
 
 
+def test_op8_targets_over_many_ranges(spark):
+    """Places and sums along ranges of many sources against one loop over all of them."""
+    rng = random.Random(18)
+    sizes = {f"s{i}é"[rng.randrange(2) :]: rng.choice([0, 1, 7, 90, 4000]) * rng.randrange(1, 9) for i in range(900)} | {None: 50, "hot": 400_000}
+    names = sorted(k for k in sizes if k is not None) + [None]
+    weight = {k: mixing.WEIGHTS[i % 3] for i, k in enumerate(names)}
+    full, free = {}, set(names)
+    while True:
+        share = (sum(sizes.values()) - sum(full.values())) / sum(weight[k] for k in free)
+        over = {k for k in free if share * weight[k] > 3 * sizes[k]}
+        if not over:
+            break
+        free -= over
+        full |= {k: 3 * sizes[k] for k in over}
+    want = {k: full.get(k, share * weight[k]) for k in names}
+    table = spark.createDataFrame(list(sizes.items()), "__vb_source STRING, source_size LONG")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        scratch = common.Scratch(spark, "targets")
+        got = {r["__vb_source"]: r.target for r in mixing.mix_targets(table, scratch).collect()}
+        assert spark.read.parquet(scratch.path("by_ratio")).select("__vb_part").distinct().count() > 1
+    finally:
+        spark.conf.unset(name)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 1e-9 * max(1, want[k]) for k in want)
+
+
 def test_op9(spark, tables):
     got = run(spark, "op9_toxicity", tables)
     assert len(got) == len(tables[1])
@@ -329,6 +369,14 @@ def test_op9(spark, tables):
     assert len({r.score for r in got if r.doc_id == 212}) == 1
 
 
+def test_op9_counts_of_many_tasks(spark):
+    rng = random.Random(12)
+    df = docs_of(spark, [(i, prose(rng, 30, 200) + (" scum" if i < 60 else "")) for i in range(400)])
+    lab = spark.createDataFrame([(i, int(i < 60)) for i in range(0, 400, 2)], "doc_id LONG, toxic INT")
+    one, many = (toxicity.fit(df.repartition(n), lab) for n in (1, 2 * toxicity.TOGETHER + 2))
+    assert one.places.tolist() == many.places.tolist() and len(one.places)
+
+
 def test_op9_training_step():
     """The sparse trainer against a dense one of the same risk."""
     rng = np.random.default_rng(5)
