@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, toxicity, warc
+from . import fingerprint, jaccard_join, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, toxicity, warc
 from .common import read_table, ship
 
 
@@ -92,6 +92,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text"))
+    manifest = merkle.Manifest(docs, carry={"tampered": F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered)})
+    return manifest.verify(F.coalesce("tampered", "leaf"))
+
+
 def _with_package(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +109,7 @@ def _with_package(query):
 
 
 def queries() -> dict:
-    named = (op1_license_scan, op2_line_dedup, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join)
+    named = (op1_license_scan, op2_line_dedup, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join, op13_merkle_manifest)
     return {f.__name__: _with_package(f) for f in named}
 
 
@@ -149,8 +156,32 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reached) AS componen
 """
 
 
+#: Lists of hashes halve until one is left. A crc32 is taken bit by bit of the decimal digits.
+_OP13 = """
+WITH RECURSIVE d AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), list_transform(range(8), lambda i: 0::BIGINT)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))) AS crc FROM documents),
+f AS (SELECT *, n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS n_bad FROM d),
+s AS (SELECT doc_id, lang, {doc_id} || {source} || {lang} AS head, {n_chars} AS said, {n_bad} AS bad, {text} AS body FROM f),
+h AS (SELECT doc_id, lang, sha256(head || said || body) AS leaf, sha256(head || bad || body) AS tampered, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i FROM s),
+t(lang, level, hs) AS (SELECT lang, 0, list(leaf ORDER BY i) FROM h GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(hs), 2), lambda j: sha256(hs[j + 1] || coalesce(hs[j + 2], ''))) FROM t WHERE len(hs) > 1),
+subs AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM t WHERE len(hs) = 1),
+c(level, hs) AS (SELECT 0, list(subroot ORDER BY g) FROM subs UNION ALL SELECT level + 1, list_transform(range(0, len(hs), 2), lambda j: sha256(hs[j + 1] || coalesce(hs[j + 2], ''))) FROM c WHERE len(hs) > 1),
+top AS (SELECT hs[1] AS root FROM c WHERE len(hs) = 1),
+steps AS (SELECT h.lang, h.i, t.level, t.hs[xor(h.i >> t.level, 1) + 1] AS sibling, (h.i >> t.level) % 2 AS slot FROM h JOIN t ON h.lang IS NOT DISTINCT FROM t.lang AND len(t.hs) > 1
+  UNION ALL SELECT h.lang, h.i, 1000 + c.level, c.hs[xor(g >> c.level, 1) + 1], (g >> c.level) % 2 FROM h JOIN subs ON h.lang IS NOT DISTINCT FROM subs.lang, c WHERE len(c.hs) > 1),
+paths AS (SELECT lang, i, list({'sibling': coalesce(sibling, ''), 'slot': slot} ORDER BY level) AS path FROM steps GROUP BY lang, i),
+folded(lang, i, step, now, path) AS (SELECT h.lang, h.i, 1, tampered, coalesce(path, []) FROM h LEFT JOIN paths p ON h.lang IS NOT DISTINCT FROM p.lang AND h.i = p.i
+  UNION ALL SELECT lang, i, step + 1, sha256(CASE WHEN path[step].slot = 0 THEN now || path[step].sibling ELSE path[step].sibling || now END), path FROM folded WHERE step <= len(path))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.sibling), '')) AS proof_sha256, now AS folded_root, now = root AS verified
+FROM h JOIN subs ON h.lang IS NOT DISTINCT FROM subs.lang JOIN folded f ON h.lang IS NOT DISTINCT FROM f.lang AND h.i = f.i AND step = len(path) + 1, top
+"""
+for _c in ("doc_id", "source", "lang", "n_chars", "n_bad", "text"):
+    _OP13 = _OP13.replace(f"{{{_c}}}", f"CASE WHEN {_c} IS NULL THEN '-' ELSE strlen({_c}::VARCHAR) || ':' || {_c} END")
+
+
 def oracle_sql() -> dict[str, str]:
     by = {r.name: r.fails for r in quality_rules.RULES}
     either = lambda policy: " OR ".join(f"({by[n]})" for n in quality_rules.POLICIES[policy])
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(quality_rules.RULES))
-    return {"op3_warc": _OP3, "op4_quality_rules": _OP4.replace("{base}", either("base")).replace("{all}", either("v2")).replace("{bits}", bits), "op10_jaccard_join": _OP10}
+    return {"op3_warc": _OP3, "op4_quality_rules": _OP4.replace("{base}", either("base")).replace("{all}", either("v2")).replace("{bits}", bits), "op10_jaccard_join": _OP10, "op13_merkle_manifest": _OP13}
