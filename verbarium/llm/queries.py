@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, toxicity, warc
+from . import fingerprint, jaccard_join, lexical_search, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, toxicity, warc
 from .common import read_table, ship
 
 
@@ -92,6 +92,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     tampered = merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text"))
@@ -109,7 +113,7 @@ def _with_package(query):
 
 
 def queries() -> dict:
-    named = (op1_license_scan, op2_line_dedup, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join, op13_merkle_manifest)
+    named = (op1_license_scan, op2_line_dedup, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join, op12_ranked_search, op13_merkle_manifest)
     return {f.__name__: _with_package(f) for f in named}
 
 
@@ -156,6 +160,22 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reached) AS componen
 """
 
 
+_OP12 = r"""
+WITH t AS (SELECT 'd' AS side, row_number() OVER () AS rid, doc_id AS id, text FROM documents UNION ALL SELECT 'q', row_number() OVER (), item_id, text FROM benchmark),
+w AS (SELECT side, rid, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM t),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM w WHERE side = 'd' AND len(ws) > 0),
+m AS (SELECT rid, id, 10 + (90 * CAST(len(ws) AS BIGINT) * n_docs) // n_terms AS m FROM w, s WHERE side = 'd' AND len(ws) > 0),
+f AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM w WHERE side = 'd') GROUP BY ALL),
+q AS (SELECT DISTINCT rid AS item, id AS item_id, term FROM (SELECT rid, id, unnest(ws) AS term FROM w WHERE side = 'q')),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM df, s),
+r AS (SELECT item, item_id, rid, m.id AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN g USING (term) JOIN m USING (rid) GROUP BY ALL),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10
+"""
+
+
 #: Lists of hashes halve until one is left. A crc32 is taken bit by bit of the decimal digits.
 _OP13 = """
 WITH RECURSIVE d AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
@@ -184,4 +204,4 @@ def oracle_sql() -> dict[str, str]:
     by = {r.name: r.fails for r in quality_rules.RULES}
     either = lambda policy: " OR ".join(f"({by[n]})" for n in quality_rules.POLICIES[policy])
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(quality_rules.RULES))
-    return {"op3_warc": _OP3, "op4_quality_rules": _OP4.replace("{base}", either("base")).replace("{all}", either("v2")).replace("{bits}", bits), "op10_jaccard_join": _OP10, "op13_merkle_manifest": _OP13}
+    return {"op3_warc": _OP3, "op4_quality_rules": _OP4.replace("{base}", either("base")).replace("{all}", either("v2")).replace("{bits}", bits), "op10_jaccard_join": _OP10, "op12_ranked_search": _OP12, "op13_merkle_manifest": _OP13}
