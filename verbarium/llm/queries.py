@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, lexical_search, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, toxicity, warc
+from . import fingerprint, hyperminhash, jaccard_join, lexical_search, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, toxicity, warc
 from .common import read_table, ship
 
 
@@ -92,6 +92,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -113,7 +117,7 @@ def _with_package(query):
 
 
 def queries() -> dict:
-    named = (op1_license_scan, op2_line_dedup, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join, op12_ranked_search, op13_merkle_manifest)
+    named = (op1_license_scan, op2_line_dedup, op3_warc, op4_quality_rules, op5_packing, op6_secret_scan, op7_fingerprints, op8_mixing, op9_toxicity, op10_jaccard_join, op11_minhash, op12_ranked_search, op13_merkle_manifest)
     return {f.__name__: _with_package(f) for f in named}
 
 
@@ -160,6 +164,9 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reached) AS componen
 """
 
 
+_OP11 = _OP10.replace("100 * c >= 80", "100 * c >= 85").replace("min(reached) AS component_id", "min(reached) AS component_id, doc_id = min(reached) AS kept")
+
+
 _OP12 = r"""
 WITH t AS (SELECT 'd' AS side, row_number() OVER () AS rid, doc_id AS id, text FROM documents UNION ALL SELECT 'q', row_number() OVER (), item_id, text FROM benchmark),
 w AS (SELECT side, rid, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM t),
@@ -204,4 +211,4 @@ def oracle_sql() -> dict[str, str]:
     by = {r.name: r.fails for r in quality_rules.RULES}
     either = lambda policy: " OR ".join(f"({by[n]})" for n in quality_rules.POLICIES[policy])
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(quality_rules.RULES))
-    return {"op3_warc": _OP3, "op4_quality_rules": _OP4.replace("{base}", either("base")).replace("{all}", either("v2")).replace("{bits}", bits), "op10_jaccard_join": _OP10, "op12_ranked_search": _OP12, "op13_merkle_manifest": _OP13}
+    return {"op3_warc": _OP3, "op4_quality_rules": _OP4.replace("{base}", either("base")).replace("{all}", either("v2")).replace("{bits}", bits), "op10_jaccard_join": _OP10, "op11_minhash": _OP11, "op12_ranked_search": _OP12, "op13_merkle_manifest": _OP13}
