@@ -269,38 +269,31 @@ def test_op7_neighbours_of_any_id(spark, kind):
     assert len(rows) == 5000 and all(order[(i + 1) % 5000].text == r.next.text for i, r in enumerate(order))
 
 
-def brute_mix(rows, targets):
-    """What each source takes: keys in order while they fit, then what fills up."""
+def check_mix(docs, taken, target, total):
+    """What a source takes: whole epochs, then documents in the order of their keys up to the first that does not fit, then others until the source is as near its target as its smallest document left allows."""
+    epochs = int(target // total) if total else 0
+    rest = target - epochs * total
+    assert set(taken) <= {epochs, epochs + 1} and max(taken) <= 3
+    if rest <= 0:
+        return
+    last = [t > epochs for t in taken]
+    upto = 0
+    for i in sorted(range(len(docs)), key=lambda i: docs[i][:2]):
+        if upto + docs[i][2] > rest:
+            break
+        assert last[i] or not docs[i][2]
+        upto += docs[i][2]
+    least = min((d[2] for d, t in zip(docs, last) if not t and d[2]), default=0)
+    off = sum(d[2] for d, t in zip(docs, last) if t) - rest
+    assert abs(off) <= least / 2 or -least < off <= 0 or off < least and not least
+
+
+def mix_of(spark, df):
+    rows = {r.doc_id: r for r in mixing.mix(df, with_text=False).collect()}
     by = defaultdict(list)
-    for r in rows:
-        by[r["__vb_source"]].append((r["__vb_key"], r["__vb_hash"], r["__vb_size"]))
-    taken = {}
-    for source, docs in by.items():
-        total = sum(s for *_, s in docs)
-        target = targets[source]
-        epochs = int(target // total) if total else 0
-        left, chosen, docs = target - epochs * total, set(), sorted(docs)
-        for key, h, size in docs if left > 0 else []:
-            if size > left:
-                break
-            left -= size
-            chosen.add((key, h))
-        fills = 0
-        while left > mixing.NEAR * target and fills < mixing.FILLS:
-            fit = [(s, -k, h) for k, h, s in docs if (k, h) not in chosen and 0 < s <= left]
-            if not fit:
-                break
-            s, k, h = max(fit)
-            chosen.add((-k, h))
-            left -= s
-            fills += 1
-        if left > mixing.NEAR * target:
-            rest = [(s, k, h) for k, h, s in docs if (k, h) not in chosen and 0 < s < 2 * left]
-            if rest:
-                chosen.add(min(rest)[1:])
-        for key, h, _ in docs:
-            taken[source, key, h] = epochs + ((key, h) in chosen)
-    return taken
+    for r in mixing.keyed(df).collect():
+        by[r["__vb_source"]].append(((r["__vb_key"], r["__vb_hash"], r["__vb_size"]), rows[r.doc_id]))
+    return by
 
 
 def test_op8_selection(spark, monkeypatch):
@@ -308,10 +301,35 @@ def test_op8_selection(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PARTS", 8)
     rng = random.Random(17)
     df = docs_of(spark, [(i, prose(rng, rng.choice([0, 1, 5, 30, 200, 900]))) for i in range(700)], [rng.choice(["a", "a", "a", "b", None, "é", "tiny"] if i < 690 else ["z"]) for i in range(700)])
-    rows = {r.doc_id: r for r in mixing.mix(df, with_text=False).collect()}
-    keyed = [r.asDict() for r in mixing.keyed(df).collect()]
-    want = brute_mix(keyed, {r.source: r.target for r in rows.values()})
-    assert {r["doc_id"]: rows[r["doc_id"]].copies for r in keyed} == {r["doc_id"]: want[r["__vb_source"], r["__vb_key"], r["__vb_hash"]] for r in keyed}
+    for docs in mix_of(spark, df).values():
+        check_mix([d for d, _ in docs], [r.copies for _, r in docs], docs[0][1].target, docs[0][1].source_size)
+
+
+@pytest.mark.parametrize("many", [500, 20_000])
+def test_op8_a_long_text_among_short_ones(spark, many):
+    """Ten sets of ids in one table, each a source of one text longer than its budget and many short ones, beside two that fill the rest."""
+    rows, sources = [], []
+    for seed in range(10 if many == 500 else 2):
+        for j in range(many + 1):
+            rows.append((seed * 1_000_000 + j, ("w " * (3 * many) if j == 0 else "a b" if j % 3 else "a b c").strip()))
+            sources.append(f"a{seed}")
+    by = mix_of(spark, docs_of(spark, rows, sources))
+    for docs in by.values():
+        target, total = docs[0][1].target, docs[0][1].source_size
+        check_mix([d for d, _ in docs], [r.copies for _, r in docs], target, total)
+        left = [d[2] for d, r in docs if r.copies == int(target // total)]
+        assert not left or abs(sum(r.taken for _, r in docs) - target) <= min(left)
+
+
+def test_op8_repeated_rows_and_a_text_larger_than_its_budget(spark):
+    rows = [(7, "x y z")] * 300 + [(None, "p q")] * 200 + [(i, f"one two {i}") for i in range(1000, 1400)] + [(1, "big " * 9000)]
+    df = docs_of(spark, rows, ["a" if i < 900 else "b" for i in range(901)])
+    got = mixing.mix(df, with_text=False).collect()
+    again = mixing.mix(df, with_text=False).collect()
+    key = lambda r: (r.source, r.doc_id or -1, r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == 901 and all(r.taken <= 3 * r.size for r in got)
+    copies = {len({r.copies for r in got if r.doc_id == i}) for i in (7, None)}
+    assert copies == {1}
 
 
 def test_op8(spark, tables):

@@ -3,20 +3,23 @@
 Every document gets an exponential key ``-ln(u) / weight`` from a hash of its id
 and text, so that reruns agree. A source whose target is above its size is
 taken in complete epochs first; the rest of its target is filled along the order
-of the keys up to the first document that does not fit. What is left of the budget, if
-more than NEAR of the target, goes to the largest documents that fit, one after the other, and at
-last to the smallest one, if that brings the source closer to its target.
+of the keys up to the first document that does not fit. What is left of the budget, less than that
+document, is filled from the counts of the sizes not taken, the largest size first and of each
+size as many documents as fit, in the order of their keys; less is left than any document not taken. At
+last comes the smallest of these, if that brings the source closer to its target.
 
 No source is gathered in one task: sums over parts of a range of keys tell in
 which part a budget ends, that part is divided again, and only when it holds at most ROWS rows
-(or one key only) are they put in order.
+(or one key only) are they put in order. The documents of one size are a range of their own. Of a source a task sees the counts
+of sizes that are less than one document.
 
 The plan of a mix is one row for each source: target, epochs, the last key
-taken and the keys of the documents that fill up. Applying it is a join on the source and a comparison; no text moves.
+taken, and the last key of each size that fills up. Applying it is a join on the source and a comparison; no text moves.
 
 Null sources are one source, the last in order. Null texts have size 0 and are
 taken only in epochs. Rows that agree in id and text share a key and are
-taken alike, as are such rows with null ids: all of them, if they fit together. An empty table gives an empty mix.
+taken alike, as are such rows with null ids: all of them, if they fit together, so that such a source may stay below its target by
+as much as they hold. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -34,8 +37,6 @@ WEIGHTS = (1.0, 2.0, 3.0)
 SEED = 8
 #: Parts into which a range of keys is divided; rows that one task puts in order.
 PARTS, ROWS = 1024, 4096
-#: A source this close to its target, as a share of it, needs no filling up; documents that fill up, at most.
-NEAR, FILLS = 0.002, 6
 SYMBOLS = r"[#*$%&|<>]+"
 
 
@@ -109,52 +110,93 @@ def _ends(slim: DataFrame, ends: DataFrame, scratch: Scratch, name: str, n: int)
     return ends
 
 
-def _taken(row_key: Column, row_hash: Column) -> Column:
+_FILL = "array<struct<__vb_size:bigint,low:double,cut:struct<__vb_key:double,__vb_hash:bigint>>>"
+
+
+def _upto(low: Column, cut: Column) -> Column:
+    """Whether a row is below a range of keys, or in it up to a cut."""
+    return F.coalesce((F.col("__vb_key") < low) | (F.struct("__vb_key", "__vb_hash") <= cut), F.lit(False))
+
+
+def _taken() -> Column:
     """Whether a row is taken in the last pass of its source."""
-    at = F.struct(row_key.alias("__vb_key"), row_hash.alias("__vb_hash"))
-    return F.coalesce((row_key < F.col("low")) | (at <= F.col("cut")), F.lit(False)) | F.coalesce(F.array_contains("fills", at), F.lit(False))
+    filled = F.exists("fills", lambda f: (f["__vb_size"] == F.col("__vb_size")) & _upto(f["low"], f["cut"]))
+    return _upto(F.col("low"), F.col("cut")) | F.coalesce(filled, F.lit(False)) | F.coalesce(F.struct("__vb_key", "__vb_hash") == F.col("over"), F.lit(False))
+
+
+def _cuts(slim: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """(__vb_s2, low, cut, words): of narrow ends the last row that fits, and what is taken up to it."""
+    last = _of(slim, ends, n).where("__vb_key BETWEEN low AND high").groupBy("__vb_s2", "rest", "before", "low", "__vb_key", "__vb_hash").agg(F.sum("__vb_size").alias("size"))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("__vb_s2").orderBy("__vb_key", "__vb_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = F.col("upto") <= F.col("rest")
+    cut = F.max(F.when(fits, F.struct("__vb_key", "__vb_hash")))
+    return last.withColumn("upto", upto).groupBy("__vb_s2", "low").agg(cut.alias("cut"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before")).alias("words"))
+
+
+def _filled(slim: DataFrame, state: DataFrame, scratch: Scratch, name: str, n: int) -> DataFrame:
+    """state with what fills up the budgets left, by the counts of sizes; ``planned`` is what should be left then."""
+    free = _of(slim, state.where("left > 0"), n).where(~_taken() & (F.col("__vb_size") > 0) & (F.col("__vb_size") <= F.col("left")))
+    sizes = free.groupBy("__vb_s2", "left", "__vb_size").agg(F.count("*").alias("rows"), F.min("__vb_key").alias("low"), F.max("__vb_key").alias("high"))
+    largest = F.sort_array(F.collect_list(F.struct("__vb_size", "rows", "low", "high")), asc=False)  # sizes of less than one document
+
+    def pick(acc: Column, x: Column) -> Column:
+        times = F.least(x["rows"], F.floor(acc["left"] / x["__vb_size"]))
+        more = F.when(times > 0, F.array_append(acc["picks"], x.withField("times", times))).otherwise(acc["picks"])
+        return F.struct((acc["left"] - times * x["__vb_size"]).alias("left"), more.alias("picks"))
+
+    none = F.array().cast("array<struct<__vb_size:bigint,rows:bigint,low:double,high:double,times:bigint>>")
+    picked = sizes.groupBy("__vb_s2", "left").agg(largest.alias("sizes")).withColumn("x", F.aggregate("sizes", F.struct(F.col("left"), none.alias("picks")), pick))
+    picked = scratch.save(picked.select(F.col("__vb_s2").alias("_s"), F.col("x.left").alias("planned"), "x.picks"), f"{name}_picked")
+    picks = picked.select("_s", F.explode("picks").alias("p"))
+    picks = scratch.save(picks.select(F.struct(F.col("_s").alias("s"), F.col("p.__vb_size").alias("size")).alias("__vb_s2"), (F.col("p.times") * F.col("p.__vb_size")).cast("double").alias("rest"), F.lit(0).cast("long").alias("before"), "p.low", "p.high", "p.rows"), f"{name}_picks")
+    many = picks.count()
+    by_size = free.select(F.struct(F.col("__vb_s2").alias("s"), F.col("__vb_size").alias("size")).alias("__vb_source"), "__vb_size", "__vb_key", "__vb_hash")
+    cuts = _cuts(by_size, _ends(by_size, picks, scratch, name, many), many)
+    entry = F.struct(F.col("__vb_s2.size").alias("__vb_size"), "low", "cut")
+    cuts = cuts.groupBy(F.col("__vb_s2.s").alias("_c")).agg(F.collect_list(entry).alias("more"), F.sum("words").alias("words"))
+    new = state.drop("planned").join(picked.drop("picks"), F.col("__vb_s2").eqNullSafe(F.col("_s")), "left").join(cuts, F.col("__vb_s2").eqNullSafe(F.col("_c")), "left")
+    fills = F.concat("fills", F.coalesce("more", F.array().cast(_FILL)))
+    return scratch.save(new.withColumn("fills", fills).withColumn("left", F.col("left") - F.coalesce("words", F.lit(0))).select(*state.drop("planned").columns, F.coalesce("planned", "left").alias("planned")), f"{name}_filled")
+
+
+def _nearest(slim: DataFrame, state: DataFrame, scratch: Scratch, name: str, n: int) -> DataFrame:
+    """state with ``over``: the smallest document not taken, where its source comes closer to the target with it than without."""
+    free = _of(slim, state.where("left > 0"), n).where(~_taken() & (F.col("__vb_size") > 0) & (F.col("__vb_size") < 2 * F.col("left")))
+    least = free.groupBy("__vb_s2", "left").agg(F.min(F.struct("__vb_size", "__vb_key", "__vb_hash")).alias("x"))
+    least = scratch.save(least.select("__vb_s2", "left", F.struct("x.__vb_key", "x.__vb_hash").alias("found")), f"{name}_least")
+    whole = _of(slim, least, n).where(F.struct("__vb_key", "__vb_hash") == F.col("found")).groupBy(F.col("__vb_s2").alias("_s"), "left", "found").agg(F.sum("__vb_size").alias("size"))  # repeated rows go together
+    whole = whole.where(F.col("size") < 2 * F.col("left")).select("_s", "found")
+    return state.drop("over").join(whole, F.col("__vb_s2").eqNullSafe(F.col("_s")), "left").withColumnRenamed("found", "over").drop("_s")
 
 
 def mix_plan(slim: DataFrame, scratch: Scratch, name: str = "plan") -> DataFrame:
-    """One row for each source of a keyed table: source_size, target, epochs, and low, cut and fills, which tell what its last pass takes."""
-    key = F.struct("__vb_key", "__vb_hash")
+    """One row for each source of a keyed table: source_size, target, epochs, and low, cut, fills and over, which tell what its last pass takes."""
     sizes = slim.groupBy("__vb_source").agg(F.sum("__vb_size").alias("source_size"), F.min("__vb_key").alias("low"), F.max("__vb_key").alias("high"), F.count("*").alias("rows"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = mix_targets(sizes, scratch).withColumn("epochs", full).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = scratch.save(plan.withColumnRenamed("__vb_source", "__vb_s2"), f"{name}_targets")
     n = plan.count()
     ends = _ends(slim, plan.where("rest > 0").select("__vb_s2", "rest", F.lit(0).cast("long").alias("before"), "low", "high", "rows"), scratch, name, n)
-    last = _of(slim, ends, n).where("__vb_key BETWEEN low AND high").groupBy("__vb_s2", "rest", "before", "low", "__vb_key", "__vb_hash").agg(F.sum("__vb_size").alias("size"))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("__vb_s2").orderBy("__vb_key", "__vb_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fits = F.col("upto") <= F.col("rest")
-    cuts = last.withColumn("upto", upto).groupBy("__vb_s2", "low").agg(F.max(F.when(fits, key)).alias("cut"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before")).alias("words"))
+    cuts = _cuts(slim, ends, n)
     state = plan.drop("low", "high", "rows").join(cuts.withColumnRenamed("__vb_s2", "_s"), F.col("__vb_s2").eqNullSafe(F.col("_s")), "left").drop("_s")
-    state = state.withColumn("left", F.when(F.col("low").isNotNull(), F.col("rest") - F.col("words"))).withColumn("fills", F.array().cast("array<struct<__vb_key:double,__vb_hash:bigint>>"))
+    state = state.withColumn("left", F.when(F.col("low").isNotNull(), F.col("rest") - F.col("words"))).withColumn("fills", F.array().cast(_FILL))
+    state = state.withColumn("over", F.lit(None).cast("struct<__vb_key:double,__vb_hash:bigint>"))
     state = scratch.save(state.drop("rest", "words"), f"{name}_0")
-    wide = F.col("left") > NEAR * F.col("target")
-    largest = F.max(F.when(F.col("size") <= F.col("left"), F.struct("size", (-F.col("__vb_key")).alias("back"), "__vb_hash", "__vb_key")))
-    smallest = F.min(F.when(F.col("size") < 2 * F.col("left"), F.struct("size", "__vb_key", "__vb_hash")))
-    last_step, step = False, 1
-    while not last_step and state.where(wide).limit(1).count():
-        free = _of(slim, state.where(wide), n).where(~_taken(F.col("__vb_key"), F.col("__vb_hash")) & (F.col("__vb_size") > 0))
-        free = free.groupBy("__vb_s2", "left", "__vb_key", "__vb_hash").agg(F.sum("__vb_size").alias("size"))
-        last_step = step > FILLS
-        found = free.groupBy(F.col("__vb_s2").alias("_s")).agg((smallest if last_step else largest).alias("best")).where("best IS NOT NULL")
-        found = scratch.save(found, f"{name}_fill{step}")
-        if found.limit(1).count():
-            new = state.join(found, F.col("__vb_s2").eqNullSafe(F.col("_s")), "left").drop("_s")
-            more = F.when(F.col("best").isNotNull(), F.array_append("fills", F.struct(F.col("best.__vb_key").alias("__vb_key"), F.col("best.__vb_hash").alias("__vb_hash")))).otherwise(F.col("fills"))
-            state = scratch.save(new.withColumn("fills", more).withColumn("left", F.col("left") - F.coalesce("best.size", F.lit(0))).drop("best"), f"{name}_{step}")
-        else:
-            step = FILLS
-        step += 1
-    return state.select("__vb_s2", "source_size", "target", "epochs", "low", "cut", "fills")
+    step, before = 1, None
+    while before is None or state.where("left > planned").limit(1).count():  # again only where a cut met rows that share a key
+        state = _filled(slim, state, scratch, f"{name}_{step}", n)
+        left = state.agg(F.sum("left")).first()[0]
+        if left == before:
+            break
+        step, before = step + 1, left
+    state = scratch.save(_nearest(slim, state, scratch, name, n), f"{name}_last")
+    return state.select("__vb_s2", "source_size", "target", "epochs", "low", "cut", "fills", "over")
 
 
 def copies(df: DataFrame, plan: DataFrame) -> DataFrame:
     """A keyed table with source_size, target and ``copies``: how often the mix takes each row."""
     out = df.join(small_side(plan, 256), F.col("__vb_source").eqNullSafe(F.col("__vb_s2")), "left")
-    return out.withColumn("copies", F.col("epochs") + _taken(F.col("__vb_key"), F.col("__vb_hash")).cast("long")).drop("__vb_s2", "epochs", "low", "cut", "fills")
+    return out.withColumn("copies", F.col("epochs") + _taken().cast("long")).drop("__vb_s2", "epochs", "low", "cut", "fills", "over")
 
 
 def mix(docs: DataFrame, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_text: bool = True) -> DataFrame:
