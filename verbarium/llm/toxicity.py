@@ -8,7 +8,7 @@ part in the maximum is negative, a step climbs it instead.
 
 Features are chosen by their counts over all texts given, and over all confirmed ones
 among them. The gradient steps are taken on at most MAX_TOXIC and MAX_UNLABELLED texts, chosen
-by a hash of the id without regard to labels; every text is scored whole. The prior is the share of toxic
+by a hash of the id without regard to labels, one text an id; every text is scored whole. The prior is the share of toxic
 texts among those labelled, unless it is given.
 
 Null and empty texts score by the bias alone. Without any toxic label every score
@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_toxi
     some = toxic.orderBy(*order).limit(max_toxic).select("id", F.lit(1).alias("toxic"))
     rest = ids.orderBy(*order).limit(max_unlabelled).select("id", F.lit(0).alias("toxic"))
     sample = F.broadcast(scratch.save(some.unionByName(rest), "ids"))  # at most max_toxic + max_unlabelled ids
-    texts = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "toxic").repartition(12), "texts")
+    least = F.min(F.struct(F.xxhash64("text"), "text")).alias("x")  # of the texts of one id, however many
+    texts = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").groupBy("id", "toxic").agg(least).select("x.text", "toxic").repartition(12), "texts")
     every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     every = every.join(small_side(toxic.withColumn("toxic", F.lit(1)), 64), "id", "left").select("text", F.coalesce("toxic", F.lit(0)).alias("toxic"))
     kind = "together int, toxic int, n long, counts binary"
