@@ -9,12 +9,14 @@ a sequence and an offset by binary search in the pattern table, a table that
 the histogram bounds too.
 
 A null text is empty: its one piece is the final id. Repeated rows and null ids
-are documents of their own. An empty table packs into nothing.
+are documents of their own, of any number: pieces are dealt by all that they hold, and
+those that agree in everything by their place. An empty table packs into nothing.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +36,41 @@ CACHE_WORDS = 800_000
 _KEY_BITS = 48
 
 
+#: How a vocabulary must normalize and split texts for its ids to be those of words in turn.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class TextEncoder:
+    """Ids of whole texts as little-endian bytes, of any vocabulary that the tokenizers library reads."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [(t or "").encode("utf-8", "replace").decode() for t in texts]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def encoder_for(path: str) -> TextEncoder | WordEncoder:
+    """The word encoder for a vocabulary that normalizes and splits as it assumes; for others one that takes texts whole."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model = told.get("model", {})
+    fits = all(told.get(k) == v for k, v in WORDWISE.items()) and model.get("type") == "BPE" and not model.get("dropout")
+    return (WordEncoder if fits else TextEncoder)(path)
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian bytes.
 
@@ -125,7 +162,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, max_len: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(vocabulary)
+        encoder = encoder_for(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -194,19 +231,25 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN, carry: tuple[str, ...] = ("i
     """pieces (id, start, length, doc_tokens and ``carry``) with ``sequence_id`` and ``offset``.
 
     Pieces are written once, so that texts are encoded once. Ranks are counted in
-    chunks of a length, and chunks set off by the sums before them.
+    chunks of a length, and chunks set off by the sums before them. Of pieces that agree in all, more than a few chunks' worth
+    are dealt by their place in the table written.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "pack")
-    saved = scratch.save(pieces.select(id_col, "start", "length", "doc_tokens", *carry), "pieces")
+    saved = scratch.save(pieces.select(id_col, "start", "length", "doc_tokens", *carry).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in saved.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = spark.sparkContext.broadcast(pattern_table(shortest_pack_first(histogram, max_len)))
     chunks = max(1, sum(histogram.values()) // rows_per_chunk)
-    saved = saved.withColumn("_chunk", F.pmod(F.xxhash64(id_col, "start"), F.lit(chunks)))
-    counts = saved.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
-    before = counts.select("length", "_chunk", (F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("_n")).alias("_before"))
-    ranked = saved.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_chunk").orderBy(id_col, "start")) - 1)
-    ranked = ranked.join(before, ["length", "_chunk"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    saved = saved.withColumn("_chunk", F.pmod(F.xxhash64(id_col, "start", *carry), F.lit(chunks))).withColumn("_part", F.lit(0))
+    counts = scratch.save(saved.groupBy("length", "_chunk", "_part").agg(F.count("*").alias("_n")), "counts")
+    large = scratch.save(counts.where(F.col("_n") > 4 * rows_per_chunk).select("length", "_chunk", F.ceil(F.col("_n") / rows_per_chunk).cast("int").alias("_parts")), "large")
+    if large.limit(1).count():
+        # A row of large stands for 4 * rows_per_chunk pieces, so that the table stays small.
+        saved = saved.join(F.broadcast(large), ["length", "_chunk"], "left").withColumn("_part", F.pmod("_row", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        counts = scratch.save(saved.groupBy("length", "_chunk", "_part").agg(F.count("*").alias("_n")), "parted")
+    before = counts.select("length", "_chunk", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk", "_part")) - F.col("_n")).alias("_before"))
+    ranked = saved.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_chunk", "_part").orderBy(id_col, "start", "_row")) - 1)
+    ranked = ranked.join(before, ["length", "_chunk", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     names = [id_col, "start", "length", "doc_tokens", *carry]
     ranked = ranked.select(*names, F.col("_rank").cast("long").alias("_rank"))
 
