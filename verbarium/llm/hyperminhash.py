@@ -9,12 +9,14 @@ A text's set holds the hashes of its five-word shingles. Two sets link when 100
    filled from others in an order drawn for each (Shrivastava, 2017), so that a band is never made of one shingle by
    itself: with 42 bands of 6, linked sets miss each other in all of them once in 10^8.
 4. Of candidates the share of agreeing registers, corrected for registers that agree by chance, estimates the similarity; a pair that
-   is MARGIN standard errors below the threshold is dropped (a linked pair is, about once in three million).
+   is MARGIN standard errors below the threshold is dropped (a linked pair is, about once in three million). The error falls to nothing as
+   the registers hold all of a set.
 5. What is left is verified on the full sets, made again of the texts that pairs name.
 
-Pairs come in two rounds, so that a group of copies is not expanded into all of its pairs: each set meets the hub of
-the bands that it shares most; then sets of a band that are in different components yet meet each other, in
-blocks. Bands, hubs and sets that very many meet are dealt over many tasks. Components are those of verified links.
+Pairs come in rounds, so that a group of copies is not expanded into all of its pairs: each set meets the hub of
+the bands that it shares most; then, of the sets of each band that are in other components yet, the one with the highest
+estimate; at last all of these whose estimates are promising. The last two compare the sketches of a band in memory, in blocks of BLOCK sets, and
+a pair in the first band alone that it shares. Bands, hubs and sets that very many meet are dealt over many tasks. Components are those of verified links.
 
 Null texts and texts without words have empty sets, link with nothing and are components of their own. Rows with a null id take part;
 a component of such rows only has a null id. Repeated rows are equal sets. An empty table gives an empty result. Other columns are not read.
@@ -43,7 +45,8 @@ BUCKETS, CHOOSING, RANK = 256, 8, 10
 #: Registers of a band, and bands.
 ROWS = 6
 BANDS = BUCKETS // ROWS
-MARGIN = 5.0
+#: Standard errors by which an estimate may fall short, and what it may besides.
+MARGIN, SLACK = 5.0, 0.01
 #: Sets of one band that are paired in one task.
 BLOCK = 2_000
 
@@ -118,11 +121,18 @@ def estimate(x: np.ndarray, y: np.ndarray, n: int, m: int) -> tuple[float, int]:
     return max(0.0, (agree / either - chance) / (1 - chance)), either
 
 
+def least_estimate(n: np.ndarray, m: np.ndarray, rests: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The estimate below which sets of n and m members are dropped: rests registers are a sample without replacement of the union (Li, Owen, Zhang 2012)."""
+    j = percent / 100
+    union = (n + m) / (1 + j)
+    spread = j * (1 - j) / np.maximum(rests, 1) * np.clip((union - rests) / np.maximum(union - 1, 1), 0, 1)
+    return j - MARGIN * np.sqrt(spread) - SLACK
+
+
 def promising(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int = PERCENT) -> bool:
     """Whether two sets may link, by their estimate."""
     value, rests = estimate(x, y, n, m)
-    j = percent / 100
-    return rests > 0 and value >= j - MARGIN * math.sqrt(j * (1 - j) / rests)
+    return rests > 0 and value >= float(least_estimate(np.float64(n), np.float64(m), np.float64(rests), percent))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -155,7 +165,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 2000)
             keys = [k for raw in part.column(2).to_pylist() for k in band_keys(np.frombuffer(raw, np.uint16))]
             of = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), part.column(0).take(of), part.column(1).take(of)], names=["key", "s", "n"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(band), part.column(0).take(of), part.column(1).take(of)], names=["key", "band", "s", "n"])
 
 
 def _estimated(percent: int):
@@ -168,6 +179,77 @@ def _estimated(percent: int):
     return run
 
 
+def compared(band: int, names: list[bytes], roots: list[bytes], n: np.ndarray, side: np.ndarray, registers: np.ndarray, keys: np.ndarray, best: bool, percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
+    """Promising pairs of the sets of a band, of different components and, where side tells two blocks apart, of different blocks.
+
+    Pairs that agree in an earlier band are left to that. ``best``: for each set only the pair with the highest estimate.
+    """
+    number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    root, order = np.array([number[r] for r in roots]), np.arange(len(names))
+    size = np.round(2 * np.log2(np.maximum(n, 1))).astype(int)
+    crossing = len(set(side.tolist())) > 1
+    value, partner, out = np.full(len(names), -1.0), np.full(len(names), -1), []
+    for r in range(len(names) - 1):
+        fit = (root[r + 1 :] != root[r]) & (100 * n[r + 1 :] >= percent * n[r]) & (100 * n[r] >= percent * n[r + 1 :])
+        if crossing:
+            fit &= side[r + 1 :] != side[r]
+        of = order[r + 1 :][fit]
+        if band and len(of):
+            of = of[~(keys[of, :band] == keys[r, :band]).any(1)]
+        if not len(of):
+            continue
+        there = registers[of]
+        rests = np.count_nonzero(there | registers[r], axis=1)
+        agree = np.count_nonzero((there == registers[r]) & (there > 0), axis=1)
+        kinds, at = np.unique(size[of], return_inverse=True)
+        chance = np.array([_chance(int(size[r]), int(k)) for k in kinds])[at]
+        told = (agree / np.maximum(rests, 1) - chance) / (1 - chance)
+        good = told >= least_estimate(n[r], n[of], rests, percent)
+        of, told = of[good], told[good]
+        if not best:
+            out += [(min(names[r], names[i]), max(names[r], names[i])) for i in of.tolist()]
+        elif len(of):
+            better = told > value[of]
+            value[of[better]], partner[of[better]] = told[better], r
+            top = int(np.argmax(told))
+            if told[top] > value[r]:
+                value[r], partner[r] = told[top], of[top]
+    if best:
+        out = list({(min(names[i], names[j]), max(names[i], names[j])) for i, j in enumerate(partner.tolist()) if j >= 0})
+    return out
+
+
+def _in_blocks(best: bool, percent: int):
+    """Of rows (key, x, y, band, side, s, n, root, sketch, keys), sorted by the first three, the pairs of each block."""
+    def of(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        band, side, names, n, roots, sketches, keys = (list(c) for c in zip(*(r[3:] for r in rows)))
+        return compared(band[0], names, roots, np.array(n, np.int64), np.array(side), np.stack([np.frombuffer(x, np.uint16) for x in sketches]), np.stack([np.frombuffer(x, np.int64) for x in keys]), best, percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    out += of(held) if len(held) > 1 else []
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        if len(held) > 1 and (out := of(held)):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            keys = [np.array(band_keys(np.frombuffer(raw, np.uint16)), np.int64).tobytes() for raw in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary())], names=["s", "sketch", "keys"])
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
@@ -206,8 +288,8 @@ class NearDuplicates:
         self.repeated = bool(self.rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
 
     def _banded(self) -> DataFrame:
-        """(key, s, n) of the bands that two sets or more share, and self.hubs (key, b, n): the first set by name of each, and how many."""
-        bands = self.scratch.save(self.sets.where("n > 0").select("s", "n", "sketch").mapInArrow(releasing(_bands), "key long, s binary, n long"), "bands")
+        """(key, band, s, n) of the bands that two sets or more share, and self.hubs (key, b, n): the first set by name of each, and how many."""
+        bands = self.scratch.save(self.sets.where("n > 0").select("s", "n", "sketch").mapInArrow(releasing(_bands), "key long, band int, s binary, n long"), "bands")
         hubs = bands.groupBy("key").agg(F.min("s").alias("b"), F.count("*").alias("n")).where("n > 1")
         self.hubs = self.scratch.save(hubs, "hubs")
         shared = self.scratch.save(spread_join(bands, self.hubs.select("key", "b"), ["key"], self.scratch, "hot_bands", self.hubs.select("key", "n")), "shared")
@@ -219,13 +301,17 @@ class NearDuplicates:
         one = spread_join(pairs, of_a, ["a"], self.scratch, f"{name}_a")
         return spread_join(one, of_b, ["b"], self.scratch, f"{name}_b", pairs.groupBy("b").agg(F.count("*").alias("n")), pairs.count())
 
-    def _links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The linked ones of pairs (a, b): by estimates, then on full sets."""
+    def _estimated(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The promising ones of pairs (a, b)."""
         pairs = self.scratch.save(pairs, f"{name}_pairs")
         a = self.sets.select(F.col("s").alias("a"), "n", F.col("sketch").alias("x"))
         b = self.sets.select(F.col("s").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
         met = self._ends(pairs, a, b, f"{name}_met").select("a", "b", "n", "m", "x", "y")
-        near = self.scratch.save(met.mapInArrow(releasing(_estimated(self.percent)), "a binary, b binary"), f"{name}_near")
+        return met.mapInArrow(releasing(_estimated(self.percent)), "a binary, b binary")
+
+    def _links(self, near: DataFrame, name: str) -> DataFrame:
+        """The linked ones of pairs (a, b), on full sets."""
+        near = self.scratch.save(near, f"{name}_near")
         named = near.select(F.col("a").alias("s")).union(near.select("b")).distinct()
         keys = self.scratch.save(self.sets.join(named, "s", "left_semi").select(F.col("first.k").alias("k")), f"{name}_keys")
         some = self.docs.join(small_side(keys, 24), "k", "left_semi")
@@ -234,51 +320,54 @@ class NearDuplicates:
         of_a, of_b = full.select(F.col("s").alias("a"), F.col("members").alias("of_a")), full.select(F.col("s").alias("b"), F.col("members").alias("of_b"))
         both = self._ends(near, of_a, of_b, f"{name}_whole").select("a", "b", "of_a", "of_b")
         links = self.scratch.save(both.mapInArrow(releasing(_verified(self.percent)), "a binary, b binary"), f"{name}_links")
-        self.scratch.drop(f"{name}_full", f"{name}_keys", f"{name}_pairs")
+        self.scratch.drop(f"{name}_full", f"{name}_keys")
         return links
 
-    def _fits(self) -> object:
-        """Sizes n and m that let two sets link."""
-        return (F.col("n") * 100 >= F.col("m") * self.percent) & (F.col("m") * 100 >= F.col("n") * self.percent)
-
     def _hub_pairs(self, shared: DataFrame) -> DataFrame:
         """Each set with the hub of most of its bands."""
         met = shared.where("s <> b").groupBy(F.col("s").alias("a"), "b").agg(F.count("*").alias("c"))
         return met.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
 
-    def _open(self, shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """(key, s, n, root) of bands whose sets are not all in one component."""
-        rows = shared.select("key", "s", "n")
+    def _open(self, shared: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+        """(key, band, s, n, root) of bands whose sets are not all in one component."""
+        rows = shared.select("key", "band", "s", "n")
         if roots is None:
             return rows.withColumn("root", F.col("s"))
-        told = self.scratch.save(rows.join(roots.select(F.col("id").alias("s"), F.col("root").alias("r")), "s", "left").select("key", "s", "n", F.coalesce("r", "s").alias("root")), "told")
+        told = rows.join(roots.select(F.col("id").alias("s"), F.col("root").alias("r")), "s", "left").select("key", "band", "s", "n", F.coalesce("r", "s").alias("root"))
+        told = self.scratch.save(told, f"{name}_told")
         split = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-        split = self.scratch.save(split, "split")
-        return self.scratch.save(spread_join(told, split.select("key"), ["key"], self.scratch, "hot_split", split), "open")
+        split = self.scratch.save(split, f"{name}_split")
+        out = self.scratch.save(spread_join(told, split.select("key"), ["key"], self.scratch, f"{name}_hot", split), f"{name}_open")
+        self.scratch.drop(f"{name}_told")
+        return out
 
-    def _rest(self, rows: DataFrame) -> DataFrame:
-        """Pairs of sets of different components that share a band, of sizes that let them link; a band of more than BLOCK sets is dealt into blocks."""
-        rows = self.scratch.save(rows, "rest")
+    def _block_pairs(self, rows: DataFrame, best: bool, name: str) -> DataFrame:
+        """Promising pairs of the sets of each band; a band of more than BLOCK sets is dealt into blocks, and every two of them meet in a task of their own."""
+        rows = self.scratch.save(rows, f"{name}_rows")
         least = max(BLOCK, rows.count() * 64 // BROADCAST_BYTES)  # so that the table of long bands can be broadcast
         long = rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > least)
-        long = self.scratch.save(long.select("key", F.ceil(F.col("many") / least).cast("int").alias("blocks")), "long")
+        long = self.scratch.save(long.select("key", F.ceil(F.col("many") / least).cast("int").alias("blocks")), f"{name}_long")
         dealt = rows.join(F.broadcast(long), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("s"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        a = dealt.select("key", F.col("mine").alias("i"), F.col("other").alias("j"), F.col("s").alias("a"), "n", F.col("root").alias("ra"))
-        b = dealt.select("key", F.col("other").alias("i"), F.col("mine").alias("j"), F.col("s").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-        fits = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & self._fits()
-        return a.join(b, ["key", "i", "j"]).where(fits).select("a", "b").distinct()
+        dealt = dealt.withColumn("side", F.pmod(F.xxhash64("s"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "band", "side", "s", "n", "root")
+        named = self.scratch.save(rows.select("s").distinct().join(self.sets.select("s", "sketch"), "s").select("s", "sketch").mapInArrow(releasing(_keyed), "s binary, sketch binary, keys binary"), f"{name}_named")
+        met = dealt.join(named, "s").select(*dealt.columns, "sketch", "keys")  # a set is in BANDS bands at most
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 8_000)
+        met = met.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+        return met.mapInArrow(releasing(_in_blocks(best, self.percent)), "a binary, b binary").distinct()
 
     def _roots(self) -> DataFrame | None:
         """(id, root) of all sets that link with another; None if there are none."""
         shared = self._banded()
-        links = self._links(self._hub_pairs(shared), "hub")
-        roots = components(links, self.scratch, "hub_roots") if links.limit(1).count() else None
-        rest = self._links(self._rest(self._open(shared, roots)), "rest")
+        links = roots = None
+        for name in ("hub", "near", "rest"):
+            near = self._estimated(self._hub_pairs(shared), name) if name == "hub" else self._block_pairs(self._open(shared, roots, name), name != "rest", name)
+            new = self._links(near, name)
+            if new.limit(1).count():
+                links = new if links is None else links.unionByName(new)
+                roots = components(links, self.scratch, f"{name}_roots")
         self.scratch.drop("shared")
-        if not rest.limit(1).count():
-            return roots
-        return components(links.unionByName(rest), self.scratch, "roots")
+        return roots
 
     def components(self) -> DataFrame:
         """Per row: id, ``n_shingles`` and ``component_id`` (the smallest id that links lead to). Sets and components with many rows are dealt over tasks."""
