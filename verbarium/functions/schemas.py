@@ -13,11 +13,15 @@ MANIFEST = "id STRING, name STRING, version STRING, schema_version INT, language
 _RELATED = "ARRAY<STRUCT<word STRING, roman STRING>>"
 _TRANSLATED = "ARRAY<STRUCT<lang STRING, code STRING, lang_code STRING, word STRING>>"
 DUMP = (
-    "word STRING, lang STRING, lang_code STRING, pos STRING, etymology_number VARIANT, "
+    "word VARIANT, lang STRING, lang_code STRING, pos STRING, etymology_number VARIANT, "
     "sounds ARRAY<STRUCT<ipa STRING, tags ARRAY<STRING>, audio STRING, ogg_url STRING, mp3_url STRING, `zh-pron` STRING, zh_pron STRING, roman STRING>>, "
     "senses ARRAY<STRUCT<id STRING, glosses ARRAY<STRING>, examples ARRAY<STRUCT<text STRING, translation STRING, english STRING, roman STRING>>, "
     f"translations {_TRANSLATED}, synonyms {_RELATED}, related {_RELATED}, derived {_RELATED}, coordinate_terms {_RELATED}, tags ARRAY<STRING>, raw_tags ARRAY<STRING>>>, "
     f"forms ARRAY<STRUCT<form STRING, tags ARRAY<STRING>>>, related {_RELATED}, derived {_RELATED}, coordinate_terms {_RELATED}, synonyms {_RELATED}, translations {_TRANSLATED}, _corrupt_record STRING"
 )
 SENTENCES_JSON = "id LONG, text STRING, lang STRING, license STRING, translations ARRAY<ARRAY<STRUCT<id LONG, text STRING, lang STRING, license STRING>>>"
+#: The row about a pack; ``files`` has those of its sorted tables, with their least and largest keys.
+PACK = "pack_id STRING, name STRING, version STRING, schema_version INT, languages ARRAY<STRING>, entry_count LONG, manifest STRING, files ARRAY<STRUCT<table STRING, name STRING, low STRING, high STRING>>"
+TERM = "entry_rowid LONG, term STRING, term_type STRING, loose_key STRING, term_rev STRING, id STRING, lemma STRING, language STRING, pos STRING"
+ID = "id STRING, entry_rowid LONG"
 SCHEMA_VERSION = 2

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.normalize import trim
 from ..functions.text import relation_word
+from ..sources.scratch import Scratch
 from .measure import number_within
 
 
@@ -92,13 +94,60 @@ def dump_to_entries(records: DataFrame, source_id: str) -> DataFrame:
     return out
 
 
+def stretch(rows: DataFrame) -> Column:
+    """A rising function of line_no, of which each value has a bounded number of rows: the split of a file, or the upper bits of a number that holds the reading partition there."""
+    if isinstance(rows.schema["line_no"].dataType, StructType):
+        return F.struct("line_no.file", "line_no.block")
+    return F.shiftright("line_no", 33)
+
+
 def disambiguate(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """Entries with ``id``: the base id, then ``~2``, ``~3`` in input order; at most ``limit`` entries in that order."""
+    """Entries with ``id``: in input order the base id, or the first of ``~2``, ``~3``, ... that no earlier entry has; at most ``limit`` entries in that order.
+
+    ``copy`` is the number of names tried.
+    """
     if limit is not None:
         rows = rows.orderBy("line_no").limit(limit)
+    out = number_within(rows, ["base_id"], "line_no", stretch(rows), "copy")
+    if (met := _meeting(rows, out)) is not None:
+        tried = F.aggregate(F.coalesce("_held", F.array().cast("array<bigint>")), F.col("copy") + F.coalesce("_late", F.lit(0)), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+        out = out.join(met, "base_id", "left").withColumn("copy", tried.cast("long")).select(*out.columns)
     n = F.col("copy")
-    rows = number_within(rows, ["base_id"], "line_no", F.shiftright("line_no", 33), "copy")
-    return rows.withColumn("id", F.when(n > 1, F.concat("base_id", F.lit("~"), n.cast("string"))).otherwise(F.col("base_id")))
+    return out.withColumn("id", F.when(n > 1, F.concat("base_id", F.lit("~"), n.cast("string"))).otherwise(F.col("base_id")))
+
+
+def _meeting(rows: DataFrame, numbered: DataFrame) -> DataFrame | None:
+    """(base_id, _late, _held) of the bases whose names meet; None if there are none.
+
+    A base ``x~k`` is the k-th name of the base ``x``, and no other two bases share a name. Whichever comes first has it: then ``x`` passes over k (``_held``),
+    or ``x~k`` begins with its second name (``_late`` is 1). Who comes first depends on the smaller numbers that ``x`` passes over and on whether
+    ``x`` begins late itself; passes over the names that meet repeat until nothing changes.
+    """
+    parts = [F.regexp_extract("base_id", r"(?s)^(.*)~([1-9][0-9]{0,17})$", i) for i in (1, 2)]
+    named = rows.groupBy("base_id").agg(F.min("line_no").alias("first")).select("base_id", "first", parts[0].alias("parent"), parts[1].try_cast("long").alias("k")).where("k > 1")
+    if not named.limit(1).count():
+        return None
+    work = Scratch(rows.sparkSession, "ids")
+    named = named.join(rows.select(F.col("base_id").alias("parent")).distinct(), "parent", "left_semi")
+    state = work.save(named.withColumn("taken", F.lit(False)), "0")
+    if not state.limit(1).count():
+        return None
+    parents = state.select(F.col("parent").alias("base_id")).distinct()
+    lines = work.save(numbered.join(parents, "base_id", "left_semi").select(F.col("base_id").alias("parent"), F.col("copy").alias("at"), "line_no"), "lines")
+    step = 0
+    while True:
+        late = state.where("taken").select(F.col("base_id").alias("parent"), F.lit(1).alias("late"))
+        before = F.coalesce(F.sum((~F.col("taken")).cast("long")).over(Window.partitionBy("parent").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = state.withColumn("before", before).join(late, "parent", "left").withColumn("at", F.col("k") - F.coalesce("late", F.lit(0)) - F.col("before"))
+        now = at.join(lines, ["parent", "at"], "left").select("base_id", "first", "parent", "k", F.coalesce(F.col("line_no") < F.col("first"), F.lit(False)).alias("now"), "taken")
+        now = work.save(now, str(step + 1))
+        changed = now.where("now <> taken").limit(1).count()
+        state, step = now.select("base_id", "first", "parent", "k", F.col("now").alias("taken")), step + 1
+        if not changed:
+            break
+    held = state.where("NOT taken").groupBy(F.col("parent").alias("base_id")).agg(F.sort_array(F.collect_list("k")).alias("_held"))  # names that stand in the input
+    late = state.where("taken").select("base_id", F.lit(1).alias("_late"))
+    return held.join(late, "base_id", "full")
 
 
 def with_defaults(entries: DataFrame) -> DataFrame:

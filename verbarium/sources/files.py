@@ -55,6 +55,12 @@ def replace(path: str, to: str) -> None:
     store.move(at, _open(to)[1])
 
 
+def stamp(path: str) -> tuple:
+    """Names, sizes and times of the files in a folder, which tell whether it has been written anew; empty if it is not there."""
+    store, at = _open(path)
+    return tuple(sorted((f.base_name, f.size, f.mtime_ns) for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.type == fs.FileType.File))
+
+
 def size(path: str) -> int:
     """Bytes of the files in a folder, at any depth."""
     store, at = _open(path)

@@ -9,27 +9,39 @@ from ..functions.normalize import trim
 from ..functions.schemas import DUMP, ENTRY, MANIFEST, SENTENCES_JSON
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line_no) of every line; numbers rise with the names of the files and with the place in a file, however Spark deals the files to tasks."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select("value", place.alias("line_no"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of lines that are not blank; numbers rise with the place in the file."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
-    return lines.where(trim(F.col("value")) != "")
+    """(value, line_no) of lines that are not blank."""
+    return _lines(spark, path).where(trim(F.col("value")) != "")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """Authored entries; any line that does not parse or lacks a required field fails the read."""
     rows = numbered_lines(spark, path).select("line_no", F.from_json("value", ENTRY, {"mode": "FAILFAST"}).alias("e")).select("line_no", "e.*")
     wrong = F.col("id").isNull() | F.col("language").isNull() | F.col("lemma").isNull()
-    return rows.withColumn("id", F.when(wrong, F.raise_error(F.concat(F.lit("entry lacks a required field at line "), F.col("line_no").cast("string")))).otherwise(F.col("id")))
+    return rows.withColumn("id", F.when(wrong, F.raise_error(F.concat(F.lit("entry lacks a required field at line "), F.to_json("line_no")))).otherwise(F.col("id")))
 
 
-def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, bad lines) of a raw dictionary dump; bad lines are those that do not parse or have no word."""
+def parse_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value, good, fields of a record): the lines of a raw dictionary dump, each parsed once; those that do not parse or have no word are not good."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     rows = numbered_lines(spark, path).select("line_no", "value", F.from_json("value", DUMP, options).alias("d"))
-    word = F.try_variant_get(F.try_parse_json("value"), "$.word", "variant")
-    good = F.col("d").isNotNull() & F.col("d._corrupt_record").isNull() & F.coalesce(F.schema_of_variant(word) == "STRING", F.lit(False))
-    rows = rows.withColumn("good", good)
-    return rows.where("good").select("line_no", "d.*").drop("_corrupt_record"), rows.where("NOT good").select("line_no", "value")
+    word = F.coalesce(F.schema_of_variant(F.col("d.word")) == "STRING", F.lit(False))
+    good = F.col("d").isNotNull() & F.col("d._corrupt_record").isNull() & word
+    said = F.when(word, F.variant_get(F.col("d.word"), "$", "string"))
+    rest = (c for c in rows.schema["d"].dataType.names if c not in ("word", "_corrupt_record"))
+    return rows.select("line_no", "value", good.alias("good"), said.alias("word"), *(F.col(f"d.{c}").alias(c) for c in rest))
+
+
+def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, bad lines) of a raw dictionary dump."""
+    rows = parse_dump(spark, path)
+    return rows.where("good").drop("good", "value"), rows.where("NOT good").select("line_no", "value")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +49,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _tsv(spark: SparkSession, path: str, n: int) -> DataFrame:
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.split("value", "\t").alias("f"))
+    lines = _lines(spark, path).select("line_no", F.split("value", "\t").alias("f"))
     return lines.where(F.size("f") >= n)
 
 
