@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +194,8 @@ def test_sentence_merge(spark, build, tmp_path):
     rows = {r.id: r for r in spark.read.parquet(out + "/entries").collect()}
     assert [(e.source_id, e.translation) for e in rows["l"].senses[0].examples] == [("tatoeba:1", "The light."), ("tatoeba:2", None), ("tatoeba:3", None)]
     assert not rows["n"].senses[0].examples and spark.read.parquet(out + "/sources").count() == 2
+    credit = spark.read.parquet(out + "/sources").where("id = 'tatoeba'").first()
+    assert credit.license == readers.SENTENCE_LICENSE and "contributors" in credit.attribution
     with pytest.raises(ValueError):
         packs.merge_sentences(spark, pack, str(s), str(k), "fr", out)
 
@@ -357,3 +360,118 @@ def test_long_prefixes_in_a_batch(spark, engine):
     for r in e.suggest_batch(asked).collect():
         got.setdefault(r.query_id, set()).add(r.entry_id)
     assert got == {1: {"l", "m"}, 2: {"l"}, 3: {"l"}, 4: {"l", "m"}}
+
+
+def one_by_one(bases):
+    """Ids as they come: each base, or the first of its copies' names that is free."""
+    have, out = set(), []
+    for b in bases:
+        k = 1
+        while (name := b if k == 1 else f"{b}~{k}") in have:
+            k += 1
+        have.add(name)
+        out.append((name, k))
+    return out
+
+
+def test_ids_that_meet(spark):
+    rng = random.Random(4)
+    tables = [["x", "x", "x~2"], ["x~2", "x", "x"], ["x", "x~2", "x~2", "x", "x"], ["x~2~2", "x~2", "x", "x", "x~2"], ["x~02", "x~1", "x", "x", "x", "~2", "", ""]]
+    for _ in range(6):
+        tables.append([rng.choice(["x", "x", "x", "x~2", "x~3", "x~4", "x~5", "x~2~2", "x~3~2", "x~2~2~3", "y", "y~7", "x\n", "x\n~2"]) for _ in range(60)])
+    rows = [(i * 1000 + j, f"{i}{b}") for i, t in enumerate(tables) for j, b in enumerate(t)]
+    got = {r.line_no: (r.id, r.copy) for r in importing.disambiguate(spark.createDataFrame(rows, "line_no LONG, base_id STRING").repartition(3)).collect()}
+    want = {i * 1000 + j: x for i, t in enumerate(tables) for j, x in enumerate(one_by_one([f"{i}{b}" for b in t]))}
+    assert got == want and len({name for name, _ in got.values()}) == len(got)
+
+
+def test_a_dump_with_ids_that_meet_builds(spark, tmp_path):
+    words = ["x", "x", "x~2", "x", "x~2"]
+    m, d, out = tmp_path / "m.json", tmp_path / "d.jsonl", str(tmp_path / "pack")
+    m.write_text(json.dumps({"id": "en", "schema_version": 2, "languages": ["en"], "sources": SOURCES}))
+    d.write_text("".join(json.dumps({"word": w, "lang_code": "en", "senses": [{"glosses": ["g"]}]}) + "\n" for w in words))
+    stats = packs.build_from_dump(spark, str(m), str(d), out, "t")
+    made_ = one_by_one([f"en:{w}" for w in words])
+    assert [r.id for r in spark.read.parquet(f"{out}/entries").orderBy("entry_rowid").collect()] == [name for name, _ in made_]
+    assert stats.id_collisions == sum(k - 1 for _, k in made_) and (stats.lines, stats.entries, stats.terms, stats.indexed, stats.transcription_terms) == (5, 5, 5, 5, 0)
+    assert not files.is_dir(f"{out}.read") and not files.is_dir(f"{out}.part")
+
+
+def test_a_dump_in_files_of_different_sizes_builds_as_one(spark, tmp_path):
+    """Order is by name and place in a file, not by how files are dealt to tasks."""
+    lines = [json.dumps({"word": f"w{i % 40}", "lang_code": "en", "senses": [{"glosses": [f"g{i} " + "x" * (i // 10)]}]}) for i in range(900)]
+    m = tmp_path / "m.json"
+    m.write_text(json.dumps({"id": "en", "schema_version": 2, "languages": ["en"], "sources": SOURCES}))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "many").mkdir()
+    (tmp_path / "one" / "all.jsonl").write_text("\n".join(lines))
+    for name, part in (("a", lines[:50]), ("b", lines[50:300]), ("c", lines[300:])):
+        (tmp_path / "many" / f"{name}.jsonl").write_text("\n".join(part) + "\n")
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        for kind in ("one", "many"):
+            packs.build_from_dump(spark, str(m), str(tmp_path / kind), str(tmp_path / f"pack-{kind}"), "t", 700)
+            found.append([(r.entry_rowid, r.id, r.d) for r in spark.read.parquet(str(tmp_path / f"pack-{kind}" / "entries")).selectExpr("entry_rowid", "id", "senses[0].definition AS d").orderBy("entry_rowid").collect()])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] and [d.split()[0] for *_, d in found[0]] == [f"g{i}" for i in range(700)]
+    for i, text_ in (("s1", "5\t8\n"), ("s2", "5\t7\n5\t6\n" + "9\t9\n" * 5000)):
+        (tmp_path / "links").mkdir(exist_ok=True)
+        (tmp_path / "links" / i).write_text(text_)
+    assert {r.a: r.b for r in packs.first_links(readers.read_links(spark, str(tmp_path / "links"))).collect()} == {5: 8, 9: 9}
+
+
+def test_lookups_read_the_files_of_their_keys_alone(spark, tmp_path):
+    """A pack in many files: a lookup names few of them, pushes its keys into the scan, and finds what a whole scan finds."""
+    entries = [made(f"w{i:04d}", "en", f"{'abcdefgh'[i % 8]}word{i:04d}tion" if i % 3 else f"{'äbcdefgh'[i % 8]}ord {i:04d}", [(f"f{i}x", "form")]) for i in range(400)]
+    m, e, out = tmp_path / "m.json", tmp_path / "e.jsonl", str(tmp_path / "pack")
+    m.write_text(json.dumps({"id": "big", "schema_version": 2, "languages": ["en"], "sources": SOURCES}))
+    e.write_text("\n".join(map(json.dumps, entries)))
+    packs.build_from_entries(spark, str(m), str(e), out)
+    for t in packs.tables_of(out):
+        if t != "pack":
+            packs._write(spark.read.parquet(f"{out}/{t}"), f"{out}.more", t, parts=12 if t in packs.SORTED else 1)
+    packs._rewrite_pack_row(spark, out, f"{out}.more")
+    files.replace(f"{out}.more", out)
+    engine_ = SearchEngine(spark)
+    engine_.add_pack(out)
+    listed = engine_.packs[0].listed
+    assert all(len(listed[t]) > 6 for t in packs.PROJECTIONS.values()) and len(listed["ids"]) > 6 and len(listed["entries"]) > 6
+    opened = lambda: {key[1]: len(key[-1]) for key in engine_._opened}
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    engine_._opened.clear()
+    found = engine_.probe_terms("bword0001", 40)
+    assert {r.pack_idx for r in found.collect()} == {0} and "StringStartsWith(term,bword0001)" in plan_of(found) and "StringStartsWith(loose_key,bword0001)" in plan_of(found) and max(opened().values()) <= 2
+    engine_._opened.clear()
+    tail = engine_.probe_terms("*0001tion", 40)
+    assert "StringStartsWith(term_rev,noit1000)" in plan_of(tail) and opened()["terms_rev"] <= 2 and ids(engine_.suggest("*0001tion")) == ["w0001"]
+    engine_._opened.clear()
+    assert engine_.get_entry("w0123")["lemma"] == entries[123]["lemma"] and engine_.get_entry("w012") is None and engine_.get_entry("zz") is None
+    assert {k: n for k, n in opened().items() if k in ("ids",)} == {"ids": 1} and opened()["entries"] <= 2
+    rows = engine_._listed_rows(engine_.packs[0], "entries", [5, 6], "id")
+    assert "In(entry_rowid, [5,6])" in plan_of(rows)
+    plain = SearchEngine(spark)
+    plain.add_pack(out)
+    plain.packs[0].listed = None
+    for q in ("b", "bword0001", "aord", "*tion", "?w*9tion", "f12x", "ord 00", "ÄORD"):
+        assert [tuple(r) for r in engine_.suggest(q).collect()] == [tuple(r) for r in plain.suggest(q).collect()], q
+
+
+def test_batch_of_many_shapes_agrees_with_single(spark, engine):
+    """Prefixes beyond the longest beginning, patterns of every shape, hot beginnings, packs with and without an index."""
+    rng = random.Random(8)
+    long = "incomprehensib" * 12
+    words = [long + x for x in ("a", "ab", "b")] + [rng.choice("ab") + "".join(rng.choice("abc") for _ in range(rng.randrange(0, 9))) for _ in range(150)] + ["a b", "b ab a", "ab%c", "a_c", "a\\b"]
+    entries = [made(f"i{k}", "en", w) for k, w in enumerate(dict.fromkeys(words))]
+    e = engine(("a", entries[::2]), ("b", entries[1::2] + [made("q", "de", "Straße")], ("de",)))
+    files.delete(e.packs[1].path + "/postings")
+    e.packs[1].indexed = False
+    texts = [long, long + "a", long[:100], "*" + long[-90:] + "b", "a", "b", "ab", "abc", "*", "**", "?", "??", "?*", "*???", "????????????*", "a*", "*a", "*b*", "a*c", "?b*", "*ab*c", "a?b", "*aa*bb*", "%", "ab%*", "a_*", "a\\*", "a b", "*a b*", "ab a", "zz*", "STRASSE", "str*e"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id INT, raw STRING")
+    got = {}
+    for r in e.suggest_batch(asked, 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.entry_id, r.matched_term, r.match_type))
+    want = {i: [(r.entry_id, r.matched_term, r.match_type) for r in e.suggest(q, 6).collect()] for i, q in enumerate(texts)}
+    assert got == {i: x for i, x in want.items() if x}

@@ -1,36 +1,52 @@
 """Packs: directories of Parquet tables built by DataFrame ETL.
 
-``entries``, ``terms``, ``sources`` and ``pack`` (one row); the text index is ``postings``, ``lengths`` (tokens of
+``entries``, ``ids`` (the row of an id), ``sources`` and ``pack`` (one row, which also lists the files of the sorted tables with their least and largest
+keys); ``terms``, and copies of it in the order of the loose key and of the reversed term, each with all that ranking needs; the text index is ``postings``, ``lengths`` (tokens of
 an entry), ``frequencies`` (entries with a token) and ``totals`` (one row: entries with tokens, their mean length).
 """
 
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize
-from ..functions.schemas import SCHEMA_VERSION
+from ..functions.schemas import PACK, SCHEMA_VERSION
 from ..functions.text import fts_tokens, has_han, tokenize
 from ..sources import files, readers
 from . import importing
 from .measure import number_within
 
 INDEX = ("postings", "lengths", "frequencies", "totals")
-TABLES = ("entries", "terms", *INDEX, "sources", "pack")
-#: The column by which a table's files are ranges.
-SORTED = {"entries": "entry_rowid", "terms": "term", "postings": "token", "lengths": "entry_rowid", "frequencies": "token"}
+#: The terms, by the column whose order they are in.
+PROJECTIONS = {"term": "terms", "loose_key": "terms_loose", "term_rev": "terms_rev"}
+TABLES = ("entries", "ids", *PROJECTIONS.values(), *INDEX, "sources", "pack")
+#: Tables that packs of an old layout have.
+PLAIN = ("entries", "terms", "sources", "pack")
+#: What terms hold of their entry, so that ranking reads no entries.
+COVER = ("id", "lemma", "language", "pos")
+#: The columns by which a table's files are ranges. Frequent tokens are split by entry.
+SORTED = {"entries": ("entry_rowid",), "ids": ("id",), "postings": ("token", "entry_rowid"), "lengths": ("entry_rowid",), "frequencies": ("token",)}
+SORTED |= {t: (key, "term_type", "entry_rowid") for key, t in PROJECTIONS.items()}
+#: A pack of more files than this does not list them.
+LISTED = 100_000
+#: Tables of a pack that are written at once.
+AT_ONCE = 4
 #: What must hold of a pack before it takes its place.
 INTEGRITY = ("count", "lemmas", "orphans", "indexed", "unique_ids")
 WEIGHTS = (20.0, 10.0, 3.0, 1.0)
 FIELDS = ("headwords", "definitions", "examples", "relations")
+#: The source of merged sentences.
+CREDIT = ("tatoeba", "Sentence corpus", "https://tatoeba.org", readers.SENTENCE_LICENSE, "Written and translated by contributors to Tatoeba; every example keeps the number of its sentence as its source")
 
 
 def search_terms(entries: DataFrame, composed: bool = False) -> DataFrame:
-    """(entry_rowid, term, term_type, loose_key, term_rev): lemma, forms other than it, romanizations."""
+    """(entry_rowid, term, term_type, loose_key, term_rev and COVER): lemma, forms other than it, romanizations."""
     lemma = normalize.trim(F.col("lemma"))
     forms = F.filter("forms", lambda f: normalize.trim(f["form"]) != lemma)
     roman = F.filter("forms", lambda f: F.lower(f["type"]).rlike("romanization|pinyin|transliteration"))
@@ -42,14 +58,14 @@ def search_terms(entries: DataFrame, composed: bool = False) -> DataFrame:
         F.transform(spoken, lambda p: row(p["ipa"], "transcription")),
         F.transform(roman, lambda f: row(f["form"], "transcription")),
     )
-    rows = entries.select("entry_rowid", "language", F.explode(every).alias("x")).select("entry_rowid", "language", "x.*")
+    rows = entries.select("entry_rowid", *COVER, F.explode(every).alias("x")).select("entry_rowid", *COVER, "x.*")
     rows = rows.withColumn("term", normalize.exact_key(F.col("text"), composed)).where("term <> ''")
     rows = rows.withColumn("loose_key", normalize.loose_key(F.col("term"), F.col("language"))).withColumn("term_rev", F.reverse("term"))
-    return rows.select("entry_rowid", "term", "term_type", "loose_key", "term_rev").dropDuplicates(["entry_rowid", "term", "term_type"])
+    return rows.select("entry_rowid", "term", "term_type", "loose_key", "term_rev", *COVER).dropDuplicates(["entry_rowid", "term", "term_type"])
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """(token, entry_rowid, col, positions): the text of an entry's four indexed columns; lines keep phrases apart by a gap only at columns."""
+def _indexed(entries: DataFrame) -> DataFrame:
+    """(entry_rowid, tokens, len): of an entry its four columns with their tokens in order, and how many those are."""
     every_form = F.transform(F.filter("forms", lambda f: f["form"] != F.col("lemma")), lambda f: f["form"])
     texts = {
         "headwords": F.concat(F.array("lemma"), every_form),
@@ -57,24 +73,73 @@ def postings(entries: DataFrame) -> DataFrame:
         "examples": F.flatten(F.transform("senses", lambda s: F.flatten(F.transform(s["examples"], lambda e: F.array_compact(F.array(e["text"], e["translation"])))))),
         "relations": F.flatten(F.transform("senses", lambda s: F.concat(s["synonyms"], s["collocations"]))),
     }
-    cols = F.array(*(F.struct(F.lit(n).alias("col"), F.array_join(c, "\n").alias("text")) for n, c in texts.items()))
-    rows = entries.select("entry_rowid", F.explode(cols).alias("x")).select("entry_rowid", "x.col", F.posexplode(fts_tokens(F.col("x.text"))).alias("pos", "token"))
-    return rows.groupBy("token", "entry_rowid", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    cols = F.array(*(F.struct(F.lit(n).alias("col"), fts_tokens(F.array_join(c, "\n")).alias("ts")) for n, c in texts.items()))
+    size = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.size(x["ts"]), F.lit(0)))
+    return entries.select("entry_rowid", cols.alias("tokens")).withColumn("len", size)
+
+
+def postings(entries: DataFrame) -> DataFrame:
+    """(token, entry_rowid, col, positions, len): the text of an entry's four indexed columns, with the entry's length; lines keep phrases apart by a gap only at columns."""
+    rows = _indexed(entries).select("entry_rowid", "len", F.explode("tokens").alias("x")).select("entry_rowid", "len", "x.col", F.posexplode("x.ts").alias("pos", "token"))
+    return rows.groupBy("token", "entry_rowid", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
+
+
+def lengths(entries: DataFrame) -> DataFrame:
+    """(entry_rowid, len) of entries with tokens."""
+    return _indexed(entries).select("entry_rowid", "len").where("len > 0")
+
 
+def _write(df: DataFrame, folder: str, table: str, counts: Observation | None = None, *what: Column, parts: int | None = None) -> None:
+    """Write a table in its order; ``counts`` observes what is written."""
+    if keys := SORTED.get(table):
+        df = (df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    elif parts:
+        df = df.coalesce(parts)
+    if counts is not None:
+        df = df.observe(counts, *what)
+    writer = df.write.mode("overwrite")
+    if table == "ids":
+        writer = writer.option("parquet.bloom.filter.enabled#id", "true")
+    writer.parquet(f"{folder}/{table}")
 
-def _write(df: DataFrame, folder: str, table: str) -> None:
-    key = SORTED.get(table)
-    (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.mode("overwrite").parquet(f"{folder}/{table}")
+
+def _all(*jobs) -> None:
+    """Run jobs that do not need each other, a few at once."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
 
 
 def tables_of(folder: str) -> list[str]:
-    """The tables that a pack has: one may lack the text index."""
-    return [t for t in TABLES if t not in INDEX or files.is_dir(f"{folder}/{t}")]
+    """The tables that a pack has: one may lack the text index, one of an old layout more."""
+    return [t for t in TABLES if t in PLAIN or files.is_dir(f"{folder}/{t}")]
+
+
+def listing(spark: SparkSession, folder: str) -> list[tuple] | None:
+    """(table, name, low, high) of the files of a pack's sorted tables, keys as strings; None if there are too many."""
+    def of(t: str) -> DataFrame:
+        key = SORTED[t][0]
+        rows = spark.read.parquet(f"{folder}/{t}").groupBy(F.col("_metadata.file_name").alias("name"))
+        return rows.agg(F.min(key).cast("string").alias("low"), F.max(key).cast("string").alias("high")).select(F.lit(t).alias("table"), "name", "low", "high")
+
+    found = reduce(DataFrame.unionByName, [of(t) for t in tables_of(folder) if t in SORTED]).limit(LISTED + 1).collect()
+    return sorted(map(tuple, found)) if len(found) <= LISTED else None
+
+
+def _write_pack_row(spark: SparkSession, folder: str, pack_id: str, name: str | None, version: str | None, schema_version: int, languages: list[str], n: int, manifest: str) -> None:
+    """The one row about a pack, written when its other tables are; a pack of an old layout lists no files."""
+    listed = listing(spark, folder) if files.is_dir(f"{folder}/ids") else None
+    _write(spark.createDataFrame([(pack_id, name, version, schema_version, languages, n, manifest, listed)], PACK).coalesce(1), folder, "pack")
+
+
+def _rewrite_pack_row(spark: SparkSession, old: str, folder: str) -> None:
+    m = spark.read.schema(PACK).parquet(f"{old}/pack").first()
+    _write_pack_row(spark, folder, m.pack_id, m["name"], m.version, m.schema_version, list(m.languages), m.entry_count, m.manifest)
 
 
 def number_rows(entries: DataFrame) -> DataFrame:
-    """entries with ``entry_rowid`` for ``line_no``: 1, 2, ... in that order; line numbers hold the reading partition in their upper bits."""
-    return number_within(entries, [], "line_no", F.shiftright("line_no", 33), "entry_rowid").drop("line_no")
+    """entries with ``entry_rowid`` for ``line_no``: 1, 2, ... in that order."""
+    return number_within(entries, [], "line_no", importing.stretch(entries), "entry_rowid").drop("line_no")
 
 
 @dataclass
@@ -85,12 +150,15 @@ class BuildStats:
     entries: int = 0
     terms: int = 0
     id_collisions: int = 0
+    transcription_terms: int = 0
+    indexed: int = 0
 
 
 def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = False, indexed: bool = True) -> BuildStats:
     """Write the tables of a pack and put them in place of what is there; entries come with id and line_no.
 
     All is written and checked beside its place first: a build that fails leaves an old pack as it was.
+    Each table is computed once and counted as it is written.
     """
     spark = entries.sparkSession
     if manifest["schema_version"] > SCHEMA_VERSION:
@@ -98,33 +166,43 @@ def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = Fa
     part = f"{out}.part"
     files.delete(part)
     try:
-        _write(number_rows(entries), part, "entries")
+        entries.write.mode("overwrite").parquet(f"{part}/_raw")
+        of_entries, of_terms, of_lengths = Observation(), Observation(), Observation()
+        raw = spark.read.schema(entries.schema).parquet(f"{part}/_raw")
+        _write(number_rows(raw), part, "entries", of_entries, F.count(F.lit(1)).alias("n"), F.max("entry_rowid").alias("top"))
         stored = spark.read.parquet(f"{part}/entries")
-        _write(search_terms(stored, composed), part, "terms")
-        if indexed:
-            _write(postings(stored), part, "postings")
-            _write_counts(spark, part)
+        made = search_terms(stored, composed).observe(of_terms, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("term_type") == "transcription", 1)).alias("spoken"))
+        made.write.mode("overwrite").parquet(f"{part}/_terms")
+        terms = spark.read.parquet(f"{part}/_terms")
         sources = spark.createDataFrame([(s["id"], s.get("name"), s.get("url"), s.get("license"), s.get("attribution")) for s in {s["id"]: s for s in manifest["sources"]}.values()], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
-        _write(sources, part, "sources")
-        facts = stored.agg(F.count("*").alias("n"), F.max("entry_rowid").alias("top")).first()
-        n = facts.n
-        if n != (facts.top or 0):  # rows were numbered by counts taken before
-            raise ValueError(f"{n} entries stored of {facts.top} counted")
-        pack = spark.createDataFrame([(manifest["id"], manifest.get("name"), manifest.get("version"), manifest["schema_version"], manifest["languages"], n, json.dumps(manifest))], "pack_id STRING, name STRING, version STRING, schema_version INT, languages ARRAY<STRING>, entry_count LONG, manifest STRING")
-        _write(pack.coalesce(1), part, "pack")
+        jobs = [lambda t=t: _write(terms, part, t) for t in PROJECTIONS.values()]
+        jobs += [lambda: _write(stored.select("id", "entry_rowid"), part, "ids"), lambda: _write(sources, part, "sources")]
+        if indexed:
+            words = postings(stored)
+            jobs = [lambda: _write_postings(spark, words, part), lambda: _write_lengths(spark, stored, part, of_lengths), *jobs]
+        _all(*jobs)
+        for t in ("_raw", "_terms"):
+            files.delete(f"{part}/{t}")
+        n = of_entries.get["n"]
+        if n != (of_entries.get["top"] or 0):  # rows were numbered by counts taken before
+            raise ValueError(f"{n} entries stored of {of_entries.get['top']} counted")
+        _write_pack_row(spark, part, manifest["id"], manifest.get("name"), manifest.get("version"), manifest["schema_version"], manifest["languages"], n, json.dumps(manifest))
         if n:
             check_pack(spark, part, INTEGRITY)
-        terms = spark.read.parquet(f"{part}/terms").count()
         files.replace(part, out)
     finally:
         files.delete(part)
-    return BuildStats(entries=n, terms=terms)
+    return BuildStats(entries=n, terms=of_terms.get["n"], transcription_terms=of_terms.get["spoken"], indexed=of_lengths.get["n"] if indexed else 0)
 
 
-def _write_counts(spark: SparkSession, folder: str) -> None:
+def _write_postings(spark: SparkSession, words: DataFrame, folder: str) -> None:
+    _write(words, folder, "postings")
     post = spark.read.parquet(f"{folder}/postings")
-    _write(post.groupBy("entry_rowid").agg(F.sum(F.size("positions")).alias("len")), folder, "lengths")
     _write(post.groupBy("token").agg(F.count_distinct("entry_rowid").alias("df")), folder, "frequencies")
+
+
+def _write_lengths(spark: SparkSession, stored: DataFrame, folder: str, counts: Observation) -> None:
+    _write(lengths(stored), folder, "lengths", counts, F.count(F.lit(1)).alias("n"))
     _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals")
 
 
@@ -141,10 +219,9 @@ def compact(spark: SparkSession, folder: str, file_mb: int = 128) -> None:
     part = f"{folder}.part"
     files.delete(part)
     for t in tables_of(folder):
-        n = max(1, files.size(f"{folder}/{t}") // (file_mb << 20))
-        df, key = spark.read.parquet(f"{folder}/{t}"), SORTED.get(t)
-        df = df.repartitionByRange(n, key).sortWithinPartitions(key) if key else df.coalesce(n)
-        df.write.mode("overwrite").parquet(f"{part}/{t}")
+        if t != "pack":
+            _write(spark.read.parquet(f"{folder}/{t}"), part, t, parts=max(1, files.size(f"{folder}/{t}") // (file_mb << 20)))
+    _rewrite_pack_row(spark, folder, part)
     files.replace(part, folder)
 
 
@@ -170,17 +247,22 @@ def build_from_entries(spark: SparkSession, manifest_path: str, entries_path: st
 
 
 def build_from_dump(spark: SparkSession, manifest_path: str, dump_path: str, out: str, source_id: str, max_entries: int | None = None) -> BuildStats:
-    """Lenient: bad lines are counted, repeated ids told apart."""
+    """Lenient: bad lines are counted, repeated ids told apart. The dump is read once."""
     manifest = load_manifest(manifest_path)
     if len({x["id"] for x in manifest["sources"]}) < len(manifest["sources"]):
         raise ValueError("repeated source id")
-    records, bad = readers.read_dump(spark, dump_path)
-    made = importing.disambiguate(importing.dump_to_entries(records, source_id), max_entries)
-    collisions = made.agg(F.coalesce(F.sum(F.col("copy") - 1), F.lit(0)).alias("n")).first().n
-    stats = write_pack(importing.strip_default_source(made.drop("copy", "base_id"), source_id), manifest | {"default_source_id": source_id}, out)
-    good = records.count()
-    stats.lines, stats.bad_lines = good + (n := bad.count()), n
-    stats.skipped, stats.id_collisions = good - stats.entries if max_entries is None else 0, int(collisions)
+    lines, made, cut = Observation(), Observation(), f"{out}.read"
+    good, count = F.col("good"), F.count(F.lit(1))
+    read = readers.parse_dump(spark, dump_path).observe(lines, count.alias("n"), F.count(F.when(~good, 1)).alias("bad")).where(good).drop("good", "value")
+    try:
+        entries = importing.dump_to_entries(read, source_id)
+        entries.write.mode("overwrite").parquet(cut)
+        told = importing.disambiguate(spark.read.schema(entries.schema).parquet(cut), max_entries).observe(made, F.coalesce(F.sum(F.col("copy") - 1), F.lit(0)).alias("n"))
+        stats = write_pack(importing.strip_default_source(told.drop("copy", "base_id"), source_id), manifest | {"default_source_id": source_id}, out)
+    finally:
+        files.delete(cut)
+    stats.lines, stats.bad_lines, stats.id_collisions = lines.get["n"], lines.get["bad"], int(made.get["n"])
+    stats.skipped = stats.lines - stats.bad_lines - stats.entries if max_entries is None else 0
     return stats
 
 
@@ -207,15 +289,13 @@ def merge_sentences(spark: SparkSession, pack: str, sentences_path: str, links_p
     made = joined.withColumn("added", added).withColumn("senses", senses)
     part = f"{out}.part"
     files.delete(part)
-    for t in tables_of(pack):
-        if t not in ("entries", "sources"):
-            spark.read.parquet(f"{pack}/{t}").write.mode("overwrite").parquet(f"{part}/{t}")
     made.drop("new").write.mode("overwrite").parquet(f"{part}/entries_added")
     stored = spark.read.parquet(f"{part}/entries_added")
-    _write(stored.drop("added"), part, "entries")
-    credit = spark.createDataFrame([("tatoeba", "Sentence corpus", "https://tatoeba.org", "CC BY 2.0 FR", None)], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
+    credit = spark.createDataFrame([CREDIT], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
     old = spark.read.parquet(f"{pack}/sources").join(credit.select("id"), "id", "left_anti")
-    _write(old.unionByName(credit), part, "sources")
+    kept = [t for t in tables_of(pack) if t not in ("entries", "sources", "pack")]
+    _all(lambda: _write(stored.drop("added"), part, "entries"), lambda: _write(old.unionByName(credit), part, "sources"), *(lambda t=t: _write(spark.read.parquet(f"{pack}/{t}"), part, t) for t in kept))
+    _rewrite_pack_row(spark, pack, part)
     total = int(stored.agg(F.coalesce(F.sum(F.size("added")), F.lit(0))).first()[0])
     files.delete(f"{part}/entries_added")
     files.replace(part, out)
@@ -335,6 +415,31 @@ def bm25(spark: SparkSession, pack: str, tokens: list[str], k1: float = 1.2, b:
     return scored.where(F.col("found") == len(tokens)).select("entry_rowid", "score")
 
 
+def best_phrases(post: DataFrame, facts: DataFrame, tokens: list[str], most: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(entry_rowid, score): the entries in one column of which the tokens stand in a row, at most so many with the highest BM25.
+
+    ``post`` has the rows of the tokens with ``len``, facts a row for each token (token, df, n, mean). One shuffle brings an entry's rows together.
+    """
+    known = {r.token: r for r in facts.collect()}  # a row a token
+    if not set(tokens) <= set(known):
+        return post.select("entry_rowid", F.lit(0.0).alias("score")).limit(0)
+    one = post.groupBy("entry_rowid").agg(F.collect_list(F.struct("token", "col", "positions")).alias("ps"), F.first("len").alias("len"))  # a row for each token and column at most
+    of = lambda t, c: F.flatten(F.transform(F.filter("ps", lambda p: (p["token"] == t) & (p["col"] == c)), lambda p: p["positions"]))
+
+    def starts(i: int, c: str) -> Column:
+        return F.transform(of(tokens[i], c), lambda p: p - i)
+
+    def in_a_row(c: str) -> Column:
+        return F.size(reduce(F.array_intersect, (starts(i, c) for i in range(len(tokens))))) > 0
+
+    gains = []
+    for t in sorted(set(tokens)):
+        tf = reduce(Column.__add__, (F.lit(w) * F.size(of(t, f)) for f, w in zip(FIELDS, WEIGHTS)))
+        gains.append(bm25_gain(tf, F.lit(known[t].df), F.col("len"), F.lit(known[t].n), F.lit(known[t]["mean"]), k1, b))
+    hits = one.where(reduce(Column.__or__, map(in_a_row, FIELDS))).select("entry_rowid", reduce(Column.__add__, gains).alias("score"))
+    return hits.orderBy(F.desc("score"), "entry_rowid").limit(most)
+
+
 def phrase(post: DataFrame, tokens: list[str]) -> DataFrame:
     """Entries in one column of which the tokens stand in a row."""
     def starts(i: int) -> Column:

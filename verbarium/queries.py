@@ -162,7 +162,7 @@ def loose_lookup(spark, sf):
 @query(_PARTS + " SELECT id, term, term_type, loose_key, term_rev FROM terms JOIN entries USING (entry_rowid)")
 def search_terms_build(spark, sf):
     entries = samples.of(spark, sf).read("parts", "entries")
-    return packs.search_terms(entries).join(entries.select("entry_rowid", "id"), "entry_rowid").select("id", "term", "term_type", "loose_key", "term_rev")
+    return packs.search_terms(entries).select("id", "term", "term_type", "loose_key", "term_rev")
 
 
 _TWO = _lex_pack(("en",)) + ", part_entries AS (" + _PARTS.replace("WITH entries", "WITH pe").replace("FROM entries", "FROM pe") + " SELECT 1 AS pack_idx, language, lemma, pos, id, entry_rowid FROM pe), part_terms AS (" + _PARTS.replace("WITH entries", "WITH pe").replace("FROM entries", "FROM pe") + " SELECT 1 AS pack_idx, entry_rowid, term, term_type, loose_key, term_rev FROM terms)"
@@ -348,7 +348,8 @@ def entry_view(spark, sf):
 
 @query(_ORDERS + """, counted AS (SELECT base_id, count(*) AS n FROM kept GROUP BY base_id)
 SELECT (SELECT count(*) FROM orders) AS lines, (SELECT count(*) FROM orders WHERE o_orderkey % 97 IN (5, 6)) AS bad_lines, (SELECT count(*) FROM o) - (SELECT count(*) FROM kept) AS skipped,
-  (SELECT count(*) FROM kept) AS entries, (SELECT 3 * count(*) + sum((k % 5 = 0)::INT) FROM kept)::BIGINT AS terms, (SELECT sum(n * (n - 1) // 2) FROM counted)::BIGINT AS id_collisions""")
+  (SELECT count(*) FROM kept) AS entries, (SELECT 3 * count(*) + sum((k % 5 = 0)::INT) FROM kept)::BIGINT AS terms, (SELECT sum(n * (n - 1) // 2) FROM counted)::BIGINT AS id_collisions,
+  (SELECT sum((k % 5 = 0)::INT) FROM kept)::BIGINT AS transcription_terms, (SELECT count(*) FROM kept) AS indexed""")
 def build_stats(spark, sf):
     stats = asdict(samples.of(spark, sf).stats("orders"))
     return spark.createDataFrame([tuple(stats.values())], ", ".join(f"{k} LONG" for k in stats))
@@ -375,6 +376,24 @@ def id_disambiguation(spark, sf):
     return importing.disambiguate(_based(spark, sf)).select(F.col("line_no").alias("doc_id"), "id")
 
 
+@query("""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 400 = 7 THEN lang || '~' || (2 + doc_id % 9) ELSE lang END AS base FROM documents),
+own AS (SELECT base, min(doc_id) AS first FROM b WHERE base LIKE '%~%' GROUP BY base),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS rn FROM b),
+-- In a lang's own order the names that stand in the input are told apart one by one, smallest first.
+r AS (SELECT split_part(base, '~', 1) AS lang, split_part(base, '~', 2)::BIGINT AS k, base, first, row_number() OVER (PARTITION BY split_part(base, '~', 1) ORDER BY split_part(base, '~', 2)::BIGINT) AS i FROM own),
+w AS (WITH RECURSIVE w(lang, i, held) AS (SELECT DISTINCT lang, 0::BIGINT, CAST([] AS BIGINT[]) FROM r
+  UNION ALL SELECT w.lang, r.i, CASE WHEN coalesce((SELECT doc_id FROM n WHERE n.base = w.lang AND n.rn = r.k - len(w.held)) < r.first, false) THEN w.held ELSE list_append(w.held, r.k) END FROM w JOIN r ON r.lang = w.lang AND r.i = w.i + 1)
+  SELECT lang, arg_max(held, i) AS held FROM w GROUP BY lang),
+t AS (SELECT doc_id, n.base, list_reduce(list_prepend(rn + CASE WHEN r.base IS NOT NULL AND NOT list_contains(x.held, r.k) THEN 1 ELSE 0 END, coalesce(w.held, [])), lambda a, k: CASE WHEN k <= a THEN a + 1 ELSE a END) AS copy
+  FROM n LEFT JOIN w ON n.base = w.lang LEFT JOIN r ON n.base = r.base LEFT JOIN w x ON x.lang = r.lang)
+SELECT doc_id, CASE WHEN copy > 1 THEN base || '~' || copy ELSE base END AS id, copy FROM t""")
+def id_collisions(spark, sf):
+    """Records that bring the name that another one's copy would have."""
+    own = F.concat("lang", F.lit("~"), (F.lit(2) + F.col("doc_id") % 9).cast("string"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 400 == 7, own).otherwise(F.col("lang")).alias("base_id"))
+    return importing.disambiguate(rows).select(F.col("line_no").alias("doc_id"), "id", "copy")
+
+
 @query("SELECT doc_id, CASE WHEN rn > 1 THEN b || '~' || rn ELSE b END AS id FROM (SELECT doc_id, lang || ':' || source AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 150))")
 def entry_limit(spark, sf):
     return importing.disambiguate(_based(spark, sf), 150).select(F.col("line_no").alias("doc_id"), "id")
@@ -429,6 +448,18 @@ def sentence_merge(spark, sf):
     return entries.select("id", F.explode(F.get("senses", F.lit(0))["examples"]).alias("e")).select("id", "e.text", "e.translation", "e.source_id")
 
 
+@query(_lex_pack(("fr",)) + f""", {_SAID}, w AS (SELECT DISTINCT id AS sid, unnest({_TOKENS.format('text')}) AS term FROM spoken WHERE lang = 'fra'),
+hit AS (SELECT DISTINCT entry_rowid, sid FROM w JOIN terms USING (term) WHERE term_type IN ('lemma', 'form')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_rowid ORDER BY sid) AS rn FROM hit) WHERE rn <= 3)
+SELECT 'tables' AS id, 'CC0' AS license, false AS credited, 0::BIGINT AS examples UNION ALL SELECT 'tatoeba', 'CC BY 2.0 FR', true, count(*) FROM best""")
+def sentence_credit(spark, sf):
+    merged = samples.of(spark, sf).merged()
+    sources = spark.read.parquet(f"{merged}/sources")
+    said = spark.read.parquet(f"{merged}/entries").select(F.explode(F.get("senses", F.lit(0))["examples"]).alias("e"))
+    counts = said.select(F.split("e.source_id", ":")[0].alias("id")).groupBy("id").agg(F.count("*").alias("examples"))
+    return sources.join(counts, "id", "left").select("id", "license", (F.coalesce("attribution", F.lit("")) != "").alias("credited"), F.coalesce("examples", F.lit(0)).cast("long").alias("examples"))
+
+
 _TOLD = "c AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, text, CASE WHEN role = 'user' THEN 'fra' ELSE 'eng' END AS lang, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)"
 
 

@@ -200,11 +200,11 @@ class Samples:
     def old_layout(self) -> str:
         """The parts as an old pack: no text index, terms name entries by id."""
         def make(path: str) -> None:
-            for t in packs.tables_of(self.pack("parts-plain")):
+            for t in packs.PLAIN:
                 df = self.read("parts-plain", t)
                 if t == "terms":
-                    df = df.join(self.read("parts-plain", "entries").select("entry_rowid", F.col("id").alias("entry_id")), "entry_rowid").drop("entry_rowid")
-                df.write.mode("overwrite").parquet(f"{path}/{t}")
+                    df = df.select(F.col("id").alias("entry_id"), "term", "term_type", "loose_key", "term_rev")
+                df.drop("files").write.mode("overwrite").parquet(f"{path}/{t}")
 
         return self._once("old_layout", make)
 
