@@ -15,9 +15,9 @@ FILE_ROWS = 1_000_000
 SUMS = "SHA256SUMS"
 
 
-def sums(spark: SparkSession, folder: str) -> DataFrame:
-    """(digest, name, bytes) of the Parquet files under a folder, named from there."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+def sums(spark: SparkSession, folder: str, kind: str = "*.parquet") -> DataFrame:
+    """(digest, name, bytes) of the files of a kind under a folder, named from there; each is read by a task."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", kind).load(folder)
     # One folder above its tables: names are table/file, or pack/table/file where the folder holds packs.
     root = found.select(F.regexp_replace("path", r"^\w+:/*", "/").alias("name"), "content", "length")
     base = files.canonical(folder).split(":", 1)[-1].lstrip("/")

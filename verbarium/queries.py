@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import samples
 from .functions import normalize, text
 from .operators import importing, measure, packaging, packs, search
+from .operators.packs import number_rows
 from .operators.search import SearchEngine, Settings
 from .plans import lookup
 from .samples import LANGUAGES, LETTERS, lexicon, table
@@ -554,22 +555,54 @@ def compaction(spark, sf):
     return of("entries").unionByName(of("terms"))
 
 
-@query("SELECT 'edition-de' AS id, 'Edition: Deutsch' AS name, 2 AS schema_version, 'de' AS languages, 'CC0' AS license, 'edition' AS source_id, 'Deutsch (Edition)' AS source, 'https://example.org' AS url")
+@query("SELECT 'edition-' || lang AS id, 'Edition: ' || upper(lang) AS name, 2 AS schema_version, lang AS languages, 'CC0' AS license, 'edition' AS source_id, upper(lang) || ' (Edition)' AS source, 'https://example.org/' || count(*) AS url FROM documents GROUP BY lang")
 def manifest_roundtrip(spark, sf):
-    s = samples.of(spark, sf)
-    path = s.scratch.path("made.json")
-    files.write_text(path, json.dumps(packaging.make_manifest("de", "Deutsch", "Edition", "https://example.org", s.manifest("any", ["de"]), "CC0", "edition")))
-    packs.load_manifest(path)
-    found = readers.read_manifest(spark, path)
+    """A manifest for each language of the documents, written and read again."""
+    s, found = samples.of(spark, sf), None
+    folder = s.scratch.path("manifests")
+    for r in table(spark, sf, "documents").groupBy("lang").count().collect():  # a row a language
+        path = f"{folder}-{r.lang}.json"
+        files.write_text(path, json.dumps(packaging.make_manifest(r.lang, r.lang.upper(), "Edition", f"https://example.org/{r['count']}", s.manifest("any", [r.lang]), "CC0", "edition")))
+        packs.load_manifest(path)
+        one = readers.read_manifest(spark, path)
+        found = one if found is None else found.unionByName(one)
     return found.select("id", "name", "schema_version", F.array_join("languages", ",").alias("languages"), "license", F.col("sources")[0]["id"].alias("source_id"), F.col("sources")[0]["name"].alias("source"), F.col("sources")[0]["url"].alias("url"))
 
 
-@query("SELECT sha256(string_agg(text, chr(10) ORDER BY item_id)) AS digest FROM benchmark")
+@query("SELECT doc_id // 250 AS part, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS digest, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY part")
 def checksum(spark, sf):
-    path = samples.of(spark, sf).scratch.path("benchmark.txt")
-    rows = table(spark, sf, "benchmark").orderBy("item_id").toLocalIterator()
-    files.write_text(path, "\n".join(r.text for r in rows))
-    return spark.createDataFrame([(files.sha256(path),)], "digest STRING")
+    """Files of 250 documents each, and their digests taken by tasks."""
+    path = samples.of(spark, sf).scratch.path("texts")
+    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 250).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.mode("overwrite").partitionBy("part").text(path)
+    return packaging.sums(spark, path, "*.txt").select(F.regexp_extract("name", r"part=(\d+)", 1).cast("long").alias("part"), "digest", "bytes")
+
+
+_ENTRY_LINES = "SELECT 'part:' || p_partkey AS id, 'en' AS language, p_name AS lemma, p_partkey % 7 = 0 AS bare FROM part"
+
+
+@query(f"SELECT 'good' AS file, id, language, lemma, row_number() OVER (ORDER BY id) AS place FROM ({_ENTRY_LINES}) UNION ALL SELECT kind, NULL, NULL, NULL, 0 FROM (VALUES ('broken: aborted'), ('lacking: aborted')) t(kind)")
+def strict_entries(spark, sf):
+    """Authored entries of all parts, in files of any size; a line that does not parse, or one that lacks a field, aborts the read."""
+    s = samples.of(spark, sf)
+    lines = table(spark, sf, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.lit("en").alias("language"), F.col("p_name").alias("lemma"), (F.col("p_partkey") % 7 == 0).alias("bare"))
+    said = F.when(F.col("bare"), F.to_json(F.struct("id", "language", "lemma"))).otherwise(F.to_json(F.struct("id", "language", "lemma", F.array().cast("array<string>").alias("senses"))))
+    found = None
+    for kind, last in (("good", "' '"), ("broken", "'{'"), ("lacking", "'{\"id\": \"x\", \"language\": \"en\"}'")):
+        path = s.scratch.path(f"authored-{kind}")
+        lines.repartitionByRange(5, "id").sortWithinPartitions("id").select(said.alias("value")).write.mode("overwrite").text(path)
+        spark.range(1).select(F.expr(last).alias("value")).write.mode("append").text(path)
+        read = readers.read_entries(spark, path)
+        if kind == "good":
+            found = number_rows(importing.with_defaults(read)).select(F.lit("good").alias("file"), "id", "language", "lemma", F.col("entry_rowid").alias("place"))
+            continue
+        try:
+            read.write.format("noop").mode("overwrite").save()
+            end = "read"
+        except Exception as e:  # noqa: BLE001  what aborts is the point
+            end = "aborted" if "MALFORMED_RECORD" in str(e) or "lacks a required field" in str(e) else "failed otherwise"
+        found = found.unionByName(spark.range(1).select(F.lit(f"{kind}: {end}").alias("file"), *(F.lit(None).cast("string").alias(c) for c in ("id", "language", "lemma")), F.lit(0).cast("long").alias("place")))
+    return found
 
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value), 6) AS mean, max(CASE WHEN rn = CAST(floor((n - 1) * 0.5 + 0.5) AS BIGINT) + 1 THEN value END) AS p50, max(CASE WHEN rn = CAST(floor((n - 1) * 0.95 + 0.5) AS BIGINT) + 1 THEN value END) AS p95 FROM r GROUP BY event_type")
