@@ -296,3 +296,22 @@ def test_op10_names_that_clash_in_a_join(spark, monkeypatch):
 
     monkeypatch.setattr(join, "members", members)
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in join.components().collect()) == brute_links(rows, 80)
+
+
+def test_op3_columns_with_clashing_names(spark, tmp_path):
+    import base64
+
+    rows = [(i, f"http://h/{i}", None if i % 11 == 0 else "" if i % 13 == 0 else f"<p>page {i % 20} é</p>" * (1 + i % 3)) for i in range(1, 120)]
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")
+    clash = [F.lit("mine").alias(c) for c in ("payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest", "id", "k", "n", "first", "offset", "path", "uri", "date", "part", "h")]
+    pages.select("*", *clash).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    first = {}
+    for i, _, t in sorted(rows):
+        first.setdefault(t or "", i)
+    want = Counter()
+    for i, _, t in rows:
+        data = (t or "").encode()
+        sha = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        want[i, len(data), sha, "response" if first[t or ""] == i else "revisit", None if first[t or ""] == i else first[t or ""]] += 1
+    got = queries.queries()["op3_warc"](spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert rows_of(got) == want
