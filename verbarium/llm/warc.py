@@ -79,7 +79,7 @@ class _Window:
     """Bytes of a file from a place on, read in steps and let go once passed."""
 
     def __init__(self, file, at: int, step: int):
-        self.file, self.step, self.base, self.data, self.done = file, step, at, b"", False
+        self.file, self.step, self.base, self.data, self.done = file, step, at, bytearray(), False
         file.seek(at)
 
     def more(self) -> bool:
@@ -90,7 +90,8 @@ class _Window:
 
     def forget(self, at: int) -> None:
         if at - self.base > self.step:
-            self.data, self.base = self.data[at - self.base :], at
+            del self.data[: at - self.base]
+            self.base = at
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
