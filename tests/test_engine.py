@@ -475,3 +475,36 @@ def test_batch_of_many_shapes_agrees_with_single(spark, engine):
         got.setdefault(r.query_id, []).append((r.entry_id, r.matched_term, r.match_type))
     want = {i: [(r.entry_id, r.matched_term, r.match_type) for r in e.suggest(q, 6).collect()] for i, q in enumerate(texts)}
     assert got == {i: x for i, x in want.items() if x}
+
+
+def test_a_replacement_that_breaks_off_leaves_the_old_pack(spark, build, monkeypatch):
+    out = build("a", [made("l", "en", "light")])
+    move, moved = files._move, []
+
+    def lost(store, at, to):
+        if at.endswith(files.NEW):
+            raise RuntimeError("lost")  # after the old pack was set aside
+        move(store, at, to)
+
+    monkeypatch.setattr(files, "_move", lost)
+    with pytest.raises(RuntimeError):
+        build("a", [made("n", "en", "night")])
+    monkeypatch.undo()
+    assert not files.is_dir(out) and files.is_dir(out + files.OLD)
+    e = SearchEngine(spark)
+    assert e.load_directory(out.rsplit("/", 1)[0]) == 1 and ids(e.suggest("light")) == ["l"] and not files.is_dir(out + files.OLD)
+    assert build("a", [made("n", "en", "night")]) == out and ids(e.suggest("night")) == ["n"] and ids(e.suggest("light")) == [] and not moved
+
+
+def test_a_store_that_cannot_move_folders(spark, build, monkeypatch):
+    out = build("a", [made("l", "en", "light")])
+    e = SearchEngine(spark)
+    e.add_pack(out)
+
+    def refuse(store, at, to):
+        raise OSError("no folders here")
+
+    monkeypatch.setattr(files, "_move", refuse)
+    build("a", [made("n", "en", "night"), made("o", "en", "night owl")])
+    assert ids(e.suggest("night")) == ["n", "o"] and ids(e.suggest("light")) == [] and e.entry_total() == 2
+    assert spark.read.parquet(f"{out}/entries").count() == 2 and spark.read.parquet(f"{out}/pack").count() == 1 and not files.is_dir(f"{out}{files.NEW}")

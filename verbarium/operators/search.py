@@ -102,6 +102,7 @@ class SearchEngine:
         self._sort()
 
     def _open(self, path: str) -> Pack:
+        files.settle(path)
         meta = self.spark.read.schema(PACK).parquet(f"{path}/pack").first()
         if meta.schema_version > SCHEMA_VERSION:
             raise ValueError(f"{meta.pack_id}: format {meta.schema_version} is newer than this engine reads ({SCHEMA_VERSION})")
@@ -129,7 +130,9 @@ class SearchEngine:
             self.load_errors.append((folder, "pack directory not found"))
             return 0
         before = len(self.packs)
-        for path in (f"{folder}/{name}" for name in files.folders(folder)):
+        names = dict.fromkeys(n.removesuffix(files.OLD) for n in files.folders(folder) if not n.endswith(files.NEW))
+        for path in (f"{folder}/{name}" for name in names):
+            files.settle(path)
             if not files.is_dir(f"{path}/pack"):
                 continue
             try:
@@ -229,6 +232,7 @@ class SearchEngine:
 
     def loose_patterns(self, q: str) -> list[str]:
         langs = list(dict.fromkeys(x for p in self.packs if p.enabled for x in p.languages)) or ["generic"]
+        langs = ["es"] if q.isascii() else langs  # without marks all languages fold alike
         row = self._told(*(normalize.loose_key(F.lit(q), x).alias(f"l{i}") for i, x in enumerate(langs)))
         return list(dict.fromkeys(x for x in row if x))
 

@@ -48,11 +48,54 @@ def delete(path: str) -> None:
         store.delete_dir(at)
 
 
-def replace(path: str, to: str) -> None:
-    """A folder takes the place of another."""
-    delete(to)
+#: Beside a folder: what takes its place, and what it takes the place of.
+NEW, OLD = ".part", ".old"
+
+
+def _move(store: fs.FileSystem, at: str, to: str) -> None:
+    store.move(at, to)
+
+
+def replace(path: str, to: str, last: str = "pack") -> None:
+    """A folder takes the place of another, which stays beside it until that is done: what breaks off between is mended by settle().
+
+    On a store that cannot move folders files are copied one by one next to those that are there, whose names differ, the table ``last`` at the end;
+    what was there goes when all is in place.
+    """
     store, at = _open(path)
-    store.move(at, _open(to)[1])
+    there = _open(to)[1]
+    try:
+        delete(to + OLD)
+        if is_dir(to):
+            _move(store, there, there + OLD)
+        _move(store, at, there)
+    except OSError:
+        settle(to)
+        _copy_in(store, at, there, last)
+        delete(path)
+    delete(to + OLD)
+
+
+def settle(path: str) -> None:
+    """Where a replacement broke off between its steps: the old folder is put back."""
+    if not is_dir(path) and is_dir(path + OLD):
+        store, at = _open(path)
+        _move(store, at + OLD, at)
+
+
+def _copy_in(store: fs.FileSystem, at: str, to: str, last: str) -> None:
+    def below(folder: str) -> list[str]:
+        return [f.path[len(folder) + 1 :] for f in store.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True)) if f.type == fs.FileType.File]
+
+    order = lambda names: sorted(names, key=lambda n: n.startswith(f"{last}/"))
+    new, old = below(at), set(below(to))
+    for name in order(new):
+        store.create_dir(f"{to}/{name}".rsplit("/", 1)[0], recursive=True)
+        store.copy_file(f"{at}/{name}", f"{to}/{name}")
+    for name in reversed(order(old - set(new))):
+        store.delete_file(f"{to}/{name}")
+    for folder in {n.split("/")[0] for n in old} - {n.split("/")[0] for n in new}:
+        store.delete_dir(f"{to}/{folder}")
 
 
 def stamp(path: str) -> tuple:
