@@ -508,3 +508,27 @@ def test_a_store_that_cannot_move_folders(spark, build, monkeypatch):
     build("a", [made("n", "en", "night"), made("o", "en", "night owl")])
     assert ids(e.suggest("night")) == ["n", "o"] and ids(e.suggest("light")) == [] and e.entry_total() == 2
     assert spark.read.parquet(f"{out}/entries").count() == 2 and spark.read.parquet(f"{out}/pack").count() == 1 and not files.is_dir(f"{out}{files.NEW}")
+
+
+def test_ranked_search_by_blocks(spark, build, monkeypatch):
+    """The best by blocks are the best of all; blocks that cannot reach them are not scored."""
+    monkeypatch.setattr(packs, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(packs, "FIRST_BLOCKS", 2)
+    rng = random.Random(6)
+    text_ = lambda i: " ".join(["the"] * rng.randrange(1, 4) + ["of the"] * (rng.random() < (0.9 if i < 40 else 0.1)) + ["x"] * rng.randrange(0, 60) + [rng.choice(["rare", "y"])])
+    out = build("a", [made(f"i{i:03d}", "en", f"w{i}", definition=text_(i)) for i in range(400)])
+    read = {t: spark.read.parquet(f"{out}/{t}") for t in (*packs.INDEX, "blocks")}
+    counts = {r.token: r.df for r in read["frequencies"].collect()}
+    assert counts == {r.token: r.n for r in read["postings"].groupBy("token").agg(F.count_distinct("entry_rowid").alias("n")).collect()}
+    scored, real = [], packs._within
+    monkeypatch.setattr(packs, "_within", lambda post, blocks: scored.extend(blocks) or real(post, blocks))
+    for tokens in (["the"], ["rare", "the"], ["of", "the"], ["none", "the"], ["w7"]):
+        every = packs.bm25(spark, out, tokens).orderBy(F.desc("score"), "entry_rowid").limit(10).collect()
+        got = packs.bm25_top(spark, out, tokens, 10).collect()
+        assert [r.entry_rowid for r in got] == [r.entry_rowid for r in every] and all(abs(a.score - b.score) < 1e-9 for a, b in zip(got, every)), tokens
+    assert 0 < len(scored) < 5 * 25
+    e = SearchEngine(spark)
+    e.add_pack(out)
+    by_blocks = [tuple(r) for r in e.suggest("of the", 5).collect()]
+    monkeypatch.setattr(packs, "FIRST_BLOCKS", 10_000)
+    assert by_blocks and by_blocks == [tuple(r) for r in e.suggest("of the", 5).collect()]

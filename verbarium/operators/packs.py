@@ -2,7 +2,8 @@
 
 ``entries``, ``ids`` (the row of an id), ``sources`` and ``pack`` (one row, which also lists the files of the sorted tables with their least and largest
 keys); ``terms``, and copies of it in the order of the loose key and of the reversed term, each with all that ranking needs; the text index is ``postings``, ``lengths`` (tokens of
-an entry), ``frequencies`` (entries with a token) and ``totals`` (one row: entries with tokens, their mean length).
+an entry), ``frequencies`` (entries with a token), ``totals`` (one row: entries with tokens, their mean length) and ``blocks`` (of each BLOCK_ROWS entries
+in a row those that have a token, and the largest share that one of them has of what the token can add to a score).
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from .measure import number_within
 INDEX = ("postings", "lengths", "frequencies", "totals")
 #: The terms, by the column whose order they are in.
 PROJECTIONS = {"term": "terms", "loose_key": "terms_loose", "term_rev": "terms_rev"}
-TABLES = ("entries", "ids", *PROJECTIONS.values(), *INDEX, "sources", "pack")
+TABLES = ("entries", "ids", *PROJECTIONS.values(), *INDEX, "blocks", "sources", "pack")
 #: Tables that packs of an old layout have.
 PLAIN = ("entries", "terms", "sources", "pack")
 #: What terms hold of their entry, so that ranking reads no entries.
 COVER = ("id", "lemma", "language", "pos")
 #: The columns by which a table's files are ranges. Frequent tokens are split by entry.
-SORTED = {"entries": ("entry_rowid",), "ids": ("id",), "postings": ("token", "entry_rowid"), "lengths": ("entry_rowid",), "frequencies": ("token",)}
+SORTED = {"entries": ("entry_rowid",), "ids": ("id",), "postings": ("token", "entry_rowid"), "lengths": ("entry_rowid",), "frequencies": ("token",), "blocks": ("token", "block")}
 SORTED |= {t: (key, "term_type", "entry_rowid") for key, t in PROJECTIONS.items()}
+#: Entries of a block of the text index; blocks that a ranked search scores first; ranges of entries that a scan is given.
+BLOCK_ROWS, FIRST_BLOCKS, RANGES = 512, 8, 64
 #: A pack of more files than this does not list them.
 LISTED = 100_000
 #: Tables of a pack that are written at once.
@@ -180,7 +183,7 @@ def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = Fa
         jobs += [lambda: _write(stored.select("id", "entry_rowid"), part, "ids"), lambda: _write(sources, part, "sources")]
         if indexed:
             words = postings(stored)
-            jobs = [lambda: _write_postings(spark, words, part), lambda: _write_lengths(spark, stored, part, of_lengths), *jobs]
+            jobs = [lambda: _write_index(spark, stored, words, part, of_lengths), *jobs]
         _all(*jobs)
         for t in ("_raw", "_terms"):
             files.delete(f"{part}/{t}")
@@ -196,15 +199,15 @@ def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = Fa
     return BuildStats(entries=n, terms=of_terms.get["n"], transcription_terms=of_terms.get["spoken"], indexed=of_lengths.get["n"] if indexed else 0)
 
 
-def _write_postings(spark: SparkSession, words: DataFrame, folder: str) -> None:
-    _write(words, folder, "postings")
-    post = spark.read.parquet(f"{folder}/postings")
-    _write(post.groupBy("token").agg(F.count_distinct("entry_rowid").alias("df")), folder, "frequencies")
-
-
-def _write_lengths(spark: SparkSession, stored: DataFrame, folder: str, counts: Observation) -> None:
+def _write_index(spark: SparkSession, stored: DataFrame, words: DataFrame, folder: str, counts: Observation) -> None:
     _write(lengths(stored), folder, "lengths", counts, F.count(F.lit(1)).alias("n"))
     _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals")
+    _write(words, folder, "postings")
+    mean = spark.read.parquet(f"{folder}/totals").first()["mean"] or 1.0
+    one = spark.read.parquet(f"{folder}/postings").groupBy("token", "entry_rowid").agg(_weighted(F.col("positions")).alias("tf"), F.first("len").alias("len"))
+    block = F.floor(F.col("entry_rowid") / BLOCK_ROWS).alias("block")
+    _write(one.groupBy("token", block).agg(F.count("*").alias("n"), F.max(bm25_share(F.col("tf"), F.col("len"), F.lit(mean))).alias("top")), folder, "blocks")
+    _write(spark.read.parquet(f"{folder}/blocks").groupBy("token").agg(F.sum("n").alias("df")), folder, "frequencies")
 
 
 def check_pack(spark: SparkSession, folder: str, checks: tuple[str, ...] | None = None) -> None:
@@ -398,15 +401,27 @@ def term_counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term_type").agg(F.count("*").alias("n"))
 
 
+def bm25_idf(df: Column, n: Column) -> Column:
+    return F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+
+
+def bm25_share(tf: Column, length: Column, mean: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
 def bm25_gain(tf: Column, df: Column, length: Column, n: Column, mean: Column, k1: float = 1.2, b: float = 0.75) -> Column:
-    idf = F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+    return bm25_idf(df, n) * bm25_share(tf, length, mean, k1, b)
+
+
+def _weighted(positions: Column) -> Column:
+    """The sum over an entry's columns of a token's occurrences, by the column's weight."""
+    w = F.element_at(F.create_map(*(x for f, v in zip(FIELDS, WEIGHTS) for x in (F.lit(f), F.lit(v)))), F.col("col"))
+    return F.sum(w * F.size(positions))
 
 
 def weighted_tf(post: DataFrame, *keys: str) -> DataFrame:
     """(keys, token, entry_rowid, tf): how often an entry has a token, columns weighted."""
-    w = F.element_at(F.create_map(*(x for f, v in zip(FIELDS, WEIGHTS) for x in (F.lit(f), F.lit(v)))), F.col("col"))
-    return post.groupBy(*keys, "token", "entry_rowid").agg(F.sum(w * F.size("positions")).alias("tf"))
+    return post.groupBy(*keys, "token", "entry_rowid").agg(_weighted(F.col("positions")).alias("tf"))
 
 
 def bm25(spark: SparkSession, pack: str, tokens: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -426,29 +441,70 @@ def bm25(spark: SparkSession, pack: str, tokens: list[str], k1: float = 1.2, b:
     return scored.where(F.col("found") == len(tokens)).select("entry_rowid", "score")
 
 
-def best_phrases(post: DataFrame, facts: DataFrame, tokens: list[str], most: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(entry_rowid, score): the entries in one column of which the tokens stand in a row, at most so many with the highest BM25.
-
-    ``post`` has the rows of the tokens with ``len``, facts a row for each token (token, df, n, mean). One shuffle brings an entry's rows together.
-    """
-    known = {r.token: r for r in facts.collect()}  # a row a token
-    if not set(tokens) <= set(known):
-        return post.select("entry_rowid", F.lit(0.0).alias("score")).limit(0)
+def _scored(post: DataFrame, known: dict, tokens: list[str], in_a_row: bool) -> DataFrame:
+    """(entry_rowid, score): BM25 of the entries that have every token, or in one column of which the tokens stand in a row. One shuffle brings an entry's rows together."""
     one = post.groupBy("entry_rowid").agg(F.collect_list(F.struct("token", "col", "positions")).alias("ps"), F.first("len").alias("len"))  # a row for each token and column at most
     of = lambda t, c: F.flatten(F.transform(F.filter("ps", lambda p: (p["token"] == t) & (p["col"] == c)), lambda p: p["positions"]))
 
     def starts(i: int, c: str) -> Column:
         return F.transform(of(tokens[i], c), lambda p: p - i)
 
-    def in_a_row(c: str) -> Column:
+    def together(c: str) -> Column:
         return F.size(reduce(F.array_intersect, (starts(i, c) for i in range(len(tokens))))) > 0
 
-    gains = []
-    for t in sorted(set(tokens)):
-        tf = reduce(Column.__add__, (F.lit(w) * F.size(of(t, f)) for f, w in zip(FIELDS, WEIGHTS)))
-        gains.append(bm25_gain(tf, F.lit(known[t].df), F.col("len"), F.lit(known[t].n), F.lit(known[t]["mean"]), k1, b))
-    hits = one.where(reduce(Column.__or__, map(in_a_row, FIELDS))).select("entry_rowid", reduce(Column.__add__, gains).alias("score"))
-    return hits.orderBy(F.desc("score"), "entry_rowid").limit(most)
+    def tf(t: str) -> Column:
+        return reduce(Column.__add__, (F.lit(w) * F.size(of(t, f)) for f, w in zip(FIELDS, WEIGHTS)))
+
+    distinct = sorted(set(tokens))
+    wanted = reduce(Column.__or__, map(together, FIELDS)) if in_a_row else F.size(F.array_distinct(F.transform("ps", lambda p: p["token"]))) == len(distinct)
+    gains = (bm25_gain(tf(t), F.lit(known[t].df), F.col("len"), F.lit(known[t].n), F.lit(known[t]["mean"])) for t in distinct)
+    return one.where(wanted).select("entry_rowid", reduce(Column.__add__, gains).alias("score"))
+
+
+def best_scores(post: DataFrame, facts: DataFrame, blocks: DataFrame | None, tokens: list[str], most: int, in_a_row: bool = False) -> DataFrame:
+    """(entry_rowid, score): at most so many entries with the highest BM25, of those that have every token, or the tokens in a row.
+
+    ``post`` has the rows of the tokens with ``len``, facts a row for each token (token, df, n, mean). With ``blocks``, a block's entries can score
+    no more than the sum of its largest shares: the FIRST_BLOCKS blocks of the highest sums are scored, and of the others those whose sums reach the last score
+    that these leave among the best.
+    """
+    known = {r.token: r for r in facts.collect()}  # a row a token
+    best = lambda df: df.orderBy(F.desc("score"), "entry_rowid").limit(most)
+    if not set(tokens) <= set(known):
+        return post.select("entry_rowid", F.lit(0.0).alias("score")).limit(0)
+    if blocks is None:
+        return best(_scored(post, known, tokens, in_a_row))
+    gain = reduce(lambda c, t: c.when(F.col("token") == t, bm25_idf(F.lit(known[t].df), F.lit(known[t].n)) * F.col("top")), sorted(set(tokens)), F)
+    sums = blocks.where(F.col("token").isin(*set(tokens))).groupBy("block").agg(F.sum(gain).alias("most"), F.count("*").alias("found")).where(F.col("found") == len(set(tokens)))
+    first = [r.block for r in sums.orderBy(F.desc("most"), "block").limit(FIRST_BLOCKS).collect()]
+    if not first:
+        return post.select("entry_rowid", F.lit(0.0).alias("score")).limit(0)
+    spark = post.sparkSession
+    rows = [tuple(r) for r in best(_scored(_within(post, first), known, tokens, in_a_row)).collect()]
+    made = spark.createDataFrame(rows, "entry_rowid LONG, score DOUBLE")
+    least = rows[-1][1] * (1 - 1e-9) if len(rows) == most else 0.0
+    rest = sums.where((F.col("most") >= least) & ~F.col("block").isin(*first)).select("block")
+    some = [r.block for r in rest.limit(RANGES + 1).collect()]
+    if not some:
+        return best(made)
+    more = _within(post, some) if len(some) <= RANGES else post.withColumn("block", F.floor(F.col("entry_rowid") / BLOCK_ROWS)).join(rest, "block", "left_semi").drop("block")
+    return best(made.unionByName(_scored(more, known, tokens, in_a_row)))
+
+
+def _within(post: DataFrame, blocks: list[int]) -> DataFrame:
+    """The postings of some blocks: ranges of entries that a scan can prune by."""
+    row = F.col("entry_rowid")
+    return post.where(reduce(Column.__or__, ((row >= b * BLOCK_ROWS) & (row < (b + 1) * BLOCK_ROWS) for b in sorted(blocks))))
+
+
+def bm25_top(spark: SparkSession, pack: str, tokens: list[str], most: int) -> DataFrame:
+    """The best of ``bm25``, by the blocks of a pack that has them."""
+    of = {t: spark.read.parquet(f"{pack}/{t}") for t in INDEX}
+    wanted = F.col("token").isin(*set(tokens))
+    facts = of["frequencies"].where(wanted).withColumn("_one", F.lit(1)).join(F.broadcast(of["totals"].withColumn("_one", F.lit(1))), "_one")  # one row
+    post = of["postings"] if "len" in of["postings"].columns else of["postings"].join(of["lengths"], "entry_rowid")
+    blocks = spark.read.parquet(f"{pack}/blocks") if files.is_dir(f"{pack}/blocks") else None
+    return best_scores(post.where(wanted), facts, blocks, tokens, most)
 
 
 def phrase(post: DataFrame, tokens: list[str]) -> DataFrame:

@@ -335,7 +335,8 @@ class SearchEngine:
         if "len" not in post.columns:
             post = post.join(read("lengths"), "entry_rowid")
         facts = read("frequencies").where(wanted).withColumn("_one", F.lit(1)).join(F.broadcast(read("totals").withColumn("_one", F.lit(1))), "_one")  # one row
-        return packs.best_phrases(post.where(wanted), facts, tokens, most)
+        many = pack.entry_count > packs.FIRST_BLOCKS * packs.BLOCK_ROWS and pack.listed is not None and "blocks" in pack.listed
+        return packs.best_scores(post.where(wanted), facts, read("blocks") if many else None, tokens, most, in_a_row=True)
 
     def get_entry(self, entry_id: str) -> dict | None:
         """The record of the first enabled pack that has the id, its default source filled in."""

@@ -287,7 +287,7 @@ def phrase_match(spark, sf):
 @query(_FTS + " SELECT 'doc:' || doc_id AS id, round(sum(gain), 6) AS score FROM gain WHERE NOT pack AND tok IN ('the', 'src1') GROUP BY doc_id HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf):
     s = samples.of(spark, sf)
-    scored = packs.bm25(spark, s.pack("texts-en"), ["src1", "the"]).join(s.read("texts-en", "entries").select("entry_rowid", "id"), "entry_rowid")
+    scored = packs.bm25_top(spark, s.pack("texts-en"), ["src1", "the"], 40).join(s.read("texts-en", "entries").select("entry_rowid", "id"), "entry_rowid")
     return scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "entry_rowid").limit(20).select("id", "score")
 
 
