@@ -391,8 +391,9 @@ SELECT doc_id, CASE WHEN copy > 1 THEN base || '~' || copy ELSE base END AS id,
 def id_collisions(spark, sf):
     """Records that bring the name that another one's copy would have."""
     own = F.concat("lang", F.lit("~"), (F.lit(2) + F.col("doc_id") % 9).cast("string"))
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 400 == 7, own).otherwise(F.col("lang")).alias("base_id"))
-    return importing.disambiguate(rows).select(F.col("line_no").alias("doc_id"), "id", "copy")
+    place = F.shiftleft("doc_id", 20)  # stretches of 8,192 documents
+    rows = table(spark, sf, "documents").select(place.alias("line_no"), F.when(F.col("doc_id") % 400 == 7, own).otherwise(F.col("lang")).alias("base_id"))
+    return importing.disambiguate(rows).select(F.shiftright("line_no", 20).alias("doc_id"), "id", "copy")
 
 
 @query("SELECT doc_id, CASE WHEN rn > 1 THEN b || '~' || rn ELSE b END AS id FROM (SELECT doc_id, lang || ':' || source AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 150))")
