@@ -25,6 +25,8 @@ from .sources.scratch import Scratch
 LETTERS = r"\p{L}\p{N}"
 LANGUAGES = ("de", "en", "es", "fr")
 SOURCE = {"id": "tables", "name": "Tables", "url": "", "license": "CC0", "attribution": ""}
+#: Lines of a file of the dump, which is compressed, so that one task reads it.
+DUMP_LINES = 100_000
 _made: dict[tuple[str, str], Samples] = {}
 
 
@@ -151,21 +153,24 @@ class Samples:
 
     def dump(self) -> str:
         """Raw records, a line for each order; some are blank, some do not parse, some have no word."""
-        return self._once("dump", lambda path: self._dump().write.text(path))
+        return self._once("dump", lambda path: self._dump().write.option("maxRecordsPerFile", DUMP_LINES).text(path, compression="gzip"))
 
     def _dump(self) -> DataFrame:
         text_ = lambda s, c: F.concat(F.lit(s), F.col(c).cast("string"))
-        item = F.struct(
-            F.array(F.struct(text_("part ", "l_partkey").alias("text"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("english")), F.struct(F.lit(" ").alias("text"), F.lit(None).cast("string").alias("english"))).alias("examples"),
-            F.when(F.col("l_linenumber") % 4 == 0, F.array(F.lit(" "))).otherwise(F.array("l_returnflag", "l_linestatus")).alias("glosses"),
-            F.array("l_returnflag").alias("tags"), F.array("l_returnflag", "l_linestatus").alias("raw_tags"),
-            F.array(F.struct(F.lit("de").alias("code"), text_("Teil ", "l_partkey").alias("word")), F.struct(F.lit(None).cast("string").alias("code"), F.lit("x").alias("word"))).alias("translations"),
-            F.array(F.struct(text_("supplier ", "l_suppkey").alias("word"), text_("s", "l_suppkey").alias("roman"))).alias("synonyms"),
-            F.array(F.struct(F.concat(text_("part ", "l_partkey"), F.lit(" (,")).alias("word"))).alias("related"),
-        )
-        order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", item.alias("item"))
-        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(order)).alias("x"))  # the lines of one order
-        rows = self.table("orders").join(lines, "o_orderkey", "left")
+        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"))).alias("x"))  # the lines of one order; their texts are made after the shuffle
+
+        def item(r: Column) -> Column:
+            said = lambda s, c: F.concat(F.lit(s), r[c].cast("string"))
+            return F.struct(
+                F.array(F.struct(said("part ", "l_partkey").alias("text"), said("line ", "l_linenumber").alias("english")), F.struct(F.lit(" ").alias("text"), F.lit(None).cast("string").alias("english"))).alias("examples"),
+                F.when(r["l_linenumber"] % 4 == 0, F.array(F.lit(" "))).otherwise(F.array(r["l_returnflag"], r["l_linestatus"])).alias("glosses"),
+                F.array(r["l_returnflag"]).alias("tags"), F.array(r["l_returnflag"], r["l_linestatus"]).alias("raw_tags"),
+                F.array(F.struct(F.lit("de").alias("code"), said("Teil ", "l_partkey").alias("word")), F.struct(F.lit(None).cast("string").alias("code"), F.lit("x").alias("word"))).alias("translations"),
+                F.array(F.struct(said("supplier ", "l_suppkey").alias("word"), said("s", "l_suppkey").alias("roman"))).alias("synonyms"),
+                F.array(F.struct(F.concat(said("part ", "l_partkey"), F.lit(" (,")).alias("word"))).alias("related"),
+            )
+
+        rows = self.table("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").join(lines, "o_orderkey", "left")
         key = F.col("o_orderkey")
         sound = lambda **c: F.struct(*(c.get(n, F.lit(None).cast("string")).alias(n) for n in ("ipa", "roman", "audio", "mp3_url")), F.array_compact(F.array(c.get("tag", F.lit(None).cast("string")))).alias("tags"))
         sounds = F.array(sound(ipa=text_("/", "o_orderkey"), tag=F.lit("UK")), F.when(key % 2 == 0, sound(ipa=F.lit("/us/"), tag=F.lit("US"))), F.when(key % 3 == 0, sound(audio=F.lit("a.ogg"), mp3_url=F.lit("m.mp3"))), F.when(key % 5 == 0, sound(roman=text_("r", "o_orderkey"))))
@@ -175,7 +180,7 @@ class Samples:
             F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.lower(F.split("o_orderpriority", "-")[1])).alias("pos"),
             F.when(F.floor(key / 2) % 3 != 2, (F.floor(key / 2) % 3).cast("string")).alias("etymology_number"),
             F.array_compact(sounds).alias("sounds"),
-            F.coalesce(F.transform("x", lambda r: r["item"]), F.array().cast(f"array<{item_type(rows)}>")).alias("senses"),
+            F.transform(F.coalesce("x", F.array().cast(rows.schema["x"].dataType)), item).alias("senses"),
             F.array(F.struct(F.col("o_orderstatus").alias("word"))).alias("synonyms"),
             F.array(F.struct(F.col("o_orderpriority").alias("word"))).alias("derived"),
             F.array(F.struct(F.lit("fr").alias("lang_code"), text_("commande ", "o_orderkey").alias("word"))).alias("translations"),
@@ -226,11 +231,6 @@ class Samples:
         self.dump()
 
 
-def item_type(rows: DataFrame) -> str:
-    """The type of an order's line as a sense of the dump."""
-    return rows.schema["x"].dataType.elementType["item"].dataType.simpleString()
-
-
 def _json_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records, a line each, as one JSON array."""
     first = True
