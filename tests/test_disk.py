@@ -25,3 +25,10 @@ def test_the_dump_is_no_larger_than_a_few_times_its_tables(spark, monkeypatch):
     monkeypatch.setitem(samples._made, (spark.sparkContext.applicationId, SF), many)
     again = entry.queries()["nested_entry_build"](spark, SF)
     assert got.count() == again.count() > 0 and got.exceptAll(again).isEmpty()
+
+
+def test_entry_view_reads_a_compressed_dump(spark):
+    made = samples.of(spark, SF)
+    assert entry.queries()["entry_view"](spark, SF).count() > 0
+    names = [f for f in os.listdir(made.dump().removeprefix("file://")) if f.startswith("part-")]
+    assert names and all(n.endswith(".gz") for n in names)
