@@ -12,16 +12,12 @@ def number_within(df: DataFrame, keys: list[str], order: str, chunk: Column, nam
     Rows are numbered within a chunk and set off by the counts of the chunks before it, so
     that a key with most of the rows is numbered by many tasks. Null keys are a key.
     """
-    rows = df.withColumn("_chunk", chunk)
-    counts = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    so_far = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
-    before = before.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_chunk").alias("_c"), "_before")
-    rn = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))
-    same = F.col("_chunk") == F.col("_c")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = rows.withColumn("_rn", rn).join(before, same)
+    rows = df.withColumn("_at", F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), chunk.alias("chunk")))  # structs are equal where both have null, so that one shuffle serves ranks and join
+    counts = rows.groupBy("_at").agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy(*([F.col(f"_at.k{i}") for i in range(len(keys))] or [F.lit(0)])).orderBy("_at.chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_at", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    rn = F.row_number().over(Window.partitionBy("_at").orderBy(order))
+    out = rows.withColumn("_rn", rn).join(before, "_at")
     return out.withColumn(name, F.col("_before") + F.col("_rn")).select(*df.columns, name)
 
 

@@ -9,7 +9,9 @@ in a row those that have a token, and the largest share that one of them has of
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,6 +40,8 @@ SORTED |= {t: (key, "term_type", "entry_rowid") for key, t in PROJECTIONS.items(
 BLOCK_ROWS, FIRST_BLOCKS, RANGES = 512, 8, 64
 #: A pack of more files than this does not list them.
 LISTED = 100_000
+#: The compression of a pack's tables.
+CODEC = "zstd"
 #: Tables of a pack that are written at once.
 AT_ONCE = 4
 #: What must hold of a pack before it takes its place.
@@ -81,15 +85,38 @@ def _indexed(entries: DataFrame) -> DataFrame:
     return entries.select("entry_rowid", cols.alias("tokens")).withColumn("len", size)
 
 
-def postings(entries: DataFrame) -> DataFrame:
+def _words(entries: DataFrame) -> DataFrame:
+    """(entry_rowid, len, col, words): of each indexed column of an entry that has tokens the distinct ones with their positions. An entry is one row, so that nothing is shuffled for it."""
+    rows = _indexed(entries).select("entry_rowid", "len", F.explode("tokens").alias("x")).where(F.size("x.ts") > 0)
+    placed = F.sort_array(F.transform("x.ts", lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
+    rows = rows.select("entry_rowid", "len", "x.col", placed.alias("ts"))
+    token = lambda i: F.get("ts", i)["token"]
+    cuts = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (token(i) != token(i - 1)))  # where a token begins
+    run = lambda at, k: F.slice("ts", at + 1, F.coalesce(F.get("cuts", k + 1), F.size("ts")) - at)
+    words = F.transform("cuts", lambda at, k: F.struct(token(at).alias("token"), F.transform(run(at, k), lambda x: x["pos"]).alias("positions")))
+    return rows.withColumn("cuts", cuts).select("entry_rowid", "len", "col", words.alias("words"))
+
+
+def postings(words: DataFrame) -> DataFrame:
     """(token, entry_rowid, col, positions, len): the text of an entry's four indexed columns, with the entry's length; lines keep phrases apart by a gap only at columns."""
-    rows = _indexed(entries).select("entry_rowid", "len", F.explode("tokens").alias("x")).select("entry_rowid", "len", "x.col", F.posexplode("x.ts").alias("pos", "token"))
-    return rows.groupBy("token", "entry_rowid", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
+    return words.select("entry_rowid", "len", "col", F.explode("words").alias("w")).select("w.token", "entry_rowid", "col", "w.positions", "len")
 
 
-def lengths(entries: DataFrame) -> DataFrame:
+def lengths(words: DataFrame) -> DataFrame:
     """(entry_rowid, len) of entries with tokens."""
-    return _indexed(entries).select("entry_rowid", "len").where("len > 0")
+    return words.groupBy("entry_rowid").agg(F.first("len").alias("len"))
+
+
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a job go when the job ends; they stay until the driver's JVM collects garbage otherwise, and those of a whole build lie beside each other."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _write(df: DataFrame, folder: str, table: str, counts: Observation | None = None, *what: Column, parts: int | None = None) -> None:
@@ -100,7 +127,7 @@ def _write(df: DataFrame, folder: str, table: str, counts: Observation | None =
         df = df.coalesce(parts)
     if counts is not None:
         df = df.observe(counts, *what)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", CODEC)
     if table == "ids":
         writer = writer.option("parquet.bloom.filter.enabled#id", "true")
     writer.parquet(f"{folder}/{table}")
@@ -158,11 +185,11 @@ class BuildStats:
     indexed: int = 0
 
 
-def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = False, indexed: bool = True) -> BuildStats:
+def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = False, indexed: bool = True, made_of: str | None = None) -> BuildStats:
     """Write the tables of a pack and put them in place of what is there; entries come with id and line_no.
 
     All is written and checked beside its place first: a build that fails leaves an old pack as it was.
-    Each table is computed once and counted as it is written.
+    Each table is computed once and counted as it is written. ``made_of`` is a folder that nothing but the entries needs: it goes when they are stored.
     """
     spark = entries.sparkSession
     if manifest["schema_version"] > SCHEMA_VERSION:
@@ -170,43 +197,51 @@ def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = Fa
     part = f"{out}.part"
     files.delete(part)
     try:
-        entries.write.mode("overwrite").parquet(f"{part}/_raw")
-        of_entries, of_terms, of_lengths = Observation(), Observation(), Observation()
-        raw = spark.read.schema(entries.schema).parquet(f"{part}/_raw")
-        _write(number_rows(raw), part, "entries", of_entries, F.count(F.lit(1)).alias("n"), F.max("entry_rowid").alias("top"))
-        stored = spark.read.parquet(f"{part}/entries")
-        made = search_terms(stored, composed).observe(of_terms, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("term_type") == "transcription", 1)).alias("spoken"))
-        made.write.mode("overwrite").parquet(f"{part}/_terms")
-        terms = spark.read.parquet(f"{part}/_terms")
-        sources = spark.createDataFrame([(s["id"], s.get("name"), s.get("url"), s.get("license"), s.get("attribution")) for s in {s["id"]: s for s in manifest["sources"]}.values()], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
-        jobs = [lambda t=t: _write(terms, part, t) for t in PROJECTIONS.values()]
-        jobs += [lambda: _write(stored.select("id", "entry_rowid"), part, "ids"), lambda: _write(sources, part, "sources")]
-        if indexed:
-            words = postings(stored)
-            jobs = [lambda: _write_index(spark, stored, words, part, of_lengths), *jobs]
-        _all(*jobs)
-        for t in ("_raw", "_terms"):
-            files.delete(f"{part}/{t}")
-        n = of_entries.get["n"]
-        if n != (of_entries.get["top"] or 0):  # rows were numbered by counts taken before
-            raise ValueError(f"{n} entries stored of {of_entries.get['top']} counted")
-        _write_pack_row(spark, part, manifest["id"], manifest.get("name"), manifest.get("version"), manifest["schema_version"], manifest["languages"], n, json.dumps(manifest))
-        if n:
-            check_pack(spark, part, INTEGRITY)
-        files.replace(part, out)
+        with lean(spark):
+            return _write_tables(spark, entries, manifest, out, part, composed, indexed, made_of)
     finally:
         files.delete(part)
+
+
+def _write_tables(spark: SparkSession, entries: DataFrame, manifest: dict, out: str, part: str, composed: bool, indexed: bool, made_of: str | None) -> BuildStats:
+    """What a later table is made of lies on the disk only until that is written."""
+    entries.write.mode("overwrite").parquet(f"{part}/_raw", compression=CODEC)
+    if made_of:
+        files.delete(made_of)
+    of_entries, of_terms, of_lengths = Observation(), Observation(), Observation()
+    raw = spark.read.schema(entries.schema).parquet(f"{part}/_raw")
+    _write(number_rows(raw), part, "entries", of_entries, F.count(F.lit(1)).alias("n"), F.max("entry_rowid").alias("top"))
+    files.delete(f"{part}/_raw")
+    stored = spark.read.parquet(f"{part}/entries")
+    made = search_terms(stored, composed).observe(of_terms, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("term_type") == "transcription", 1)).alias("spoken"))
+    made.write.mode("overwrite").parquet(f"{part}/_terms", compression=CODEC)
+    terms = spark.read.parquet(f"{part}/_terms")
+    sources = spark.createDataFrame([(s["id"], s.get("name"), s.get("url"), s.get("license"), s.get("attribution")) for s in {s["id"]: s for s in manifest["sources"]}.values()], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
+    jobs = [lambda t=t: _write(terms, part, t) for t in PROJECTIONS.values()]
+    _all(*jobs, lambda: _write(stored.select("id", "entry_rowid"), part, "ids"), lambda: _write(sources, part, "sources"))
+    files.delete(f"{part}/_terms")
+    if indexed:
+        _write_index(spark, stored, part, of_lengths)
+    n = of_entries.get["n"]
+    if n != (of_entries.get["top"] or 0):  # rows were numbered by counts taken before
+        raise ValueError(f"{n} entries stored of {of_entries.get['top']} counted")
+    _write_pack_row(spark, part, manifest["id"], manifest.get("name"), manifest.get("version"), manifest["schema_version"], manifest["languages"], n, json.dumps(manifest))
+    if n:
+        check_pack(spark, part, INTEGRITY)
+    files.replace(part, out)
     return BuildStats(entries=n, terms=of_terms.get["n"], transcription_terms=of_terms.get["spoken"], indexed=of_lengths.get["n"] if indexed else 0)
 
 
-def _write_index(spark: SparkSession, stored: DataFrame, words: DataFrame, folder: str, counts: Observation) -> None:
-    _write(lengths(stored), folder, "lengths", counts, F.count(F.lit(1)).alias("n"))
-    _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals")
-    _write(words, folder, "postings")
+def _write_index(spark: SparkSession, stored: DataFrame, folder: str, counts: Observation) -> None:
+    _words(stored).write.mode("overwrite").parquet(f"{folder}/_words", compression=CODEC)  # texts are split once
+    words = spark.read.parquet(f"{folder}/_words")
+    _write(lengths(words), folder, "lengths", counts, F.count(F.lit(1)).alias("n"))
+    _all(lambda: _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals"), lambda: _write(postings(words), folder, "postings"))
+    files.delete(f"{folder}/_words")
     mean = spark.read.parquet(f"{folder}/totals").first()["mean"] or 1.0
-    one = spark.read.parquet(f"{folder}/postings").groupBy("token", "entry_rowid").agg(_weighted(F.col("positions")).alias("tf"), F.first("len").alias("len"))
-    block = F.floor(F.col("entry_rowid") / BLOCK_ROWS).alias("block")
-    _write(one.groupBy("token", block).agg(F.count("*").alias("n"), F.max(bm25_share(F.col("tf"), F.col("len"), F.lit(mean))).alias("top")), folder, "blocks")
+    found = spark.read.parquet(f"{folder}/postings").select("token", "entry_rowid", F.floor(F.col("entry_rowid") / BLOCK_ROWS).alias("block"), "col", "positions", "len")
+    one = found.repartition("token", "block").groupBy("token", "block", "entry_rowid").agg(_weighted(F.col("positions")).alias("tf"), F.first("len").alias("len"))
+    _write(one.groupBy("token", "block").agg(F.count("*").alias("n"), F.max(bm25_share(F.col("tf"), F.col("len"), F.lit(mean))).alias("top")), folder, "blocks")
     _write(spark.read.parquet(f"{folder}/blocks").groupBy("token").agg(F.sum("n").alias("df")), folder, "frequencies")
 
 
@@ -259,9 +294,10 @@ def build_from_dump(spark: SparkSession, manifest_path: str, dump_path: str, out
     read = readers.parse_dump(spark, dump_path).observe(lines, count.alias("n"), F.count(F.when(~good, 1)).alias("bad")).where(good).drop("good", "value")
     try:
         entries = importing.dump_to_entries(read, source_id)
-        entries.write.mode("overwrite").parquet(cut)
-        told = importing.disambiguate(spark.read.schema(entries.schema).parquet(cut), max_entries).observe(made, F.coalesce(F.sum(F.col("copy") - 1), F.lit(0)).alias("n"))
-        stats = write_pack(importing.strip_default_source(told.drop("copy", "base_id"), source_id), manifest | {"default_source_id": source_id}, out)
+        with lean(spark):
+            entries.write.mode("overwrite").parquet(cut, compression=CODEC)
+            told = importing.disambiguate(spark.read.schema(entries.schema).parquet(cut), max_entries).observe(made, F.coalesce(F.sum(F.col("copy") - 1), F.lit(0)).alias("n"))
+            stats = write_pack(importing.strip_default_source(told.drop("copy", "base_id"), source_id), manifest | {"default_source_id": source_id}, out, made_of=cut)
     finally:
         files.delete(cut)
     stats.lines, stats.bad_lines, stats.id_collisions = lines.get["n"], lines.get["bad"], int(made.get["n"])
