@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from verbarium import samples
+from verbarium.operators import measure, packs
 from verbarium.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,32 @@ def test_entry_view_reads_a_compressed_dump(spark):
     assert entry.queries()["entry_view"](spark, SF).count() > 0
     names = [f for f in os.listdir(made.dump().removeprefix("file://")) if f.startswith("part-")]
     assert names and all(n.endswith(".gz") for n in names)
+
+
+def test_numbering_shuffles_rows_once(spark):
+    """A key may be null; ranks and the join that sets them off share a shuffle."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    rows = spark.range(1000).select(F.col("id").alias("line"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("key"), F.repeat(F.lit("x"), 50).alias("wide"))
+    out = measure.number_within(rows, ["key"], "line", F.shiftright("line", 7), "n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum("Exchange hash" in x for x in plan.split("\n")) == 4  # of rows, of counts, of counts by key, of those by key and chunk
+    assert {(r.line, r.n) for r in out.collect()} == {(x, x // 3 + 1) for x in range(1000)}
+
+
+def test_a_build_leaves_no_shuffle_files(spark, monkeypatch):
+    """They go with each job, and what a later table is made of goes when that is written."""
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(key)
+    write = packs._write
+
+    def watched(df, folder, table, *args, **kwargs):
+        seen.append((table, spark.conf.get(key), files.is_dir(f"{folder}/_raw"), files.is_dir(f"{folder}/_terms")))
+        write(df, folder, table, *args, **kwargs)
+
+    monkeypatch.setattr(packs, "_write", watched)
+    fresh = samples.Samples(spark, SF)
+    assert fresh.stats("orders").entries > 0 and spark.conf.get(key) == before
+    assert seen and all(on == "true" for _, on, _, _ in seen) and not files.is_dir(fresh.scratch.path("packs/orders.read"))
+    assert {t for t, _, raw, _ in seen if raw} == {"entries"} and not any(terms for t, _, _, terms in seen if t in ("lengths", "postings", "blocks", "pack"))
