@@ -85,26 +85,15 @@ def _indexed(entries: DataFrame) -> DataFrame:
     return entries.select("entry_rowid", cols.alias("tokens")).withColumn("len", size)
 
 
-def _words(entries: DataFrame) -> DataFrame:
-    """(entry_rowid, len, col, words): of each indexed column of an entry that has tokens the distinct ones with their positions. An entry is one row, so that nothing is shuffled for it."""
-    rows = _indexed(entries).select("entry_rowid", "len", F.explode("tokens").alias("x")).where(F.size("x.ts") > 0)
-    placed = F.sort_array(F.transform("x.ts", lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
-    rows = rows.select("entry_rowid", "len", "x.col", placed.alias("ts"))
-    token = lambda i: F.get("ts", i)["token"]
-    cuts = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (token(i) != token(i - 1)))  # where a token begins
-    run = lambda at, k: F.slice("ts", at + 1, F.coalesce(F.get("cuts", k + 1), F.size("ts")) - at)
-    words = F.transform("cuts", lambda at, k: F.struct(token(at).alias("token"), F.transform(run(at, k), lambda x: x["pos"]).alias("positions")))
-    return rows.withColumn("cuts", cuts).select("entry_rowid", "len", "col", words.alias("words"))
-
-
 def postings(words: DataFrame) -> DataFrame:
     """(token, entry_rowid, col, positions, len): the text of an entry's four indexed columns, with the entry's length; lines keep phrases apart by a gap only at columns."""
-    return words.select("entry_rowid", "len", "col", F.explode("words").alias("w")).select("w.token", "entry_rowid", "col", "w.positions", "len")
+    rows = words.select("entry_rowid", "len", F.explode("tokens").alias("x")).select("entry_rowid", "len", "x.col", F.posexplode("x.ts").alias("pos", "token"))
+    return rows.groupBy("token", "entry_rowid", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
 
 
 def lengths(words: DataFrame) -> DataFrame:
     """(entry_rowid, len) of entries with tokens."""
-    return words.groupBy("entry_rowid").agg(F.first("len").alias("len"))
+    return words.select("entry_rowid", "len").where("len > 0")
 
 
 @contextmanager
@@ -233,7 +222,7 @@ def _write_tables(spark: SparkSession, entries: DataFrame, manifest: dict, out:
 
 
 def _write_index(spark: SparkSession, stored: DataFrame, folder: str, counts: Observation) -> None:
-    _words(stored).write.mode("overwrite").parquet(f"{folder}/_words", compression=CODEC)  # texts are split once
+    _indexed(stored).write.mode("overwrite").parquet(f"{folder}/_words", compression=CODEC)  # texts are split once
     words = spark.read.parquet(f"{folder}/_words")
     _write(lengths(words), folder, "lengths", counts, F.count(F.lit(1)).alias("n"))
     _all(lambda: _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals"), lambda: _write(postings(words), folder, "postings"))
