@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from verbarium import samples
-from verbarium.operators import measure, packs
-from verbarium.sources import files
+from verbarium.operators import importing, measure, packs
+from verbarium.sources import files, readers
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -62,3 +62,70 @@ def test_a_build_leaves_no_shuffle_files(spark, monkeypatch):
     assert fresh.stats("orders").entries > 0 and spark.conf.get(key) == before
     assert seen and all(on == "true" for _, on, _, _ in seen) and not files.is_dir(fresh.scratch.path("packs/orders.read"))
     assert {t for t, _, raw, _ in seen if raw} == {"entries"} and not any(terms for t, _, _, terms in seen if t in ("lengths", "postings", "blocks", "pack"))
+
+
+def test_entries_are_numbered_where_they_lie(spark, tmp_path):
+    """Lines of a dump become entries without a shuffle of them; rows in any other order are sorted first, those of a reader that were dealt anew too."""
+    dump = tmp_path / "dump"
+    for name, n in (("b", 300), ("a", 50), ("c", 700)):
+        spark.range(n).select(F.format_string('{"word": "%s%d", "senses": [{"glosses": ["' + "x" * 200 + '"]}]}', F.lit(name), "id").alias("value")).coalesce(1).write.text(str(dump / name))
+    records, _ = readers.read_dump(spark, str(dump / "*"))
+    entries = importing.dump_to_entries(records, "t")
+    want = [f"{n}{i}" for n, k in (("a", 50), ("b", 300), ("c", 700)) for i in range(k)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30k")
+    try:
+        numbered = packs._numbered(entries, str(tmp_path / "raw"))
+        assert not (tmp_path / "raw_sorted").exists()
+        dealt = packs._numbered(entries.repartition(3), str(tmp_path / "dealt"))
+        assert (tmp_path / "dealt_sorted").exists()
+        longs = packs._numbered(entries.select(F.xxhash64("lemma").alias("line_no"), "lemma"), str(tmp_path / "longs"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for rows in (numbered, dealt):
+        assert [(r.entry_rowid, r.lemma) for r in rows.orderBy("entry_rowid").collect()] == list(enumerate(want, 1))
+    hashes = [r[0] for r in longs.orderBy("entry_rowid").select(F.xxhash64("lemma")).collect()]
+    assert hashes == sorted(hashes) and [r[0] for r in longs.select("entry_rowid").orderBy("entry_rowid").collect()] == list(range(1, 1051))
+
+
+def test_stretches_leave_the_same_table(spark, tmp_path, monkeypatch):
+    """A large table is shuffled stretch by stretch; its files are ranges of the key as before."""
+    rows = spark.range(3000).select(F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 6), F.when(F.col("id") % 50 == 0, "é").otherwise("")).alias("token"), F.col("id").alias("entry_rowid"), F.lit("x").alias("col"))
+    cut = packs._stretches(rows, "token", 3000, 400)
+    assert len(cut) > 5 and cut[0][0] is None and cut[-1][1] is None and packs._stretches(rows, "token", 3000, 3000) == [(None, None)]
+    packs._write_stretches(rows, str(tmp_path), "postings", cut)
+    got = spark.read.parquet(f"{tmp_path}/postings")
+    assert got.count() == 3000 and got.exceptAll(rows).isEmpty()
+    ranges = sorted((r.low, r.high) for r in got.groupBy(F.input_file_name()).agg(F.min("token").alias("low"), F.max("token").alias("high")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    monkeypatch.setattr(packs, "TERM_ROWS", 500)
+    monkeypatch.setattr(packs, "POSTING_ROWS", 3000)
+    parts = samples.Samples(spark, SF)
+    for t in packs.TABLES:
+        if t != "pack":
+            assert spark.read.parquet(f"{parts.pack('orders')}/{t}").exceptAll(samples.of(spark, SF).read("orders", t)).isEmpty(), t
+
+
+def test_what_reads_no_text_index_builds_none(spark, monkeypatch):
+    fresh = samples.Samples(spark, SF)
+    monkeypatch.setitem(samples._made, (spark.sparkContext.applicationId, SF), fresh)
+    for name in ("default_source_roundtrip",):
+        assert entry.queries()[name](spark, SF).count() > 0
+    assert {k for k in fresh.known if k.startswith("packs/")} == {"packs/orders-plain"}
+    assert not files.is_dir(fresh.scratch.path("orders-plain.dump")) and not any(files.is_dir(f"{fresh.pack(p)}/postings") for p in ("orders-plain",))
+
+
+def test_postings_hold_every_place(spark):
+    """Grouped within a row, against places counted one by one."""
+    texts = {1: ["a b a", "b a", None, "c a"], 2: ["", "", "", ""], 3: ["x", "é é x é", "x y", ""], 4: [None] * 4}
+    words = spark.createDataFrame([(k, sum(len((t or "").split()) for t in ts), [(f, (t or "").split() if t is not None else None) for f, t in zip(packs.FIELDS, ts)]) for k, ts in texts.items()], "entry_rowid LONG, len LONG, tokens ARRAY<STRUCT<col STRING, ts ARRAY<STRING>>>")
+    want = {}
+    for k, ts in texts.items():
+        for f, t in zip(packs.FIELDS, ts):
+            for i, w in enumerate((t or "").split()):
+                want.setdefault((w, k, f), []).append(i)
+    weight = dict(zip(packs.FIELDS, packs.WEIGHTS))
+    got = packs.postings(words).collect()
+    assert {(r.token, r.entry_rowid, r.col): r.positions for r in got} == want and len(got) == len(want)
+    assert all(r.tf == sum(weight[f] * len(at) for (w, k, f), at in want.items() if (w, k) == (r.token, r.entry_rowid)) for r in got)
+    assert len([r for r in got if r["first"]]) == len({(w, k) for w, k, _ in want}) and sorted(r.entry_rowid for r in got if r.lead) == [1, 3]

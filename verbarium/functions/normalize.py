@@ -8,7 +8,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: ASCII punctuation and white space, which loose keys leave out.
 DROPPED = r"(?U)[!-/:-@\[-`{-~]|\s"
@@ -29,6 +29,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
+
+
 @cache
 def _decompositions() -> tuple[str, str]:
     """Characters that decompose to one character and marks, and those characters."""
@@ -95,3 +100,9 @@ def exact_key(s: Column, composed: bool = False) -> Column:
     """``composed``: the source is known to be in NFC, so that no Python runs."""
     s = trim(s)
     return F.lower(s if composed else nfc(s))
+
+
+def exact_keys(texts: Column, composed: bool = False) -> Column:
+    """``exact_key`` of each text of an array."""
+    texts = F.transform(texts, trim)
+    return F.transform(texts if composed else nfc_each(texts), F.lower)

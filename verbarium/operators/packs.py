@@ -9,19 +9,24 @@ in a row those that have a token, and the largest share that one of them has of
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import normalize
 from ..functions.schemas import PACK, SCHEMA_VERSION
 from ..functions.text import fts_tokens, has_han, tokenize
 from ..sources import files, readers
+from ..sources.scratch import ship
 from . import importing
 from .measure import number_within
 
@@ -42,8 +47,12 @@ BLOCK_ROWS, FIRST_BLOCKS, RANGES = 512, 8, 64
 LISTED = 100_000
 #: The compression of a pack's tables.
 CODEC = "zstd"
-#: Tables of a pack that are written at once.
-AT_ONCE = 4
+#: Tables of a pack that are written at once, those of fewer rows than LARGE; others one by one, which shuffle less at a time.
+AT_ONCE, LARGE = 4, 2_000_000
+#: Rows of a stretch of keys that a table is shuffled by: terms, postings.
+TERM_ROWS, POSTING_ROWS = 8_000_000, 48_000_000
+#: Copies' names are broadcast below this, counted first; entries of a batch that Python groups.
+BROADCAST_BYTES, BATCH_ROWS = 24 << 20, 2_000
 #: What must hold of a pack before it takes its place.
 INTEGRITY = ("count", "lemmas", "orphans", "indexed", "unique_ids")
 WEIGHTS = (20.0, 10.0, 3.0, 1.0)
@@ -65,10 +74,11 @@ def search_terms(entries: DataFrame, composed: bool = False) -> DataFrame:
         F.transform(spoken, lambda p: row(p["ipa"], "transcription")),
         F.transform(roman, lambda f: row(f["form"], "transcription")),
     )
-    rows = entries.select("entry_rowid", *COVER, F.explode(every).alias("x")).select("entry_rowid", *COVER, "x.*")
-    rows = rows.withColumn("term", normalize.exact_key(F.col("text"), composed)).where("term <> ''")
+    rows = entries.select("entry_rowid", *COVER, every.alias("x")).withColumn("keys", normalize.exact_keys(F.transform("x", lambda x: x["text"]), composed))
+    said = F.filter(F.zip_with("x", "keys", lambda x, k: F.struct(k.alias("term"), x["term_type"].alias("term_type"))), lambda t: t["term"] != "")
+    rows = rows.select("entry_rowid", *COVER, F.explode(F.array_distinct(said)).alias("t")).select("entry_rowid", *COVER, "t.*")  # an entry's terms repeat within its row alone
     rows = rows.withColumn("loose_key", normalize.loose_key(F.col("term"), F.col("language"))).withColumn("term_rev", F.reverse("term"))
-    return rows.select("entry_rowid", "term", "term_type", "loose_key", "term_rev", *COVER).dropDuplicates(["entry_rowid", "term", "term_type"])
+    return rows.select("entry_rowid", "term", "term_type", "loose_key", "term_rev", *COVER)
 
 
 def _indexed(entries: DataFrame) -> DataFrame:
@@ -86,45 +96,103 @@ def _indexed(entries: DataFrame) -> DataFrame:
 
 
 def postings(words: DataFrame) -> DataFrame:
-    """(token, entry_rowid, col, positions, len): the text of an entry's four indexed columns, with the entry's length; lines keep phrases apart by a gap only at columns."""
-    rows = words.select("entry_rowid", "len", F.explode("tokens").alias("x")).select("entry_rowid", "len", "x.col", F.posexplode("x.ts").alias("pos", "token"))
-    return rows.groupBy("token", "entry_rowid", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
+    """(token, entry_rowid, col, positions, len, tf, first, lead): the text of an entry's four indexed columns, with the entry's length; lines keep phrases apart by a gap only at columns.
 
-
-def lengths(words: DataFrame) -> DataFrame:
-    """(entry_rowid, len) of entries with tokens."""
-    return words.select("entry_rowid", "len").where("len > 0")
+    ``tf`` is the token's weighted count in all columns of the entry; one row of an entry's token is its ``first``, one of the entry its ``lead``. An entry's rows come of its own row, so that nothing is shuffled.
+    """
+    return words.select("entry_rowid", "len", "tokens").mapInArrow(_grouped, "token string, entry_rowid long, col string, positions array<int>, len long, tf double, first boolean, lead boolean")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of each token in each column of an entry, by sorting the tokens of a batch."""
+    for batch in batches:
+        cols = batch.column(2)
+        of_row, each = pc.list_parent_indices(cols).to_numpy(), cols.flatten()
+        name, ts = each.field("col"), each.field("ts")
+        parent, flat = pc.list_parent_indices(ts).to_numpy(), ts.flatten()
+        if not len(flat):
+            continue
+        sizes = np.bincount(parent, minlength=len(ts))
+        at = (np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[parent]).astype(np.int32)
+        coded = flat.dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.lexsort((parent, code))  # places stay in order within a token and column
+        code, parent = code[order], parent[order]
+        begin = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (parent[1:] != parent[:-1])])
+        ends = np.r_[begin, len(code)].astype(np.int32)
+        code, parent = code[begin], parent[begin]
+        row = of_row[parent]
+        first = np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]
+        weight = np.array(WEIGHTS)[pc.index_in(name, pa.array(FIELDS)).to_numpy()]
+        tf = np.add.reduceat(weight[parent] * np.diff(ends), np.flatnonzero(first))[np.cumsum(first) - 1]
+        lead = np.zeros(len(row), bool)
+        lead[np.unique(row, return_index=True)[1]] = True
+        made = [coded.dictionary.take(pa.array(code)), batch.column(0).take(pa.array(row)), name.take(pa.array(parent)), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order])), batch.column(1).take(pa.array(row)), *map(pa.array, (tf, first, lead))]
+        yield pa.RecordBatch.from_arrays(made, names=["token", "entry_rowid", "col", "positions", "len", "tf", "first", "lead"])
 
 
 @contextmanager
-def lean(spark: SparkSession) -> Iterator[None]:
-    """Within it the shuffle files of a job go when the job ends; they stay until the driver's JVM collects garbage otherwise, and those of a whole build lie beside each other."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+def _with_conf(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k, str(v))
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def _write(df: DataFrame, folder: str, table: str, counts: Observation | None = None, *what: Column, parts: int | None = None) -> None:
-    """Write a table in its order; ``counts`` observes what is written."""
-    if keys := SORTED.get(table):
+def lean(spark: SparkSession):
+    """Within it the shuffle files of a job go when the job ends; they stay until the driver's JVM collects garbage otherwise, and those of a whole build lie beside each other."""
+    return _with_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def _one_by_one(spark: SparkSession, folder: str):
+    """Within it a task reads one file of a folder, or a part of one, so that rows in order are written in order."""
+    part = max(1 << 20, min(128 << 20, files.size(folder) // spark.sparkContext.defaultParallelism))
+    return _with_conf(spark, {"spark.sql.files.maxPartitionBytes": part, "spark.sql.files.openCostInBytes": part})
+
+
+def _write(df: DataFrame, folder: str, table: str, counts: Observation | None = None, *what: Column, parts: int | None = None, in_order: bool = False, mode: str = "overwrite") -> None:
+    """Write a table in its order, in which rows may come already; ``counts`` observes what is written."""
+    if in_order:
+        pass
+    elif keys := SORTED.get(table):
         df = (df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     elif parts:
         df = df.coalesce(parts)
     if counts is not None:
         df = df.observe(counts, *what)
-    writer = df.write.mode("overwrite").option("compression", CODEC)
+    writer = df.write.mode(mode).option("compression", CODEC)
     if table == "ids":
         writer = writer.option("parquet.bloom.filter.enabled#id", "true")
     writer.parquet(f"{folder}/{table}")
 
 
-def _all(*jobs) -> None:
+def _stretches(df: DataFrame, key: str, n: int, most: int) -> list[tuple[str | None, str | None]]:
+    """Stretches [low, high) of a key of n rows, of about ``most`` rows each; they end between beginnings of two characters, which are counted, and one beginning is never cut."""
+    ends, held = [], 0
+    heads = df.groupBy(F.substring(key, 1, 2).alias("head")).agg(F.count("*").alias("n")).limit(LISTED + 1).collect() if n > most else []
+    for r in sorted(heads) if len(heads) <= LISTED else []:
+        if held and held + r.n > most:
+            ends.append(r["head"])
+            held = 0
+        held += r.n
+    return list(zip([None, *ends], [*ends, None]))
+
+
+def _write_stretches(df: DataFrame, folder: str, table: str, stretches: list[tuple[str | None, str | None]]) -> None:
+    """Write a table in its order, a stretch of its first key after the other: the rows of one alone are shuffled at a time."""
+    key = F.col(SORTED[table][0])
+    for i, (low, high) in enumerate(stretches):
+        some = df if low is None else df.where(key >= low)
+        _write(some if high is None else some.where(key < high), folder, table, mode="append" if i else "overwrite")
+
+
+def _all(*jobs: Callable[[], None], at_once: int = AT_ONCE) -> None:
     """Run jobs that do not need each other, a few at once."""
-    with ThreadPoolExecutor(AT_ONCE) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         for done in [pool.submit(job) for job in jobs]:
             done.result()
 
@@ -174,43 +242,74 @@ class BuildStats:
     indexed: int = 0
 
 
-def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = False, indexed: bool = True, made_of: str | None = None) -> BuildStats:
+def _numbered(entries: DataFrame, folder: str) -> DataFrame:
+    """entries, stored in a folder, with ``entry_rowid`` for ``line_no``: 1, 2, ... in that order; read again they are in it file by file.
+
+    What a reader has numbered is stored as it comes: rows of a split lie in a row, and the counts of the splits before one set it off. Other rows are sorted by ranges first, and so are those of
+    splits that something has dealt anew.
+    """
+    spark, kind = entries.sparkSession, StructType([*entries.schema.fields, StructField("_at", LongType())])
+
+    def store(df: DataFrame, to: str) -> DataFrame:
+        df.select("*", F.monotonically_increasing_id().alias("_at")).write.mode("overwrite").parquet(to, compression=CODEC)
+        return spark.read.schema(kind).parquet(to)
+
+    def chunked(raw: DataFrame, chunk: Column) -> tuple[DataFrame, DataFrame]:
+        rows, at = raw.withColumn("_chunk", chunk), F.col("_at")
+        return rows, rows.groupBy("_chunk").agg(F.count("*").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high"), F.min_by(at, "line_no").alias("_first"), F.max_by(at, "line_no").alias("_last"))
+
+    raw, counts, to = None, None, folder
+    if isinstance(entries.schema["line_no"].dataType, StructType):
+        raw, counts = chunked(store(entries, folder), importing.stretch(entries))
+        if counts.where("_high - _low + 1 <> _n OR _first <> _low OR _last <> _high").limit(1).count():
+            entries, raw, to = raw.drop("_at", "_chunk"), None, f"{folder}_sorted"
+    if raw is None:
+        raw, counts = chunked(store(entries.repartitionByRange("line_no").sortWithinPartitions("line_no"), to), F.shiftright("_at", 33))
+    so_far = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_chunk", "_low", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))  # a row a split or a partition
+    return raw.join(F.broadcast(before), "_chunk").withColumn("entry_rowid", F.col("_before") + F.col("_at") - F.col("_low") + 1).select(*(c for c in entries.columns if c != "line_no"), "entry_rowid")
+
+
+def write_pack(entries: DataFrame, manifest: dict, out: str, composed: bool = False, indexed: bool = True) -> BuildStats:
     """Write the tables of a pack and put them in place of what is there; entries come with id and line_no.
 
     All is written and checked beside its place first: a build that fails leaves an old pack as it was.
-    Each table is computed once and counted as it is written. ``made_of`` is a folder that nothing but the entries needs: it goes when they are stored.
+    Each table is computed once and counted as it is written.
     """
-    spark = entries.sparkSession
+    return _build(entries.sparkSession, manifest, out, lambda raw: (_numbered(entries, raw), True), composed, indexed)
+
+
+def _build(spark: SparkSession, manifest: dict, out: str, make: Callable[[str], tuple[DataFrame, bool]], composed: bool, indexed: bool) -> BuildStats:
+    """``make`` stores entries in a folder and returns them numbered, and whether in order."""
     if manifest["schema_version"] > SCHEMA_VERSION:
         raise ValueError(f"pack format {manifest['schema_version']} is newer than {SCHEMA_VERSION}")
     part = f"{out}.part"
     files.delete(part)
     try:
         with lean(spark):
-            return _write_tables(spark, entries, manifest, out, part, composed, indexed, made_of)
+            entries, in_order = make(f"{part}/_raw")
+            return _write_tables(spark, entries, in_order, manifest, out, part, composed, indexed)
     finally:
         files.delete(part)
 
 
-def _write_tables(spark: SparkSession, entries: DataFrame, manifest: dict, out: str, part: str, composed: bool, indexed: bool, made_of: str | None) -> BuildStats:
+def _write_tables(spark: SparkSession, entries: DataFrame, in_order: bool, manifest: dict, out: str, part: str, composed: bool, indexed: bool) -> BuildStats:
     """What a later table is made of lies on the disk only until that is written."""
-    entries.write.mode("overwrite").parquet(f"{part}/_raw", compression=CODEC)
-    if made_of:
-        files.delete(made_of)
     of_entries, of_terms, of_lengths = Observation(), Observation(), Observation()
-    raw = spark.read.schema(entries.schema).parquet(f"{part}/_raw")
-    _write(number_rows(raw), part, "entries", of_entries, F.count(F.lit(1)).alias("n"), F.max("entry_rowid").alias("top"))
-    files.delete(f"{part}/_raw")
+    with _one_by_one(spark, f"{part}/_raw"):
+        _write(entries, part, "entries", of_entries, F.count(F.lit(1)).alias("n"), F.max("entry_rowid").alias("top"), in_order=in_order)
+    for made_of in ("_raw", "_raw_sorted", "_raw_names"):
+        files.delete(f"{part}/{made_of}")
     stored = spark.read.parquet(f"{part}/entries")
+    if indexed:
+        _write_index(spark, stored, part, of_lengths)
     made = search_terms(stored, composed).observe(of_terms, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("term_type") == "transcription", 1)).alias("spoken"))
     made.write.mode("overwrite").parquet(f"{part}/_terms", compression=CODEC)
-    terms = spark.read.parquet(f"{part}/_terms")
+    terms, n_terms = spark.read.parquet(f"{part}/_terms"), of_terms.get["n"]
     sources = spark.createDataFrame([(s["id"], s.get("name"), s.get("url"), s.get("license"), s.get("attribution")) for s in {s["id"]: s for s in manifest["sources"]}.values()], "id STRING, name STRING, url STRING, license STRING, attribution STRING")
-    jobs = [lambda t=t: _write(terms, part, t) for t in PROJECTIONS.values()]
-    _all(*jobs, lambda: _write(stored.select("id", "entry_rowid"), part, "ids"), lambda: _write(sources, part, "sources"))
+    jobs = [lambda k=k, t=t: _write_stretches(terms, part, t, _stretches(terms, k, n_terms, TERM_ROWS)) for k, t in PROJECTIONS.items()]
+    _all(*jobs, lambda: _write(stored.select("id", "entry_rowid"), part, "ids"), lambda: _write(sources, part, "sources"), at_once=AT_ONCE if n_terms < LARGE else 1)
     files.delete(f"{part}/_terms")
-    if indexed:
-        _write_index(spark, stored, part, of_lengths)
     n = of_entries.get["n"]
     if n != (of_entries.get["top"] or 0):  # rows were numbered by counts taken before
         raise ValueError(f"{n} entries stored of {of_entries.get['top']} counted")
@@ -218,20 +317,26 @@ def _write_tables(spark: SparkSession, entries: DataFrame, manifest: dict, out:
     if n:
         check_pack(spark, part, INTEGRITY)
     files.replace(part, out)
-    return BuildStats(entries=n, terms=of_terms.get["n"], transcription_terms=of_terms.get["spoken"], indexed=of_lengths.get["n"] if indexed else 0)
+    return BuildStats(entries=n, terms=n_terms, transcription_terms=of_terms.get["spoken"], indexed=of_lengths.get["n"] if indexed else 0)
 
 
 def _write_index(spark: SparkSession, stored: DataFrame, folder: str, counts: Observation) -> None:
-    _indexed(stored).write.mode("overwrite").parquet(f"{folder}/_words", compression=CODEC)  # texts are split once
-    words = spark.read.parquet(f"{folder}/_words")
-    _write(lengths(words), folder, "lengths", counts, F.count(F.lit(1)).alias("n"))
-    _all(lambda: _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals"), lambda: _write(postings(words), folder, "postings"))
-    files.delete(f"{folder}/_words")
+    """Texts are split once, into postings in the order of entries, of which all else is made."""
+    ship(spark)
+    of_posts = Observation()
+    with _with_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}):
+        postings(_indexed(stored)).observe(of_posts, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/_posts", compression=CODEC)
+    posts = spark.read.parquet(f"{folder}/_posts")
+    _write(posts.where("lead").select("entry_rowid", "len"), folder, "lengths", counts, F.count(F.lit(1)).alias("n"))
+    _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals")
     mean = spark.read.parquet(f"{folder}/totals").first()["mean"] or 1.0
-    found = spark.read.parquet(f"{folder}/postings").select("token", "entry_rowid", F.floor(F.col("entry_rowid") / BLOCK_ROWS).alias("block"), "col", "positions", "len")
-    one = found.repartition("token", "block").groupBy("token", "block", "entry_rowid").agg(_weighted(F.col("positions")).alias("tf"), F.first("len").alias("len"))
-    _write(one.groupBy("token", "block").agg(F.count("*").alias("n"), F.max(bm25_share(F.col("tf"), F.col("len"), F.lit(mean))).alias("top")), folder, "blocks")
+    block = F.floor(F.col("entry_rowid") / BLOCK_ROWS).alias("block")
+    share = bm25_share(F.col("tf"), F.col("len"), F.lit(mean))
+    stretches = _stretches(posts, "token", of_posts.get["n"], POSTING_ROWS)
+    _write_stretches(posts.groupBy("token", block).agg(F.count(F.when(F.col("first"), 1)).alias("n"), F.max(share).alias("top")), folder, "blocks", stretches)
     _write(spark.read.parquet(f"{folder}/blocks").groupBy("token").agg(F.sum("n").alias("df")), folder, "frequencies")
+    _write_stretches(posts.select("token", "entry_rowid", "col", "positions", "len"), folder, "postings", stretches)
+    files.delete(f"{folder}/_posts")
 
 
 def check_pack(spark: SparkSession, folder: str, checks: tuple[str, ...] | None = None) -> None:
@@ -273,27 +378,45 @@ def build_from_entries(spark: SparkSession, manifest_path: str, entries_path: st
     return write_pack(entries, manifest, out)
 
 
-def build_from_dump(spark: SparkSession, manifest_path: str, dump_path: str, out: str, source_id: str, max_entries: int | None = None) -> BuildStats:
-    """Lenient: bad lines are counted, repeated ids told apart. The dump is read once."""
+def build_from_dump(spark: SparkSession, manifest_path: str, dump_path: str, out: str, source_id: str, max_entries: int | None = None, indexed: bool = True, drop: bool = False) -> BuildStats:
+    """Lenient: bad lines are counted, repeated ids told apart. The dump is read once; with ``drop`` it goes when it is read."""
     manifest = load_manifest(manifest_path)
     if len({x["id"] for x in manifest["sources"]}) < len(manifest["sources"]):
         raise ValueError("repeated source id")
-    lines, made, cut = Observation(), Observation(), f"{out}.read"
+    lines, met = Observation(), []
     good, count = F.col("good"), F.count(F.lit(1))
     read = readers.parse_dump(spark, dump_path).observe(lines, count.alias("n"), F.count(F.when(~good, 1)).alias("bad")).where(good).drop("good", "value")
-    try:
-        entries = importing.dump_to_entries(read, source_id)
-        with lean(spark):
-            entries.write.mode("overwrite").parquet(cut, compression=CODEC)
-            told = importing.disambiguate(spark.read.schema(entries.schema).parquet(cut), max_entries).observe(made, F.coalesce(F.sum(F.col("copy") - 1), F.lit(0)).alias("n"))
-            stats = write_pack(importing.strip_default_source(told.drop("copy", "base_id"), source_id), manifest | {"default_source_id": source_id}, out, made_of=cut)
-    finally:
-        files.delete(cut)
-    stats.lines, stats.bad_lines, stats.id_collisions = lines.get["n"], lines.get["bad"], int(made.get["n"])
+
+    def make(raw: str) -> tuple[DataFrame, bool]:
+        entries = _numbered(importing.strip_default_source(importing.dump_to_entries(read, source_id), source_id), raw)
+        if drop:
+            files.delete(dump_path)
+        if max_entries is not None:
+            entries = entries.where(F.col("entry_rowid") <= max_entries)
+        named, n, small = _named(entries, f"{raw}_names")
+        met.append(n)
+        return named, small
+
+    stats = _build(spark, manifest | {"default_source_id": source_id}, out, make, False, indexed)
+    stats.lines, stats.bad_lines, stats.id_collisions = lines.get["n"], lines.get["bad"], met[0]
     stats.skipped = stats.lines - stats.bad_lines - stats.entries if max_entries is None else 0
     return stats
 
 
+def _named(entries: DataFrame, folder: str) -> tuple[DataFrame, int, bool]:
+    """Numbered entries with ``id`` for ``base_id``, how many names were tried in vain, and whether they are in order still. Copies alone are stored and joined."""
+    spark = entries.sparkSession
+    rows = entries.select(F.shiftleft("entry_rowid", 16).alias("line_no"), "base_id")  # stretches of 131,072 entries
+    copies = importing.disambiguate(rows).where("copy > 1").select(F.shiftright("line_no", 16).alias("entry_rowid"), "copy")
+    copies.write.mode("overwrite").parquet(folder, compression=CODEC)
+    copies = spark.read.parquet(folder)
+    n, met = copies.agg(F.count("*"), F.coalesce(F.sum(F.col("copy") - 1), F.lit(0))).first()
+    small = n * 16 <= BROADCAST_BYTES
+    told = entries.join(F.broadcast(copies) if small else copies, "entry_rowid", "left")
+    name = F.when(F.col("copy").isNull(), F.col("base_id")).otherwise(F.concat("base_id", F.lit("~"), F.col("copy").cast("string")))
+    return told.withColumn("id", name).select("id", *(c for c in entries.columns if c != "base_id")), int(met), small
+
+
 def merge_sentences(spark: SparkSession, pack: str, sentences_path: str, links_path: str, lang: str, out: str, max_per_entry: int = 3, prefer_english: bool = False) -> int:
     """A pack with example sentences added to the first sense of entries whose terms occur in them; returns how many."""
     target = readers.read_sentences(spark, sentences_path, readers.SENTENCE_LANGS.get(lang, lang))

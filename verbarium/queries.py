@@ -403,7 +403,8 @@ def entry_limit(spark, sf):
 
 @query(_ORDERS + " SELECT '' AS stored, 'dump' AS shown, count(*) AS n FROM kept")
 def default_source_roundtrip(spark, sf):
-    stored = samples.of(spark, sf).read("orders", "entries")
+    s = samples.of(spark, sf)
+    stored = s.read(s.either("orders"), "entries")
     ids = lambda df, name: df.select("entry_rowid", F.array_join(F.array_distinct(F.concat(F.transform("forms", lambda x: x["source_id"]), F.transform("senses", lambda x: x["source_id"]))), ",").alias(name))
     shown = importing.fill_default_source(stored, "dump")
     return ids(stored, "stored").join(ids(shown, "shown"), "entry_rowid").groupBy("stored", "shown").agg(F.count("*").alias("n"))

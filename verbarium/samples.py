@@ -1,8 +1,8 @@
 """Packs and files made of the driver's tables, once for a session and folder of tables.
 
-``lex-<language>``: the words of documents, with capitalized ones as names (``-plain``: without a text index); ``parts``: names of parts, of
+``lex-<language>``: the words of documents, with capitalized ones as names; ``parts``: names of parts, of
 several words; ``texts-en`` and ``texts-rest``: documents as entries (these texts are in NFC); ``orders``: built from a raw dump, a record for each order
-with its line items as senses. All lie in the shared scratch folder and go with the session.
+with its line items as senses. Each has the same entries and terms with ``-plain``, which leaves the text index out. All lie in the shared scratch folder and go with the session.
 """
 
 from __future__ import annotations
@@ -98,6 +98,10 @@ class Samples:
         kind, _, rest = name.partition("-")
         return self._once(f"packs/{name}", lambda path: getattr(self, f"_{kind}")(path, name, rest))
 
+    def either(self, name: str) -> str:
+        """A pack for what reads no text index: the one that has it if that is there, else the same entries and terms without."""
+        return name if f"packs/{name}" in self.known else f"{name}-plain"
+
     def engine(self, *names: str, scan_payloads: bool = False) -> SearchEngine:
         found = SearchEngine(self.spark, scan_payloads)
         for name in names:
@@ -133,14 +137,19 @@ class Samples:
         return packs.write_pack(_entries(rows, forms=forms), self._manifest(name, ["en"]), path, composed=True, indexed=rest != "plain")
 
     def _texts(self, path: str, name: str, rest: str) -> packs.BuildStats:
+        rest, _, plain = rest.partition("-")
         docs = self.table("documents").where("lang = 'en'" if rest == "en" else "lang <> 'en'")
         rows = docs.select(F.col("doc_id").alias("line_no"), F.concat(F.lit("doc:"), "doc_id").alias("id"), F.col("lang").alias("language"), F.concat(F.lit("text "), "doc_id").alias("lemma"), F.lit("text").alias("pos"), F.col("text").alias("definition"), "source")
         example = F.struct(F.substring("definition", 1, 60).alias("text"), *(F.lit(None).cast("string").alias(c) for c in ("translation", "roman")), F.lit("").alias("source_id"))
         made = _entries(rows.withColumn("definition", F.coalesce("definition", F.lit(""))), examples=F.array(example), synonyms=F.array("source", "language"))
-        return packs.write_pack(made, self._manifest(name, [x for x in LANGUAGES if (x == "en") == (rest == "en")]), path, composed=True)
+        return packs.write_pack(made, self._manifest(name, [x for x in LANGUAGES if (x == "en") == (rest == "en")]), path, composed=True, indexed=not plain)
 
     def _orders(self, path: str, name: str, rest: str) -> packs.BuildStats:
-        return packs.build_from_dump(self.spark, self.manifest(name, ["en", "zh", "und"]), self.dump(), path, "dump")
+        """The dump goes when it is read, unless another query has made it for itself."""
+        kept, dump = "dump" in self.known, self.scratch.path(f"{name}.dump")
+        if not kept:
+            self._write_dump(dump)
+        return packs.build_from_dump(self.spark, self.manifest(name, ["en", "zh", "und"]), self.dump() if kept else dump, path, "dump", indexed=rest != "plain", drop=not kept)
 
     def stats(self, pack: str) -> packs.BuildStats:
         self.pack(pack)
@@ -153,7 +162,11 @@ class Samples:
 
     def dump(self) -> str:
         """Raw records, a line for each order; some are blank, some do not parse, some have no word."""
-        return self._once("dump", lambda path: self._dump().write.option("maxRecordsPerFile", DUMP_LINES).text(path, compression="gzip"))
+        return self._once("dump", self._write_dump)
+
+    def _write_dump(self, path: str) -> None:
+        with packs.lean(self.spark):
+            self._dump().write.mode("overwrite").option("maxRecordsPerFile", DUMP_LINES).text(path, compression="gzip")
 
     def _dump(self) -> DataFrame:
         text_ = lambda s, c: F.concat(F.lit(s), F.col(c).cast("string"))
