@@ -509,7 +509,7 @@ def coverage_report(spark, sf):
 @query("SELECT * FROM (VALUES ('orders', 'fewer than half of the lemmas are Han'), ('parts', 'no entry has a translation')) t(pack, warning)")
 def coverage_warnings(spark, sf):
     s = samples.of(spark, sf)
-    of = lambda pack: packs.coverage_warnings(spark, s.pack(pack)).select(F.lit(pack).alias("pack"), "warning")
+    of = lambda pack: packs.coverage_warnings(spark, s.pack(s.either(pack))).select(F.lit(pack).alias("pack"), "warning")
     return of("orders").unionByName(of("parts"))
 
 
