@@ -50,7 +50,7 @@ CODEC = "zstd"
 #: Tables of a pack that are written at once, those of fewer rows than LARGE; others one by one, which shuffle less at a time.
 AT_ONCE, LARGE = 4, 2_000_000
 #: Rows of a stretch of keys that a table is shuffled by: terms, postings.
-TERM_ROWS, POSTING_ROWS = 8_000_000, 48_000_000
+TERM_ROWS, POSTING_ROWS = 4_000_000, 24_000_000
 #: Copies' names are broadcast below this, counted first; entries of a batch that Python groups.
 BROADCAST_BYTES, BATCH_ROWS = 24 << 20, 2_000
 #: What must hold of a pack before it takes its place.
