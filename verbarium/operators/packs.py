@@ -206,11 +206,12 @@ def listing(spark: SparkSession, folder: str) -> list[tuple] | None:
     """(table, name, low, high) of the files of a pack's sorted tables, keys as strings (numbers of twenty digits); None if there are too many."""
     def keys(t: str) -> DataFrame:
         rows, key = spark.read.parquet(f"{folder}/{t}"), SORTED[t][0]
-        said = F.col(key) if rows.schema[key].dataType.simpleString() == "string" else F.lpad(F.col(key).cast("string"), 20, "0")
-        return rows.select(F.lit(t).alias("table"), F.col("_metadata.file_name").alias("name"), said.alias("key"))
+        some = rows.select(F.lit(t).alias("table"), F.col("_metadata.file_name").alias("name"), F.col(key).alias("key"))
+        ends = (some.distinct() if key == "token" else some).groupBy("table", "name").agg(F.min("key").alias("low"), F.max("key").alias("high"))  # ends of strings are found by sorting: of a token once
+        said = lambda c: F.col(c) if rows.schema[key].dataType.simpleString() == "string" else F.lpad(F.col(c).cast("string"), 20, "0").alias(c)
+        return ends.select("table", "name", said("low"), said("high"))
 
-    every = reduce(DataFrame.unionByName, [keys(t) for t in tables_of(folder) if t in SORTED])
-    found = every.groupBy("table", "name").agg(F.min("key").alias("low"), F.max("key").alias("high")).limit(LISTED + 1).collect()
+    found = reduce(DataFrame.unionByName, [keys(t) for t in tables_of(folder) if t in SORTED]).limit(LISTED + 1).collect()
     return sorted(map(tuple, found)) if len(found) <= LISTED else None
 
 
