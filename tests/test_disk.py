@@ -109,10 +109,10 @@ def test_stretches_leave_the_same_table(spark, tmp_path, monkeypatch):
 def test_what_reads_no_text_index_builds_none(spark, monkeypatch):
     fresh = samples.Samples(spark, SF)
     monkeypatch.setitem(samples._made, (spark.sparkContext.applicationId, SF), fresh)
-    for name in ("coverage_warnings", "default_source_roundtrip"):
+    for name in ("coverage_report", "coverage_warnings", "default_source_roundtrip"):
         assert entry.queries()[name](spark, SF).count() > 0
-    assert {k for k in fresh.known if k.startswith("packs/")} == {"packs/orders-plain", "packs/parts-plain"}
-    assert not files.is_dir(fresh.scratch.path("orders-plain.dump")) and not any(files.is_dir(f"{fresh.pack(p)}/postings") for p in ("orders-plain", "parts-plain"))
+    assert {k for k in fresh.known if k.startswith("packs/")} == {"packs/orders-plain", "packs/parts-plain", "packs/texts-en-plain"}
+    assert not files.is_dir(fresh.scratch.path("orders-plain.dump")) and not any(files.is_dir(f"{fresh.pack(p)}/postings") for p in ("orders-plain", "texts-en-plain"))
 
 
 def test_postings_hold_every_place(spark):

@@ -501,7 +501,7 @@ UNION ALL SELECT 'parts', count(*), 0, 0, 0, 0, 0, 0.0 FROM part UNION ALL SELEC
 def coverage_report(spark, sf):
     s, found = samples.of(spark, sf), None
     for pack in ("orders", "parts", "texts-en"):
-        one = packs.coverage(s.read(pack, "entries")).select(F.lit(pack).alias("pack"), "*")
+        one = packs.coverage(s.read(s.either(pack), "entries")).select(F.lit(pack).alias("pack"), "*")
         found = one if found is None else found.unionByName(one)
     return found
 
