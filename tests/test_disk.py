@@ -129,3 +129,26 @@ def test_postings_hold_every_place(spark):
     assert {(r.token, r.entry_rowid, r.col): r.positions for r in got} == want and len(got) == len(want)
     assert all(r.tf == sum(weight[f] * len(at) for (w, k, f), at in want.items() if (w, k) == (r.token, r.entry_rowid)) for r in got)
     assert len([r for r in got if r["first"]]) == len({(w, k) for w, k, _ in want}) and sorted(r.entry_rowid for r in got if r.lead) == [1, 3]
+
+
+def test_the_dump_is_made_in_stretches_of_orders(spark, tmp_path, monkeypatch):
+    """Of a few line items' orders at a time, with those that have no key or no items; the lines are the same."""
+    for t, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        rows = samples.table(spark, SF, t)
+        rows.unionByName(rows.limit(3).withColumn(key, F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/{t}.parquet")
+    lines = lambda s: spark.read.text(s.dump()).agg(F.count("*"), F.sum(F.crc32("value"))).first()
+    whole = samples.Samples(spark, str(tmp_path))
+    assert len(whole._order_stretches()) == 1 and lines(whole)[0] == spark.read.parquet(f"{tmp_path}/orders.parquet").count()
+    monkeypatch.setattr(samples, "DUMP_ITEMS", 1000)
+    cut = samples.Samples(spark, str(tmp_path))
+    stretches = cut._order_stretches()
+    assert len(stretches) == -(-spark.read.parquet(f"{tmp_path}/lineitem.parquet").count() // 1000) > 4
+    items = [cut._dump(*s).select(F.explode(F.from_json("value", "senses ARRAY<STRING>")["senses"])).count() for s in stretches]
+    assert all(0 < n < 2000 for n in items) and lines(cut) == lines(whole)
+
+
+def test_lines_of_a_dump_are_parsed_once(spark):
+    """Filters on a record's fields stay above the one place that parses its line."""
+    for name in ("entry_view", "nested_entry_build"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1, name

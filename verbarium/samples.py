@@ -27,6 +27,8 @@ LANGUAGES = ("de", "en", "es", "fr")
 SOURCE = {"id": "tables", "name": "Tables", "url": "", "license": "CC0", "attribution": ""}
 #: Lines of a file of the dump, which is compressed, so that one task reads it.
 DUMP_LINES = 100_000
+#: Line items whose orders are shuffled at a time for the dump.
+DUMP_ITEMS = 12_000_000
 _made: dict[tuple[str, str], Samples] = {}
 
 
@@ -165,12 +167,29 @@ class Samples:
         return self._once("dump", self._write_dump)
 
     def _write_dump(self, path: str) -> None:
+        """Orders come in stretches of their keys: of one alone the shuffle files lie on the disk."""
         with packs.lean(self.spark):
-            self._dump().write.mode("overwrite").option("maxRecordsPerFile", DUMP_LINES).text(path, compression="gzip")
-
-    def _dump(self) -> DataFrame:
+            for i, (low, high) in enumerate(self._order_stretches()):
+                lines = self._dump(low, high).write.mode("append" if i else "overwrite")
+                lines.option("maxRecordsPerFile", DUMP_LINES).text(path, compression="gzip")
+
+    def _order_stretches(self) -> list[tuple[int | None, int | None]]:
+        """Stretches (low, high] of the keys of orders, of about DUMP_ITEMS line items each."""
+        n = -(-self.table("lineitem").count() // DUMP_ITEMS)
+        ends = self.table("orders").select(F.percentile_approx("o_orderkey", [i / n for i in range(1, n)])).first()[0] if n > 1 else None
+        ends = sorted(set(ends or []))
+        return list(zip([None, *ends], [*ends, None]))
+
+    def _dump(self, low: int | None = None, high: int | None = None) -> DataFrame:
         text_ = lambda s, c: F.concat(F.lit(s), F.col(c).cast("string"))
-        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"))).alias("x"))  # the lines of one order; their texts are made after the shuffle
+
+        def some(name: str, key: str) -> DataFrame:
+            rows, k = self.table(name), F.col(key)
+            if high is not None:
+                rows = rows.where((k <= high) | k.isNull() if low is None else k <= high)  # orders without a key are in the first stretch
+            return rows if low is None else rows.where(k > low)
+
+        lines = some("lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"))).alias("x"))  # the lines of one order; their texts are made after the shuffle
 
         def item(r: Column) -> Column:
             said = lambda s, c: F.concat(F.lit(s), r[c].cast("string"))
@@ -183,7 +202,7 @@ class Samples:
                 F.array(F.struct(F.concat(said("part ", "l_partkey"), F.lit(" (,")).alias("word"))).alias("related"),
             )
 
-        rows = self.table("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").join(lines, "o_orderkey", "left")
+        rows = some("orders", "o_orderkey").select("o_orderkey", "o_orderstatus", "o_orderpriority").join(lines, "o_orderkey", "left")
         key = F.col("o_orderkey")
         sound = lambda **c: F.struct(*(c.get(n, F.lit(None).cast("string")).alias(n) for n in ("ipa", "roman", "audio", "mp3_url")), F.array_compact(F.array(c.get("tag", F.lit(None).cast("string")))).alias("tags"))
         sounds = F.array(sound(ipa=text_("/", "o_orderkey"), tag=F.lit("UK")), F.when(key % 2 == 0, sound(ipa=F.lit("/us/"), tag=F.lit("US"))), F.when(key % 3 == 0, sound(audio=F.lit("a.ogg"), mp3_url=F.lit("m.mp3"))), F.when(key % 5 == 0, sound(roman=text_("r", "o_orderkey"))))

@@ -30,7 +30,8 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 def parse_dump(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value, good, fields of a record): the lines of a raw dictionary dump, each parsed once; those that do not parse or have no word are not good."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    rows = numbered_lines(spark, path).select("line_no", "value", F.from_json("value", DUMP, options).alias("d"))
+    parsed = F.explode(F.array(F.from_json("value", DUMP, options)))  # filters on a generator's rows stay above it; below it each would parse the line again
+    rows = numbered_lines(spark, path).select("line_no", "value", parsed.alias("d"))
     word = F.coalesce(F.schema_of_variant(F.col("d.word")) == "STRING", F.lit(False))
     good = F.col("d").isNotNull() & F.col("d._corrupt_record").isNull() & word
     said = F.when(word, F.variant_get(F.col("d.word"), "$", "string"))
