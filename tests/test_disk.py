@@ -152,3 +152,34 @@ def test_lines_of_a_dump_are_parsed_once(spark):
     for name in ("entry_view", "nested_entry_build"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1, name
+
+
+def test_blocks_are_made_of_sorted_postings(spark, tmp_path, monkeypatch):
+    """In one pass over each file of postings, whichever batches the rows come in; against groups of all rows."""
+    monkeypatch.setattr(packs, "BLOCK_ROWS", 16)
+    rows = spark.range(4000).select(F.concat(F.lit("t"), F.floor(F.sqrt(F.col("id") % 50)).cast("string")).alias("token"), F.floor(F.col("id") / 3).alias("entry_rowid"), F.element_at(F.array(*map(F.lit, packs.FIELDS)), (F.col("id") % 3 + 1).cast("int")).alias("col"))
+    rows = rows.select("*", F.sequence(F.lit(1), (F.col("entry_rowid") % 4 + 1).cast("int")).alias("positions"), (F.col("entry_rowid") % 9 + 3).alias("len"))
+    packs._write(rows, str(tmp_path), "postings", parts=5)
+    assert len(files.parquets(f"{tmp_path}/postings")) > 1
+    large, small = packs.blocks(spark, str(tmp_path), 5.0), packs.blocks(spark, str(tmp_path), 5.0, 7)
+    assert "Exchange" not in large._jdf.queryExecution().executedPlan().toString()
+    large, small = large.collect(), small.collect()
+    share = packs.bm25_share(F.col("tf"), F.col("len"), F.lit(5.0))
+    want = packs.weighted_tf(rows, "len").groupBy("token", F.floor(F.col("entry_rowid") / 16).alias("block")).agg(F.count("*").alias("n"), F.max(share).alias("top"))
+    as_told = lambda rs: sorted((r.token, r.block, r.n, r.top) for r in rs)
+    assert as_told(large) == as_told(small) == as_told(want.collect())
+
+
+def test_files_are_listed_by_their_footers(spark, tmp_path, monkeypatch):
+    """Ends of files are those of their rows; rows are read only where a footer does not tell."""
+    made = samples.of(spark, SF).pack("parts")
+    by_rows = [tuple(r) for t in packs.tables_of(made) if t in packs.SORTED for r in packs._read_ends(spark, made, t).collect()]
+    read = []
+    monkeypatch.setattr(packs, "_read_ends", lambda s, f, t, real=packs._read_ends: read.append(t) or real(s, f, t))
+    assert packs.listing(spark, made) == sorted(by_rows) and not read
+    long = spark.createDataFrame([("é" * 3000, 1), ("a", 2)], "token STRING, df LONG")  # no footer tells ends so long
+    for t in packs.PLAIN[:2]:
+        spark.read.parquet(f"{made}/{t}").limit(0).write.parquet(f"{tmp_path}/{t}")
+    packs._write(long, str(tmp_path), "frequencies")
+    got = packs.listing(spark, str(tmp_path))
+    assert read == ["frequencies"] and {x for _, _, *ends in got for x in ends} >= {"é" * 3000, "a"}

@@ -131,6 +131,46 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(made, names=["token", "entry_rowid", "col", "positions", "len", "tf", "first", "lead"])
 
 
+def _block() -> Column:
+    return F.floor(F.col("entry_rowid") / BLOCK_ROWS)
+
+
+def blocks(spark: SparkSession, folder: str, mean: float, rows: int = 1 << 16) -> DataFrame:
+    """(token, block, n, top) of a pack's postings, a task for each of their files: those are in order and part no block, so that nothing is shuffled or sorted again."""
+    names, size = files.parquets(f"{folder}/postings"), BLOCK_ROWS
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in (i for batch in batches for i in batch.column(0).to_pylist()):
+            held = None  # the rows of the last block, which may go on
+            for batch in files.batches(f"{folder}/postings/{names[i]}", ["token", "entry_rowid", "col", "positions", "len"], rows):
+                weight = np.array(WEIGHTS)[pc.index_in(batch.column("col"), pa.array(FIELDS)).to_numpy()]
+                tf = weight * pc.list_value_length(batch.column("positions")).to_numpy()
+                mine = pa.RecordBatch.from_arrays([batch.column("token"), batch.column("entry_rowid"), pa.array(tf), batch.column("len")], names=["token", "entry_rowid", "tf", "len"])
+                mine = pa.Table.from_batches([mine] if held is None else [held, mine]).combine_chunks().to_batches()[0]
+                token, at = mine.column(0), mine.column(1).to_numpy()
+                new = np.r_[True, pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False) | (at[1:] // size != at[:-1] // size)]
+                last = int(np.flatnonzero(new)[-1])
+                if last:
+                    yield _tops(mine.slice(0, last), new[:last], mean, size)
+                held = mine.slice(last)
+            if held is not None:
+                yield _tops(held, np.arange(len(held)) == 0, mean, size)
+
+    return spark.range(0, len(names), 1, max(1, len(names))).mapInArrow(of, "token string, block long, n long, top double")
+
+
+def _tops(rows: pa.RecordBatch, new: np.ndarray, mean: float, size: int) -> pa.RecordBatch:
+    """Of each block in rows, which begins where it is new: its entries and the largest share of one."""
+    at, tf, length = (rows.column(i).to_numpy() for i in (1, 2, 3))
+    entry = np.flatnonzero(new | np.r_[True, at[1:] != at[:-1]])
+    share = bm25_share(np.add.reduceat(tf, entry), length[entry], mean)
+    begin = np.flatnonzero(new)
+    of_block = np.searchsorted(entry, begin)
+    n = np.diff(np.r_[of_block, len(entry)])
+    made = [rows.column(0).take(pa.array(begin)), *map(pa.array, (at[begin] // size, n, np.maximum.reduceat(share, of_block)))]
+    return pa.RecordBatch.from_arrays(made, names=["token", "block", "n", "top"])
+
+
 @contextmanager
 def _with_conf(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
     before = {k: spark.conf.get(k) for k in values}
@@ -159,12 +199,13 @@ def _write(df: DataFrame, folder: str, table: str, counts: Observation | None =
     if in_order:
         pass
     elif keys := SORTED.get(table):
-        df = (df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+        ends = ("token", _block()) if table == "postings" else keys  # no block is in two files
+        df = (df.repartitionByRange(parts, *ends) if parts else df.repartitionByRange(*ends)).sortWithinPartitions(*keys)
     elif parts:
         df = df.coalesce(parts)
     if counts is not None:
         df = df.observe(counts, *what)
-    writer = df.write.mode(mode).option("compression", CODEC)
+    writer = df.write.mode(mode).option("compression", CODEC).option("maxRecordsPerFile", 0)
     if table == "ids":
         writer = writer.option("parquet.bloom.filter.enabled#id", "true")
     writer.parquet(f"{folder}/{table}")
@@ -203,16 +244,28 @@ def tables_of(folder: str) -> list[str]:
 
 
 def listing(spark: SparkSession, folder: str) -> list[tuple] | None:
-    """(table, name, low, high) of the files of a pack's sorted tables, keys as strings (numbers of twenty digits); None if there are too many."""
-    def keys(t: str) -> DataFrame:
-        rows, key = spark.read.parquet(f"{folder}/{t}"), SORTED[t][0]
-        some = rows.select(F.lit(t).alias("table"), F.col("_metadata.file_name").alias("name"), F.col(key).alias("key"))
-        ends = (some.distinct() if key == "token" else some).groupBy("table", "name").agg(F.min("key").alias("low"), F.max("key").alias("high"))  # ends of strings are found by sorting: of a token once
-        said = lambda c: F.col(c) if rows.schema[key].dataType.simpleString() == "string" else F.lpad(F.col(c).cast("string"), 20, "0").alias(c)
-        return ends.select("table", "name", said("low"), said("high"))
-
-    found = reduce(DataFrame.unionByName, [keys(t) for t in tables_of(folder) if t in SORTED]).limit(LISTED + 1).collect()
-    return sorted(map(tuple, found)) if len(found) <= LISTED else None
+    """(table, name, low, high) of the files of a pack's sorted tables, keys as strings (numbers of twenty digits); None if there are too many. Tables whose files do not tell their ends are read."""
+    found, names = [], {t: files.parquets(f"{folder}/{t}") for t in tables_of(folder) if t in SORTED}
+    if sum(map(len, names.values())) > LISTED:
+        return None
+    for t in names:
+        with ThreadPoolExecutor(2 * AT_ONCE) as pool:
+            ends = list(pool.map(lambda name, t=t: files.ends(f"{folder}/{t}/{name}", SORTED[t][0]), names[t]))
+        if None in ends:
+            found += map(tuple, _read_ends(spark, folder, t).collect())
+        else:
+            said = lambda x: f"{x:020d}" if isinstance(x, int) else x
+            found += [(t, name, *map(said, e)) for name, e in zip(names[t], ends) if e]
+    return sorted(found)
+
+
+def _read_ends(spark: SparkSession, folder: str, t: str) -> DataFrame:
+    """(table, name, low, high) of a table's files by its rows."""
+    rows, key = spark.read.parquet(f"{folder}/{t}"), SORTED[t][0]
+    some = rows.select(F.lit(t).alias("table"), F.col("_metadata.file_name").alias("name"), F.col(key).alias("key"))
+    ends = (some.distinct() if key == "token" else some).groupBy("table", "name").agg(F.min("key").alias("low"), F.max("key").alias("high"))  # ends of strings are found by sorting: of a token once
+    said = lambda c: F.col(c) if rows.schema[key].dataType.simpleString() == "string" else F.lpad(F.col(c).cast("string"), 20, "0").alias(c)
+    return ends.select("table", "name", said("low"), said("high"))
 
 
 def _write_pack_row(spark: SparkSession, folder: str, pack_id: str, name: str | None, version: str | None, schema_version: int, languages: list[str], n: int, manifest: str) -> None:
@@ -326,18 +379,15 @@ def _write_index(spark: SparkSession, stored: DataFrame, folder: str, counts: Ob
     ship(spark)
     of_posts = Observation()
     with _with_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}):
-        postings(_indexed(stored)).observe(of_posts, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/_posts", compression=CODEC)
+        postings(_indexed(stored)).drop("tf", "first").observe(of_posts, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/_posts", compression=CODEC)
     posts = spark.read.parquet(f"{folder}/_posts")
     _write(posts.where("lead").select("entry_rowid", "len"), folder, "lengths", counts, F.count(F.lit(1)).alias("n"))
     _write(spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("mean")), folder, "totals")
     mean = spark.read.parquet(f"{folder}/totals").first()["mean"] or 1.0
-    block = F.floor(F.col("entry_rowid") / BLOCK_ROWS).alias("block")
-    share = bm25_share(F.col("tf"), F.col("len"), F.lit(mean))
-    stretches = _stretches(posts, "token", of_posts.get["n"], POSTING_ROWS)
-    _write_stretches(posts.groupBy("token", block).agg(F.count(F.when(F.col("first"), 1)).alias("n"), F.max(share).alias("top")), folder, "blocks", stretches)
-    _write(spark.read.parquet(f"{folder}/blocks").groupBy("token").agg(F.sum("n").alias("df")), folder, "frequencies")
-    _write_stretches(posts.select("token", "entry_rowid", "col", "positions", "len"), folder, "postings", stretches)
+    _write_stretches(posts.drop("lead"), folder, "postings", _stretches(posts, "token", of_posts.get["n"], POSTING_ROWS))
     files.delete(f"{folder}/_posts")
+    _write(blocks(spark, folder, mean), folder, "blocks", in_order=True)
+    _write(spark.read.parquet(f"{folder}/blocks").groupBy("token").agg(F.sum("n").alias("df")), folder, "frequencies")
 
 
 def check_pack(spark: SparkSession, folder: str, checks: tuple[str, ...] | None = None) -> None:
@@ -554,7 +604,8 @@ def bm25_idf(df: Column, n: Column) -> Column:
     return F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
 
 
-def bm25_share(tf: Column, length: Column, mean: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+def bm25_share(tf, length, mean, k1: float = 1.2, b: float = 0.75):
+    """Of columns, or of numbers in tasks."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
+from pyarrow import parquet as pq
 
 
 def canonical(path: str) -> str:
@@ -110,6 +113,33 @@ def size(path: str) -> int:
     return sum(f.size or 0 for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
 
 
+def parquets(path: str) -> list[str]:
+    """Names of the files of a Parquet table, sorted."""
+    return [name for name, *_ in stamp(path) if not name.startswith((".", "_"))]
+
+
+def ends(path: str, column: str) -> tuple | None:
+    """The least and largest value of a column by the footer of a Parquet file; () of a file without rows, None where the footer does not tell."""
+    store, at = _open(path)
+    with store.open_input_file(at) as f:
+        meta = pq.read_metadata(f)
+    if not meta.num_rows:
+        return ()
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    i = next(i for i in range(meta.num_columns) if meta.schema.column(i).path == column)
+    told = [g.column(i).statistics for g in groups if g.num_rows]
+    if any(x is None or not x.has_min_max for x in told):
+        return None
+    return min((x.min for x in told)), max((x.max for x in told))
+
+
+def batches(path: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """Columns of a Parquet file in its order, so many rows at a time."""
+    store, at = _open(path)
+    with store.open_input_file(at) as f:
+        yield from (b for b in pq.ParquetFile(f).iter_batches(rows, columns=columns, use_threads=False) if len(b))
+
+
 def sha256(path: str, limit_mb: int | None = None) -> str:
     """The digest of a file, or of its first megabytes, read in pieces."""
     store, at = _open(path)
